@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
@@ -26,6 +28,25 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digest(table(spark, sf_dir, "documents"))
 
 
+def _joined(spans: Column) -> Column:
+    """kind:start:end of spans, comma-joined."""
+    return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x.getField("kind"), x.getField("start"), x.getField("end"))), ",")
+
+
+def _digest(found: DataFrame, kinds: Sequence[str]) -> DataFrame:
+    """Counts of the base kinds, the SHA-256 of their spans, and all spans."""
+    base = F.filter("spans", lambda x: x.getField("kind").isin(list(kinds)))
+    of_kind = lambda k: F.filter("spans", lambda x: x.getField("kind") == k)
+    counts = [F.size(of_kind(k)).cast("long").alias(f"n_{k}") for k in kinds]
+    return found.select("doc_id", *counts, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
+
+
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import KINDS, find_secrets
+
+    return _digest(find_secrets(table(spark, sf_dir, "documents")), KINDS[:3])
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
@@ -39,5 +60,5 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op8_quality_rules, op4_best_fit_packing, op7_token_records, op9_bpe)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_simhash, op8_quality_rules, op4_best_fit_packing, op7_token_records, op9_bpe)}
 ORACLE_SQL: dict[str, str] = {}
