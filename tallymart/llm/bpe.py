@@ -3,8 +3,7 @@
 The distinct words of a step of a partition are laid out as one array of symbols, linked to their neighbours. The index
 maps the rank of each pair that can merge to all positions where the pair stands. The lowest active rank is taken, all its
 positions merge at once, and only the lists of the pairs beside them change. Every word thereby sees its merges in
-ascending rank and from left to right, as if it were merged alone. Words that a Python worker has met are kept, up to
-CACHE of them.
+ascending rank and from left to right, as if it were merged alone.
 """
 
 from __future__ import annotations
@@ -20,8 +19,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import id_text, steps
-from .tokenizing import CACHE, oldest, tokenizer_path, words
+from .common import id_text, parts
+from .tokenizing import SPACES, STEP, Chunks, tokenizer_path
+
+_RUN = re.compile(f"[{SPACES}]+")
 
 
 def byte_symbols() -> list[str]:
@@ -56,8 +57,7 @@ class PairIndexBpe:
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pattern = regex.compile(split["pattern"]["Regex"])
         self.parts = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
-        self.ids: dict[str, str] = {s: str(i) for s, i in self.special.items()}
-        self.shown: dict[str, str] = {s: s for s in self.special}
+        self.chunks = Chunks("words", list(self.special), self.learn, 2)
 
     @staticmethod
     def check(spec: dict) -> None:
@@ -146,36 +146,35 @@ class PairIndexBpe:
             out.append(flat[i + 1 : j])
         return out
 
-    def learn(self, chunks: list[str]) -> None:
-        """Encode runs without white space and keep their ids and decoded tokens as text."""
+    def learn(self, chunks: list[str]) -> list[tuple[bytes, bytes]]:
+        """Of runs without white space the ids in decimal and the decoded tokens, each followed by a space."""
         pieces = [self.pattern.findall(self.normal(c)) for c in chunks]
         distinct = list({p for ps in pieces for p in ps})
         ids = dict(zip(distinct, self.merge([p.encode() for p in distinct])))
-        for c, ps in zip(chunks, pieces):
-            got = [i for p in ps for i in ids[p] if i >= 0]
-            self.ids[c] = " ".join(map(str, got))
-            self.shown[c] = self.decode(got)
+        text = {p: ("".join([f"{i} " for i in got if i >= 0]).encode(), "".join([self.tokens[i] + " " for i in got if i in self.tokens]).encode()) for p, got in ids.items()}
+        return [text[ps[0]] if len(ps) == 1 else (b"".join([text[p][0] for p in ps]), b"".join([text[p][1] for p in ps])) for ps in pieces]
 
     def decode(self, ids) -> str:
         """As the library decodes without a decoder: known tokens joined by a space."""
         return " ".join(self.tokens[i] for i in ids if i in self.tokens)
 
-    def chunks(self, text: str) -> list[str]:
-        """Runs between white space; the strings of special tokens stand alone."""
-        if self.parts is None or not any(s in text for s in self.special):
-            return words(text)
-        return [x for i, part in enumerate(self.parts.split(text)) for x in ([part] if i % 2 else words(part))]
-
-    def __call__(self, texts: list[str]) -> list[tuple[str, str]]:
+    def whole(self, text: str) -> list[bytes]:
+        """The same two values of a text that may hold strings of special tokens or odd separators."""
+        out = [[], []]
+        for k, part in enumerate(self.parts.split(text) if self.parts else [text]):
+            if k % 2:
+                found = [(f"{self.special[part]} ".encode(), f"{part} ".encode())]
+            else:
+                found = self.learn([c for c in _RUN.split(part) if c])
+            for ids, shown in found:
+                out[0].append(ids)
+                out[1].append(shown)
+        return [b"".join(x) for x in out]
+
+    def __call__(self, texts: pa.Array) -> list[tuple[bytes, bytes]]:
         """(ids in decimal joined by a space, decoded text) of each text."""
-        if len(self.ids) > CACHE:
-            self.ids, self.shown = oldest(self.ids), oldest(self.shown)
-        split = [self.chunks(t) for t in texts]
-        new = {c for cs in split for c in cs}.difference(self.ids.keys())
-        if new:
-            self.learn(list(new))
-        ids, shown = self.ids.__getitem__, self.shown.__getitem__
-        return [(" ".join(map(ids, cs)), " ".join(map(shown, cs))) for cs in split]
+        found = [v if v is not None else self.whole(texts[i].as_py()) for i, v in enumerate(self.chunks(texts))]
+        return [(ids[:-1], shown[:-1]) for ids, shown in found]
 
 
 _coders: dict[str, PairIndexBpe] = {}
@@ -193,8 +192,8 @@ def _per_text(docs: DataFrame, schema: str, make, tokenizer: str | None, id_col:
 
     def run(batches):
         code = coder(path)
-        for given, texts in steps(batches):
-            yield pa.RecordBatch.from_pydict({"doc_id": given.column("doc_id"), **make(code(texts))})
+        for given in parts(batches, STEP):
+            yield pa.RecordBatch.from_pydict({"doc_id": given.column("doc_id"), **make(code(given.column("text")))})
 
     return id_text(docs, id_col, text_col).mapInArrow(run, schema)
 
@@ -226,7 +225,7 @@ def bpe_digest(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc
     """n_tokens and SHA-256 of the ids and of the decoded text of every document, made in one pass."""
 
     def make(coded):
-        sha = [[hashlib.sha256(x.encode()).hexdigest() for x in col] for col in zip(*coded)] or [[], []]
-        return {"n_tokens": pa.array([i.count(" ") + 1 if i else 0 for i, _ in coded], pa.int64()), "ids_sha256": pa.array(sha[0], pa.string()), "decoded_sha256": pa.array(sha[1], pa.string())}
+        sha = [[hashlib.sha256(x).hexdigest() for x in col] for col in zip(*coded)] or [[], []]
+        return {"n_tokens": pa.array([i.count(b" ") + 1 if i else 0 for i, _ in coded], pa.int64()), "ids_sha256": pa.array(sha[0], pa.string()), "decoded_sha256": pa.array(sha[1], pa.string())}
 
     return _per_text(docs, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", make, tokenizer, id_col, text_col)

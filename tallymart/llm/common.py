@@ -10,8 +10,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Characters of text that one step of a Python operator holds as Python objects.
-STEP_CHARS = 1_500_000
+#: Bytes of text that one step of a Python operator holds as Python objects.
+STEP_BYTES = 1_500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,14 +58,22 @@ def crc_mod(column, n: int):
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % F.lit(n)
 
 
-def steps(batches: Iterator, text: str = "text") -> Iterator[tuple[object, list[str]]]:
-    """(part of an Arrow batch, its texts) of about STEP_CHARS characters each; a longer text comes alone."""
+def parts(batches: Iterator, most: int, text: str = "text") -> Iterator:
+    """The Arrow batches cut into parts of about `most` bytes of text; a longer text comes alone."""
+    import pyarrow.compute as pc
+
     for batch in batches:
-        texts, at, size = batch.column(text).to_pylist(), 0, 0
-        for i, t in enumerate(texts):
-            if size and size + len(t) > STEP_CHARS:
-                yield batch.slice(at, i - at), texts[at:i]
+        at, size = 0, 0
+        for i, n in enumerate(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()):
+            if size and size + n > most:
+                yield batch.slice(at, i - at)
                 at, size = i, 0
-            size += len(t)
-        if at < len(texts):
-            yield batch.slice(at), texts[at:]
+            size += n
+        if at < batch.num_rows:
+            yield batch.slice(at)
+
+
+def steps(batches: Iterator, text: str = "text") -> Iterator[tuple[object, list[str]]]:
+    """(part of an Arrow batch, its texts)."""
+    for part in parts(batches, STEP_BYTES, text):
+        yield part, part.column(text).to_pylist()

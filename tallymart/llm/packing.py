@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, steps, written
-from .tokenizing import encoder, tokenizer_path
+from .common import id_text, parts, written
+from .tokenizing import STEP, encoder, tokenizer_path
 
 SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
@@ -90,8 +90,8 @@ def _packed(path: str, size: int, open_bins: int, end: int):
             columns = list(zip(*[(*item, base + b, at, part, still_open) for item, b, at in rows]))
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, types)], schema=types)
 
-        for given, texts in steps(batches):
-            for doc, ids in zip(given.column("doc_id").to_pylist(), encode(texts)):
+        for given in parts(batches, STEP):
+            for doc, ids in zip(given.column("doc_id").to_pylist(), encode(given.column("text"))):
                 ids += tail
                 for k, (start, length) in enumerate(pieces(len(ids) // 4, size)):
                     crc = zlib.crc32(ids[4 * start : 4 * (start + length)])

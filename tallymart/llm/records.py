@@ -25,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import id_text, scratch, steps, written
-from .tokenizing import encoder, tokenizer_path
+from .common import id_text, parts, scratch
+from .tokenizing import STEP, encoder, tokenizer_path
 
 HEAD, INDEX_SCHEMA = struct.Struct("<QI"), "file string, offset long, length long, doc_id long, file_start long, n_tokens long, ids_crc32 long"
 
@@ -64,8 +64,9 @@ def _framed(path: str, end: int, wide: bool):
     def run(batches):
         encode = encoder(path, "words", "I" if wide else "H")
         tail = encode.pack([end])
-        for given, texts in steps(batches):
-            yield pa.RecordBatch.from_arrays([pa.array([frame(d, ids + tail, wide) for d, ids in zip(given.column("doc_id").to_pylist(), encode(texts))], pa.binary())], ["value"])
+        for given in parts(batches, STEP):
+            ids = encode(given.column("text"))
+            yield pa.RecordBatch.from_arrays([pa.array([frame(d, i + tail, wide) for d, i in zip(given.column("doc_id").to_pylist(), ids)], pa.binary())], ["value"])
 
     return run
 
@@ -89,8 +90,8 @@ def write_records(docs: DataFrame, path: str, tokenizer: str | None = None, end:
     id follow each other in order of their texts, a null id comes first, a null text is empty.
     """
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = id_text(docs, id_col, text_col).repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = id_text(docs, id_col, text_col).repartitionByRange(ranges, "doc_id").sortWithinPartitions("doc_id", "text")
     frames = dealt.mapInArrow(_framed(tokenizer or tokenizer_path("word_bpe_49k.json"), end, wide), "value binary")
     frames.select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\n").option("maxRecordsPerFile", records_per_file).text(path)
 

@@ -1,50 +1,93 @@
 """Ids of whole texts by the tokenizers library, asked once per distinct chunk of text.
 
 A chunk ends where the tokenizer's own splitting always ends a piece, so joining the ids of the chunks gives the ids of
-the text. A text in which that isn't certain goes to the library whole. Each Python worker keeps the chunks that it
-has met, up to CACHE of them.
+the text. A text in which that isn't certain goes to the library whole. Arrow splits the texts and numbers the chunks;
+Python handles each distinct chunk once a step, and each worker keeps the values of the chunks that it met first.
 """
 
 from __future__ import annotations
 
-import re
+import os
 from array import array
+from collections.abc import Callable
 from itertools import islice
 
-CACHE = 500_000
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: The white space of the tokenizers' \s.
-SPACES = "\t-\r \x85\xa0  -     　"
-_RUN = re.compile(f"[{SPACES}]+")
-_CONTROL = re.compile("[\x1c-\x1f]")
-_ODD = re.compile(f"(?! |\n)[{SPACES}]")
-_LONE = re.compile(f"(?<=[^{SPACES}]) (?=[^{SPACES}])")
-
-
-def words(text: str) -> list[str]:
-    """The runs of text between the tokenizers' white space."""
-    return text.split() if not _CONTROL.search(text) else [x for x in _RUN.split(text) if x]
+#: Chunks that a worker keeps, and bytes of text in a step.
+CACHE, STEP = 800_000, 4_000_000
 
-
-def spaced(text: str) -> list[str]:
-    """The text split at single spaces that stand between two characters that aren't white space."""
-    if "  " in text or "\n " in text or " \n" in text or text[:1] == " " or text[-1:] == " " or _ODD.search(text):
-        return _LONE.split(text)
-    return text.split(" ")
+#: The white space of the tokenizers' \s, and separators that Arrow splits at although they aren't.
+SPACES = "\t-\r \x85\xa0  -     　"
+_NOT_SPACES = "\x1c-\x1f"
+
+
+class Chunks:
+    """Values of distinct chunks, bytes or with more than one column a tuple of bytes, by the function `learn`.
+
+    split "words": runs between white space. split "spaced": runs after single spaces that stand between characters that
+    aren't white space; the first chunk of a text is marked with FIRST.
+    """
+
+    FIRST = "\x00"
+
+    def __init__(self, split: str, special: list[str], learn: Callable[[list[str]], list], columns: int = 1):
+        self.split, self.learn, self.columns = split, learn, columns
+        quoted = "|".join("".join(rf"\x{ord(c):02x}" for c in s) for s in special)
+        odd = f"[{_NOT_SPACES}]" if split == "words" else f"  |\n | \n|^ | $|[\x00{SPACES.replace(' ', '')}]".replace("\t-\r", "\t\x0b-\r")
+        self.unsafe = f"{odd}|{quoted}" if quoted else odd
+        self.known: dict = {}
+
+    def __call__(self, texts: pa.Array) -> list:
+        """For each text its value or values, or None where its chunks can't be told apart safely."""
+        unsafe = pc.match_substring_regex(texts, self.unsafe)
+        safe = pc.if_else(unsafe, "", texts)
+        if self.split == "words":
+            lists = pc.utf8_split_whitespace(safe)
+        else:
+            lists = pc.split_pattern(pc.binary_join_element_wise(self.FIRST, safe, ""), " ")
+        coded = lists.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        known = self.known
+        new = [x for x in distinct if x not in known]
+        if new:
+            known.update(zip(new, self.learn(new)))
+        values = [known[x] for x in distinct]
+        if len(known) > CACHE:
+            self.known = dict(islice(known.items(), CACHE // 2))  # frequent chunks are met early
+        ends = np.asarray(lists.offsets)
+        ends = ends - ends[0]
+        columns = []
+        for column in [values] if self.columns == 1 else zip(*values) if values else [()] * self.columns:
+            joined = pa.array(column, pa.large_binary()).take(coded.indices)
+            offsets = np.frombuffer(joined.buffers()[1], np.int64)[joined.offset : joined.offset + len(joined) + 1]
+            data = memoryview(joined.buffers()[2]) if len(joined) and joined.buffers()[2] else memoryview(b"")
+            at = offsets[ends].tolist() if len(joined) else [0] * len(ends)
+            columns.append([bytes(data[i:j]) for i, j in zip(at, at[1:])])
+        found = columns[0] if self.columns == 1 else zip(*columns)
+        return [None if u else v for u, v in zip(unsafe.to_pylist(), found)]
 
 
 class Encoder:
-    """Ids as bytes, each id little-endian in the machine type `code` of the array module ("H" or "I")."""
+    """Ids of texts as bytes, each id little-endian in the machine type `code` of the array module ("H" or "I")."""
+
+    #: Stands between chunks that are encoded together; a chunk that holds it is encoded alone.
+    STOP = "\x01"
 
     def __init__(self, path: str, split: str, code: str):
         from tokenizers import Tokenizer
 
-        self.lib, self.code, self.split = Tokenizer.from_file(path), code, {"words": words, "spaced": spaced}[split]
+        self.lib, self.code, self.width = Tokenizer.from_file(path), code, array(code).itemsize
         self.lib.no_truncation()
         self.lib.no_padding()
-        self.first = split == "spaced"  # the later chunks of a text start with the space that was split off
-        self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
+        special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
+        self.chunks = Chunks(split, special, self.learn)
+        self.between = f" {self.STOP}" if split == "spaced" else f" {self.STOP} "
+        stop = self.lib.encode(self.between, add_special_tokens=False).ids
+        self.stop, self.before = stop[-1], len(stop) - 1  # ids of the separator before its last, which no chunk has
+        self.marks = {c: self.whole(c) for c in ".,"}
 
     def pack(self, ids) -> bytes:
         return array(self.code, ids).tobytes()
@@ -52,34 +95,47 @@ class Encoder:
     def whole(self, text: str) -> bytes:
         return self.pack(self.lib.encode(text, add_special_tokens=False).ids)
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        out: list = []
-        new: set[str] = set()
-        for t in texts:
-            if not t:
-                out.append(b"")
-            elif any(s in t for s in self.special):
-                out.append(self.whole(t))
+    def learn(self, chunks: list[str]) -> list[bytes]:
+        """Letters and a point or comma behind them are pieces of their own, so such chunks reuse the letters' ids."""
+        spaced, known = self.chunks.split == "spaced", self.chunks.known
+        out: list = [None] * len(chunks)
+        joint, lead, ended = [], " " if spaced else "", []
+        for i, c in enumerate(chunks):
+            if spaced and c[:1] == Chunks.FIRST:
+                out[i] = self.whole(c[1:])
+            elif self.STOP in c or not c:
+                out[i] = self.whole(lead + c)
+            elif c[-1] in ".," and c[:-1].isalpha() and c.isascii():
+                ended.append(i)
             else:
-                out.append(parts := self.split(t))
-                new.update(parts[1:] if self.first else parts)
-        new = [x for x in new if x not in self.known]
-        if new:
-            asked = [" " + x for x in new] if self.first else new
-            for i in range(0, len(new), 20_000):
-                self.known.update(zip(new[i : i + 20_000], [self.pack(e.ids) for e in self.lib.encode_batch_fast(asked[i : i + 20_000], add_special_tokens=False)]))
-        get = self.known.__getitem__
-        for i, x in enumerate(out):
-            if isinstance(x, list):
-                out[i] = self.whole(x[0]) + b"".join(map(get, x[1:])) if self.first else b"".join(map(get, x))
-        if len(self.known) > CACHE:
-            self.known = oldest(self.known)
+                joint.append(c)
+        found = dict(zip(joint, self.asked(joint, lead)))
+        bare = [b for b in {chunks[i][:-1] for i in ended} if b not in known and b not in found]
+        new = dict(zip(bare, self.asked(bare, lead)))
+        for i in ended:
+            b = chunks[i][:-1]
+            out[i] = (known.get(b) or found.get(b) or new[b]) + self.marks[chunks[i][-1]]
+        known.update(new)
+        return [found[c] if v is None else v for c, v in zip(chunks, out)]
+
+    def asked(self, chunks: list[str], lead: str) -> list[bytes]:
+        """The library's ids of chunks that hold no STOP, a hundred to a call's text."""
+        out: list[bytes] = []
+        for at in range(0, len(chunks), 12_800):
+            groups = [chunks[k : k + 100] for k in range(at, min(at + 12_800, len(chunks)), 100)]
+            coded = self.lib.encode_batch_fast([lead + f"{self.between}{lead}".join(g) for g in groups], add_special_tokens=False)
+            for g, e in zip(groups, coded):
+                ids = np.array(e.ids, self.code)
+                stops = np.flatnonzero(ids == self.stop)
+                if len(stops) != len(g) - 1:
+                    raise ValueError("the separator met a chunk")
+                data, w = ids.tobytes(), self.width
+                begin, end = [0, *((stops + 1) * w).tolist()], [*((stops - self.before) * w).tolist(), len(data)]
+                out += [data[b:e_] for b, e_ in zip(begin, end)]
         return out
 
-
-def oldest(known: dict) -> dict:
-    """The half of the entries that came first: frequent chunks are met early."""
-    return dict(islice(known.items(), CACHE // 2))
+    def __call__(self, texts: pa.Array) -> list[bytes]:
+        return [v if v is not None else self.whole(texts[i].as_py()) for i, v in enumerate(self.chunks(texts))]
 
 
 _encoders: dict[tuple, Encoder] = {}
@@ -87,8 +143,6 @@ _encoders: dict[tuple, Encoder] = {}
 
 def encoder(path: str, split: str, code: str) -> Encoder:
     """One for each worker process, kept between tasks."""
-    import os
-
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     key = (path, split, code)
     if key not in _encoders:
