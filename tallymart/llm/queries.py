@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import crc_mod, table
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +16,20 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_pack(table(spark, sf_dir, "documents"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import KINDS, find_pii
+
+    return _digest(find_pii(table(spark, sf_dir, "documents")), KINDS)
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import score_toxicity, train
+
+    docs = table(spark, sf_dir, "documents")
+    scored = score_toxicity(docs, train(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (crc_mod(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), F.size("spans").alias("n_spans"))
+
+
 def op7_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .records import token_records
 
@@ -60,5 +74,5 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_simhash, op8_quality_rules, op4_best_fit_packing, op7_token_records, op9_bpe)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_simhash, op3_pii, op6_toxicity, op8_quality_rules, op4_best_fit_packing, op7_token_records, op9_bpe)}
 ORACLE_SQL: dict[str, str] = {}
