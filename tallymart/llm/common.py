@@ -35,10 +35,10 @@ def scratch(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/tallymart/{what}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
+def written(df: DataFrame, what: str, compression: str = "snappy") -> DataFrame:
     """The rows of df as a Parquet table in the shared folder, which cuts the lineage and outlives executors."""
     path = scratch(df.sparkSession, what)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -22,6 +22,12 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _digest(find_pii(table(spark, sf_dir, "documents")), KINDS)
 
 
+def op5_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm import score_texts
+
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import score_toxicity, train
 
@@ -74,5 +80,5 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_simhash, op3_pii, op6_toxicity, op8_quality_rules, op4_best_fit_packing, op7_token_records, op9_bpe)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_simhash, op3_pii, op5_suffix_tree_scores, op6_toxicity, op8_quality_rules, op4_best_fit_packing, op7_token_records, op9_bpe)}
 ORACLE_SQL: dict[str, str] = {}
