@@ -80,5 +80,11 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_simhash, op3_pii, op5_suffix_tree_scores, op6_toxicity, op8_quality_rules, op4_best_fit_packing, op7_token_records, op9_bpe)}
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embed_dedup import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_simhash, op3_pii, op5_suffix_tree_scores, op6_toxicity, op8_quality_rules, op4_best_fit_packing, op7_token_records, op9_bpe, op10_embedding_dedup)}
 ORACLE_SQL: dict[str, str] = {}
