@@ -1,10 +1,11 @@
 """Toxic spans by a linear-chain CRF, and document scores from its marginals.
 
-Labels are given for documents, so tokens are labelled from them: over one half of a bounded sample of labelled documents, words
-and beginnings of words that stand in toxic documents and almost never in others become cues; over the other half, a token with a
-cue is toxic in a toxic document and not in another. The CRF learns from windows of these tokens how far each cue and its
-neighbourhood are to be believed. Forward-backward marginals give each token's probability. A document's score is a
-logistic function, fitted on the same half, of the probability that any token is toxic, the largest one and their sum.
+Labels are given for documents, so tokens are labelled from them: over a bounded sample of labelled documents, words
+and beginnings of words become cues if they stand in toxic documents more often than chance allows, over all that are tested.
+A token with a cue is toxic in a toxic document and not in another. The CRF learns from windows of these tokens how far a cue of some
+purity and its neighbourhood are to be believed; it and the scores are fitted on each half of the sample with the cues of the other half.
+Forward-backward marginals give each token's probability. A document's score is a logistic function of the log probability that no token is
+toxic, of the surest one, and of their sum and density.
 
 Tokens without a cue all have the same emission, and between cues the chain forgets its past at a known rate, so marginals are taken in
 windows around cues, wide enough that what lies outside changes them by less than `FORGET`.
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import crc_mod, id_text, parts
 from .crf import Crf, padded
 
-FORGET, STEP, CACHE = 1e-6, 4_000_000, 600_000
+FORGET, STEP, CACHE = 1e-4, 4_000_000, 600_000
 _WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = range(4, 9)
 
@@ -49,43 +50,59 @@ def tokens_of(texts: pa.Array) -> tuple[np.ndarray, pa.DictionaryArray]:
 
 
 class ToxicityModel:
-    """Fitted on (text, label) pairs. Fewer than 400 of them serve both for cues and for the chain."""
+    """Fitted on (text, label) pairs; `chance` is the expected number of cues that are none."""
 
-    def __init__(self, sample: list[tuple[str, int]], seed: int = 3, least: int = 4, strength: float = 9.0):
+    #: Features: a cue of at least each purity, no cue, a cue before, a cue behind. The strongest purity is the cap.
+    PURITIES = 6
+    NONE, BEFORE, BEHIND, WIDTH = PURITIES + 1, PURITIES + 2, PURITIES + 3, PURITIES + 3
+
+    def __init__(self, sample: list[tuple[str, int]], seed: int = 3, chance: float = 0.05):
         sample = sorted({t: y for t, y in sorted(sample)}.items())
         random.Random(seed).shuffle(sample)
-        cut = len(sample) // 2 if len(sample) >= 400 else 0
-        first, second = (sample[:cut], sample[cut:]) if cut else (sample, sample)
         self.rate = (sum(y for _, y in sample) + 0.5) / (len(sample) + 1)
-        self.cues = self._cues(first, least, strength)
-        self.known: dict[str, int] = {}
-        self._fit(second, random.Random(seed + 1))
+        self.crf, self.margin, self.logistic = None, 2, None
+        half = len(sample) // 2
+        made = []
+        for mine, others in ((sample[:half], sample[half:]), (sample[half:], sample[:half])):
+            self._learn(others, chance)
+            if mine:
+                made.append((*self.codes(pa.array([t for t, _ in mine], pa.string()))[:2], np.array([y for _, y in mine])))
+        self._learn(sample, chance)
+        if self.cues and made and any(c.any() for _, c, _ in made):
+            self._fit(made, random.Random(seed + 1))
+
+    def _learn(self, sample: list[tuple[str, int]], chance: float) -> None:
+        self.cues, self.known = self._cues(sample, chance), {}
 
     @staticmethod
-    def _cues(sample: list[tuple[str, int]], least: int, strength: float) -> dict[str, tuple[int, float]]:
-        """Number and weight of each cue: log odds of its documents, times the root of how many there are."""
-        toxic, other, n = Counter(), Counter(), [0, 0]
+    def _cues(sample: list[tuple[str, int]], chance: float) -> dict[str, tuple[int, float]]:
+        """Purity (1 to PURITIES) and weight of each cue: minus the log probability of its share of toxic documents, were it as frequent in all."""
+        other: Counter = Counter()
         copies: dict[str, set[int]] = {}  # documents that share their least word hash are taken for copies and count once
+        groups: tuple[set[int], set[int]] = (set(), set())
         for text, y in sample:
-            n[y] += 1
             words = set(_WORD.findall(text.lower()))
             cues = {c for w in words for c in cues_of(w)}
+            copy = min((zlib.crc32(w.encode()) for w in words), default=0)
+            groups[y].add(copy)
             if not y:
                 other.update(cues)
                 continue
-            copy = min((zlib.crc32(w.encode()) for w in words), default=0)
             for c in cues:
                 copies.setdefault(c, set()).add(copy)
-        toxic.update({c: len(v) for c, v in copies.items()})
-        out = {}
-        for cue, k in sorted(toxic.items()):
-            odds = math.log((k + 0.1) / (other[cue] + 0.1) * (n[0] + 1) / (n[1] + 1))
-            if k >= least and odds > 2.0 and odds * math.sqrt(k) >= strength:
-                out[cue] = (len(out) + 1, odds * math.sqrt(k))
+        rate = (len(groups[1]) + 1) / (len(groups[0]) + len(groups[1]) + 2)
+        tested = {c: len(v) for c, v in copies.items() if len(v) > 2}
+        bound, out = math.log(max(1, len(tested)) / chance), {}
+        for cue, k in sorted(tested.items()):
+            m = other[cue]
+            log_p = math.lgamma(k + m + 1) - math.lgamma(k + 1) - math.lgamma(m + 1) + k * math.log(rate) + m * math.log(1 - rate)
+            if k >= m and -log_p > bound:
+                odds = math.log((k + 0.5) / (m + 0.5) * (1 - rate) / rate)
+                out[cue] = (min(ToxicityModel.PURITIES, max(1, int(odds))), -log_p)
         return out
 
     def code(self, token: str) -> int:
-        """The number of the strongest cue in a token, or 0."""
+        """The purity of the cue in a token that has the most weight, or 0."""
         best = (0, 0.0)
         for w in _WORD.findall(token):
             for c in cues_of(w):
@@ -107,11 +124,11 @@ class ToxicityModel:
         return bounds, table[indices] if len(values) else np.zeros(0, np.int32), empty[indices] if len(values) else np.zeros(0, bool)
 
     def rows(self, codes: np.ndarray) -> np.ndarray:
-        """Features of tokens: the cue or its absence, a bucket of its weight, a cue before, a cue behind."""
-        n = len(self.cues)
-        near = (codes > 0).astype(np.int64)
-        before, behind = np.r_[0, near[:-1]], np.r_[near[1:], 0]
-        return np.stack((np.where(codes > 0, codes, n + 1), np.where(codes > 0, n + 2 + self.bucket[codes], 0), before * (n + 12), behind * (n + 13)), axis=-1)
+        """Features of the tokens of a window."""
+        near = codes > 0
+        before, behind = np.r_[False, near[:-1]], np.r_[near[1:], False]
+        pure = [(codes >= k) * k for k in range(1, self.PURITIES + 1)]
+        return np.stack((~near * self.NONE, before * self.BEFORE, behind * self.BEHIND, *pure), axis=-1).astype(np.int64)
 
     def _windows(self, bounds: np.ndarray, codes: np.ndarray, margin: int) -> list[tuple[int, int, int]]:
         """(text, first, end) of token windows around cues, joined where they meet."""
@@ -126,34 +143,29 @@ class ToxicityModel:
                 out.append([d, max(low, out[-1][2]) if out and out[-1][0] == d else low, high])
         return [tuple(w) for w in out]
 
-    def _fit(self, sample: list[tuple[str, int]], rng: random.Random) -> None:
-        strengths = [0.0] + [s for _, s in sorted(self.cues.values())]
-        self.bucket = np.array([min(9, int(s // 10)) for s in strengths], np.int64)
-        self.crf, self.margin, self.logistic = None, 2, None
-        if not self.cues or not sample:
-            return
-        texts, labels = pa.array([t for t, _ in sample], pa.string()), np.array([y for _, y in sample])
-        bounds, codes, _ = self.codes(texts)
-        windows = self._windows(bounds, codes, 3)
-        for _ in range(len(windows) // 2 + 20):  # and windows of any tokens
-            d = rng.randrange(len(sample))
-            a, b = int(bounds[d]), int(bounds[d + 1])
-            if b > a:
-                k = rng.randrange(a, b)
-                windows.append((d, k, min(b, k + 7)))
-        rng.shuffle(windows)
-        windows = [w for w in windows if w[2] - w[1] <= 64][:30_000]
-        rows, lengths = padded([self.rows(codes[a:b]) for _, a, b in windows], 4)
-        tags = np.zeros(rows.shape[:2], np.int64)
-        for i, (d, a, b) in enumerate(windows):
-            tags[i, : b - a] = (codes[a:b] > 0) & (labels[d] == 1)
-        self.crf = Crf(len(self.cues) + 13, 2).fit(rows, tags, lengths, rounds=80, rate=0.15, l2=2e-5)
-        step = np.exp(self.crf.moves + self.crf.weights[len(self.cues) + 1])
+    def _fit(self, made: list[tuple[np.ndarray, np.ndarray, np.ndarray]], rng: random.Random) -> None:
+        """Fit the chain and the scores on (bounds, codes, labels) of texts."""
+        rows, tags = [], []
+        for bounds, codes, labels in made:
+            windows = [w for w in self._windows(bounds, codes, 3) if w[2] - w[1] <= 64]
+            rng.shuffle(windows)
+            windows = windows[:8_000]
+            for _ in range(len(windows) // 4 + 20):  # and windows of any tokens
+                d = rng.randrange(len(labels))
+                a, b = int(bounds[d]), int(bounds[d + 1])
+                if b > a:
+                    k = rng.randrange(a, b)
+                    windows.append((d, k, min(b, k + 7)))
+            rows += [self.rows(codes[a:b]) for _, a, b in windows]
+            tags += [((codes[a:b] > 0) & (labels[d] == 1)).astype(np.int64)[:, None] for d, a, b in windows]
+        x, lengths = padded(rows, self.WIDTH)
+        self.crf = Crf(self.BEHIND, 2).fit(x, padded(tags, 1)[0][..., 0], lengths, rounds=80, rate=0.15, l2=2e-5)
+        step = np.exp(self.crf.moves + self.crf.weights[self.NONE])
         ratio = math.sqrt(step[0, 0] * step[1, 1] / (step[0, 1] * step[1, 0]))
         forget = abs(ratio - 1) / (ratio + 1)  # Birkhoff's contraction of one step without a cue
         self.margin = max(2, min(40, math.ceil(math.log(FORGET) / math.log(forget)) if forget > 1e-9 else 2))
-        x = np.array([self._summary(p) for p in self._probabilities(bounds, codes)])
-        self.logistic = _logistic(x, labels.astype(float))
+        summaries = [self._summary(p, n) for bounds, codes, _ in made for p, n in zip(self._probabilities(bounds, codes), np.diff(bounds).tolist())]
+        self.logistic = _logistic(np.array(summaries), np.concatenate([y for _, _, y in made]).astype(float))
 
     def _probabilities(self, bounds: np.ndarray, codes: np.ndarray) -> list[list[tuple[int, float]]]:
         """For each text (token, probability) of the tokens with a cue."""
@@ -163,7 +175,7 @@ class ToxicityModel:
         windows = sorted(self._windows(bounds, codes, self.margin), key=lambda w: w[2] - w[1])
         for at in range(0, len(windows), 512):
             some = windows[at : at + 512]
-            rows, lengths = padded([self.rows(codes[a:b]) for _, a, b in some], 4)
+            rows, lengths = padded([self.rows(codes[a:b]) for _, a, b in some], self.WIDTH)
             p = self.crf.marginals(self.crf.emissions(rows), lengths)[..., 1]
             for (d, a, b), q in zip(some, p):
                 for k in np.flatnonzero(codes[a:b]).tolist():
@@ -171,9 +183,10 @@ class ToxicityModel:
         return out
 
     @staticmethod
-    def _summary(found: list[tuple[int, float]]) -> tuple[float, ...]:
-        none = sum(math.log1p(-min(p, 1 - 1e-9)) for _, p in found)
-        return 1.0, 1 - math.exp(none), max((p for _, p in found), default=0.0), math.log1p(sum(p for _, p in found))
+    def _summary(found: list[tuple[int, float]], n: int) -> tuple[float, ...]:
+        none, total = -sum(math.log1p(-min(p, 1 - 1e-6)) for _, p in found), sum(p for _, p in found)
+        most = min(max((p for _, p in found), default=0.0), 1 - 1e-6)
+        return 1.0, min(none, 12.0), -math.log1p(-most), math.log1p(total), math.log1p(200 * total / max(n, 1))
 
     def __call__(self, texts: pa.Array) -> list[tuple[float, list[tuple[int, int, float]]]]:
         """(score, offending spans as start, end and probability) of each text. Without a single cue the score is the sample's rate."""
@@ -183,7 +196,7 @@ class ToxicityModel:
             if self.logistic is None:
                 score = self.rate
             else:
-                score = 1 / (1 + math.exp(-float(np.dot(self._summary(found), self.logistic))))
+                score = 1 / (1 + math.exp(-float(np.dot(self._summary(found, int(bounds[d + 1] - bounds[d])), self.logistic))))
             spans = []
             if any(p >= 0.5 for _, p in found):
                 places = [m.span() for m in re.finditer(r"\S+", texts[d].as_py())]
@@ -212,7 +225,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5) -> np.ndarray:
     return w
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = 10_000, held_mod: int = 4, held: int = 2) -> ToxicityModel:
+def train(docs: DataFrame, labels: DataFrame, most: int = 7_000, held_mod: int = 4, held: int = 2) -> ToxicityModel:
     """A model from at most `most` labelled rows whose crc32(doc_id) mod 4 isn't 2, drawn by a hash of their ids.
 
     The ids are at most `most`, so they are broadcast. Labels that are null or repeat with both values are left out.
