@@ -1 +1,3 @@
-"""See the modules of this package."""
+"""The queries of the library. Importing them registers them."""
+
+from . import baskets, catalog, history, matching, normalise, pages, reports, streams, tables, text_sets  # noqa: F401
