@@ -19,7 +19,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import id_text, parts
+from .common import id_text, parts, tidy
 from .tokenizing import SPACES, STEP, Chunks, tokenizer_path
 
 _RUN = re.compile(f"[{SPACES}]+")
@@ -195,7 +195,7 @@ def _per_text(docs: DataFrame, schema: str, make, tokenizer: str | None, id_col:
         for given in parts(batches, STEP):
             yield pa.RecordBatch.from_pydict({"doc_id": given.column("doc_id"), **make(code(given.column("text")))})
 
-    return id_text(docs, id_col, text_col).mapInArrow(run, schema)
+    return id_text(docs, id_col, text_col).mapInArrow(tidy(run), schema)
 
 
 def bpe_encode(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -53,6 +54,19 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names with underscores added until no column of df has them."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        n = f"_{n}"
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def crc_mod(column, n: int):
     """crc32 of the column as text, modulo n. A null counts as the empty text."""
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % F.lit(n)
@@ -77,3 +91,19 @@ def steps(batches: Iterator, text: str = "text") -> Iterator[tuple[object, list[
     """(part of an Arrow batch, its texts)."""
     for part in parts(batches, STEP_BYTES, text):
         yield part, part.column(text).to_pylist()
+
+
+def tidy(run):
+    """The Arrow function, after whose end a worker gives memory that it no longer uses back to the machine."""
+
+    def wrapped(batches):
+        import ctypes
+
+        import pyarrow as pa
+
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # another C library than glibc has no such call
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return wrapped

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, parts, written
+from .common import id_text, parts, tidy, written
 from .tokenizing import STEP, encoder, tokenizer_path
 
 SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
@@ -131,7 +131,7 @@ def best_fit_pack(docs: DataFrame, tokenizer: str | None = None, size: int = 204
     """
     spark = docs.sparkSession
     path = tokenizer or tokenizer_path("byte_bpe_50k.json")
-    rows = written(id_text(docs, id_col, text_col).mapInArrow(_packed(path, size, open_bins, end), f"{SCHEMA}, part int, open boolean"), "packing")
+    rows = written(id_text(docs, id_col, text_col).mapInArrow(tidy(_packed(path, size, open_bins, end)), f"{SCHEMA}, part int, open boolean"), "packing")
     names = [f.split()[0] for f in SCHEMA.split(", ")]
     sets = ((rows.agg(F.max("part")).first()[0] or 0) + merge) // merge
     again = rows.where("open").withColumn("set", (F.col("part") % sets).cast("long")).groupBy("set").applyInArrow(_repacked(size, open_bins), SCHEMA)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, steps
+from .common import id_text, steps, tidy
 from .crf import Crf, padded
 
 KINDS = ("email", "ip", "card", "phone")
@@ -272,7 +272,7 @@ def find_pii(docs: DataFrame, model: PiiModel | None = None, id_col: str = "doc_
             spans = [[{"kind": KINDS[k], "start": s, "end": e} for k, s, e in found] for found in find_spans(texts, model)]
             yield pa.RecordBatch.from_arrays([given.column("doc_id"), pa.array(spans, pa.list_(kind))], ["doc_id", "spans"])
 
-    return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, spans array<struct<kind:string,start:long,end:long>>")
+    return id_text(docs, id_col, text_col).mapInArrow(tidy(run), "doc_id long, spans array<struct<kind:string,start:long,end:long>>")
 
 
 def redact(docs: DataFrame, model: PiiModel | None = None, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
@@ -299,7 +299,7 @@ def redact(docs: DataFrame, model: PiiModel | None = None, text_col: str = "text
             new = [t if not s else hidden(t, s) for t, s in zip(texts, spans)]
             yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if i == column else batch.column(i) for i in range(len(names))], names)
 
-    out = docs.mapInArrow(run, schema)
+    out = docs.mapInArrow(tidy(run), schema)
     if length_col and length_col in docs.columns:
         out = out.withColumn(length_col, F.when(F.col(text_col).isNull(), F.col(length_col)).otherwise(F.char_length(text_col)).cast(schema[length_col].dataType))
     return out

@@ -12,6 +12,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import unused
+
 #: What separates words, and the symbols that are counted.
 SPACE, SYMBOLS = " \t\n\x0b\f\r", "#*$%&|<>"
 WINDOW = 8
@@ -83,31 +85,32 @@ def _covered(hashes: Column) -> Column:
     return _let(ordered, lambda s: F.aggregate(marked(s), start, merge, lambda acc: acc["c"]))
 
 
-def _counted(docs: DataFrame, text_col: str) -> DataFrame:
-    """docs with the counts of the text added, under names that start with an underscore."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    words = F.filter(F.split(F.translate(F.col("_t"), SPACE[1:], " " * (len(SPACE) - 1)), " "), lambda w: w != "")
-    lines = F.filter(F.split(F.col("_t"), "\n"), lambda x: F.translate(x, SPACE, "") != "")
-    hashed = F.transform("_w", lambda w: F.xxhash64(w))
-    windows = F.when(F.size("_w") < WINDOW, F.array().cast("array<bigint>")).otherwise(
-        _let(hashed, lambda h: F.transform(F.sequence(F.lit(1), F.size(h) - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(h, i, WINDOW))))
+def _counted(docs: DataFrame, text_col: str) -> tuple[DataFrame, str]:
+    """docs with a struct of the counts of the text added, and its name."""
+    t, w, ls, h, c = unused(docs, "t", "w", "l", "h", "counts")
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    words = F.filter(F.split(F.translate(F.col(t), SPACE[1:], " " * (len(SPACE) - 1)), " "), lambda x: x != "")
+    lines = F.filter(F.split(F.col(t), "\n"), lambda x: F.translate(x, SPACE, "") != "")
+    hashed = F.transform(w, lambda x: F.xxhash64(x))
+    windows = F.when(F.size(w) < WINDOW, F.array().cast("array<bigint>")).otherwise(
+        _let(hashed, lambda x: F.transform(F.sequence(F.lit(1), F.size(x) - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(x, i, WINDOW))))
     )
-    rows = docs.select("*", text.alias("_t")).select("*", words.alias("_w"), lines.alias("_l")).select("*", windows.alias("_h"))
-    repeats = F.when(F.size(F.array_distinct("_h")) < F.size("_h"), _covered(F.col("_h"))).otherwise(F.lit(0))
+    rows = docs.select("*", text.alias(t)).select("*", words.alias(w), lines.alias(ls)).select("*", windows.alias(h))
+    repeats = F.when(F.size(F.array_distinct(h)) < F.size(h), _covered(F.col(h))).otherwise(F.lit(0))
     counts = F.struct(
-        F.size("_w").cast("long").alias("n_words"),
-        F.char_length(F.translate("_t", SPACE, "")).cast("long").alias("word_chars"),
-        (F.char_length("_t") - F.char_length(F.translate("_t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
+        F.size(w).cast("long").alias("n_words"),
+        F.char_length(F.translate(t, SPACE, "")).cast("long").alias("word_chars"),
+        (F.char_length(t) - F.char_length(F.translate(t, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        (F.size(ls) - F.size(F.array_distinct(ls))).cast("long").alias("n_dup_lines"),
         repeats.cast("long").alias("n_repeat_words"),
-        F.size("_l").cast("long").alias("n_lines"),
-        (F.char_length("_t") - F.char_length(F.translate("_t", "!", ""))).cast("long").alias("n_marks"),
-        F.size(F.filter("_w", lambda w: F.lower(w).isin(STOP_WORDS))).cast("long").alias("n_stop_words"),
+        F.size(ls).cast("long").alias("n_lines"),
+        (F.char_length(t) - F.char_length(F.translate(t, "!", ""))).cast("long").alias("n_marks"),
+        F.size(F.filter(w, lambda x: F.lower(x).isin(STOP_WORDS))).cast("long").alias("n_stop_words"),
     )
-    return rows.select(*docs.columns, counts.alias("_counts"))
+    return rows.select(*docs.columns, counts.alias(c)), c
 
 
-def _base_failed(c: str = "_counts.") -> Column:
+def _base_failed(c: str) -> Column:
     return (F.col(c + "n_words") < 20) | (F.lit(100) * F.col(c + "n_repeat_words") > F.lit(30) * F.col(c + "n_words"))
 
 
@@ -117,10 +120,16 @@ def quality(docs: DataFrame, rules: Sequence[Rule] = RULES, id_col: str = "doc_i
     A null or empty text has no words and fails. Repeated rows and null ids are rows like others; other columns are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = _counted(rows, "text").select("doc_id", "_counts.*", _base_failed().alias("base_failed"))
+    rows, c = _counted(rows, "text")
+    rows = rows.select("doc_id", f"{c}.*", _base_failed(f"{c}.").alias("base_failed"))
     return rows.withColumn("kept", ~F.col("base_failed") & ~failing(rules))
 
 
 def keep_good(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
-    """The rows of documents (text column `text`) that the rules keep, with all their columns. Columns that start with an underscore may clash with its own."""
-    return _counted(docs, "text").where(~(_base_failed() | failing(rules, "_counts."))).select(docs.columns)
+    """The rows of documents (text column `text`) that the rules keep, with all their columns.
+
+    The verdict drives a generator that gives a row or none: a filter would be pushed below the projection of the counts and repeat it for each of its terms.
+    """
+    rows, c = _counted(docs, "text")
+    good = ~(_base_failed(f"{c}.") | failing(rules, f"{c}."))
+    return rows.select(*docs.columns, F.explode(F.when(good, F.array(F.lit(True))))).select(docs.columns)

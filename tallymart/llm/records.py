@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import id_text, parts, scratch
+from .common import id_text, parts, scratch, tidy
 from .tokenizing import STEP, encoder, tokenizer_path
 
 HEAD, INDEX_SCHEMA = struct.Struct("<QI"), "file string, offset long, length long, doc_id long, file_start long, n_tokens long, ids_crc32 long"
@@ -92,14 +92,14 @@ def write_records(docs: DataFrame, path: str, tokenizer: str | None = None, end:
     spark = docs.sparkSession
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = id_text(docs, id_col, text_col).repartitionByRange(ranges, "doc_id").sortWithinPartitions("doc_id", "text")
-    frames = dealt.mapInArrow(_framed(tokenizer or tokenizer_path("word_bpe_49k.json"), end, wide), "value binary")
+    frames = dealt.mapInArrow(tidy(_framed(tokenizer or tokenizer_path("word_bpe_49k.json"), end, wide)), "value binary")
     frames.select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\n").option("maxRecordsPerFile", records_per_file).text(path)
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
     """Read the record files under `path` back, checking every checksum: the rows of their offset index."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
-    return files.mapInArrow(_indexed, INDEX_SCHEMA)
+    return files.mapInArrow(tidy(_indexed), INDEX_SCHEMA)
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:

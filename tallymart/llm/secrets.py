@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, steps
+from .common import id_text, steps, tidy
 
 #: The patterns of the base, in their order.
 ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
@@ -125,4 +125,4 @@ def find_secrets(docs: DataFrame, model: SecretModel | None = None, id_col: str
             spans = [[{"kind": KINDS[k], "start": s, "end": e} for s, k, e in secret_spans(t, model)] for t in texts]
             yield pa.RecordBatch.from_arrays([given.column("doc_id"), pa.array(spans, pa.list_(kind))], ["doc_id", "spans"])
 
-    return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, spans array<struct<kind:string,start:long,end:long>>")
+    return id_text(docs, id_col, text_col).mapInArrow(tidy(run), "doc_id long, spans array<struct<kind:string,start:long,end:long>>")

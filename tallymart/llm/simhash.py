@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_text, steps, written
+from .common import id_text, steps, tidy, unused, written
 from .components import components
 
 TILE, CHUNK = 2048, 512
@@ -49,7 +49,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text
             fp = np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([given.column("doc_id"), pa.array(fp)], ["doc_id", "fp"])
 
-    return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long")
+    return id_text(docs, id_col, text_col).mapInArrow(tidy(run), "doc_id long, fp long")
 
 
 def bit_planes(fp: np.ndarray) -> np.ndarray:
@@ -204,7 +204,8 @@ def keep_first(docs: DataFrame, radius: int = 4, shingle: int = 4) -> DataFrame:
 
     Of rows that repeat a kept doc_id, the first in order of text stays. Rows without a doc_id can't be told apart by it and all stay.
     """
-    kept = near_duplicates(docs, radius, shingle).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    rows = docs.join(kept, F.col("doc_id").cast("long") == F.col("_kept"))
-    first = rows.withColumn("_n", F.row_number().over(Window.partitionBy("_kept").orderBy("text"))).where("_n = 1")
+    k, n = unused(docs, "kept", "n")
+    kept = near_duplicates(docs, radius, shingle).where("doc_id = component_id").select(F.col("doc_id").alias(k)).distinct()
+    rows = docs.join(kept, F.col("doc_id").cast("long") == F.col(k))
+    first = rows.withColumn(n, F.row_number().over(Window.partitionBy(k).orderBy("text"))).where(F.col(n) == 1)
     return first.select(docs.columns).unionByName(docs.where("doc_id is null"))

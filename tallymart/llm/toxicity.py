@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, id_text, parts
+from .common import crc_mod, id_text, parts, tidy
 from .crf import Crf, padded
 
 FORGET, STEP, CACHE = 1e-4, 4_000_000, 600_000
@@ -250,7 +250,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
             spans = [[{"start": s, "end": e, "probability": p} for s, e, p in x] for _, x in found]
             yield pa.RecordBatch.from_arrays([given.column("doc_id"), pa.array([s for s, _ in found], pa.float64()), pa.array(spans, pa.list_(kind))], ["doc_id", "score", "spans"])
 
-    return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double, spans array<struct<start:long,end:long,probability:double>>")
+    return id_text(docs, id_col, text_col).mapInArrow(tidy(run), "doc_id long, score double, spans array<struct<start:long,end:long,probability:double>>")
 
 
 def keep_clean(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
@@ -261,4 +261,4 @@ def keep_clean(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3, te
             texts = pc.fill_null(given.column(text_col).cast(pa.string()), "")
             yield given.filter(pa.array([s < threshold for s, _ in model(texts)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
