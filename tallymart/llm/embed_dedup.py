@@ -20,7 +20,7 @@ from .common import written
 from .components import components
 from .simhash import forest
 
-BLOCK, LEAF = 512, 96
+BLOCK, LEAF = 2048, 96
 
 
 def directions(sample: np.ndarray, dims: int) -> np.ndarray:
@@ -51,7 +51,7 @@ def _located(axes: np.ndarray | None, eps: float, dims: int):
     return run
 
 
-def _blocks(dims: int):
+def _blocks(dims: int, store: str):
     """Cuts the sorted rows of a partition into blocks of one label and dimension."""
 
     def run(batches):
@@ -67,7 +67,7 @@ def _blocks(dims: int):
             row = {
                 "block": part << 32 | number, "label": rows["label"][0].as_py(), "size": rows["size"][0].as_py(), "n": rows.num_rows,
                 "low": place.min(0).tolist(), "high": place.max(0).tolist(), "keys": np.asarray(rows["key"].combine_chunks()).tobytes(),
-                "copies": np.asarray(rows["copies"].combine_chunks()).tobytes(), "places": place.tobytes(), "vectors": vectors.tobytes(),
+                "copies": np.asarray(rows["copies"].combine_chunks()).tobytes(), "places": place.tobytes(), "vectors": vectors.astype(store).tobytes(),
             }
             number += 1
             return pa.RecordBatch.from_pylist([row], schema=pa.schema([("block", pa.int64()), ("label", pa.int64()), ("size", pa.int32()), ("n", pa.int32()), ("low", pa.list_(pa.float64())), ("high", pa.list_(pa.float64())), ("keys", pa.binary()), ("copies", pa.binary()), ("places", pa.binary()), ("vectors", pa.binary())]))
@@ -127,10 +127,10 @@ def ego_join(a: tuple, b: tuple, eps: float, least: float, same: bool) -> tuple[
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
-def _joined(dims: int, eps: float, least: float):
+def _joined(dims: int, eps: float, least: float, store: str):
     def read(row, side):
         keys, copies = np.frombuffer(row[f"keys_{side}"], np.int64), np.frombuffer(row[f"copies_{side}"], np.int64)
-        vectors = np.frombuffer(row[f"vectors_{side}"]).reshape(len(keys), -1)
+        vectors = np.frombuffer(row[f"vectors_{side}"], store).astype(np.float64).reshape(len(keys), -1)
         return keys, copies, (np.frombuffer(row[f"places_{side}"]).reshape(-1, dims), vectors, np.linalg.norm(vectors, axis=1))
 
     def run(batches):
@@ -164,6 +164,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.98, dims: int = 4, sample:
     spark = vectors.sparkSession
     eps = float(np.sqrt(max(0.0, 2 - 2 * least))) + 1e-9
     v = F.col(vector_col).cast("array<double>")
+    store = "<f4" if dict(vectors.dtypes)[vector_col] == "array<float>" else "<f8"  # as many bytes as the components came with; all arithmetic is double
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("vector"), F.col(label_col).cast("long").alias("label"))
     finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     norm = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)
@@ -183,7 +184,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.98, dims: int = 4, sample:
     located = written(located, "located")
     order = ["label", "size", *cells, "key"]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = written(located.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_blocks(dims), BLOCK_SCHEMA), "blocks")
+    blocks = written(located.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_blocks(dims, store), BLOCK_SCHEMA), "blocks")
 
     boxes = blocks.select("block", "label", "size", "low", "high")
     near = lambda up: F.explode(F.sequence(F.floor(F.col("low")[0] / eps).cast("int"), (F.floor(F.col("high")[0] / eps) + up).cast("int")))
@@ -197,7 +198,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.98, dims: int = 4, sample:
     alone = full("a").withColumn("b", F.col("a")).withColumns(empty)
     two_blocks = pairs.where("a != b").join(full("a"), "a").join(full("b"), "b")
     work = two_blocks.unionByName(alone).repartition(parts, "a", "b")
-    found = written(work.mapInArrow(_joined(dims, eps, least), "key long, links long, root long"), "links")
+    found = written(work.mapInArrow(_joined(dims, eps, least, store), "key long, links long, root long"), "links")
 
     links = found.groupBy("key").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("key").alias("a"), F.col("root").alias("b")))
