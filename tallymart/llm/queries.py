@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import crc_mod, table
+from .quality import RULES, STOP_WORDS
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,4 +88,31 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_simhash, op3_pii, op5_suffix_tree_scores, op6_toxicity, op8_quality_rules, op4_best_fit_packing, op7_token_records, op9_bpe, op10_embedding_dedup)}
-ORACLE_SQL: dict[str, str] = {}
+#: op8 restates the counts and the threshold table over lists; op10 links pairs and follows them to a fixed point.
+_STOP = "', '".join(STOP_WORDS)
+
+
+def _fails(r) -> str:
+    whole = r.of or "1"
+    bad = [f"{r.value} > {r.most!r}::DOUBLE * {whole}"] if r.most is not None else []
+    bad += [f"{r.value} < {r.least!r}::DOUBLE * {whole}"] if r.least is not None else []
+    return f"({whole} > 0 AND n_words >= {r.words} AND ({' OR '.join(bad)}))"
+
+
+ORACLE_SQL: dict[str, str] = {
+    "op8_quality_rules": f"""WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+    w AS (SELECT r, doc_id, text, [x for x in regexp_split_to_array(text, '[ \\t-\\r]+') if x <> ''] AS ws, [x for x in string_split(text, chr(10)) if regexp_matches(x, '[^ \\t-\\r]')] AS ls FROM t),
+    g AS (SELECT r, i, array_to_string(ws[i:i + 7], ' ') AS g FROM (SELECT r, ws, unnest(generate_series(1, len(ws) - 7)) AS i FROM w)),
+    d AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM g) WHERE n > 1),
+    c AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(generate_series(i, i + 7)) AS p FROM d) GROUP BY 1),
+    k AS (SELECT doc_id, len(ws) AS n_words, coalesce(list_sum([length(x) for x in ws]), 0)::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines,
+        coalesce(c.n, 0) AS n_repeat_words, len(ls) AS n_lines, length(regexp_replace(text, '[^!]', '', 'g')) AS n_marks, len([x for x in ws if lower(x) in ('{_STOP}')]) AS n_stop_words FROM w LEFT JOIN c ON c.r = w.r),
+    b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM k)
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({" OR ".join(map(_fails, RULES))}) AS kept FROM b""",
+    "op10_embedding_dedup": """WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
+    ok AS (SELECT vec_id, label, e FROM v WHERE len(e) > 0 AND len([x for x in e if x IS NULL OR NOT isfinite(x)]) = 0 AND len([x for x in e if x <> 0]) > 0),
+    links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+    reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b),
+    c AS (SELECT a, min(b) AS component_id FROM reach GROUP BY 1), n AS (SELECT a, count(*) AS n_links FROM links GROUP BY 1)
+    SELECT e.vec_id, coalesce(n.n_links, 0) AS n_links, c.component_id, e.vec_id = c.component_id AS kept FROM embeddings e JOIN c ON c.a = e.vec_id LEFT JOIN n ON n.a = e.vec_id""",
+}
