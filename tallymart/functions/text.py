@@ -195,3 +195,53 @@ def similarity(a: Column, b: Column) -> Column:
 
 def is_mobile(agent: Column) -> Column:
     return F.lower(agent).rlike("(iphone|mobile|androidtouch)")
+
+
+def tokens_removed(text: Column, words: Sequence[str]) -> tuple[Column, Column]:
+    """The tokens of a list, also with a point or comma behind them, out of a text; its first token always stays. Gives the removed ones and the rest."""
+    marked = [w + m for w in words for m in ("", ".", ",")]
+    parts = F.split(F.trim(text), " +")
+    rest = F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))
+    kept = F.concat(F.slice(parts, 1, 1), F.filter(rest, lambda w: ~w.isin(marked)))
+    return F.array_join(F.filter(rest, lambda w: w.isin(marked)), " "), F.array_join(kept, " ")
+
+
+def scanned_measure(text: Column, units: Sequence[str]) -> tuple[Column, Column]:
+    """Quantity and unit of the last token that is a unit behind a number, or a number with a unit glued to it; '' without one."""
+    glued = rf"^(\d[\d.,]*)({'|'.join(units)})$"
+
+    def candidate(w, i, words):
+        before = F.get(words, i - 1)
+        pair = w.isin(list(units)) & (i > 0) & F.coalesce(is_number(before), F.lit(False))
+        single = w.rlike(glued)
+        value = F.when(pair, F.struct(before.alias("q"), w.alias("u"))).when(single, F.struct(F.regexp_extract(w, glued, 1).alias("q"), F.regexp_extract(w, glued, 2).alias("u")))
+        return value
+
+    def last(words):
+        found = F.filter(F.transform(words, lambda w, i: candidate(w, i, words)), lambda x: x.isNotNull())
+        return F.try_element_at(found, F.lit(-1))
+
+    best = F.element_at(F.transform(F.array(F.split(F.trim(text), " +")), last), 1)
+    return F.coalesce(best["q"], F.lit("")), F.coalesce(best["u"], F.lit(""))
+
+
+def trailing_units(text: Column, words: Sequence[str]) -> Column:
+    """The number before the first token of the list, else 1."""
+    found = F.regexp_extract(F.concat(F.lit(" "), text, F.lit(" ")), rf" (\d+(?:[.,]\d+)?) (?:{'|'.join(words)}) ", 1)
+    return F.when(found == "", 1.0).otherwise(F.replace(found, F.lit(","), F.lit(".")).try_cast("double"))
+
+
+def cut_out(text: Column, remove: Sequence[str] = (), split_by: str | None = None, take: int = 0) -> Column:
+    """What configured extraction does after selecting: trim, remove listed strings, split and take one part (negative counts from the end)."""
+    out = F.trim(text)
+    for r in remove:
+        out = F.replace(out, F.lit(r), F.lit(""))
+    if split_by:
+        out = F.try_element_at(F.split(out, split_by), F.lit(take + 1 if take >= 0 else take))
+    return F.trim(out)
+
+
+def token_set(a: Column, b: Column) -> Column:
+    """0 to 100: shared words over all words of two texts."""
+    x, y = (F.array_distinct(F.split(token_sorted(c), " ")) for c in (a, b))
+    return F.round(100.0 * F.size(F.array_intersect(x, y)) / F.greatest(F.size(F.array_union(x, y)), F.lit(1))).cast("long")
