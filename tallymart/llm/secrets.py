@@ -106,10 +106,15 @@ def secret_spans(text: str, model: SecretModel) -> list[tuple[int, int, int]]:
 
 
 def sample_words(docs: DataFrame, most: int = 200, text_col: str = "text") -> list[str]:
-    """Words of at most `most` texts of up to 20,000 characters, drawn by hash: the bounded sample that identifiers are made from."""
+    """Words of at most `most` distinct texts of up to 20,000 characters, drawn by hash: the bounded sample that identifiers are made from.
+
+    The hashes are drawn first, so that no more texts than that ever leave the executors.
+    """
     text = F.col(text_col).cast("string")
-    rows = docs.select(text.alias("t"), F.xxhash64(text).alias("h")).where(F.length("t") <= 20_000).orderBy("h", "t").limit(most).collect()
-    return [w for r in rows for w in re.findall(r"[A-Za-z]{3,}", r["t"])]
+    rows = docs.select(text.alias("t"), F.xxhash64(text).alias("h")).where(F.length("t") <= 20_000)
+    drawn = [r["h"] for r in rows.select("h").distinct().orderBy("h").limit(most).collect()]
+    texts = rows.where(F.col("h").isin(drawn)).dropDuplicates(["h"]).collect() if drawn else []
+    return [w for r in sorted(texts, key=lambda r: r["h"]) for w in re.findall(r"[A-Za-z]{3,}", r["t"])]
 
 
 def find_secrets(docs: DataFrame, model: SecretModel | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
