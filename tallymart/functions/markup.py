@@ -115,3 +115,49 @@ def breadcrumbs(df: DataFrame, json: str, keep: Sequence[str]) -> DataFrame:
     rows = df.select(*keep, F.explode(crumbs).alias("_c"))
     get = lambda p: F.get_json_object("_c", p)
     return rows.select(*keep, get("$.position").cast("long").alias("position"), F.coalesce(get("$.name"), get("$.item.name")).alias("name"), F.coalesce(get("$.item['@id']"), get("$.item")).alias("item"))
+
+
+class _Paths(HTMLParser):
+    """Texts with the path of elements that they stand in, each step with its place among its kind."""
+
+    VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.stack: list[tuple[str, int]] = []
+        self.counts: list[dict[str, int]] = [{}]
+        self.found: dict[str, str] = {}
+
+    def handle_starttag(self, tag, attrs):
+        n = self.counts[-1][tag] = self.counts[-1].get(tag, 0) + 1
+        if tag not in self.VOID:
+            self.stack.append((tag, n))
+            self.counts.append({})
+
+    def handle_endtag(self, tag):
+        names = [t for t, _ in self.stack]
+        if tag in names:  # unclosed elements inside end with it
+            keep = len(names) - 1 - names[::-1].index(tag)
+            del self.stack[keep:], self.counts[keep + 1 :]
+
+    def handle_data(self, data):
+        if data.strip():
+            path = "/".join(f"{t}[{n}]" for t, n in self.stack)
+            self.found[path] = (self.found.get(path, "") + " " + data.strip()).strip()
+
+
+def text_paths(html: Column) -> Column:
+    """A map of the path of each element that holds text to that text."""
+
+    @F.pandas_udf("map<string,string>")
+    def run(texts: pd.Series) -> pd.Series:
+        def one(text):
+            if text is None:
+                return None
+            parser = _Paths()
+            parser.feed(text)
+            return parser.found
+
+        return texts.map(one)
+
+    return run(html)

@@ -146,3 +146,48 @@ def q23_offers_to_identities(v: Views) -> DataFrame:
     key = Window.partitionBy("brand", "name", "measure", "degrees", "units", "package", "size")
     moved = v.article.withColumn("identity", F.min("article_id").over(key)).where("identity <> article_id").select("article_id", "identity")
     return v.offer.join(moved, "article_id").select("order_id", "line", "article_id", "shop_id", "identity")
+
+
+def rebuild(articles: DataFrame, listing: DataFrame, redirects: DataFrame, rounds: int = 3) -> tuple[DataFrame, DataFrame]:
+    """The whole rebuild: redirected brands, one article for each key, mined rules applied along chains, listings moved, and what nothing
+    sells dropped. Gives (article_id, brand, name, sellers) and the rules that were used, with their hits."""
+    from .catalog import redirected
+
+    brands = redirected(articles.select("brand").distinct(), redirects)
+    rows = articles.join(brands, "brand").drop("brand").withColumnRenamed("target", "brand")
+    key = Window.partitionBy("brand", "name", "measure", "degrees", "units", "package", "size")
+    named = rows.withColumn("identity", F.min("article_id").over(key))
+    moved = listing.join(named.select("article_id", "identity"), "article_id").select(F.col("identity").alias("article_id"), "shop_id").distinct()
+    shops = moved.groupBy("article_id").agg(F.array_sort(F.collect_set("shop_id")).alias("shops"))
+    kept = named.where("article_id = identity").join(shops, "article_id", "left")
+    rules = mine(kept)
+    steps = rules.select(F.col("article_id").alias("from"), F.col("into_id").alias("into"))
+    final = moved.withColumn("to", F.col("article_id"))
+    for _ in range(rounds):
+        final = final.join(steps, F.col("to") == F.col("from"), "left").withColumn("to", F.coalesce("into", "to")).drop("from", "into")
+    sold = final.groupBy(F.col("to").alias("article_id")).agg(F.count_distinct("shop_id").alias("sellers"))
+    hits = final.where("article_id <> to").groupBy("article_id").agg(F.count("*").alias("hits"))
+    return kept.join(sold, "article_id").select("article_id", "brand", "name", "sellers"), rules.join(hits, "article_id")
+
+
+@query()
+def m14_full_rebuild(v: Views) -> DataFrame:
+    """Articles after the whole rebuild; no shop's listing is lost."""
+    rows = v.article.withColumn("measure", F.floor(F.col("measure") / 20)).withColumn("size", F.when(F.col("size") != "xs", F.col("size")))
+    redirects = v.spark.createDataFrame([("Brand#10", "Brand#9"), ("Brand#11", "Brand#9")], "brand string, target string")
+    return rebuild(rows, v.listing.where("shop_id < 12"), redirects)[0]
+
+
+@query("SELECT brand, name, min(article_id) AS article_id FROM article GROUP BY 1, 2 HAVING count(*) = 1")
+def m11_singleton_articles(v: Views) -> DataFrame:
+    """Names that stand once in a brand, which the repair of names looks at."""
+    return v.article.groupBy("brand", "name").agg(F.count("*").alias("n"), F.min("article_id").alias("article_id")).where("n = 1").drop("n")
+
+
+@query(f"""SELECT article_id, other_id, CAST(score AS BIGINT) AS score FROM (SELECT article_id, other_id, {_SIM} AS score FROM (SELECT a.article_id, b.article_id AS other_id, {_SORTED.format('a.name')} AS x, {_SORTED.format('b.name')} AS y FROM article a JOIN article b ON a.brand = b.brand AND a.units = b.units AND a.article_id < b.article_id)) WHERE score >= 90""")
+def m05_similar_pairs(v: Views) -> DataFrame:
+    """Pairs within a brand and pack count whose names are nearly the same."""
+    a = v.article.select("article_id", "brand", "units", "name")
+    b = a.select(F.col("article_id").alias("other_id"), "brand", "units", F.col("name").alias("other"))
+    pairs = a.join(b, ["brand", "units"]).where("article_id < other_id")
+    return pairs.select("article_id", "other_id", similarity(F.col("name"), F.col("other")).alias("score")).where("score >= 90")

@@ -61,3 +61,13 @@ def u05_union_of_lists(v: Views) -> DataFrame:
 def u07_union(v: Views) -> DataFrame:
     rows = [df.agg(F.count("*").alias("n")).select(F.lit(k).alias("kind"), "n") for k, df in (("shop", v.shop), ("article", v.article), ("district", v.district))]
     return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+@query()
+def u03_text_path_differences(v: Views) -> DataFrame:
+    """(page_id, path, own, other): texts that stand at the same path in a page and the next and differ."""
+    from ..functions.markup import text_paths
+
+    pages = v.table("pages").select("page_id", F.explode(text_paths(F.col("html"))).alias("path", "own"))
+    other = pages.select((F.col("page_id") - 1).alias("page_id"), "path", F.col("own").alias("other"))
+    return pages.join(other, ["page_id", "path"]).where("own <> other")

@@ -134,3 +134,32 @@ def test_sessions_stream(spark, tmp_path, sf_dir):
 def test_jdbc_needs_a_driver(spark):
     with pytest.raises(Exception):
         files.read_jdbc(spark, "jdbc:none://x", "t").count()
+
+
+def test_probe(spark, tmp_path):
+    from tallymart.plans.onboarding import probe
+
+    (tmp_path / "robots.txt").write_text("User-agent: *\nDisallow: /cart\nDisallow:\n")
+    (tmp_path / "map.xml").write_text("<urlset><url><loc>https://s/p/1</loc></url><url><loc>https://s/cart/2</loc></url></urlset>")
+    pages = spark.createDataFrame([("https://s/p/1", '{"@type":"Product","name":"a","sku":"7","offers":{"price":"10"}}')], "url string, json string")
+    out = {r["loc"]: r for r in probe(spark, str(tmp_path / "robots.txt"), str(tmp_path / "map.xml"), pages).collect()}
+    assert out["https://s/p/1"]["allowed"] and out["https://s/p/1"]["price"] == "10" and out["https://s/p/1"]["code"] == "7"
+    assert not out["https://s/cart/2"]["allowed"] and not out["https://s/cart/2"]["fetched"]
+
+
+def test_rebuild_keeps_every_listing(spark, sf_dir):
+    from tallymart.plans.matching import m14_full_rebuild
+    from tallymart.sources.views import Views
+
+    v = Views(spark, sf_dir)
+    out = m14_full_rebuild(v).collect()
+    shops = v.listing.where("shop_id < 12").select("shop_id").distinct().count()
+    assert out and all(1 <= r["sellers"] <= shops for r in out)
+    assert not {r["brand"] for r in out} & {"Brand#10", "Brand#11"}
+
+
+def test_text_paths(spark):
+    from tallymart.functions.markup import text_paths
+
+    got = spark.range(1).select(text_paths(F.lit("<div><p>a<br>b</p><p>c</p></div>")).alias("x")).first()["x"]
+    assert got == {"div[1]/p[1]": "a b", "div[1]/p[2]": "c"}
