@@ -40,7 +40,14 @@ def written(df: DataFrame, what: str, compression: str = "snappy") -> DataFrame:
     """The rows of df as a Parquet table in the shared folder, which cuts the lineage and outlives executors."""
     path = scratch(df.sparkSession, what)
     df.write.parquet(path, compression=compression)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Delete a table of written() that nothing reads any more."""
+    remove(df.sparkSession, df.scratch_path)
 
 
 def remove(spark: SparkSession, path: str) -> None:

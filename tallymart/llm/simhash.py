@@ -6,6 +6,9 @@ fingerprints into buckets, and each bucket is compared whole: its members stand
 query's distances to all of them grow through carry-save counters one plane at a time. Queries whose every distance in
 the block exceeds the radius are abandoned. A bucket beyond TILE members is cut into parts by a hash; each pair of parts is a tile of
 its own, so no task meets a whole hot bucket and no pair is lost. A tile gives a spanning forest of its links, not the links.
+
+Near copies of some hundred words differ in up to ten bits or more, at which unrelated texts may meet too. For them a wide radius
+finds candidates, and sketches of the shingles decide (`least`).
 """
 
 from __future__ import annotations
@@ -20,25 +23,34 @@ from pyspark.sql import functions as F
 from .common import id_text, steps, tidy, unused, written
 from .components import components
 
-TILE, CHUNK = 2048, 512
+TILE, CHUNK, SKETCH = 2048, 512, 128
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def fingerprint(text: str, shingle: int = 4) -> int:
-    """Unsigned 64-bit SimHash of the shingles of words, A-Z lower-cased; 0 for a text without words."""
+def hashes(text: str, shingle: int = 4) -> np.ndarray:
+    """XXH64 (seed 42) of each shingle of words, A-Z lower-cased; a text with fewer words is one shingle, one without has none."""
     from xxhash import xxh64_intdigest
 
     words = text.encode().lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined, n = b" ".join(words), max(1, len(words) - shingle + 1)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     begin, end = np.r_[0, ends[: n - 1] + 1].tolist(), ends[-n:].tolist()
-    h = np.fromiter(map(xxh64_intdigest, [joined[i:j] for i, j in zip(begin, end)], repeat(42)), np.uint64, n)
+    return np.fromiter(map(xxh64_intdigest, [joined[i:j] for i, j in zip(begin, end)], repeat(42)), np.uint64, n)
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in more than half of the hashes, unsigned."""
     over = np.zeros(64, np.int64)
-    for i in range(0, n, 4096):
+    for i in range(0, len(h), 4096):
         over += np.unpackbits(h[i : i + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int32)
-    return int(np.packbits(2 * over > n, bitorder="little").view(np.uint64)[0])
+    return int(np.packbits(2 * over > len(h), bitorder="little").view(np.uint64)[0])
+
+
+def fingerprint(text: str, shingle: int = 4) -> int:
+    """Unsigned 64-bit SimHash; 0 for a text without words."""
+    return majority(hashes(text, shingle))
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -61,36 +73,38 @@ def bit_planes(fp: np.ndarray) -> np.ndarray:
 
 
 def within(queries: np.ndarray, block: np.ndarray, radius: int = 4) -> tuple[np.ndarray, np.ndarray]:
-    """(i, j) of all queries[i] and block[j] that differ in at most `radius` < 8 bits."""
+    """(i, j) of all queries[i] and block[j] that differ in at most `radius` bits.
+
+    The counters hold the distances so far, one array of words for each binary digit; what is carried beyond the last digit stays in `past`.
+    """
     planes = bit_planes(block)
-    alive = np.arange(len(queries))
-    ones, twos, fours, eights = (np.zeros((len(queries), planes.shape[1]), np.uint64) for _ in range(4))
-    left = queries
+    alive, left = np.arange(len(queries)), queries
+    shape = (len(queries), planes.shape[1])
+    counters, past = [np.zeros(shape, np.uint64) for _ in range(max(1, radius.bit_length()))], np.zeros(shape, np.uint64)
 
     def over():
-        """Distances above the radius so far: the counters as numbers, compared bit by bit."""
-        more, same = eights, ~eights
-        for counter, bit in ((fours, 4), (twos, 2), (ones, 1)):
-            if radius & bit:
-                same = same & counter
+        """Distances above the radius so far, compared digit by digit from the highest."""
+        more, same = past, ~past
+        for k in range(len(counters) - 1, -1, -1):
+            if radius >> k & 1:
+                same = same & counters[k]
             else:
-                more = more | (same & counter)
-                same = same & ~counter
+                more = more | (same & counters[k])
+                same = same & ~counters[k]
         return more
 
     for p in range(64):
-        d = planes[p][None, :] ^ np.where(left >> np.uint64(p) & np.uint64(1), ALL, np.uint64(0))[:, None]
-        carry = ones & d
-        ones ^= d
-        d = twos & carry
-        twos ^= carry
-        carry = fours & d
-        fours ^= d
-        eights |= carry
+        carry = planes[p][None, :] ^ np.where(left >> np.uint64(p) & np.uint64(1), ALL, np.uint64(0))[:, None]
+        for c in counters:
+            both = c & carry
+            c ^= carry
+            carry = both
+        past |= carry
         if p in (15, 23, 31, 39, 47, 55):
             some = (over() != ALL).any(axis=1)
             if not some.all():
-                alive, left, ones, twos, fours, eights = (x[some] for x in (alive, left, ones, twos, fours, eights))
+                alive, left, past = alive[some], left[some], past[some]
+                counters = [c[some] for c in counters]
             if not len(alive):
                 break
     near = np.unpackbits((~over()).view(np.uint8), axis=1, bitorder="little")[:, : len(block)]
@@ -114,6 +128,24 @@ def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         root = new
 
 
+def closest_forest(i: np.ndarray, j: np.ndarray, distance: np.ndarray, n: int) -> np.ndarray:
+    """The places of links (i, j) that make a spanning forest of n nodes out of the closest ones: each round, each tree takes its closest link outwards."""
+    order = np.argsort(distance.astype(np.uint8), kind="stable")
+    i, j, chosen = i[order], j[order], np.zeros(0, np.int64)
+    root = np.arange(n)
+    while True:
+        a, b = root[i], root[j]
+        out = np.flatnonzero(a != b)
+        if not len(out):
+            return order[chosen]
+        first = np.full((2, n), len(i))
+        first[0, a[out[::-1]]] = out[::-1]  # the last written is the first in order
+        first[1, b[out[::-1]]] = out[::-1]
+        taken = first.min(0)
+        chosen = np.union1d(chosen, taken[taken < len(i)])
+        root = forest(n, i[chosen], j[chosen])
+
+
 def band_keys(fp: Column, radius: int = 4) -> list[Column]:
     """For each pair of radius + 2 bands the bits of both, with the pair's number on top."""
     n = radius + 2
@@ -144,18 +176,25 @@ def _linked(radius: int):
                 i = j
                 if len(some) < 2:
                     continue
+                root = np.arange(len(some))
                 for at in range(0, len(some), CHUNK):
                     own = np.arange(at, min(at + CHUNK, len(some)))
-                    rest = slice(at, None)
+                    rest = np.arange(at, len(some))
                     if sides.any():  # a tile of two parts: each part is compared within itself in its own tile
-                        own = own[sides[own] == 0]
-                        rest = slice(int(np.searchsorted(sides, 1)), None)
-                    if len(own) and len(some[rest]):
-                        a, b = within(some[own], some[rest], radius)
-                        a, b = own[a], b + (rest.start or 0)
-                        if (a != b).any():
-                            root = forest(len(some), a, b)
-                            found.append((some[root != np.arange(len(some))], some[root[root != np.arange(len(some))]]))
+                        own, rest = own[sides[own] == 0], np.flatnonzero(sides == 1)
+                    if len(own) and (root[own] == root[own[0]]).all():
+                        rest = rest[root[rest] != root[own[0]]]  # what is connected already needs no further link
+                    if not len(own) or not len(rest):
+                        continue
+                    a, b = within(some[own], some[rest], radius)
+                    a, b = own[a], rest[b]
+                    a, b = a[root[a] != root[b]], b[root[a] != root[b]]
+                    if not len(a):
+                        continue
+                    kept = closest_forest(root[a], root[b], np.bitwise_count(some[a] ^ some[b]), len(some))
+                    a, b = a[kept], b[kept]
+                    found.append((some[a], some[b]))
+                    root = forest(len(some), np.r_[np.arange(len(some)), a], np.r_[root, b])
             return [c[upto:] for c in columns], found
 
         def out(found):
@@ -172,7 +211,10 @@ def _linked(radius: int):
 
 
 def links(distinct: DataFrame, radius: int = 4) -> DataFrame:
-    """Edges (a, b) between the distinct fingerprints in column fp that connect all pairs within the radius, and no others."""
+    """Edges (a, b) between the distinct fingerprints in column fp that connect all pairs within the radius, and no others.
+
+    Each edge is itself a pair within the radius, a close one rather than another, so that it can be examined further.
+    """
     keyed = distinct.select("fp", F.explode(F.array(*band_keys(F.col("fp"), radius))).alias("key"))
     hot = keyed.groupBy("key").count().where(F.col("count") > TILE).select("key", F.ceil(F.col("count") / TILE).cast("long").alias("parts"))
     rows = keyed.join(hot, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long"))).withColumn("own", F.pmod(F.xxhash64(F.col("fp"), F.lit(7)), F.col("parts")))
@@ -181,31 +223,73 @@ def links(distinct: DataFrame, radius: int = 4) -> DataFrame:
         "key", "fp", (F.least("own", "other") * F.lit(1 << 31) + F.greatest("own", "other")).alias("tile"), (F.col("own") > F.col("other")).cast("long").alias("side")
     )
     parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.repartition(parts, "key", "tile").sortWithinPartitions("key", "tile", "side", "fp").mapInArrow(_linked(radius), "a long, b long").distinct()
+    return dealt.repartition(parts, "key", "tile").sortWithinPartitions("key", "tile", "side", "fp").mapInArrow(tidy(_linked(radius)), "a long, b long").distinct()
+
+
+def _sketches(shingle: int):
+    """Fingerprint and SKETCH least hashes of the distinct shingles of each text."""
+
+    def run(batches):
+        for given, texts in steps(batches):
+            made = [hashes(t, shingle) for t in texts]
+            fp = np.array([majority(h) for h in made], np.uint64).view(np.int64)
+            least = [np.unique(h)[:SKETCH].tobytes() for h in made]
+            yield pa.RecordBatch.from_arrays([given.column("doc_id"), pa.array(fp), pa.array(least, pa.binary())], ["doc_id", "fp", "sketch"])
+
+    return run
+
+
+def similarity(a: bytes, b: bytes) -> float:
+    """Of the least hashes of both texts together, the share that both have: their shingles' Jaccard similarity, exactly if they have no more than SKETCH."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    least = np.union1d(x, y)[:SKETCH]
+    return 1.0 if not len(least) else float(np.isin(least, np.intersect1d(x, y, True), True).mean())
+
+
+def _alike(edges: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+    """The edges whose texts are similar enough by their sketches."""
+
+    def run(batches):
+        for b in batches:
+            on = [similarity(x, y) >= least for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column("a").filter(pa.array(on, pa.bool_())), b.column("b").filter(pa.array(on, pa.bool_()))], ["a", "b"])
+
+    ends = [nodes.select(F.col("fp").alias(end), F.col("sketch").alias(name)) for end, name in (("a", "x"), ("b", "y"))]
+    return edges.join(ends[0], "a").join(ends[1], "b").mapInArrow(tidy(run), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text", least: float | None = None) -> DataFrame:
     """doc_id, fp and component_id, the smallest doc_id among all documents reachable by links, for each row.
 
     Rows with the same id or text each have a row; a null id has a component_id too, null only where no id is reachable.
     Texts without words have fingerprint 0 and link like any other. An empty table gives no rows.
+    least: links between different fingerprints are kept only if the shingles' Jaccard similarity is at least that, by sketches. Then a wide
+    radius finds near copies that differ in more bits; of a group, a spanning forest of its closest links is examined.
     """
-    prints = written(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
-    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    found = components(links(nodes, radius))
+    rows = id_text(docs, id_col, text_col)
+    if least is None:
+        prints = written(fingerprints(rows, shingle), "fingerprints")
+        nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+        found = components(links(nodes, radius))
+    else:
+        prints = written(rows.mapInArrow(tidy(_sketches(shingle)), "doc_id long, fp long, sketch binary"), "fingerprints")
+        one = F.min(F.struct("doc_id", "sketch"))
+        nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), one["sketch"].alias("sketch")), "nodes")
+        prints = prints.drop("sketch")
+        found = components(_alike(links(nodes, radius), nodes, least))
     named = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = named.select("fp", "root").join(least, "root").select("fp", "component_id")
+    smallest = written(named.groupBy("root").agg(F.min("least").alias("component_id")), "least")  # a table, so that a component of many fingerprints can be split in the join
+    of = named.select("fp", "root").join(smallest, "root").select("fp", "component_id")
     return prints.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_first(docs: DataFrame, radius: int = 4, shingle: int = 4) -> DataFrame:
+def keep_first(docs: DataFrame, radius: int = 10, shingle: int = 5, least: float | None = 0.8) -> DataFrame:
     """The rows of documents of which each component keeps the one with the smallest doc_id; columns stay as they are.
 
     Of rows that repeat a kept doc_id, the first in order of text stays. Rows without a doc_id can't be told apart by it and all stay.
     """
     k, n = unused(docs, "kept", "n")
-    kept = near_duplicates(docs, radius, shingle).where("doc_id = component_id").select(F.col("doc_id").alias(k)).distinct()
+    kept = near_duplicates(docs, radius, shingle, least=least).where("doc_id = component_id").select(F.col("doc_id").alias(k)).distinct()
     rows = docs.join(kept, F.col("doc_id").cast("long") == F.col(k))
     first = rows.withColumn(n, F.row_number().over(Window.partitionBy(k).orderBy("text"))).where(F.col(n) == 1)
     return first.select(docs.columns).unionByName(docs.where("doc_id is null"))

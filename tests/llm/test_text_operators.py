@@ -246,6 +246,7 @@ def test_simhash(spark, sf_dir, messy, empty):
     assert kept.columns == messy.columns
     ids = [r["doc_id"] for r in rows(kept)]
     assert sorted(i for i in ids if i) == [1, 3, 6, 7, 8, 9, 10, 11] and ids.count(None) == 2
+    assert sorted(r["doc_id"] for r in rows(simhash.keep_first(messy, radius=4, shingle=4, least=None)) if r["doc_id"]) == [1, 3, 6, 7, 8, 9, 10, 11]
 
 
 @pytest.mark.parametrize("tile", [16, 2048])
@@ -287,3 +288,38 @@ def test_contract_columns(spark, sf_dir):
     assert queries.op3_pii(spark, sf_dir).columns == ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"]
     first = queries.op1_secret_scan(spark, sf_dir).where("n_hex = 0 and n_assign = 0 and n_access = 0").first()
     assert first["base_sha256"] == hashlib.sha256(b"").hexdigest()
+
+
+def test_simhash_near_copies(spark):
+    import random
+
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abcdefgh", k=rng.randint(2, 8))) for _ in range(5000)]
+    docs, group = [], []
+    for g in range(40):
+        base = [rng.choice(words) for _ in range(rng.randint(150, 400))]
+        for k in range(1 + g % 4):
+            copy = list(base)
+            for _ in range(k):
+                copy[rng.randrange(len(copy))] = rng.choice(words)
+            docs.append((len(docs), " ".join(copy)))
+            group.append(g)
+    found = {r["doc_id"]: r["component_id"] for r in rows(simhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), 10, 5, least=0.8))}
+    assert all(group[i] == group[c] for i, c in found.items())
+    assert sum(found[i] == group.index(g) for i, g in enumerate(group)) >= 0.95 * len(docs)
+    kept = simhash.keep_first(spark.createDataFrame(docs, "doc_id long, text string")).count()
+    assert 40 <= kept <= 44
+
+
+def test_similarity_sketch():
+    words = [f"w{i}" for i in range(90)]
+    a, b = " ".join(words), " ".join(words[9:])
+    x, y = (np.unique(simhash.hashes(t, 5))[: simhash.SKETCH].tobytes() for t in (a, b))
+    assert simhash.similarity(x, y) == pytest.approx(77 / 86)
+    assert simhash.similarity(b"", b"") == 1.0 and simhash.similarity(x, b"") == 0.0
+
+
+def test_closest_forest():
+    i, j, d = np.array([0, 1, 0, 2, 2]), np.array([1, 2, 2, 3, 3]), np.array([5, 1, 2, 9, 3])
+    kept = simhash.closest_forest(i, j, d, 5)
+    assert sorted(kept.tolist()) == [1, 2, 4]
