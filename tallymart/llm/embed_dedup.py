@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import forget, written
 from .components import components
 from .simhash import forest
 
@@ -185,6 +185,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.98, dims: int = 4, sample:
     order = ["label", "size", *cells, "key"]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     blocks = written(located.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_blocks(dims, store), BLOCK_SCHEMA), "blocks")
+    forget(located)
 
     boxes = blocks.select("block", "label", "size", "low", "high")
     near = lambda up: F.explode(F.sequence(F.floor(F.col("low")[0] / eps).cast("int"), (F.floor(F.col("high")[0] / eps) + up).cast("int")))
@@ -199,12 +200,13 @@ def near_vectors(vectors: DataFrame, least: float = 0.98, dims: int = 4, sample:
     two_blocks = pairs.where("a != b").join(full("a"), "a").join(full("b"), "b")
     work = two_blocks.unionByName(alone).repartition(parts, "a", "b")
     found = written(work.mapInArrow(_joined(dims, eps, least, store), "key long, links long, root long"), "links")
+    forget(blocks)
 
     links = found.groupBy("key").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("key").alias("a"), F.col("root").alias("b")))
     named = each.select("key", "label", "vector", "copies", "least").join(links, "key", "left").join(roots.withColumnRenamed("node", "key"), "key", "left")
     named = named.withColumn("root", F.coalesce("root", "key"))
-    smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    smallest = written(named.groupBy("root").agg(F.min("least").alias("component_id")), "least")  # a table, so that a large component can be split in the join
     result = named.join(smallest, "root").select(F.col("label").alias("_l"), F.col("vector").alias("_v"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
     linked = rows.where("good").join(result, (F.xxhash64("label", "vector") == F.xxhash64("_l", "_v")) & (F.col("label") == F.col("_l")) & (F.col("vector") == F.col("_v")))
     linked = linked.select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id")
