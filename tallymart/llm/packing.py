@@ -123,7 +123,7 @@ def _repacked(size: int, open_bins: int):
     return run
 
 
-def best_fit_pack(docs: DataFrame, tokenizer: str | None = None, size: int = 2048, open_bins: int = 192, merge: int = 32, end: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def best_fit_pack(docs: DataFrame, tokenizer: str | None = None, size: int = 2048, open_bins: int = 512, merge: int = 16, end: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pack all documents into sequences of at most `size` tokens; one row per piece.
 
     A null or empty text is the end id alone. A null id stays null, and rows with the same id are separate documents.
