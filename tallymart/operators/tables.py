@@ -51,15 +51,19 @@ def numbered_pages(df: DataFrame, size: int, *order: Column, within: Sequence[st
 
 
 def global_pages(df: DataFrame, size: int, key: str) -> DataFrame:
-    """As numbered_pages over the whole table in order of a unique key, without gathering it in one task: ranges are counted first."""
-    spark = df.sparkSession
-    ranged = df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), key).sortWithinPartitions(key)
-    placed = ranged.withColumn("_at", F.monotonically_increasing_id())
-    part, local = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
-    sizes = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
-    before = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    rows = placed.withColumn("_part", part).withColumn("_local", local).join(F.broadcast(before), "_part")  # one row a partition
-    return rows.withColumn("page", (F.floor((F.col("_before") + F.col("_local")) / size) + 1).cast("long")).drop("_at", "_part", "_local", "_before")
+    """As numbered_pages over the whole table in order of a unique numeric key, without gathering it in one task.
+
+    The key's quantiles cut it into ranges once; rows are ranked within their range, after the counts of the ranges before.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts = sorted(set(df.approxQuantile(key, [k / parts for k in range(1, parts)], 0.01)))
+    span = F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<double>"), lambda c: c <= F.col(key)))
+    rows = df.withColumn("_range", span)
+    counts = rows.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = counts.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    local = F.row_number().over(Window.partitionBy("_range").orderBy(key))
+    ranked = rows.withColumn("_local", local).join(F.broadcast(before), "_range")  # one row a range
+    return ranked.withColumn("page", (F.floor((F.col("_before") + F.col("_local") - 1) / size) + 1).cast("long")).drop("_range", "_local", "_before")
 
 
 def upsert(old: DataFrame, new: DataFrame, key: Sequence[str], keep: Mapping[str, Column] | None = None) -> DataFrame:

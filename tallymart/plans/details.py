@@ -98,23 +98,24 @@ def q25_admin_search(v: Views) -> DataFrame:
     return v.shop.where(any_of([(k == 0) & name.contains("7"), (k == 1) & name.contains("1"), (k == 2) & F.col("enabled")])).select("shop_id", "name")
 
 
-@query("""WITH u AS (SELECT article_id, shop_id, min(price) AS price FROM usable WHERE article_id = 42 GROUP BY 1, 2) SELECT u.shop_id, s.name, u.price, round(u.price / CAST(a.units AS DOUBLE), 4) AS per_unit, u.price - (SELECT min(price) FROM u) AS above_best
+@query("""WITH u AS (SELECT article_id, shop_id, min(price) AS price FROM usable GROUP BY 1, 2) SELECT u.article_id, u.shop_id, s.name, u.price, round(u.price / CAST(a.units AS DOUBLE), 4) AS per_unit, u.price - min(u.price) OVER (PARTITION BY u.article_id) AS above_best
     FROM u JOIN shop s ON s.shop_id = u.shop_id JOIN article a ON a.article_id = u.article_id""")
 def q05_article_page(v: Views) -> DataFrame:
-    """The offers of one article, with what each costs above the best."""
-    best = v.usable.where("article_id = 42").groupBy("article_id", "shop_id").agg(F.min("price").alias("price"))
+    """The offers on the page of each article, with what each costs above the best."""
+    best = v.usable.groupBy("article_id", "shop_id").agg(F.min("price").alias("price"))
     rows = best.join(v.shop.select("shop_id", "name"), "shop_id").join(v.article.select("article_id", "units"), "article_id")
     least = F.min("price").over(Window.partitionBy("article_id"))
-    return rows.select("shop_id", "name", "price", F.round(F.col("price") / F.col("units").cast("double"), 4).alias("per_unit"), (F.col("price") - least).alias("above_best"))
+    return rows.select("article_id", "shop_id", "name", "price", F.round(F.col("price") / F.col("units").cast("double"), 4).alias("per_unit"), (F.col("price") - least).alias("above_best"))
 
 
-@query("""WITH h AS (SELECT article_id, ts, shop_id, max(price) AS price FROM usable WHERE article_id = 42 GROUP BY 1, 2, 3), g AS (SELECT d.ts, s.shop_id FROM (SELECT DISTINCT ts FROM h) d, (SELECT DISTINCT shop_id FROM h) s)
-    SELECT CAST(ts AS DATE) AS day, shop_id, coalesce(p, last_value(p IGNORE NULLS) OVER (PARTITION BY shop_id ORDER BY ts ROWS UNBOUNDED PRECEDING), (SELECT arg_max(h.price, h.ts) FROM h WHERE h.shop_id = z.shop_id)) AS last_price FROM (SELECT g.ts, g.shop_id, h.price AS p FROM g LEFT JOIN h ON h.ts = g.ts AND h.shop_id = g.shop_id) z""")
+@query("""WITH h AS (SELECT article_id, ts, shop_id, max(price) AS price FROM usable GROUP BY 1, 2, 3), f AS (SELECT article_id, shop_id, arg_max(price, ts) AS final FROM h GROUP BY 1, 2),
+    g AS (SELECT d.article_id, d.ts, s.shop_id, s.final FROM (SELECT DISTINCT article_id, ts FROM h) d JOIN f s ON s.article_id = d.article_id)
+    SELECT g.article_id, CAST(g.ts AS DATE) AS day, g.shop_id, coalesce(last_value(h.price IGNORE NULLS) OVER (PARTITION BY g.article_id, g.shop_id ORDER BY g.ts ROWS UNBOUNDED PRECEDING), g.final) AS last_price FROM g LEFT JOIN h ON h.article_id = g.article_id AND h.ts = g.ts AND h.shop_id = g.shop_id""")
 def price_matrix_backfilled(v: Views) -> DataFrame:
     """Before a shop's first price its last one stands."""
-    matrix = price_matrix(v.usable.where("article_id = 42"), "article_id")
-    final = v.usable.where("article_id = 42").groupBy("shop_id", "ts").agg(F.max("price").alias("price")).groupBy("shop_id").agg(F.max_by("price", "ts").alias("final"))
-    return matrix.join(final, "shop_id").select(F.col("ts").cast("date").alias("day"), "shop_id", F.coalesce("last_price", "final").alias("last_price"))
+    matrix = price_matrix(v.usable, "article_id")
+    final = v.usable.groupBy("article_id", "shop_id", "ts").agg(F.max("price").alias("price")).groupBy("article_id", "shop_id").agg(F.max_by("price", "ts").alias("final"))
+    return matrix.join(final, ["article_id", "shop_id"]).select("article_id", F.col("ts").cast("date").alias("day"), "shop_id", F.coalesce("last_price", "final").alias("last_price"))
 
 
 @query("SELECT a.article_id FROM article a JOIN (SELECT article_id, CASE WHEN article_id % 4 = 0 THEN units + 1 ELSE units END AS units, CASE WHEN article_id % 5 = 0 THEN NULL ELSE size END AS size FROM article) b ON a.article_id = b.article_id WHERE a.units IS DISTINCT FROM b.units OR a.size IS DISTINCT FROM b.size")
@@ -165,9 +166,9 @@ def q24_pages_to_offers(v: Views) -> DataFrame:
     return rows.select("page_id", F.lower(F.trim(F.substring("found", 1, 50))).alias("name"), (F.col("found") == "").alias("missing"), F.floor(F.length("html") / 1000).cast("long").alias("price"), F.substring(lang, 1, 20).alias("stock"))
 
 
-@query("SELECT order_id, line, article_id, shop_id, price, CASE WHEN price = 0 THEN NULL ELSE round(price / 100.0::DOUBLE, 2) END AS shown FROM offer WHERE order_id = 77")
+@query("SELECT order_id, line, article_id, shop_id, price, CASE WHEN price = 0 THEN NULL ELSE round(price / 100.0::DOUBLE, 2) END AS shown FROM offer")
 def q15_offer_page(v: Views) -> DataFrame:
-    return v.offer.where("order_id = 77").select("order_id", "line", "article_id", "shop_id", "price", F.when(F.col("price") != 0, F.round(F.col("price") / 100.0, 2)).alias("shown"))
+    return v.offer.select("order_id", "line", "article_id", "shop_id", "price", F.when(F.col("price") != 0, F.round(F.col("price") / 100.0, 2)).alias("shown"))
 
 
 @query("""SELECT z.name AS region, string_agg(d.name || ':' || d.n, '; ' ORDER BY d.name) AS districts, CAST(sum(d.n) AS BIGINT) AS shops FROM zone z JOIN (SELECT d.region_id, d.name, count(s.shop_id) AS n FROM district d LEFT JOIN shop s ON s.district_id = d.district_id GROUP BY 1, 2) d ON d.region_id = z.region_id GROUP BY 1""")

@@ -27,12 +27,12 @@ def price_matrix(history: DataFrame, key: str, backfill: str | None = None) -> D
     return out.select(key, "ts", "shop_id", "last_price")
 
 
-@query("""WITH h AS (SELECT article_id, ts, shop_id, max(price) AS price FROM usable WHERE article_id < 100 GROUP BY 1, 2, 3),
+@query("""WITH h AS (SELECT article_id, ts, shop_id, max(price) AS price FROM usable GROUP BY 1, 2, 3),
     g AS (SELECT d.article_id, d.ts, s.shop_id FROM (SELECT DISTINCT article_id, ts FROM h) d JOIN (SELECT DISTINCT article_id, shop_id FROM h) s ON d.article_id = s.article_id)
     SELECT g.article_id, CAST(g.ts AS DATE) AS day, g.shop_id, last_value(h.price IGNORE NULLS) OVER (PARTITION BY g.article_id, g.shop_id ORDER BY g.ts ROWS UNBOUNDED PRECEDING) AS last_price
     FROM g LEFT JOIN h ON h.article_id = g.article_id AND h.ts = g.ts AND h.shop_id = g.shop_id""")
 def price_matrix_locf(v: Views) -> DataFrame:
-    return price_matrix(v.usable.where("article_id < 100"), "article_id").select("article_id", F.col("ts").cast("date").alias("day"), "shop_id", "last_price")
+    return price_matrix(v.usable, "article_id").select("article_id", F.col("ts").cast("date").alias("day"), "shop_id", "last_price")
 
 
 CHANGES_SQL = """SELECT article_id, CAST(ts AS DATE) AS day, shop_id, order_id, line, step FROM (SELECT *, lag(step) OVER (PARTITION BY article_id ORDER BY ts, shop_id, order_id, line) AS before
@@ -96,9 +96,9 @@ def position_report(v: Views) -> DataFrame:
     return out.select("sellers", "position", "n", "so_far", (F.col("total") - F.col("so_far")).alias("left_over"), F.round(100.0 * F.col("n") / F.col("total"), 4).alias("share"))
 
 
-@query("SELECT order_id, line, article_id, shop_id, count(*) OVER (PARTITION BY article_id) AS rivals FROM offer WHERE article_id < 500")
+@query("SELECT order_id, line, article_id, shop_id, count(*) OVER (PARTITION BY article_id) AS rivals FROM offer")
 def w03_rivals(v: Views) -> DataFrame:
-    return v.offer.where("article_id < 500").withColumn("rivals", F.count("*").over(Window.partitionBy("article_id"))).select("order_id", "line", "article_id", "shop_id", "rivals")
+    return v.offer.withColumn("rivals", F.count("*").over(Window.partitionBy("article_id"))).select("order_id", "line", "article_id", "shop_id", "rivals")
 
 
 @query("SELECT event_id, user_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS id FROM events")

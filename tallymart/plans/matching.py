@@ -15,6 +15,11 @@ from ..sources.views import Views
 KEY = ("brand", "name", "degrees", "size")
 
 
+def cheap_listing(v: Views) -> DataFrame:
+    """Which shops sell an article below a price: few enough that sellers of like articles may be disjoint."""
+    return v.usable.where("price < 400").select("article_id", "shop_id").distinct()
+
+
 def sample_rules(v: Views) -> DataFrame:
     """Chains of one to four rules and a cycle, over brand, name, degrees and size; null matches null."""
     rows = [(1, "Brand#1", "red ring", 0.0, "m", "Brand#2", "red ring", 0.0, "m"), (2, "Brand#2", "red ring", 0.0, "m", "Brand#3", "red ring", 0.0, "l"), (3, "Brand#3", "red ring", 0.0, "l", "Brand#4", "blue ring", 0.0, "l"), (4, "Brand#4", "blue ring", 0.0, "l", "Brand#5", "blue ring", 0.0, "l"), (5, "Brand#6", "old bolt", 0.0, "s", "Brand#7", "old bolt", 0.0, "s"), (6, "Brand#7", "old bolt", 0.0, "s", "Brand#6", "old bolt", 0.0, "s"), (7, "Brand#8", "hot gear", 0.0, None, "Brand#9", "hot gear", 12.5, "xl")]
@@ -55,13 +60,13 @@ def rule_diff(v: Views) -> DataFrame:
     return rows.where(changed(("degrees", "new_degrees"), ("size", "new_size"))).select("article_id").distinct()
 
 
-@query("""WITH o AS (SELECT brand, name, max(degrees) AS degrees, max(units) AS units FROM article WHERE article_id < 1000 GROUP BY 1, 2), n AS (SELECT brand, name, min(degrees) AS degrees, max(units) AS units FROM article WHERE article_id > 900 GROUP BY 1, 2)
+@query("""WITH o AS (SELECT brand, name, max(degrees) AS degrees, max(units) AS units FROM article WHERE package <> 'PROMO' GROUP BY 1, 2), n AS (SELECT brand, name, min(degrees) AS degrees, max(units) AS units FROM article WHERE package <> 'LARGE' GROUP BY 1, 2)
     SELECT coalesce(n.brand, o.brand) AS brand, coalesce(n.name, o.name) AS name, CASE WHEN n.brand IS NULL THEN o.degrees WHEN o.brand IS NULL THEN n.degrees WHEN n.degrees <> 0 THEN n.degrees ELSE o.degrees END AS degrees,
     CASE WHEN n.brand IS NULL THEN o.units WHEN o.brand IS NULL THEN n.units WHEN n.units <> 0 THEN n.units ELSE o.units END AS units FROM o FULL OUTER JOIN n ON o.brand = n.brand AND o.name = n.name""")
 def rule_upsert(v: Views) -> DataFrame:
     """Rules put in by key; a new zero doesn't overwrite."""
-    old = v.article.where("article_id < 1000").groupBy("brand", "name").agg(F.max("degrees").alias("degrees"), F.max("units").alias("units"))
-    new = v.article.where("article_id > 900").groupBy("brand", "name").agg(F.min("degrees").alias("degrees"), F.max("units").alias("units"))
+    old = v.article.where("package <> 'PROMO'").groupBy("brand", "name").agg(F.max("degrees").alias("degrees"), F.max("units").alias("units"))
+    new = v.article.where("package <> 'LARGE'").groupBy("brand", "name").agg(F.min("degrees").alias("degrees"), F.max("units").alias("units"))
     return upsert_rules(old, new, ["brand", "name"])
 
 
@@ -101,11 +106,11 @@ def ean_merge(v: Views) -> DataFrame:
     return merged.join(sellers, "ean", "left")
 
 
-@query("""WITH s AS (SELECT article_id, list(DISTINCT shop_id) AS shops FROM listing WHERE shop_id < 30 GROUP BY 1) SELECT a.article_id, b.article_id AS other_id FROM article a JOIN article b ON a.brand = b.brand AND a.name = b.name AND a.article_id < b.article_id
+@query("""WITH s AS (SELECT article_id, list(DISTINCT shop_id) AS shops FROM (SELECT DISTINCT article_id, shop_id FROM usable WHERE price < 400) GROUP BY 1) SELECT a.article_id, b.article_id AS other_id FROM article a JOIN article b ON a.brand = b.brand AND a.name = b.name AND a.article_id < b.article_id
     LEFT JOIN s x ON x.article_id = a.article_id LEFT JOIN s y ON y.article_id = b.article_id WHERE x.shops IS NOT NULL AND y.shops IS NOT NULL AND NOT list_has_any(x.shops, y.shops)""")
 def disjoint_sellers(v: Views) -> DataFrame:
     """Articles with the same brand and name that no shop sells both of; an article without sellers counts as overlapping."""
-    shops = v.listing.where("shop_id < 30").groupBy("article_id").agg(F.collect_set("shop_id").alias("shops"))
+    shops = cheap_listing(v).groupBy("article_id").agg(F.collect_set("shop_id").alias("shops"))
     rows = v.article.select("article_id", "brand", "name").join(shops, "article_id", "left").withColumn("shops", F.coalesce("shops", F.array().cast("array<bigint>")))
     other = rows.select(F.col("article_id").alias("other_id"), "brand", "name", F.col("shops").alias("other_shops"))
     pairs = rows.join(other, ["brand", "name"]).where("article_id < other_id")
@@ -134,7 +139,7 @@ def m10_rare_degrees(v: Views) -> DataFrame:
 @query()
 def mine_rules_per_brand(v: Views) -> DataFrame:
     """Rules mined by the whole sequence of passes, one brand at a time."""
-    shops = v.listing.where("shop_id < 12").groupBy("article_id").agg(F.array_sort(F.collect_set("shop_id")).alias("shops"))
+    shops = cheap_listing(v).groupBy("article_id").agg(F.array_sort(F.collect_set("shop_id")).alias("shops"))
     rows = v.article.withColumn("measure", F.floor(F.col("measure") / 20)).withColumn("size", F.when(F.col("size") != "xs", F.col("size")))
     return mine(rows.join(shops, "article_id", "left"))
 
@@ -175,7 +180,7 @@ def m14_full_rebuild(v: Views) -> DataFrame:
     """Articles after the whole rebuild; no shop's listing is lost."""
     rows = v.article.withColumn("measure", F.floor(F.col("measure") / 20)).withColumn("size", F.when(F.col("size") != "xs", F.col("size")))
     redirects = v.spark.createDataFrame([("Brand#10", "Brand#9"), ("Brand#11", "Brand#9")], "brand string, target string")
-    return rebuild(rows, v.listing.where("shop_id < 12"), redirects)[0]
+    return rebuild(rows, cheap_listing(v), redirects)[0]
 
 
 @query("SELECT brand, name, min(article_id) AS article_id FROM article GROUP BY 1, 2 HAVING count(*) = 1")

@@ -135,12 +135,12 @@ def m16_names_with_one_term(v: Views) -> DataFrame:
     return words.groupBy("article_id").agg(F.count("*").alias("n")).where("n = 1")
 
 
-@query("""SELECT x.article_id, s AS subset FROM (SELECT article_id, string_split(text, ' ') AS w FROM product_text WHERE article_id < 200) x, (SELECT unnest(generate_series(1, 7)) AS m) y,
+@query("""SELECT x.article_id, s AS subset FROM (SELECT article_id, string_split(text, ' ') AS w FROM product_text) x, (SELECT unnest(generate_series(1, 7)) AS m) y,
     LATERAL (SELECT array_to_string([w[i] for i in [1, 2, 3] if (m >> (i - 1)) & 1 = 1], ' ') AS s)""")
 def token_subsets(v: Views) -> DataFrame:
     """All subsets of the first three words, which a lookup of brands is joined with."""
     words = F.slice(F.split("text", " "), 1, 3)
-    masks = v.product_text.where("article_id < 200").select("article_id", words.alias("w"), F.explode(F.sequence(F.lit(1), F.lit(7))).alias("m"))
+    masks = v.product_text.select("article_id", words.alias("w"), F.explode(F.sequence(F.lit(1), F.lit(7))).alias("m"))
     chosen = F.filter(F.transform("w", lambda x, i: F.when(F.col("m").bitwiseAND(F.expr("1") * F.pow(F.lit(2), i).cast("int")) > 0, x)), lambda x: x.isNotNull())
     return masks.select("article_id", F.array_join(chosen, " ").alias("subset"))
 

@@ -9,8 +9,8 @@ from ..operators.tables import update_columns, upsert
 from ..registry import query
 from ..sources.views import Views
 
-_OLD = "SELECT article_id, min(price) AS price, count(*) AS offers FROM usable WHERE shop_id < 50 GROUP BY 1"
-_NEW = "SELECT article_id, min(price) AS price, count(*) AS offers FROM usable WHERE shop_id >= 50 AND article_id % 3 = 0 GROUP BY 1"
+_OLD = "SELECT article_id, min(price) AS price, count(*) AS offers FROM usable WHERE price < 1200 GROUP BY 1"
+_NEW = "SELECT article_id, min(price) AS price, count(*) AS offers FROM usable WHERE price >= 2200 GROUP BY 1"
 
 
 def _best(v: Views, condition: str) -> DataFrame:
@@ -20,7 +20,7 @@ def _best(v: Views, condition: str) -> DataFrame:
 @query(f"WITH o AS ({_OLD}), n AS ({_NEW}) SELECT coalesce(n.article_id, o.article_id) AS article_id, coalesce(n.price, o.price) AS price, coalesce(n.offers, o.offers) AS offers FROM o FULL OUTER JOIN n ON o.article_id = n.article_id")
 def mut01_upsert(v: Views) -> DataFrame:
     """New rows put in or over old ones by key."""
-    return upsert(_best(v, "shop_id < 50"), _best(v, "shop_id >= 50 AND article_id % 3 = 0"), ["article_id"])
+    return upsert(_best(v, "price < 1200"), _best(v, "price >= 2200"), ["article_id"])
 
 
 @query("SELECT article_id, coalesce(views, 0) AS views FROM article LEFT JOIN (SELECT l_partkey AS k, count(*) AS views FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1) ON k = article_id")
@@ -30,10 +30,10 @@ def mut03_counters(v: Views) -> DataFrame:
     return v.article.select("article_id").join(views, "article_id", "left").select("article_id", F.coalesce("views", F.lit(0)).cast("long").alias("views"))
 
 
-@query("SELECT article_id, brand FROM article WHERE article_id IN (SELECT article_id FROM listing WHERE shop_id < 5)")
+@query("SELECT article_id, brand FROM article WHERE article_id IN (SELECT article_id FROM usable WHERE price < 250)")
 def mut05_collect_garbage(v: Views) -> DataFrame:
     """Articles that still have a listing."""
-    return v.article.join(v.listing.where("shop_id < 5"), "article_id", "left_semi").select("article_id", "brand")
+    return v.article.join(v.usable.where("price < 250"), "article_id", "left_semi").select("article_id", "brand")
 
 
 @query("SELECT shop_id, count(*) AS kept FROM offer WHERE NOT error404 GROUP BY 1")
@@ -47,10 +47,10 @@ def mut07_cleanup(v: Views) -> DataFrame:
     return v.article.select("article_id", F.trim(F.translate(F.replace(code, F.lit("sku:"), F.lit("")), "\t\n", "")).alias("code"))
 
 
-@query("SELECT a.article_id, a.name, CASE WHEN u.article_id IS NULL THEN a.package ELSE 'FIXED' END AS package FROM article a LEFT JOIN (SELECT article_id FROM article WHERE article_id % 10 = 0) u ON u.article_id = a.article_id")
+@query("SELECT a.article_id, a.name, CASE WHEN u.article_id IS NULL THEN a.package ELSE 'FIXED' END AS package FROM article a LEFT JOIN (SELECT article_id FROM article WHERE degrees > 0) u ON u.article_id = a.article_id")
 def mut08_bulk_update(v: Views) -> DataFrame:
     """Some columns replaced for some keys."""
-    new = v.article.where("article_id % 10 = 0").select("article_id", F.lit("FIXED").alias("package"))
+    new = v.article.where("degrees > 0").select("article_id", F.lit("FIXED").alias("package"))
     return update_columns(v.article.select("article_id", "name", "package"), new, "article_id", ["package"])
 
 
@@ -61,9 +61,9 @@ def mut10_enabled_flag(v: Views) -> DataFrame:
     return v.article.select("brand").distinct().join(rules, F.col("brand") == F.col("target"), "left").select("brand", F.col("target").isNotNull().alias("enabled"))
 
 
-@query("SELECT basket_id, string_agg(item, '; ' ORDER BY item) AS items, count(*) AS n FROM basket WHERE basket_id < 2000 GROUP BY 1")
+@query("SELECT basket_id, string_agg(item, '; ' ORDER BY item) AS items, count(*) AS n FROM basket GROUP BY 1")
 def q17_saved_lists(v: Views) -> DataFrame:
-    return v.basket.where("basket_id < 2000").groupBy("basket_id").agg(F.array_join(F.array_sort(F.collect_list("item")), "; ").alias("items"), F.count("*").alias("n"))
+    return v.basket.groupBy("basket_id").agg(F.array_join(F.array_sort(F.collect_list("item")), "; ").alias("items"), F.count("*").alias("n"))
 
 
 @query("""SELECT z.region_id, to_json(list({'district': d.name, 'shops': d.n} ORDER BY d.name))::VARCHAR AS json FROM zone z JOIN (SELECT d.region_id, d.name, count(s.shop_id) AS n FROM district d LEFT JOIN shop s ON s.district_id = d.district_id GROUP BY 1, 2) d ON d.region_id = z.region_id GROUP BY 1""")

@@ -17,11 +17,11 @@ def word_rows(df: DataFrame, key: str, text: str) -> DataFrame:
 _WORDS = "list_distinct([w for w in regexp_split_to_array(text, '\\s+') if w <> ''])"
 
 
-@query(f"SELECT a.doc_id, w AS word FROM (SELECT doc_id, unnest({_WORDS}) AS w FROM documents WHERE doc_id < 100) a WHERE NOT EXISTS (SELECT 1 FROM (SELECT doc_id, unnest({_WORDS}) AS w FROM documents WHERE doc_id <= 100) b WHERE b.doc_id = a.doc_id + 1 AND b.w = a.w)")
+@query(f"SELECT a.doc_id, w AS word FROM (SELECT doc_id, unnest({_WORDS}) AS w FROM documents) a WHERE NOT EXISTS (SELECT 1 FROM (SELECT doc_id, unnest({_WORDS}) AS w FROM documents) b WHERE b.doc_id = a.doc_id + 1 AND b.w = a.w)")
 def word_difference(v: Views) -> DataFrame:
-    """Words of a text that the next text doesn't have, for the first hundred texts."""
-    docs = v.table("documents").where("doc_id <= 100")
-    own = word_rows(docs.where("doc_id < 100"), "doc_id", "text")
+    """Words of a text that the next text doesn't have."""
+    docs = v.table("documents")
+    own = word_rows(docs, "doc_id", "text")
     other = word_rows(docs, "doc_id", "text").select((F.col("doc_id") - 1).alias("doc_id"), "word")
     return own.join(other, ["doc_id", "word"], "left_anti")
 
@@ -42,11 +42,11 @@ def u02_symmetric_difference(v: Views) -> DataFrame:
 
 
 @query("""SELECT page_id, pos, a AS own, b AS other FROM (SELECT p.page_id, i AS pos, regexp_extract_all(p.html, '<a [^>]*>([^<]*)</a>', 1)[i] AS a, regexp_extract_all(q.html, '<a [^>]*>([^<]*)</a>', 1)[i] AS b
-    FROM pages p JOIN pages q ON q.page_id = p.page_id + 1, (SELECT unnest(generate_series(1, 6)) AS i) n) WHERE a <> b""")
+    FROM pages p JOIN pages q ON q.page_id = p.page_id + 1, LATERAL (SELECT unnest(generate_series(1, len(regexp_extract_all(p.html, '<a [^>]*>([^<]*)</a>', 1)))) AS i) n) WHERE a <> b""")
 def u04_positional_diff(v: Views) -> DataFrame:
-    """Texts of links that differ from those at the same place of the next page, the first six."""
+    """Texts of links that differ from those at the same place of the next page."""
     texts = F.regexp_extract_all(F.col("html"), F.lit("<a [^>]*>([^<]*)</a>"), 1)
-    pages = v.table("pages").select("page_id", F.slice(texts, 1, 6).alias("own"))
+    pages = v.table("pages").select("page_id", texts.alias("own"))
     other = pages.select((F.col("page_id") - 1).alias("page_id"), F.col("own").alias("next"))
     both = pages.join(other, "page_id").select("page_id", F.posexplode(F.arrays_zip("own", "next")).alias("pos", "z"))
     return both.where("z.own <> z.next").select("page_id", (F.col("pos") + 1).cast("long").alias("pos"), F.col("z.own").alias("own"), F.col("z.next").alias("other"))
