@@ -42,9 +42,24 @@ def written(df: DataFrame, what: str, compression: str = "snappy") -> DataFrame:
     df.write.parquet(path, compression=compression)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.scratch_path = path
+    spark_tables(df.sparkSession).append(path)
     return out
 
 
+def spark_tables(spark: SparkSession) -> list[str]:
+    """Paths of the scratch tables that this driver has written and not deleted."""
+    sc = spark.sparkContext
+    if not hasattr(sc, "_tallymart_tables"):
+        sc._tallymart_tables = []
+    return sc._tallymart_tables
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all scratch tables of this driver, once no DataFrame of this package is needed any more."""
+    for path in spark_tables(spark)[:]:
+        remove(spark, path)
+
+
 def forget(df: DataFrame) -> None:
     """Delete a table of written() that nothing reads any more."""
     remove(df.sparkSession, df.scratch_path)
@@ -54,6 +69,8 @@ def remove(spark: SparkSession, path: str) -> None:
     """Delete a scratch path of this package."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    if path in spark_tables(spark):
+        spark_tables(spark).remove(path)
 
 
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 CACHE, STEP = 800_000, 4_000_000
 
 #: The white space of the tokenizers' \s, and separators that Arrow splits at although they aren't.
-SPACES = "\t-\r \x85\xa0  -     　"
+SPACES = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _NOT_SPACES = "\x1c-\x1f"
 
 
