@@ -20,18 +20,11 @@ import regex
 from pyspark.sql import DataFrame
 
 from .common import id_text, parts, tidy
-from .tokenizing import SPACES, STEP, Chunks, tokenizer_path
+from .tokenizing import SPACES, STEP, Chunks, byte_symbols, tokenizer_path
 
 _RUN = re.compile(f"[{SPACES}]+")
 
 
-def byte_symbols() -> list[str]:
-    """The character that stands for each byte: itself where it prints, else the next one from 256 on."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    spare = iter(range(256, 512))
-    return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
-
-
 class PairIndexBpe:
     """Encoder and decoder of a tokenizer file of the kind "BPE with word ends" (see `check`)."""
 

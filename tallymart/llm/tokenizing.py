@@ -8,6 +8,7 @@ Python handles each distinct chunk once a step, and each worker keeps the values
 from __future__ import annotations
 
 import os
+import re
 from array import array
 from collections.abc import Callable
 from itertools import islice
@@ -24,6 +25,17 @@ SPACES = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _NOT_SPACES = "\x1c-\x1f"
 
 
+#: Letters that are composed and have one lower-case letter each.
+LETTERS = re.compile("[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
+
+
+def byte_symbols() -> list[str]:
+    """The character that stands for each byte: itself where it prints, else the next one from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    spare = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
+
+
 class Chunks:
     """Values of distinct chunks, bytes or with more than one column a tuple of bytes, by the function `learn`.
 
@@ -88,6 +100,12 @@ class Encoder:
         stop = self.lib.encode(self.between, add_special_tokens=False).ids
         self.stop, self.before = stop[-1], len(stop) - 1  # ids of the separator before its last, which no chunk has
         self.marks = {c: self.whole(c) for c in ".,"}
+        symbols, model = byte_symbols(), self.lib.model
+        self.symbol, self.tokenize = symbols.__getitem__, model.tokenize
+        self.lower = self.whole("ÀB") == self.whole("àb")
+        self.lead = symbols[32] if split == "spaced" else ""
+        lead = " " if split == "spaced" else ""
+        self.direct = all(self.one(w) == self.whole(lead + w) for w in ("a", "Word", "überGroß", "É", "chllando", "ÿÖþ"))
 
     def pack(self, ids) -> bytes:
         return array(self.code, ids).tobytes()
@@ -118,8 +136,23 @@ class Encoder:
         known.update(new)
         return [found[c] if v is None else v for c, v in zip(chunks, out)]
 
+    def one(self, word: str) -> bytes:
+        """Ids of a word of LETTERS, which is one piece, by the library's model alone."""
+        text = word.lower() if self.lower else word
+        if not text.isascii():
+            text = "".join(map(self.symbol, text.encode()))
+        return self.pack([t.id for t in self.tokenize(self.lead + text)])
+
     def asked(self, chunks: list[str], lead: str) -> list[bytes]:
-        """The library's ids of chunks that hold no STOP, a hundred to a call's text."""
+        """The library's ids of chunks that hold no STOP: of plain words one by one by its model, of others by its whole chain."""
+        if not self.direct:
+            return self.chained(chunks, lead)
+        plain = [LETTERS.fullmatch(c) is not None for c in chunks]
+        others = iter(self.chained([c for c, p in zip(chunks, plain) if not p], lead))
+        return [self.one(c) if p else next(others) for c, p in zip(chunks, plain)]
+
+    def chained(self, chunks: list[str], lead: str) -> list[bytes]:
+        """A hundred chunks to a call's text."""
         out: list[bytes] = []
         for at in range(0, len(chunks), 12_800):
             groups = [chunks[k : k + 100] for k in range(at, min(at + 12_800, len(chunks)), 100)]
