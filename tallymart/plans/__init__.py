@@ -1,3 +1,3 @@
 """The queries of the library. Importing them registers them."""
 
-from . import baskets, catalog, details, history, matching, normalise, pages, reports, streams, tables, text_sets  # noqa: F401
+from . import baskets, catalog, details, history, matching, normalise, pages, reports, streams, streams_offers, tables, text_sets  # noqa: F401
