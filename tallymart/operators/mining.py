@@ -48,11 +48,20 @@ class Brand:
             self.scores[key] = ratio(*key)
         return self.scores[key]
 
-    def best(self, i: int, level: int, fits) -> tuple[int, int] | None:
-        """The first row of the highest score above the level that fits row i and shares no shop with it."""
+    def alike(self, columns: tuple[str, ...]) -> list[list[int]]:
+        """For each row the rows with the same values in the columns, which merges don't change."""
+        groups: dict[tuple, list[int]] = {}
+        keys = [tuple(None if r[c] != r[c] else r[c] for c in columns) for r in self.rows]
+        for j, k in enumerate(keys):
+            groups.setdefault(k, []).append(j)
+        return [groups[k] for k in keys]
+
+    def best(self, i: int, level: int, among: list[int], fits) -> tuple[int, int] | None:
+        """The first row of the highest score above the level that fits and shares no shop with row i."""
         a, found = self.rows[i], None
-        for j, b in enumerate(self.rows):
-            if j == i or not self.live[j] or not a["shops"] or not b["shops"] or a["shops"] & b["shops"] or not fits(a, b):
+        for j in among:
+            b = self.rows[j]
+            if j == i or not self.live[j] or not fits(b) or not a["shops"] or not b["shops"] or not a["shops"].isdisjoint(b["shops"]):
                 continue
             s = self.score(a, b)
             if s > (found[1] if found else level):
@@ -69,18 +78,19 @@ class Brand:
 
     def fill(self, column: str, level: int) -> None:
         """A blank attribute from the most similar article whose other attributes are equal."""
-        others = [c for c in ("measure", "degrees", "units", "package", "size") if c != column]
+        others = self.alike(tuple(c for c in ("measure", "degrees", "units", "package", "size") if c != column))
         for i, a in enumerate(self.rows):
             if self.live[i] and _blank(a[column]):
-                found = self.best(i, level, lambda a, b: not _blank(b[column]) and all(a[c] == b[c] for c in others))
+                found = self.best(i, level, others[i], lambda b: not _blank(b[column]))
                 if found:
                     self.merge(i, found[0], f"fill {column}", found[1])
 
     def few_sellers(self, most: int, level: int) -> None:
         """Articles that few shops sell join the most similar one of the same units and measure."""
+        others = self.alike(("units", "measure"))
         for i, a in enumerate(self.rows):
             if self.live[i] and 0 < len(a["shops"]) <= most:
-                found = self.best(i, level, lambda a, b: a["units"] == b["units"] and a["measure"] == b["measure"] and len(b["shops"]) > most)
+                found = self.best(i, level, others[i], lambda b: len(b["shops"]) > most)
                 if found:
                     self.merge(i, found[0], "few sellers", found[1])
 

@@ -107,12 +107,13 @@ def crawl_allocation(v: Views) -> DataFrame:
 
 def access_log(v: Views) -> DataFrame:
     """Lines of a web server's log made from events: one column `line`."""
-    k = F.get_json_object("props", "$.k").cast("int")
+    k = F.col("k")
     path = F.when(k % 7 == 0, "/.env").when(k % 11 == 0, "/wp-admin/x").when(k % 13 == 0, "/favicon.ico").otherwise(F.concat(F.lit("/p/"), k.cast("string")))
     code = F.when(F.col("event_type") == "error", "404").when(F.col("event_type") == "signup", "301").otherwise("200")
     agent = F.when(F.col("user_id") % 9 == 0, "badbot/1.0").otherwise("Mozilla/5.0 (iPhone)")
     ip = F.concat(F.lit("10.0.0."), F.col("user_id").cast("string"))
-    return v.table("events").select(F.concat(ip, F.lit(' - - [x] "GET '), path, F.lit(' HTTP/1.1" '), code, F.lit(' 12 "-" "'), agent, F.lit('"')).alias("line"))
+    events = v.table("events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+    return events.select(F.concat(ip, F.lit(' - - [x] "GET '), path, F.lit(' HTTP/1.1" '), code, F.lit(' 12 "-" "'), agent, F.lit('"')).alias("line"))
 
 
 LOG_SQL = """SELECT '10.0.0.' || user_id || ' - - [x] "GET ' || CASE WHEN k % 7 = 0 THEN '/.env' WHEN k % 11 = 0 THEN '/wp-admin/x' WHEN k % 13 = 0 THEN '/favicon.ico' ELSE '/p/' || k END || ' HTTP/1.1" '
@@ -126,8 +127,10 @@ def abuse(log: DataFrame, agents: tuple[str, ...] = ("badbot",), terms: tuple[st
     agent = F.regexp_extract(line, r'"([^"]+)"$', 1)
     by_agent = any_of(agent.contains(a) for a in agents)
     by_term = any_of(line.contains(t) for t in terms) & any_of(line.contains(f" {c} ") for c in (404, 500, 301))
-    rows = log.select(F.regexp_extract(line, r"(\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})", 1).alias("ip"), F.when(by_agent, "agent").when(by_term, "term").alias("reason"))
-    return rows.where("reason IS NOT NULL AND ip <> ''").groupBy("ip", "reason").agg(F.count("*").alias("n"))
+    ip = F.regexp_extract(line, r"(\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})", 1)
+    reason = F.when(by_agent, F.array(F.lit("agent"))).when(by_term, F.array(F.lit("term")))
+    rows = log.select("line", F.explode(reason).alias("reason")).select(ip.alias("ip"), "reason")  # a generator: a filter would be pushed below and repeat the tests
+    return rows.groupBy("ip", "reason").agg(F.count("*").alias("n")).where("ip <> ''")
 
 
 _TERMS = " OR ".join(f"contains(line, '{t}')" for t in ABUSE_TERMS)
