@@ -33,7 +33,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch(spark: SparkSession, what: str) -> str:
     """A path in the shared folder that no other run uses."""
-    return f"{shared_dir(spark)}/tallymart/{what}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/tallymart/{what}-{uuid.uuid4().hex}"
+    spark_tables(spark).append(path)
+    return path
 
 
 def written(df: DataFrame, what: str, compression: str = "snappy") -> DataFrame:
@@ -42,12 +44,11 @@ def written(df: DataFrame, what: str, compression: str = "snappy") -> DataFrame:
     df.write.parquet(path, compression=compression)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.scratch_path = path
-    spark_tables(df.sparkSession).append(path)
     return out
 
 
 def spark_tables(spark: SparkSession) -> list[str]:
-    """Paths of the scratch tables that this driver has written and not deleted."""
+    """Scratch paths that this driver has taken and not deleted."""
     sc = spark.sparkContext
     if not hasattr(sc, "_tallymart_tables"):
         sc._tallymart_tables = []

@@ -251,3 +251,16 @@ def test_pipeline(spark, sf_dir, tmp_path, messy):
     for _, stage in P.STAGES:
         empty = stage(spark, empty, sf_dir)
     assert empty.count() == 0
+
+
+def test_clear_deletes_scratch(spark):
+    import os
+
+    from tallymart.llm.common import clear, spark_tables, written
+
+    components(spark.createDataFrame([(1, 2), (2, 3)], "a long, b long")).collect()
+    written(spark.range(3).toDF("id"), "test")
+    paths = [p.removeprefix("file:") for p in spark_tables(spark)]
+    assert any(os.path.exists(p) for p in paths)
+    clear(spark)
+    assert not any(os.path.exists(p) for p in paths) and not spark_tables(spark)
