@@ -7,8 +7,11 @@ query's distances to all of them grow through carry-save counters one plane at a
 the block exceeds the radius are abandoned. A bucket beyond TILE members is cut into parts by a hash; each pair of parts is a tile of
 its own, so no task meets a whole hot bucket and no pair is lost. A tile gives a spanning forest of its links, not the links.
 
-Near copies of some hundred words differ in up to ten bits or more, at which unrelated texts may meet too. For them a wide radius
-finds candidates, and sketches of the shingles decide (`least`).
+Near copies of some hundred words differ in ten bits or more, at which unrelated texts may meet too. Where a similarity is asked for
+(`least`), candidates therefore come from bands of MinHashes, and the Jaccard similarity of all distinct shingles decides. At 0.8 a
+pair shares none of BANDS bands of DEPTH with probability (1 - 0.8 ** 4) ** 18 = 7.6e-5, less above.
+Of each bucket first the pairs with its least node are decided, then all pairs that verified links haven't connected; only
+verified links connect, so no pair is left out because of one that is no link.
 """
 
 from __future__ import annotations
@@ -24,6 +27,9 @@ from .common import id_text, steps, tidy, unused, written
 from .components import components
 
 TILE, CHUNK, SKETCH = 2048, 512, 128
+#: Bands of MinHashes and MinHashes in each; a byte of each makes the signature. SLACK: how far it may lie below the similarity asked for.
+BANDS, DEPTH, SLACK = 18, 4, 0.2
+SEEDS = np.random.default_rng(11).integers(0, 1 << 64, (3, BANDS * DEPTH), np.uint64, False) | np.uint64(1)
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -226,36 +232,153 @@ def links(distinct: DataFrame, radius: int = 4) -> DataFrame:
     return dealt.repartition(parts, "key", "tile").sortWithinPartitions("key", "tile", "side", "fp").mapInArrow(tidy(_linked(radius)), "a long, b long").distinct()
 
 
-def _sketches(shingle: int):
-    """Fingerprint and SKETCH least hashes of the distinct shingles of each text."""
+def minhashes(h: np.ndarray) -> np.ndarray:
+    """BANDS * DEPTH least values of the hashes under as many mixings; zeros for a text without words."""
+    least = np.full(BANDS * DEPTH, 0 if not len(h) else ALL, np.uint64)
+    for i in range(0, len(h), 1024):
+        mixed = (h[None, i : i + 1024] ^ SEEDS[0][:, None]) * SEEDS[1][:, None]
+        mixed ^= mixed >> np.uint64(32)
+        mixed *= SEEDS[2][:, None]
+        least = np.minimum(least, mixed.min(axis=1))
+    return least
+
+
+def _bands(least: np.ndarray) -> np.ndarray:
+    """A key for each band of each row of MinHashes; the band's number is mixed in."""
+    rows = least.reshape(-1, BANDS, DEPTH)
+    key = np.broadcast_to(SEEDS[0][:BANDS], rows.shape[:2]).copy()
+    for d in range(DEPTH):
+        key = (key ^ rows[:, :, d]) * SEEDS[1][d]
+        key ^= key >> np.uint64(29)
+    return key
+
+
+def _prints(shingle: int):
+    """Row, fingerprint, node (a hash of the set of distinct shingles), band keys and signature of each text."""
+    from xxhash import xxh64_intdigest
 
     def run(batches):
         for given, texts in steps(batches):
             made = [hashes(t, shingle) for t in texts]
+            sets = [np.unique(h) for h in made]
+            least = np.array([minhashes(u) for u in sets], np.uint64).reshape(-1, BANDS * DEPTH)
             fp = np.array([majority(h) for h in made], np.uint64).view(np.int64)
-            least = [np.unique(h)[:SKETCH].tobytes() for h in made]
-            yield pa.RecordBatch.from_arrays([given.column("doc_id"), pa.array(fp), pa.array(least, pa.binary())], ["doc_id", "fp", "sketch"])
+            node = np.array([xxh64_intdigest(u.tobytes(), 7) for u in sets], np.uint64).view(np.int64)
+            keys = pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * len(sets) + 1, BANDS), pa.int32()), pa.array(_bands(least).ravel().view(np.int64)))
+            sig = pa.array([x.tobytes() for x in (least >> np.uint64(20)).astype(np.uint8)], pa.binary())
+            yield pa.RecordBatch.from_arrays([given.column("row"), given.column("doc_id"), pa.array(fp), pa.array(node), keys, sig], ["row", "doc_id", "fp", "node", "keys", "sig"])
 
     return run
 
 
-def similarity(a: bytes, b: bytes) -> float:
-    """Of the least hashes of both texts together, the share that both have: their shingles' Jaccard similarity, exactly if they have no more than SKETCH."""
-    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-    least = np.union1d(x, y)[:SKETCH]
-    return 1.0 if not len(least) else float(np.isin(least, np.intersect1d(x, y, True), True).mean())
+def _sets(shingle: int):
+    """The distinct shingles' hashes of each text."""
 
+    def run(batches):
+        for given, texts in steps(batches):
+            sets = [np.unique(hashes(t, shingle)).view(np.int64) for t in texts]
+            ends = np.cumsum([0, *map(len, sets)])
+            yield pa.RecordBatch.from_arrays([given.column("node"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets)))], ["node", "shingles"])
 
-def _alike(edges: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
-    """The edges whose texts are similar enough by their sketches."""
+    return run
+
+
+def _bytes(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BANDS * DEPTH)
+
+
+def _loosely(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+    """The pairs whose signatures agree in all but SLACK of the share that is asked for."""
 
     def run(batches):
         for b in batches:
-            on = [similarity(x, y) >= least for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column("a").filter(pa.array(on, pa.bool_())), b.column("b").filter(pa.array(on, pa.bool_()))], ["a", "b"])
+            on = pa.array((_bytes(b.column("x")) == _bytes(b.column("y"))).mean(axis=1) >= least - SLACK)
+            yield pa.RecordBatch.from_arrays([b.column("a").filter(on), b.column("b").filter(on)], ["a", "b"])
+
+    ends = [nodes.select(F.col("node").alias(end), F.col("sig").alias(name)) for end, name in (("a", "x"), ("b", "y"))]
+    return pairs.join(ends[0], "a").join(ends[1], "b").mapInArrow(tidy(run), "a long, b long")
 
-    ends = [nodes.select(F.col("fp").alias(end), F.col("sketch").alias(name)) for end, name in (("a", "x"), ("b", "y"))]
-    return edges.join(ends[0], "a").join(ends[1], "b").mapInArrow(tidy(run), "a long, b long")
+
+def _unconnected(least: float):
+    """Of each (key, tile) all pairs of nodes with different roots whose signatures agree loosely."""
+    names = ("key", "tile", "side", "node", "root")
+
+    def run(batches):
+        held, signs = [np.empty(0, np.int64)] * 5, np.empty((0, BANDS * DEPTH), np.uint8)
+
+        def pairs(columns, signs, last):
+            key, tile, side, node, root = columns
+            n = len(key)
+            starts = np.r_[0, np.flatnonzero((key[1:] != key[:-1]) | (tile[1:] != tile[:-1])) + 1, n] if n else np.zeros(1, int)
+            upto = n if last or not n else int(starts[-2])
+            for i, j in zip(starts[:-1].tolist(), starts[1:].tolist()):
+                if j > upto:
+                    break
+                second = np.flatnonzero(side[i:j]) + i
+                two = len(second) > 0
+                own = np.flatnonzero(side[i:j] == 0) + i
+                for at in range(0, len(own), 64):
+                    some = own[at : at + 64]
+                    rest = second if two else own[at:]
+                    x, y = np.nonzero(root[some][:, None] != root[rest][None, :])
+                    for k in range(0, len(x), 1 << 18):
+                        p, q = some[x[k : k + (1 << 18)]], rest[y[k : k + (1 << 18)]]
+                        on = (signs[p] == signs[q]).mean(axis=1) >= least - SLACK
+                        if on.any():
+                            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[p], node[q])[on]), pa.array(np.maximum(node[p], node[q])[on])], ["a", "b"])
+            left.append(([c[upto:] for c in columns], signs[upto:]))
+
+        left: list = []
+        for batch in batches:
+            columns = [np.concatenate((h, batch.column(c).to_numpy())) for h, c in zip(held, names)]
+            yield from pairs(columns, np.concatenate((signs, _bytes(batch.column("sig")))), False)
+            held, signs = left.pop()
+        yield from pairs(held, signs, True)
+
+    return run
+
+
+def _dealt(rows: DataFrame, by: str) -> DataFrame:
+    """Rows of (key, parts) with tile and side: each pair of the parts of a key is a tile."""
+    own, other = F.pmod(F.xxhash64(F.col(by), F.lit(7)), F.col("parts")), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+    rows = rows.withColumn("own", own).withColumn("other", other)
+    return rows.withColumn("tile", F.least("own", "other") * F.lit(1 << 31) + F.greatest("own", "other")).withColumn("side", (F.col("own") > F.col("other")).cast("long"))
+
+
+def _decided(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs whose Jaccard similarity over all distinct shingles is at least that."""
+    ends = [sets.select(F.col("node").alias(end), F.col("shingles").alias(name)) for end, name in (("a", "x"), ("b", "y"))]
+    both = F.size(F.array_intersect("x", "y"))
+    return pairs.join(ends[0], "a").join(ends[1], "b").where(both / (F.size("x") + F.size("y") - both) >= F.lit(least)).select("a", "b")
+
+
+def alike(rows: DataFrame, nodes: DataFrame, shingle: int, least: float) -> DataFrame:
+    """Edges (a, b) that connect all nodes of a similarity of at least `least` that share a band, each such a pair itself.
+
+    rows has row and text; nodes has node, row, keys and sig, one row for each set of shingles.
+    """
+    keyed = nodes.select("node", F.explode("keys").alias("key"))
+    buckets = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("first")).where("n > 1")
+    shared = written(keyed.join(buckets, "key"), "buckets")
+    stars = shared.where("node != first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
+    taking_part = nodes.select("node", "row").join(shared.select("node").distinct(), "node")
+    sets = written(taking_part.join(rows.select("row", "text"), "row").select("node", "text").mapInArrow(tidy(_sets(shingle)), "node long, shingles array<long>"), "shingles")
+    first = written(_decided(_loosely(stars, nodes, least), sets, least), "links")
+    rooted = shared.join(components(first), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = written(rooted.select("key", "node", "root"), "rooted")
+    still = rooted.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
+    open_ = rooted.join(still.select("key", F.ceil(F.col("n") / TILE).cast("long").alias("parts")), "key").join(nodes.select("node", "sig"), "node")
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tiles = _dealt(open_, "node").select("key", "tile", "side", "node", "root", "sig").repartition(parts, "key", "tile").sortWithinPartitions("key", "tile")
+    more = written(tiles.mapInArrow(tidy(_unconnected(least)), "a long, b long").distinct(), "pairs")
+    return first.unionByName(_decided(more, sets, least))
+
+
+def similarity(a: bytes, b: bytes) -> float:
+    """Of the least hashes of both texts together, the share that both have: their shingles' Jaccard similarity, exactly if they have no more than SKETCH."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    least = np.union1d(x, y)[:SKETCH]
+    return 1.0 if not len(least) else float(np.isin(least, np.intersect1d(x, y, True), True).mean())
 
 
 def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text", least: float | None = None) -> DataFrame:
@@ -263,24 +386,30 @@ def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, id_col:
 
     Rows with the same id or text each have a row; a null id has a component_id too, null only where no id is reachable.
     Texts without words have fingerprint 0 and link like any other. An empty table gives no rows.
-    least: links between different fingerprints are kept only if the shingles' Jaccard similarity is at least that, by sketches. Then a wide
-    radius finds near copies that differ in more bits; of a group, a spanning forest of its closest links is examined.
+    least: instead of a radius, two texts are linked whose distinct shingles have at least that Jaccard similarity.
     """
     rows = id_text(docs, id_col, text_col)
+    if least is not None:
+        rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
+    return _placed(rows, radius, shingle, least).select("doc_id", "fp", "component_id")
+
+
+def _placed(rows: DataFrame, radius: int, shingle: int, least: float | None) -> DataFrame:
+    """doc_id, fp, root and component_id of each row, and its row where a similarity is asked for; rows are then a table with the column row."""
     if least is None:
-        prints = written(fingerprints(rows, shingle), "fingerprints")
-        nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-        found = components(links(nodes, radius))
+        prints = written(fingerprints(rows, shingle).withColumn("node", F.col("fp")), "fingerprints")
+        nodes = written(prints.groupBy("node").agg(F.min("doc_id").alias("least")), "nodes")
+        found = components(links(nodes.select(F.col("node").alias("fp")), radius))
     else:
-        prints = written(rows.mapInArrow(tidy(_sketches(shingle)), "doc_id long, fp long, sketch binary"), "fingerprints")
-        one = F.min(F.struct("doc_id", "sketch"))
-        nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), one["sketch"].alias("sketch")), "nodes")
-        prints = prints.drop("sketch")
-        found = components(_alike(links(nodes, radius), nodes, least))
-    named = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
+        prints = written(rows.select("row", "doc_id", "text").mapInArrow(tidy(_prints(shingle)), "row long, doc_id long, fp long, node long, keys array<long>, sig binary"), "fingerprints")
+        one = F.min(F.struct("row", "keys", "sig"))
+        nodes = written(prints.groupBy("node").agg(F.min("doc_id").alias("least"), one.alias("one")).select("node", "least", "one.*"), "nodes")
+        prints = prints.drop("keys", "sig")
+        found = components(alike(rows, nodes, shingle, least))
+    named = nodes.join(found, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least")
     smallest = written(named.groupBy("root").agg(F.min("least").alias("component_id")), "least")  # a table, so that a component of many fingerprints can be split in the join
-    of = named.select("fp", "root").join(smallest, "root").select("fp", "component_id")
-    return prints.join(of, "fp").select("doc_id", "fp", "component_id")
+    of = named.select("node", "root").join(smallest, "root")
+    return prints.join(of, "node")
 
 
 def keep_first(docs: DataFrame, radius: int = 10, shingle: int = 5, least: float | None = 0.8) -> DataFrame:

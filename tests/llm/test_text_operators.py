@@ -323,3 +323,34 @@ def test_closest_forest():
     i, j, d = np.array([0, 1, 0, 2, 2]), np.array([1, 2, 2, 3, 3]), np.array([5, 1, 2, 9, 3])
     kept = simhash.closest_forest(i, j, d, 5)
     assert sorted(kept.tolist()) == [1, 2, 4]
+
+
+def edited(rng, base, k):
+    copy = list(base)
+    for i in rng.choice(len(copy), k, replace=False):
+        copy[i] = f"new{rng.integers(1 << 40)}"
+    return copy
+
+
+def jaccard(a, b, shingle=5):
+    x, y = (set(simhash.hashes(" ".join(t), shingle).tolist()) for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def grouped(spark, texts):
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    return {r["doc_id"]: r["component_id"] for r in rows(simhash.near_duplicates(docs, 10, 5, least=0.8))}
+
+
+def test_near_copies_at_any_distance(spark):
+    """Lone pairs of all similarities about 0.8: exactly those of at least 0.8 are linked, however many bits their fingerprints differ in."""
+    rng = np.random.default_rng(21)
+    texts = []
+    for _ in range(300):
+        base = [f"w{x}" for x in rng.integers(0, 1 << 40, 260)]
+        texts += [base, edited(rng, base, int(rng.integers(3, 8)))]
+    pairs = [(i, jaccard(texts[i], texts[i + 1])) for i in range(0, len(texts), 2)]
+    far = [i for i, j in pairs if j >= 0.8 and bin(simhash.fingerprint(" ".join(texts[i]), 5) ^ simhash.fingerprint(" ".join(texts[i + 1]), 5)).count("1") > 10]
+    assert len(far) >= 10 and sum(j < 0.8 for _, j in pairs) >= 30
+    found = grouped(spark, texts)
+    assert [i for i, j in pairs if (found[i + 1] == i) != (j >= 0.8)] == []
