@@ -354,3 +354,20 @@ def test_near_copies_at_any_distance(spark):
     assert len(far) >= 10 and sum(j < 0.8 for _, j in pairs) >= 30
     found = grouped(spark, texts)
     assert [i for i, j in pairs if (found[i + 1] == i) != (j >= 0.8)] == []
+
+
+def test_links_beside_nearer_texts(spark):
+    """A and C are alike; X, less than 0.8 like both, is nearer to both by fingerprint."""
+    rng = np.random.default_rng(22)
+    texts = []
+    for _ in range(20_000):
+        a = [f"w{x}" for x in rng.integers(0, 1 << 40, 130)]
+        c, x = edited(rng, a, 2), edited(rng, a, int(rng.integers(3, 5)))
+        p, q, r = (simhash.fingerprint(" ".join(t), 5) for t in (a, c, x))
+        ac, ax, xc = (bin(u ^ v).count("1") for u, v in ((p, q), (p, r), (r, q)))
+        if max(ax, xc) < ac <= 10 and jaccard(a, c) >= 0.8 > max(jaccard(a, x), jaccard(x, c)):
+            texts += [a, c, x]
+        if len(texts) == 30:
+            break
+    assert len(texts) == 30
+    assert grouped(spark, texts) == {i: i - (i % 3 == 1) for i in range(30)}
