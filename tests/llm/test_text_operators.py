@@ -371,3 +371,21 @@ def test_links_beside_nearer_texts(spark):
             break
     assert len(texts) == 30
     assert grouped(spark, texts) == {i: i - (i % 3 == 1) for i in range(30)}
+
+
+def test_similarity_is_exact(spark):
+    """Long pairs within ten bits that the 128 least hashes put on the wrong side of 0.8."""
+    rng = np.random.default_rng(23)
+    texts, alike = [], []
+    for _ in range(4_000):
+        a = [f"w{x}" for x in rng.integers(0, 1 << 40, 500)]
+        b = edited(rng, a, int(rng.integers(9, 14)))
+        j = jaccard(a, b)
+        sketches = [np.unique(simhash.hashes(" ".join(t), 5))[: simhash.SKETCH].tobytes() for t in (a, b)]
+        bits = bin(simhash.fingerprint(" ".join(a), 5) ^ simhash.fingerprint(" ".join(b), 5)).count("1")
+        if bits <= 10 and (j >= 0.8) != (simhash.similarity(*sketches) >= 0.8) and alike.count(j >= 0.8) < 10:
+            texts += [a, b]
+            alike.append(j >= 0.8)
+    assert alike.count(True) == alike.count(False) == 10
+    found = grouped(spark, texts)
+    assert [found[2 * i + 1] == 2 * i for i in range(20)] == alike
