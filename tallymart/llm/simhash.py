@@ -59,15 +59,21 @@ def fingerprint(text: str, shingle: int = 4) -> int:
     return majority(hashes(text, shingle))
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long, for each row; a null text is empty."""
+def _fingerprints(rows: DataFrame, shingle: int) -> DataFrame:
+    """The rows of longs and a text with fp in place of the text."""
+    names = [c for c in rows.columns if c != "text"]
 
     def run(batches):
         for given, texts in steps(batches):
             fp = np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([given.column("doc_id"), pa.array(fp)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*map(given.column, names), pa.array(fp)], [*names, "fp"])
+
+    return rows.mapInArrow(tidy(run), "".join(f"{c} long, " for c in names) + "fp long")
 
-    return id_text(docs, id_col, text_col).mapInArrow(tidy(run), "doc_id long, fp long")
+
+def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and fp, the fingerprint as a signed long, for each row; a null text is empty."""
+    return _fingerprints(id_text(docs, id_col, text_col), shingle)
 
 
 def bit_planes(fp: np.ndarray) -> np.ndarray:
@@ -395,9 +401,9 @@ def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, id_col:
 
 
 def _placed(rows: DataFrame, radius: int, shingle: int, least: float | None) -> DataFrame:
-    """doc_id, fp, root and component_id of each row, and its row where a similarity is asked for; rows are then a table with the column row."""
+    """doc_id, fp, root and component_id of each row, and its row if rows have one; with `least` they are a table and have one."""
     if least is None:
-        prints = written(fingerprints(rows, shingle).withColumn("node", F.col("fp")), "fingerprints")
+        prints = written(_fingerprints(rows, shingle).withColumn("node", F.col("fp")), "fingerprints")
         nodes = written(prints.groupBy("node").agg(F.min("doc_id").alias("least")), "nodes")
         found = components(links(nodes.select(F.col("node").alias("fp")), radius))
     else:
@@ -413,12 +419,14 @@ def _placed(rows: DataFrame, radius: int, shingle: int, least: float | None) ->
 
 
 def keep_first(docs: DataFrame, radius: int = 10, shingle: int = 5, least: float | None = 0.8) -> DataFrame:
-    """The rows of documents of which each component keeps the one with the smallest doc_id; columns stay as they are.
+    """The rows of documents of which each component keeps one, that with the smallest doc_id; columns stay as they are.
 
-    Of rows that repeat a kept doc_id, the first in order of text stays. Rows without a doc_id can't be told apart by it and all stay.
+    Rows stay and go by themselves, whatever other rows have their doc_id: of a component's rows with the smallest, the first in order of
+    text stays. Rows without a doc_id can't be told apart by it and all stay.
     """
-    k, n = unused(docs, "kept", "n")
-    kept = near_duplicates(docs, radius, shingle, least=least).where("doc_id = component_id").select(F.col("doc_id").alias(k)).distinct()
-    rows = docs.join(kept, F.col("doc_id").cast("long") == F.col(k))
-    first = rows.withColumn(n, F.row_number().over(Window.partitionBy(k).orderBy("text"))).where(F.col(n) == 1)
-    return first.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    r, n, root = unused(docs, "row", "n", "root")
+    numbered = written(docs.withColumn(r, F.monotonically_increasing_id()), "numbered")
+    rows = numbered.select(F.col(r).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    kept = _placed(rows, radius, shingle, least).where("doc_id = component_id").select(F.col("row").alias(r), F.col("root").alias(root))
+    first = numbered.join(kept, r).withColumn(n, F.row_number().over(Window.partitionBy(root).orderBy("text", r))).where(F.col(n) == 1)
+    return first.select(docs.columns).unionByName(numbered.where("doc_id is null").select(docs.columns))

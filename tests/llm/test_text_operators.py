@@ -389,3 +389,12 @@ def test_similarity_is_exact(spark):
     assert alike.count(True) == alike.count(False) == 10
     found = grouped(spark, texts)
     assert [found[2 * i + 1] == 2 * i for i in range(20)] == alike
+
+
+def test_repeated_ids_with_other_texts(spark):
+    """A row stays or goes by itself, not by its doc_id."""
+    one, other = (" ".join(f"{w}{i}" for i in range(30)) for w in "az")
+    docs = [(3, one), (7, one), (7, other), (8, other), (9, other), (9, "a b c"), (9, "a b c")]
+    for least in (0.8, None):
+        kept = simhash.keep_first(spark.createDataFrame(docs, "doc_id long, text string"), 3, 5, least)
+        assert sorted((r["doc_id"], r["text"]) for r in rows(kept)) == [(3, one), (7, other), (9, "a b c")]
