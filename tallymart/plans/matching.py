@@ -20,6 +20,11 @@ def cheap_listing(v: Views) -> DataFrame:
     return v.usable.where("price < 400").select("article_id", "shop_id").distinct()
 
 
+def whole_listing(v: Views) -> DataFrame:
+    """Which shops sell an article at any price."""
+    return v.usable.select("article_id", "shop_id").distinct()
+
+
 def sample_rules(v: Views) -> DataFrame:
     """Chains of one to four rules and a cycle, over brand, name, degrees and size; null matches null."""
     rows = [(1, "Brand#1", "red ring", 0.0, "m", "Brand#2", "red ring", 0.0, "m"), (2, "Brand#2", "red ring", 0.0, "m", "Brand#3", "red ring", 0.0, "l"), (3, "Brand#3", "red ring", 0.0, "l", "Brand#4", "blue ring", 0.0, "l"), (4, "Brand#4", "blue ring", 0.0, "l", "Brand#5", "blue ring", 0.0, "l"), (5, "Brand#6", "old bolt", 0.0, "s", "Brand#7", "old bolt", 0.0, "s"), (6, "Brand#7", "old bolt", 0.0, "s", "Brand#6", "old bolt", 0.0, "s"), (7, "Brand#8", "hot gear", 0.0, None, "Brand#9", "hot gear", 12.5, "xl")]
@@ -139,7 +144,7 @@ def m10_rare_degrees(v: Views) -> DataFrame:
 @query()
 def mine_rules_per_brand(v: Views) -> DataFrame:
     """Rules mined by the whole sequence of passes, one brand at a time."""
-    shops = cheap_listing(v).groupBy("article_id").agg(F.array_sort(F.collect_set("shop_id")).alias("shops"))
+    shops = whole_listing(v).groupBy("article_id").agg(F.array_sort(F.collect_set("shop_id")).alias("shops"))
     rows = v.article.withColumn("measure", F.floor(F.col("measure") / 20)).withColumn("size", F.when(F.col("size") != "xs", F.col("size")))
     return mine(rows.join(shops, "article_id", "left"))
 
@@ -180,7 +185,7 @@ def m14_full_rebuild(v: Views) -> DataFrame:
     """Articles after the whole rebuild; no shop's listing is lost."""
     rows = v.article.withColumn("measure", F.floor(F.col("measure") / 20)).withColumn("size", F.when(F.col("size") != "xs", F.col("size")))
     redirects = v.spark.createDataFrame([("Brand#10", "Brand#9"), ("Brand#11", "Brand#9")], "brand string, target string")
-    return rebuild(rows, cheap_listing(v), redirects)[0]
+    return rebuild(rows, whole_listing(v), redirects)[0]
 
 
 @query("SELECT brand, name, min(article_id) AS article_id FROM article GROUP BY 1, 2 HAVING count(*) = 1")

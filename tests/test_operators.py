@@ -163,3 +163,18 @@ def test_text_paths(spark):
 
     got = spark.range(1).select(text_paths(F.lit("<div><p>a<br>b</p><p>c</p></div>")).alias("x")).first()["x"]
     assert got == {"div[1]/p[1]": "a b", "div[1]/p[2]": "c"}
+
+
+def test_rebuild_and_mining_see_every_listing(spark, sf_dir, monkeypatch):
+    from tallymart.plans import matching
+    from tallymart.sources.views import Views
+
+    v, seen = Views(spark, sf_dir), []
+    monkeypatch.setattr(matching, "rebuild", lambda articles, listing, redirects: seen.append(listing) or (articles, None))
+    monkeypatch.setattr(matching, "mine", lambda rows: seen.append(rows.select("article_id", F.explode("shops").alias("shop_id"))))
+    matching.m14_full_rebuild(v)
+    matching.mine_rules_per_brand(v)
+    sold = {tuple(r) for r in v.usable.select("article_id", "shop_id").distinct().collect()}
+    assert {tuple(r) for r in seen[0].collect()} == sold
+    articles = {r[0] for r in v.article.select("article_id").collect()}
+    assert {tuple(r) for r in seen[1].collect()} == {r for r in sold if r[0] in articles}
