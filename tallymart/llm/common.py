@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
+import re
 import shutil
 import tempfile
 import uuid
@@ -20,13 +22,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. Where it is unset, as in tests, a local one is made for this session."""
+    """The folder in spark.checkpoint.dir, or that of setCheckpointDir. A local master without either gets a local one for this session.
+
+    On a cluster each executor would write to a disk of its own and rows would vanish, so there a missing setting is an error.
+    """
     sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir") or getattr(sc, "_tallymart_dir", None)
+    chosen = sc._jsc.sc().getCheckpointDir()
+    base = spark.conf.get("spark.checkpoint.dir", None) or (chosen.get() if chosen.isDefined() else None) or getattr(sc, "_tallymart_dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = sc._tallymart_dir = tempfile.mkdtemp(prefix="tallymart-")
-        import atexit
-
         atexit.register(shutil.rmtree, base, True)
     return base.rstrip("/")
 
@@ -52,9 +58,34 @@ def spark_tables(spark: SparkSession) -> list[str]:
     sc = spark.sparkContext
     if not hasattr(sc, "_tallymart_tables"):
         sc._tallymart_tables = []
+        atexit.register(_at_end, spark)
     return sc._tallymart_tables
 
 
+def _at_end(spark: SparkSession) -> None:
+    """Delete what a driver left that ends while its session is alive."""
+    with contextlib.suppress(Exception):
+        if not spark.sparkContext._jsc.sc().isStopped():
+            clear(spark)
+
+
+def settled(spark: SparkSession, make) -> DataFrame:
+    """make(), a table of written() or components(), after which the other scratch tables that it took are deleted."""
+    before = set(spark_tables(spark))
+    out = make()
+    for path in spark_tables(spark)[:]:
+        if path not in before and path != out.scratch_path:
+            remove(spark, path)
+    return out
+
+
+def tasks(df: DataFrame, per_task: int = 64_000_000) -> int:
+    """Tasks for a shuffle of df, a source or a table of written(): as many as its bytes on disk ask for, spark.sql.shuffle.partitions at least."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, -(-size // per_task)) if size < 1 << 60 else least  # Spark gives the largest number where it doesn't know
+
+
 def clear(spark: SparkSession) -> None:
     """Delete all scratch tables of this driver, once no DataFrame of this package is needed any more."""
     for path in spark_tables(spark)[:]:

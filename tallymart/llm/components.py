@@ -2,7 +2,8 @@
 
 Each round connects the larger neighbours of every node to its least neighbour (large star) and then the node and its smaller
 neighbours to the least of them (small star), until the edges stay the same: then every node points at the least of its component.
-The rounds are logarithmic in practice. Edges live in tables of the shared folder; nothing but their count and checksum reaches the driver.
+The rounds are logarithmic in practice. A node that very many edges share is one key of the joins; their small sides are tables, not
+aggregates, so that adaptive execution can split the rows of such a key over tasks. Edges live in tables of the shared folder; nothing but their count and checksum reaches the driver.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remove, scratch
+from .common import remove, scratch, written
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -21,21 +22,25 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     spark = edges.sparkSession
     x, y = F.col(a).cast("long"), F.col(b).cast("long")
     now = edges.select(F.greatest(x, y).alias("x"), F.least(x, y).alias("y"), x.alias("_a"), y.alias("_b")).where("_a != _b").select("x", "y").distinct()
-    state, path = None, None
+    state, path, passed = None, None, []
     while True:
         new = scratch(spark, "edges")
         now.write.parquet(new)
-        if path:
-            remove(spark, path)
-        path = new
+        for done in [path, *(x.scratch_path for x in passed)]:
+            if done:
+                remove(spark, done)
+        path, passed = new, []
         now = spark.read.schema("x long, y long").parquet(path)
         seen = tuple(now.agg(F.count("*"), F.sum((F.xxhash64("x", "y") % 1_000_000_007).cast("decimal(38,0)"))).first())
         if seen == state or not seen[0]:
-            return now.select(F.col("x").alias("node"), F.col("y").alias("root"))
+            out = now.select(F.col("x").alias("node"), F.col("y").alias("root"))
+            out.scratch_path = path
+            return out
         state = seen
         both = now.unionByName(now.select(F.col("y").alias("x"), F.col("x").alias("y")))
-        least = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("m", "x").alias("m"))
-        large = both.where("y > x").join(least, "x").select(F.col("y").alias("x"), F.col("m").alias("y")).distinct()
-        low = large.groupBy("x").agg(F.min("y").alias("m"))
+        least = written(both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("m", "x").alias("m")), "least")
+        large = written(both.where("y > x").join(least, "x").select(F.col("y").alias("x"), F.col("m").alias("y")).distinct(), "large")
+        low = written(large.groupBy("x").agg(F.min("y").alias("m")), "low")
         down = large.join(low, "x").where("y != m").select(F.col("y").alias("x"), F.col("m").alias("y"))
         now = down.unionByName(low.select("x", F.col("m").alias("y"))).distinct()
+        passed = [least, large, low]
