@@ -98,20 +98,23 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def secret_spans(text: str, model: SecretModel) -> list[tuple[int, int, int]]:
     """Base spans, and runs that the model takes and that touch none of them."""
     found = base_spans(text)
-    more = []
+    more, k, reach = [], 0, 0
     for m in RUN.finditer(text):
-        if not any(s < m.end() and m.start() < e for s, _, e in found) and model.random(m.group()):
+        while k < len(found) and found[k][0] < m.end():  # both are sorted by start: what begins before this run ends
+            reach = max(reach, found[k][2])
+            k += 1
+        if reach <= m.start() and model.random(m.group()):
             more.append((m.start(), 3, m.end()))
     return sorted(found + more) if more else found
 
 
-def sample_words(docs: DataFrame, most: int = 200, text_col: str = "text") -> list[str]:
-    """Words of at most `most` distinct texts of up to 20,000 characters, drawn by hash: the bounded sample that identifiers are made from.
+def sample_words(docs: DataFrame, most: int = 200, text_col: str = "text", longest: int = 20_000) -> list[str]:
+    """Words of at most `most` distinct texts of up to `longest` characters, drawn by hash: the bounded sample that identifiers are made from.
 
     The hashes are drawn first, so that no more texts than that ever leave the executors.
     """
     text = F.col(text_col).cast("string")
-    rows = docs.select(text.alias("t"), F.xxhash64(text).alias("h")).where(F.length("t") <= 20_000)
+    rows = docs.select(text.alias("t"), F.xxhash64(text).alias("h")).where(F.length("t") <= longest)
     drawn = [r["h"] for r in rows.select("h").distinct().orderBy("h").limit(most).collect()]
     texts = rows.where(F.col("h").isin(drawn)).dropDuplicates(["h"]).collect() if drawn else []
     return [w for r in sorted(texts, key=lambda r: r["h"]) for w in re.findall(r"[A-Za-z]{3,}", r["t"])]
