@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import random
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -235,9 +235,28 @@ def _trimmed(text: str, kind: int, s: int, e: int) -> tuple[int, int, int] | Non
     return (kind, s, e) if good else None
 
 
+def _merged(spans: list[tuple[int, int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the disjoint intervals that the spans cover."""
+    starts, ends = [], []
+    for _, s, e in sorted(spans, key=lambda x: x[1]):
+        if ends and s < ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
+    return starts, ends
+
+
+def _free(covered: tuple[list[int], list[int]], span: tuple[int, int, int]) -> bool:
+    k = bisect_left(covered[0], span[2]) - 1  # the last interval that begins before the span ends
+    return k < 0 or covered[1][k] <= span[1]
+
+
 def find_spans(texts: list[str], model: PiiModel) -> list[list[tuple[int, int, int]]]:
     """Base spans, and the spans of the model that touch none of them, of each text by kind, then start."""
     found = [base_spans(t) for t in texts]
+    covered = [_merged(f) for f in found]
+    added: list[list[tuple[int, int, int]]] = [[] for _ in texts]
     where, asked = [], []
     for i, t in enumerate(texts):
         for w in windows(t, model.MARGIN):
@@ -253,10 +272,10 @@ def find_spans(texts: list[str], model: PiiModel) -> list[list[tuple[int, int, i
                 j += 1
             if tags[k] != OUT:
                 span = _trimmed(texts[i], tags[k], part[k][0], part[j - 1][1])
-                if span and not any(s < span[2] and span[1] < e for _, s, e in found[i]):
-                    found[i].append(span)
+                if span and _free(covered[i], span) and not any(s < span[2] and span[1] < e for _, s, e in added[i][-4 * model.MARGIN :]):
+                    added[i].append(span)  # spans come in order of the text, but for the few tokens that pieces share
             k = j
-    return [sorted(f) for f in found]
+    return [sorted(f + a) for f, a in zip(found, added)]
 
 
 def find_pii(docs: DataFrame, model: PiiModel | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
