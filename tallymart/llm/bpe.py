@@ -13,6 +13,7 @@ import heapq
 import json
 import re
 import unicodedata
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,7 @@ class PairIndexBpe:
         self.suffix = model["end_of_word_suffix"] or ""
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens = {i: t for t, i in [*self.vocab.items(), *self.special.items()]}
+        self.shown = pa.array([(self.tokens[i] + " ").encode() if i in self.tokens else b"" for i in range(max(self.tokens) + 2)], pa.large_binary())
         symbols = byte_symbols()
         self.inner = np.array([self.vocab.get(c, -1) for c in symbols], np.int64)
         self.final = np.array([self.vocab.get(c + self.suffix, -1) for c in symbols], np.int64)
@@ -140,34 +142,43 @@ class PairIndexBpe:
         return out
 
     def learn(self, chunks: list[str]) -> list[tuple[bytes, bytes]]:
-        """Of runs without white space the ids in decimal and the decoded tokens, each followed by a space."""
+        """Of runs without white space the ids, in decimal with a space behind each and as numbers of 4 bytes."""
         pieces = [self.pattern.findall(self.normal(c)) for c in chunks]
         distinct = list({p for ps in pieces for p in ps})
         ids = dict(zip(distinct, self.merge([p.encode() for p in distinct])))
-        text = {p: ("".join([f"{i} " for i in got if i >= 0]).encode(), "".join([self.tokens[i] + " " for i in got if i in self.tokens]).encode()) for p, got in ids.items()}
+        text = {}
+        for p, got in ids.items():
+            got = [i for i in got if i >= 0]
+            text[p] = "".join([f"{i} " for i in got]).encode(), array("I", got).tobytes()
         return [text[ps[0]] if len(ps) == 1 else (b"".join([text[p][0] for p in ps]), b"".join([text[p][1] for p in ps])) for ps in pieces]
 
-    def decode(self, ids) -> str:
-        """As the library decodes without a decoder: known tokens joined by a space."""
-        return " ".join(self.tokens[i] for i in ids if i in self.tokens)
+    def decode(self, coded: list[np.ndarray]) -> list[bytes]:
+        """The text of each array of ids, as the library decodes without a decoder: known tokens joined by a space."""
+        ends = np.cumsum([0, *map(len, coded)])
+        flat = np.concatenate([np.zeros(0, np.int64), *coded]).astype(np.int64)
+        flat[(flat < 0) | (flat >= len(self.shown))] = len(self.shown) - 1
+        shown = self.shown.take(pa.array(flat))
+        at = np.frombuffer(shown.buffers()[1], np.int64)[: len(flat) + 1][ends].tolist() if len(flat) else [0] * len(ends)
+        data = memoryview(shown.buffers()[2] or b"") if len(flat) else memoryview(b"")
+        return [bytes(data[i : j - 1]) if j > i else b"" for i, j in zip(at, at[1:])]
 
     def whole(self, text: str) -> list[bytes]:
         """The same two values of a text that may hold strings of special tokens or odd separators."""
         out = [[], []]
         for k, part in enumerate(self.parts.split(text) if self.parts else [text]):
             if k % 2:
-                found = [(f"{self.special[part]} ".encode(), f"{part} ".encode())]
+                found = [(f"{self.special[part]} ".encode(), array("I", [self.special[part]]).tobytes())]
             else:
                 found = self.learn([c for c in _RUN.split(part) if c])
-            for ids, shown in found:
-                out[0].append(ids)
-                out[1].append(shown)
+            for decimal, ids in found:
+                out[0].append(decimal)
+                out[1].append(ids)
         return [b"".join(x) for x in out]
 
-    def __call__(self, texts: pa.Array) -> list[tuple[bytes, bytes]]:
-        """(ids in decimal joined by a space, decoded text) of each text."""
+    def __call__(self, texts: pa.Array) -> list[tuple[bytes, np.ndarray]]:
+        """(ids in decimal joined by a space, ids) of each text."""
         found = [v if v is not None else self.whole(texts[i].as_py()) for i, v in enumerate(self.chunks(texts))]
-        return [(ids[:-1], shown[:-1]) for ids, shown in found]
+        return [(decimal[:-1], np.frombuffer(ids, np.uint32)) for decimal, ids in found]
 
 
 _coders: dict[str, PairIndexBpe] = {}
@@ -186,7 +197,7 @@ def _per_text(docs: DataFrame, schema: str, make, tokenizer: str | None, id_col:
     def run(batches):
         code = coder(path)
         for given in parts(batches, STEP):
-            yield pa.RecordBatch.from_pydict({"doc_id": given.column("doc_id"), **make(code(given.column("text")))})
+            yield pa.RecordBatch.from_pydict({"doc_id": given.column("doc_id"), **make(code, code(given.column("text")))})
 
     return id_text(docs, id_col, text_col).mapInArrow(tidy(run), schema)
 
@@ -194,8 +205,8 @@ def _per_text(docs: DataFrame, schema: str, make, tokenizer: str | None, id_col:
 def bpe_encode(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and ids (array of int) of every text. A null or empty text has none; repeated rows and null ids stay as rows."""
 
-    def make(coded):
-        return {"ids": pa.array([list(map(int, i.split())) for i, _ in coded], pa.list_(pa.int32()))}
+    def make(_, coded):
+        return {"ids": pa.array([ids.astype(np.int32) for _, ids in coded], pa.list_(pa.int32()))}
 
     return _per_text(docs, "doc_id long, ids array<int>", make, tokenizer, id_col, text_col)
 
@@ -207,7 +218,8 @@ def bpe_decode(encoded: DataFrame, tokenizer: str | None = None, id_col: str = "
     def run(batches):
         code = coder(path)
         for b in batches:
-            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "text": pa.array([code.decode(ids or ()) for ids in b.column("ids").to_pylist()], pa.string())})
+            ids = [np.array([-1 if i is None else i for i in ids or ()], np.int64) for ids in b.column("ids").to_pylist()]
+            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "text": pa.array([t.decode() for t in code.decode(ids)], pa.string())})
 
     from pyspark.sql import functions as F
 
@@ -215,10 +227,11 @@ def bpe_decode(encoded: DataFrame, tokenizer: str | None = None, id_col: str = "
 
 
 def bpe_digest(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """n_tokens and SHA-256 of the ids and of the decoded text of every document, made in one pass."""
+    """n_tokens and SHA-256 of the ids and of the text decoded from them of every document, made in one pass."""
 
-    def make(coded):
-        sha = [[hashlib.sha256(x).hexdigest() for x in col] for col in zip(*coded)] or [[], []]
-        return {"n_tokens": pa.array([i.count(b" ") + 1 if i else 0 for i, _ in coded], pa.int64()), "ids_sha256": pa.array(sha[0], pa.string()), "decoded_sha256": pa.array(sha[1], pa.string())}
+    def make(code, coded):
+        ids, texts = [x for _, x in coded], [hashlib.sha256(decimal).hexdigest() for decimal, _ in coded]
+        shown = [hashlib.sha256(x).hexdigest() for x in code.decode(ids)]
+        return {"n_tokens": pa.array(list(map(len, ids)), pa.int64()), "ids_sha256": pa.array(texts, pa.string()), "decoded_sha256": pa.array(shown, pa.string())}
 
     return _per_text(docs, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", make, tokenizer, id_col, text_col)
