@@ -1,6 +1,7 @@
 """Token ids as length-delimited binary records, with an offset index beside them.
 
-A file holds records in ascending doc_id order; files in name order hold ascending ranges. A record is
+A file holds records in ascending doc_id order; part-PPPPP-...-cCCC is file C of range P, and ranges, then files of a range, ascend as numbers
+(as text, c1000 would stand before c101). A file ends with the record that fills FILE_BYTES, so a reader that takes a file whole is bounded. A record is
 
     u64  length of the payload in bytes, little-endian
     u32  masked CRC-32 of those 8 bytes
@@ -25,9 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import id_text, parts, scratch, tidy
+from .common import id_text, parts, scratch, tasks, tidy
 from .tokenizing import STEP, encoder, tokenizer_path
 
+FILE_BYTES = 16_000_000
 HEAD, INDEX_SCHEMA = struct.Struct("<QI"), "file string, offset long, length long, doc_id long, file_start long, n_tokens long, ids_crc32 long"
 
 
@@ -60,13 +62,25 @@ def parse(content: bytes):
         at = end + 5
 
 
-def _framed(path: str, end: int, wide: bool):
+def _framed(path: str, end: int, wide: bool, most_records: int, most_bytes: int):
+    """One row for each file: its records, all but the last with their line feed."""
+
     def run(batches):
         encode = encoder(path, "words", "I" if wide else "H")
-        tail = encode.pack([end])
+        tail, held, size = encode.pack([end]), [], 0
+
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array([b"\n".join(held)], pa.binary())], ["value"])
+
         for given in parts(batches, STEP):
-            ids = encode(given.column("text"))
-            yield pa.RecordBatch.from_arrays([pa.array([frame(d, i + tail, wide) for d, i in zip(given.column("doc_id").to_pylist(), ids)], pa.binary())], ["value"])
+            for doc_id, ids in zip(given.column("doc_id").to_pylist(), encode(given.column("text"))):
+                held.append(frame(doc_id, ids + tail, wide))
+                size += len(held[-1]) + 1
+                if size >= most_bytes or len(held) >= most_records:
+                    yield out()
+                    held, size = [], 0
+        if held:
+            yield out()
 
     return run
 
@@ -83,17 +97,16 @@ def _indexed(batches):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], [f.split()[0] for f in INDEX_SCHEMA.split(", ")])
 
 
-def write_records(docs: DataFrame, path: str, tokenizer: str | None = None, end: int = 2, wide: bool = False, records_per_file: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> None:
+def write_records(docs: DataFrame, path: str, tokenizer: str | None = None, end: int = 2, wide: bool = False, records_per_file: int = 20_000, file_bytes: int = FILE_BYTES, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode every text, add the id `end` and write the records under `path`. wide: 4 bytes an id, for vocabularies beyond 65,536.
 
-    Texts are dealt by ranges of doc_id, of which Spark samples the bounds, and sorted within them; rows with the same
-    id follow each other in order of their texts, a null id comes first, a null text is empty.
+    Texts are dealt by ranges of doc_id and of how the text begins, of which Spark samples the bounds, and sorted within them; rows with the
+    same id follow each other in order of their texts, and many of them are many ranges. A null id comes first, a null text is empty.
     """
-    spark = docs.sparkSession
-    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = id_text(docs, id_col, text_col).repartitionByRange(ranges, "doc_id").sortWithinPartitions("doc_id", "text")
-    frames = dealt.mapInArrow(tidy(_framed(tokenizer or tokenizer_path("word_bpe_49k.json"), end, wide)), "value binary")
-    frames.select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\n").option("maxRecordsPerFile", records_per_file).text(path)
+    rows = id_text(docs, id_col, text_col)
+    dealt = rows.repartitionByRange(tasks(docs), F.col("doc_id"), F.substring("text", 1, 24)).sortWithinPartitions("doc_id", "text")
+    files = dealt.mapInArrow(tidy(_framed(tokenizer or tokenizer_path("word_bpe_49k.json"), end, wide, records_per_file, file_bytes)), "value binary")
+    files.select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\n").option("maxRecordsPerFile", 1).text(path)
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
@@ -118,13 +131,17 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 def token_records(docs: DataFrame, path: str | None = None, **options) -> DataFrame:
     """Write records and their index (path/records, path/index), and give the index with `start`, the ids of all documents before.
 
-    The totals of files are summed in file order: one row a file, however many documents there are.
+    The totals of files are summed in order of their ranges, then of their numbers within the range; only the totals of ranges meet in one task.
     """
     spark = docs.sparkSession
     path = path or scratch(spark, "records")
     write_records(docs, f"{path}/records", **options)
     read_index(spark, f"{path}/records").write.parquet(f"{path}/index")
     index = spark.read.schema(INDEX_SCHEMA).parquet(f"{path}/index")
-    totals = index.groupBy("file").agg(F.sum("n_tokens").alias("total"))
-    before = totals.select("file", F.coalesce(F.sum("total").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    number = lambda pattern: F.regexp_extract("file", pattern, 1).cast("long")
+    totals = index.groupBy("file").agg(F.sum("n_tokens").alias("total")).select("file", "total", number(r"part-(\d+)-[^/]*$").alias("range"), number(r"-c(\d+)[^/]*$").alias("number"))
+    ahead = lambda w: F.coalesce(F.sum("total").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    files = totals.withColumn("inside", ahead(Window.partitionBy("range").orderBy("number")))
+    ranges = totals.groupBy("range").agg(F.sum("total").alias("total")).select("range", ahead(Window.orderBy("range")).alias("outside"))
+    before = files.join(ranges, "range").select("file", (F.col("inside") + F.col("outside")).alias("before"))
     return index.join(before, "file").withColumn("start", F.col("before") + F.col("file_start")).drop("before")
