@@ -3,8 +3,9 @@
 Every partition packs what it reads, one document after another: a bitset has bit f set while an open bin has f free
 places, so the tightest bin that takes a piece is the lowest set bit from the piece's length on. When more than
 `open_bins` are open, the fullest is closed. Bins that are still open when the partition ends are few (at most
-`open_bins`); a second round takes those of `merge` neighbouring partitions apart and packs their pieces together by the
-same rule, longest first. Neither round needs the texts or ids of another partition, so only rows of a few numbers are shuffled.
+`open_bins`); a second round takes those of `merge` partitions apart and packs their pieces as they come by the same rule, with
+the same bound. Neither round needs the texts or ids of another partition, so only rows of a few numbers are shuffled, and neither
+holds more than `open_bins` bins.
 """
 
 from __future__ import annotations
@@ -109,16 +110,26 @@ def _packed(path: str, size: int, open_bins: int, end: int):
 
 
 def _repacked(size: int, open_bins: int):
-    def run(key, table):
-        rows = sorted(table.to_pylist(), key=lambda r: (-r["length"], r["part"], r["sequence_id"], r["offset"]))
-        bins = Bins(size, max(open_bins, len(rows)))  # the group is bounded: all its bins may stay open
-        base, placed = (1 << 62) | (key[0].as_py() << 36), []
-        for r in rows:
-            placed += bins.add(r, r["length"])
-        placed += [x for rest in bins.rest() for x in rest]
+    def run(batches):
+        from pyspark import TaskContext
+
+        base, bins, closed = (1 << 62) | (TaskContext.get().partitionId() << 36), Bins(size, open_bins), []
         names = [f.split()[0] for f in SCHEMA.split(", ")]
-        out = [r | {"sequence_id": base + b, "offset": at} for r, b, at in placed]
-        return pa.table({n: pa.array([r[n] for r in out], pa.int32() if n == "piece" else pa.int64()) for n in names})
+        types = [pa.int32() if n == "piece" else pa.int64() for n in names]
+
+        def out(rows):
+            columns = zip(*[(*item, base + b, at) for item, b, at in rows])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
+
+        for batch in batches:
+            for item in zip(*[batch.column(n).to_pylist() for n in names[:5]]):
+                closed += bins.add(item, item[3])
+            if closed:
+                yield out(closed)
+                closed = []
+        last = [row for rows in bins.rest() for row in rows]
+        if last:
+            yield out(last)
 
     return run
 
@@ -134,5 +145,6 @@ def best_fit_pack(docs: DataFrame, tokenizer: str | None = None, size: int = 204
     rows = written(id_text(docs, id_col, text_col).mapInArrow(tidy(_packed(path, size, open_bins, end)), f"{SCHEMA}, part int, open boolean"), "packing")
     names = [f.split()[0] for f in SCHEMA.split(", ")]
     sets = ((rows.agg(F.max("part")).first()[0] or 0) + merge) // merge
-    again = rows.where("open").withColumn("set", (F.col("part") % sets).cast("long")).groupBy("set").applyInArrow(_repacked(size, open_bins), SCHEMA)
-    return rows.where("not open").select(names).unionByName(again.select(names))
+    dealt = rows.where("open").withColumn("set", F.col("part") % sets).repartition(sets, "set").sortWithinPartitions("set", "part", "sequence_id", "offset")
+    again = written(dealt.select(names).mapInArrow(tidy(_repacked(size, open_bins)), SCHEMA), "repacked")  # a table: sequences are numbered by task
+    return rows.where("not open").select(names).unionByName(again)

@@ -124,6 +124,35 @@ def test_packing(spark, sf_dir, messy, empty):
     assert packing.best_fit_pack(empty).count() == 0
 
 
+def test_packed_pieces(spark, sf_dir, messy):
+    """Each piece's place in its document and the checksum of its ids against the library, and gapless sequences, through both rounds."""
+    df = table(spark, sf_dir, "documents").select("doc_id", "text").unionByName(messy.where("doc_id > 7").selectExpr("doc_id + 100000 as doc_id", "text"))
+    texts = {r["doc_id"]: r["text"] or "" for r in df.collect()}
+    lib = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
+    expected = collections.Counter()
+    for i, t in texts.items():
+        ids = np.array(lib.encode(t, add_special_tokens=False).ids + [0], "<u4")
+        for k, (start, n) in enumerate(packing.pieces(len(ids), 256)):
+            expected[(i, k, start, n, zlib.crc32(ids[start : start + n].tobytes()))] += 1
+    found = rows(packing.best_fit_pack(df.repartition(5), size=256, open_bins=8, merge=2))
+    assert collections.Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in found) == expected
+    ends = collections.defaultdict(list)
+    for r in found:
+        ends[r["sequence_id"]].append((r["offset"], r["offset"] + r["length"]))
+    assert all([a for a, _ in sorted(x)] == [0, *[b for _, b in sorted(x)][:-1]] and sorted(x)[-1][1] <= 256 for x in ends.values())
+
+
+def test_open_bins_are_bounded():
+    """However many pieces come, no more bins than allowed are open, and few places are lost."""
+    rng = np.random.default_rng(9)
+    lengths = rng.integers(1, 1500, 20_000).tolist()
+    bins, closed = packing.Bins(2048, 512), 0
+    for n in lengths:
+        closed += len({b for _, b, _ in bins.add(n, n)})
+        assert bins.count <= 512
+    assert closed + sum(1 for _ in bins.rest()) <= 1.06 * sum(lengths) / 2048
+
+
 def test_pieces_and_bins():
     assert packing.pieces(5, 4) == [(0, 1), (1, 4)] and packing.pieces(8, 4) == [(0, 4), (4, 4)] and packing.pieces(3, 4) == [(0, 3)]
     bins, closed = packing.Bins(10, 2), []
