@@ -191,9 +191,41 @@ def plain_vectors(data):
     return collections.Counter((d[0], k, c, d[0] is not None and d[0] == c) for d, k, c in zip(data, links, least))
 
 
+def test_vectors_of_any_size(spark):
+    """Components whose squares over- or underflow in double, and labels that are texts."""
+    data = [(1, [1e-170, 2e-170], "x"), (2, [1e160, 2e160], "x"), (3, [1.0, 2.0], "x"), (4, [1.0, 2.0], "y"), (5, [2.0, -1.0], "x"), (6, [5e-324, 1e-323], "x"), (7, [1e308, 1.7e308], "x")]
+    found = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in rows(embed_dedup.near_vectors(spark.createDataFrame(data, "vec_id long, embedding array<double>, label string")))}
+    assert found == {1: (4, 1), 2: (4, 1), 3: (4, 1), 4: (0, 4), 5: (0, 5), 6: (4, 1), 7: (4, 1)}
+
+
+def test_hot_label_is_sent_few_times(spark, monkeypatch):
+    """The blocks of one label are sent once for each tile, not for each block."""
+    monkeypatch.setattr(embed_dedup, "BLOCK", 64)
+    monkeypatch.setattr(embed_dedup, "TILE_BYTES", 64 * 16 * 8 * 8)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(4_000, 16)) * 0.02 + 1  # all near each other
+    data = [(i, [float(v) for v in r], 1) for i, r in enumerate(x)]
+    sent = []
+    real = embed_dedup.written
+
+    def written(df, what, *a):
+        out = real(df, what, *a)
+        if what == "wanted":
+            sent.append(out.count())
+        return out
+
+    monkeypatch.setattr(embed_dedup, "written", written)
+    found = rows(embed_dedup.near_vectors(spark.createDataFrame(data, "vec_id long, embedding array<double>, label long")))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    assert sorted((r["vec_id"], r["n_links"]) for r in found) == list(enumerate(((unit @ unit.T >= 0.98).sum(1) - 1).tolist()))
+    blocks = -(-4_000 // 64)
+    assert sent[0] <= blocks * (blocks / 8 + 6)
+
+
 @pytest.mark.parametrize("block", [8, 2048])
 def test_vectors(spark, monkeypatch, block):
     monkeypatch.setattr(embed_dedup, "BLOCK", block)
+    monkeypatch.setattr(embed_dedup, "TILE_BYTES", block * 6 * 8 * 3)
     monkeypatch.setattr(embed_dedup, "LEAF", 4)
     rng = np.random.default_rng(7)
     centre = rng.normal(size=(12, 6))
