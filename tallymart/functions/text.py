@@ -22,14 +22,24 @@ UNIT_SPELLINGS = {
 }
 MARKED_UNITS = ("cc", "lt", "gr", "kg", "mt")
 
-#: Sizes and what they are called here.
-SIZE_NAMES = {"xs": "xp", "s": "p", "ch": "p", "ch-m": "p-m", "s-m": "p-m", "l": "g", "l-xl": "g-xg", "xl": "xg", "xxl": "xxg"}
+#: Sizes as they are written, with the word for size before them, and what they are called here.
+SIZE_NAMES = {
+    "talla xs": "talla xp",
+    "talla s": "talla p",
+    "talla ch": "talla p",
+    "talla ch-m": "talla p-m",
+    "talla s-m": "talla p-m",
+    "talla l": "talla g",
+    "talla l-xl": "talla g-xg",
+    "talla xl": "talla xg",
+    "talla xxl": "talla xxg",
+}
 
 #: Litres of a gallon.
 GALLON = 3.785411784
 
 #: How pack counts are written, in the order in which they are tried.
-PACK_PATTERNS = (r"(\d+)\s*(?:packs?|unidades?|pack)\s*x", r"(\d+)\s*unidades", r"(\d+)\s*unidad", r"(\d+)\s*unid", r"(\d+)\s*uds", r"(\d+)\s*x\s*", r"\s+x\s*(\d+)", r"^(\d{1,2})")
+PACK_PATTERNS = (r"(\d+)\s*(?:packs?|unidades?|pack)\s*x", r"(\d+)\s*unidades", r"(\d+)\s*unidad", r"(\d+)\s*unid", r"(\d+)\s*uds", r"(\d+)\s*x\s*", r"\s*[^\S\n\t]+x\s*(\d+)", r"^(\d{1,2})")
 
 #: A stop list of our own for product names.
 STOP_WORDS = ("de", "del", "la", "el", "los", "las", "con", "sin", "para", "por", "en", "y", "a", "al", "un", "una", "the", "of", "and")
@@ -58,6 +68,19 @@ def scaled(quantity: Column, unit: Column) -> tuple[Column, Column]:
     return F.when(small, q * 1000.0).otherwise(q), F.when(u.eqNullSafe(F.lit("lt")) & small, "cc").when(u.eqNullSafe(F.lit("kg")) & small, "gr").otherwise(u)
 
 
+def subset_in_order(words: Column, asked: Column) -> tuple[Column, Column]:
+    """Whether the asked words are among the words, in their order though not side by side, and the words without the first such ones."""
+    left = F.filter(words, lambda w: F.lit(False))
+    start = F.struct(F.lit(0).alias("i"), left.alias("rest"))
+
+    def step(s, w):
+        hit = F.coalesce(F.get(asked, s["i"]) == w, F.lit(False))
+        return F.struct((s["i"] + hit.cast("int")).alias("i"), F.when(hit, s["rest"]).otherwise(F.concat(s["rest"], F.array(w))).alias("rest"))
+
+    done = F.aggregate(words, start, step)
+    return F.coalesce((done["i"] == F.size(asked)) & (F.size(asked) > 0), F.lit(False)), done["rest"]
+
+
 def is_number(text: Column) -> Column:
     """Digits only, points and commas aside."""
     return F.translate(text, ".,", "").rlike("^[0-9]+$")
@@ -105,7 +128,7 @@ def measure(text: Column, units: Sequence[str]) -> tuple[Column, Column]:
 
 
 def size_name(size: Column) -> Column:
-    """The canonical size of a letter size; others stay, with / as -."""
+    """The canonical size of a size that the word for it stands before; others, bare letters too, stay, with / as -."""
     s = F.trim(F.replace(size, F.lit("/"), F.lit("-")))
     return reduce(lambda out, kv: F.when(s == kv[0], kv[1]).otherwise(out), SIZE_NAMES.items(), s)
 

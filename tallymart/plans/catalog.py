@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.tables import all_of, facets, narrowed, page, without
+from ..functions import text as T
+from ..operators.tables import facets, narrowed, page, without
 from ..registry import query
 from ..sources.views import Views
 
@@ -31,19 +32,25 @@ def best_offer_per_article(v: Views) -> DataFrame:
 
 
 def search(v: Views, text: str, least_sellers: int = 2, number: int = 1, size: int = 20, **filters) -> DataFrame:
-    """Articles by text: a barcode finds just its articles; else words that name a brand narrow to it, the first other word starts the name and the
-    rest stand in it. Cheapest per unit first, one page."""
+    """Articles by text: a barcode finds just its articles; else words that name a brand, of one word or more, narrow to all brands that are so
+    named, the first word that isn't the brand's starts the name and the rest stand in it. Cheapest per unit first, one page.
+
+    A brand is named where its words are a subset of the text's in their order, without regard to case. Every article is tested against its own
+    brand, so neither the subsets nor the brands are listed; only whether any brand is named reaches the driver.
+    """
     words = [w for w in text.split() if w]
     articles = narrowed(v.article, **filters)
     if text.strip().isdigit() and len(text.strip()) >= 8:
         articles = articles.where(F.col("ean") == text.strip())
     else:
-        brands = [r["brand"] for r in v.article.where(F.lower("brand").isin([w.lower() for w in words])).select("brand").distinct().limit(len(words)).collect()]
-        rest = [w for w in words if w.lower() not in {b.lower() for b in brands}]
-        name = F.lower("name")
-        asked = [F.col("brand").isin(brands)] if brands else []
-        asked += [name.startswith(w.lower()) if i == 0 else name.contains(w.lower()) for i, w in enumerate(rest)]
-        articles = articles.where(all_of(asked))
+        given, name = F.array(*[F.lit(w.lower()) for w in words]).cast("array<string>"), F.lower("name")
+        named, rest = T.subset_in_order(given, F.split(F.trim(F.lower("brand")), r"\s+"))
+        if v.article.where(named).select("brand").limit(1).collect():
+            articles = articles.where(named)
+        else:
+            rest = given
+        starts = (F.size(rest) == 0) | F.startswith(name, F.get(rest, 0))
+        articles = articles.where(starts & F.forall(rest, lambda w: F.contains(name, w)))
     found = best_offers(v.usable.join(articles.select("article_id"), "article_id", "left_semi"), articles, least_sellers)
     return page(found, number, size, F.col("price_per_unit").asc_nulls_last(), F.col("article_id"))
 
@@ -173,21 +180,21 @@ def j02_article_to_shops(v: Views) -> DataFrame:
     return v.listing.join(v.shop.select("shop_id", "name"), "shop_id").select("article_id", "shop_id", "name")
 
 
-@query("SELECT a.article_id, count(DISTINCT u.shop_id) AS sellers FROM article a LEFT JOIN (SELECT * FROM usable WHERE price < 250) u ON u.article_id = a.article_id GROUP BY 1")
+@query("SELECT a.article_id, count(DISTINCT u.shop_id) AS sellers FROM article a LEFT JOIN usable u ON u.article_id = a.article_id GROUP BY 1")
 def sellers_per_article(v: Views) -> DataFrame:
-    """Every article, with zero where nobody sells it below a price."""
-    sellers = v.usable.where("price < 250").groupBy("article_id").agg(F.count_distinct("shop_id").alias("sellers"))
+    """Every article, with zero where nobody sells it."""
+    sellers = v.usable.groupBy("article_id").agg(F.count_distinct("shop_id").alias("sellers"))
     return v.article.select("article_id").join(sellers, "article_id", "left").select("article_id", F.coalesce("sellers", F.lit(0)).cast("long").alias("sellers"))
 
 
-@query("SELECT article_id, name FROM article WHERE article_id NOT IN (SELECT article_id FROM usable WHERE price < 250)")
+@query("SELECT article_id, name FROM article WHERE article_id NOT IN (SELECT article_id FROM usable)")
 def articles_without_sellers(v: Views) -> DataFrame:
-    return v.article.join(v.usable.where("price < 250"), "article_id", "left_anti").select("article_id", "name")
+    return v.article.join(v.usable.select("article_id"), "article_id", "left_anti").select("article_id", "name")
 
 
-@query("SELECT brand, count(*) AS articles FROM article WHERE article_id IN (SELECT article_id FROM usable WHERE price < 120) GROUP BY 1")
+@query("SELECT brand, count(*) AS articles FROM article WHERE article_id IN (SELECT article_id FROM usable) GROUP BY 1")
 def brands_with_articles(v: Views) -> DataFrame:
-    return v.article.join(v.usable.where("price < 120"), "article_id", "left_semi").groupBy("brand").agg(F.count("*").alias("articles"))
+    return v.article.join(v.usable.select("article_id"), "article_id", "left_semi").groupBy("brand").agg(F.count("*").alias("articles"))
 
 
 @query("SELECT a.article_id, b.article_id AS other_id, a.ean FROM article a JOIN article b ON a.ean = b.ean AND a.article_id < b.article_id")

@@ -1,6 +1,7 @@
 """Table operators, rules, mining, files and streams on small tables."""
 
 import gzip
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,10 +9,15 @@ from pyspark.sql import functions as F
 from tallymart.operators import tables as O
 from tallymart.operators.mining import mine
 from tallymart.operators.rules import apply_rules, rule_hits, rule_upsert
+from tallymart.plans import catalog, matching
 from tallymart.plans.catalog import redirected
 from tallymart.plans.history import price_matrix
+from tallymart.plans.normalise import named_in
 from tallymart.plans.reports import freshness
+from tallymart.session import shared_folder
 from tallymart.sources import files
+from tallymart.streaming.changes import streamed_changes
+from tallymart.streaming.run import drained
 
 
 def got(df, *columns):
@@ -40,6 +46,73 @@ def test_pages(spark):
     assert sorted(map(tuple, pages)) == [(1, 10), (2, 10), (3, 5)]
 
 
+class Shop:
+    """Views of a few articles and offers."""
+
+    def __init__(self, spark, articles, sold):
+        self.spark = spark
+        self.article = spark.createDataFrame([(i, n, b, 1, "780000000000") for i, n, b in articles], "article_id long, name string, brand string, units long, ean string")
+        self.usable = spark.createDataFrame([(i, s, 100 + s) for i in sold for s in (1, 2)], "article_id long, shop_id long, price long")
+        self.listing = self.usable.select("article_id", "shop_id")
+
+
+def test_search_by_brands(spark):
+    """All brands that are so named, whatever their case and however many words they have; none is cut off."""
+    v = Shop(spark, [(1, "ring", "Acme"), (2, "ring", "ACME"), (3, "ring", "Red Star"), (4, "red star ring", "Other"), (5, "acme bolt", "Other"), (6, "bolt ring", "Acme")], range(1, 7))
+    found = lambda text: sorted(r["article_id"] for r in catalog.search(v, text).collect())
+    assert found("acme") == [1, 2, 6] and found("acme ring") == [1, 2] and found("ring acme") == [1, 2]
+    assert found("red star ring") == [3] and found("red ring star") == [3] and found("star red ring") == []
+    assert found("acme bolt") == [6] and found("bolt") == [6] and found("nothing") == [] and found("") == [1, 2, 3, 4, 5, 6]
+
+
+def test_articles_without_sellers(spark):
+    v = Shop(spark, [(1, "a", "x"), (2, "b", "x"), (3, "c", "y")], [1])
+    assert got(catalog.articles_without_sellers(v), "article_id") == [(2,), (3,)]
+    assert got(catalog.sellers_per_article(v), "article_id", "sellers") == [(1, 2), (2, 0), (3, 0)]
+    assert got(catalog.brands_with_articles(v), "brand", "articles") == [("x", 1)]
+
+
+def test_named_by_subsets(spark):
+    texts = spark.createDataFrame([(1, "old red big star ring ring"), (2, "star red"), (3, "red"), (4, "")], "id long, text string")
+    names = spark.createDataFrame([("red star",), ("star",), ("ring ring",), ("old red big star ring ring",), ("red red",)], "name string")
+    from itertools import combinations
+
+    expected = sorted({(r["id"], n["name"]) for r in texts.collect() for n in names.collect() if tuple(n["name"].split()) in {c for k in range(1, 7) for c in combinations(r["text"].split(), k)}})
+    assert got(named_in(texts, names, "id"), "id", "name") == expected
+
+
+def test_disjoint_sellers(spark):
+    v = Shop(spark, [(1, "a", "x"), (2, "a", "x"), (3, "a", "x"), (4, "b", "x")], [])
+    v.usable = spark.createDataFrame([(1, 1, 10), (2, 1, 10), (2, 2, 10), (3, 3, 900)], "article_id long, shop_id long, price long")
+    assert got(matching.disjoint_sellers(v), "article_id", "other_id") == [(1, 3), (2, 3)]
+
+
+def test_stream_changes_with_nulls(spark, tmp_path):
+    """As the batch form: a leading null and a null after a null are no changes."""
+    rows_ = [(k, t, x) for k, values in ((1, [None, None, 5, 5, None, None, 5, 6]), (2, [7, None]), (3, [None])) for t, x in enumerate(values)]
+    df = spark.createDataFrame(rows_, "k long, t long, v long")
+    df.repartition(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    found = drained(streamed_changes(stream, "k", ("t",), "v"), str(tmp_path / "out"))
+    assert got(found, "k", "t") == got(O.changes_only(df, "k", ("t",), "v"), "k", "t") == [(1, 2), (1, 4), (1, 6), (1, 7), (2, 0), (2, 1)]
+
+
+def test_shared_folder():
+    """A setting, then a checkpoint folder; without either a local folder on one machine and an error on a cluster."""
+    from types import SimpleNamespace as Some
+
+    def made(master, conf=None, chosen=None):
+        option = Some(isDefined=lambda: chosen is not None, get=lambda: chosen)
+        return Some(conf=Some(get=lambda k, d: conf), sparkContext=Some(master=master, _jsc=Some(sc=lambda: Some(getCheckpointDir=lambda: option))))
+
+    assert shared_folder(made("spark://host:7077", "hdfs://a/b/", "x")) == "hdfs://a/b"
+    assert shared_folder(made("yarn", None, "hdfs://c")) == "hdfs://c"
+    assert os.path.isdir(shared_folder(made("local[4]")))
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError):
+            shared_folder(made(master))
+
+
 def test_overlap_with_empty_list(spark):
     df = spark.createDataFrame([(1, [1], [1, 2]), (2, [1], [2]), (3, [], [2])], "id long, a array<long>, b array<long>")
     assert got(df.select("id", O.overlapping(F.col("a"), F.col("b")).alias("o")), "id", "o") == [(1, True), (2, False), (3, True)]

@@ -56,7 +56,7 @@ def test_cleaning(spark):
     assert one(spark, T.degree_points(F.lit("4,5° gl"))) == "4.5°"
     assert one(spark, T.replaced(F.lit("a bb c"), [("bb", "d"), ("c", None)])) == "a d "
     assert [one(spark, c) for c in T.padded_phrases(F.lit("red box of tin"), ["tin", "box of", "blue"])] == ["tin box of", " red"]
-    assert one(spark, T.size_name(F.lit("s/m"))) == "p-m"
+    assert one(spark, T.size_name(F.lit("talla s/m"))) == "talla p-m" and one(spark, T.size_name(F.lit("s/m"))) == "s-m"
     assert one(spark, T.weight_range(F.lit("cat 3 a 5 kg"))) == "3 a 5 kg"
 
 
