@@ -15,11 +15,6 @@ from ..sources.views import Views
 KEY = ("brand", "name", "degrees", "size")
 
 
-def cheap_listing(v: Views) -> DataFrame:
-    """Which shops sell an article below a price: few enough that sellers of like articles may be disjoint."""
-    return v.usable.where("price < 400").select("article_id", "shop_id").distinct()
-
-
 def whole_listing(v: Views) -> DataFrame:
     """Which shops sell an article at any price."""
     return v.usable.select("article_id", "shop_id").distinct()
@@ -111,11 +106,11 @@ def ean_merge(v: Views) -> DataFrame:
     return merged.join(sellers, "ean", "left")
 
 
-@query("""WITH s AS (SELECT article_id, list(DISTINCT shop_id) AS shops FROM (SELECT DISTINCT article_id, shop_id FROM usable WHERE price < 400) GROUP BY 1) SELECT a.article_id, b.article_id AS other_id FROM article a JOIN article b ON a.brand = b.brand AND a.name = b.name AND a.article_id < b.article_id
+@query("""WITH s AS (SELECT article_id, list(DISTINCT shop_id) AS shops FROM usable GROUP BY 1) SELECT a.article_id, b.article_id AS other_id FROM article a JOIN article b ON a.brand = b.brand AND a.name = b.name AND a.article_id < b.article_id
     LEFT JOIN s x ON x.article_id = a.article_id LEFT JOIN s y ON y.article_id = b.article_id WHERE x.shops IS NOT NULL AND y.shops IS NOT NULL AND NOT list_has_any(x.shops, y.shops)""")
 def disjoint_sellers(v: Views) -> DataFrame:
     """Articles with the same brand and name that no shop sells both of; an article without sellers counts as overlapping."""
-    shops = cheap_listing(v).groupBy("article_id").agg(F.collect_set("shop_id").alias("shops"))
+    shops = whole_listing(v).groupBy("article_id").agg(F.collect_set("shop_id").alias("shops"))
     rows = v.article.select("article_id", "brand", "name").join(shops, "article_id", "left").withColumn("shops", F.coalesce("shops", F.array().cast("array<bigint>")))
     other = rows.select(F.col("article_id").alias("other_id"), "brand", "name", F.col("shops").alias("other_shops"))
     pairs = rows.join(other, ["brand", "name"]).where("article_id < other_id")

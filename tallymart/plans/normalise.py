@@ -63,9 +63,10 @@ def norm_degrees(v: Views) -> DataFrame:
     return v.product_text.select("article_id", T.degrees(clean).alias("degrees"), T.without_degrees(clean).alias("rest"))
 
 
-@query(f"SELECT article_id, {_case('size', T.SIZE_NAMES.items())} AS size FROM article")
+@query(f"SELECT article_id, {_case('written', T.SIZE_NAMES.items())} AS size FROM (SELECT article_id, CASE WHEN article_id % 3 = 0 THEN size ELSE 'talla ' || size END AS written FROM article)")
 def norm_size(v: Views) -> DataFrame:
-    return v.article.select("article_id", T.size_name(F.col("size")).alias("size"))
+    written = F.when(F.col("article_id") % 3 == 0, F.col("size")).otherwise(F.concat(F.lit("talla "), "size"))
+    return v.article.select("article_id", T.size_name(written).alias("size"))
 
 
 @query("SELECT article_id, regexp_replace(strip_accents(lower(text)), '[_ /]', '-', 'g') AS slug FROM product_text")
@@ -135,14 +136,26 @@ def m16_names_with_one_term(v: Views) -> DataFrame:
     return words.groupBy("article_id").agg(F.count("*").alias("n")).where("n = 1")
 
 
-@query("""SELECT x.article_id, s AS subset FROM (SELECT article_id, string_split(text, ' ') AS w FROM product_text) x, (SELECT unnest(generate_series(1, 7)) AS m) y,
-    LATERAL (SELECT array_to_string([w[i] for i in [1, 2, 3] if (m >> (i - 1)) & 1 = 1], ' ') AS s)""")
+def named_in(texts: DataFrame, names: DataFrame, key: str) -> DataFrame:
+    """(key, name): the names whose words are a subset of a text's words in their order, of all subsets of all its words.
+
+    Texts meet a name over its first word, so the subsets, two to the power of the words, are never listed.
+    """
+    words = texts.select(key, F.split("text", " ").alias("w"))
+    asked = names.select("name", F.split("name", " ").alias("p")).withColumn("head", F.get("p", 0))
+    near = words.select(key, "w", F.explode(F.array_distinct("w")).alias("head")).join(asked, "head")
+    return near.where(T.subset_in_order(F.col("w"), F.col("p"))[0]).select(key, "name")
+
+
+_NAMES = "SELECT DISTINCT brand AS name FROM article UNION SELECT DISTINCT colour || ' ' || brand FROM article UNION SELECT DISTINCT colour || ' ' || CAST(CAST(measure AS BIGINT) AS VARCHAR) FROM article"
+
+
+@query(f"""SELECT article_id, name AS subset FROM (SELECT article_id, unnest(list_distinct(w)) AS head, w FROM (SELECT article_id, string_split(text, ' ') AS w FROM product_text)) x
+    JOIN (SELECT name, split_part(name, ' ', 1) AS p, split_part(name, ' ', 2) AS q FROM ({_NAMES})) y ON head = p WHERE q = '' OR list_contains(w[list_position(w, p) + 1:], q)""")
 def token_subsets(v: Views) -> DataFrame:
-    """All subsets of the first three words, which a lookup of brands is joined with."""
-    words = F.slice(F.split("text", " "), 1, 3)
-    masks = v.product_text.select("article_id", words.alias("w"), F.explode(F.sequence(F.lit(1), F.lit(7))).alias("m"))
-    chosen = F.filter(F.transform("w", lambda x, i: F.when(F.col("m").bitwiseAND(F.expr("1") * F.pow(F.lit(2), i).cast("int")) > 0, x)), lambda x: x.isNotNull())
-    return masks.select("article_id", F.array_join(chosen, " ").alias("subset"))
+    """Names of one and two words that some subset of an article's words, all of them, spells."""
+    names = [F.col("brand"), F.concat_ws(" ", "colour", "brand"), F.concat_ws(" ", "colour", F.col("measure").cast("long").cast("string"))]
+    return named_in(v.product_text, v.article.select(F.explode(F.array(*names)).alias("name")).distinct(), "article_id").withColumnRenamed("name", "subset")
 
 
 @query(r"SELECT article_id, regexp_replace(text, '(\d+)([a-zA-Z]+)', '\1 \2', 'g') AS text FROM product_text")

@@ -14,8 +14,11 @@ AS_OF = "2000-01-01"
 #: The age buckets in days, from (inclusive) and to (exclusive).
 AGES = ((0, 1), (1, 2), (2, 3), (3, 4), (4, 5), (5, 6), (6, 7), (7, 8), (8, 10), (10, 15), (15, None))
 
-#: What is searched for in the paths of requests.
-ABUSE_TERMS = (".env", ".git", "/wp-admin", "/phpmyadmin", "/cgi-bin", "/etc/passwd", "/wp-config", "/../", ".bak", ".sql", "/phpunit", "/xss")
+#: What is searched for in the lines of requests.
+ABUSE_TERMS = (
+    ".php", "phpunit", "login.asp", "/.env", "/aaa9", "/aab8", "/boaform/admin/formLogin", "\\x16\\", "ReportServer", "xA7M|\\xB1", "/admin---NO", "/wp-admin", "/phpmyadmin", "/db", "/database", "/config",
+    ".env", ".git", "/phpunit", "/cgi-bin", "/etc/passwd", "/wp-config", "/..", "/../../", ".bak", ".swp", ".sql", "/xss", "/sql-injection", "/csrf", "/kali", "/metasploit",
+)
 
 
 def freshness(offers: DataFrame, as_of: str = AS_OF, inclusive: bool = False) -> DataFrame:

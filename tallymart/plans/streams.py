@@ -2,21 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..registry import query
+from ..session import shared_folder
 from ..sources.views import Views
 from ..streaming.changes import daily_counts, streamed_changes
 from ..streaming.run import drained
 
 
 def folder(v: Views) -> str:
-    """The shared folder of the session, else a local one for tests."""
-    base = v.spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{base.rstrip('/')}/streams" if base else tempfile.mkdtemp(prefix="tallymart-stream-")
+    """Where streams of the session write."""
+    return f"{shared_folder(v.spark)}/streams"
 
 
 def table_stream(v: Views, name: str) -> DataFrame:

@@ -13,7 +13,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 def streamed_changes(events: DataFrame, key: str, order: tuple[str, ...], value: str) -> DataFrame:
     """(key, order columns, value) where the value differs from the key's last. Rows of a micro-batch are ordered within it; append mode.
 
-    State is one value a key; the checkpoint of the query recovers it.
+    A null is a value like others, except that a key begins with none: a leading null is no change. State is one value a key; the checkpoint
+    of the query recovers it. A task holds the rows of one key of one micro-batch, which the source's limits on a micro-batch bound.
     """
     columns = [key, *order, value]
     types = dict(events.dtypes)
@@ -22,13 +23,11 @@ def streamed_changes(events: DataFrame, key: str, order: tuple[str, ...], value:
     def update(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last = state.get[0] if state.exists else None
         rows = pd.concat(list(batches)).sort_values(list(order), kind="stable")
-        before = rows[value].shift(1)
         if len(rows):
-            before.iloc[0] = last
-        out = rows[(rows[value] != before) | before.isna()]
-        if len(rows):
-            state.update((rows[value].iloc[-1],))
-        yield out[columns]
+            values = [None if pd.isna(x) else x for x in rows[value]]
+            new = [x is not None if b is None else x is None or x != b for b, x in zip([last, *values], values)]
+            state.update((values[-1],))
+            yield rows.loc[new, columns]
 
     return events.select(*columns).groupBy(key).applyInPandasWithState(update, schema, f"last {types[value]}", "append", GroupStateTimeout.NoTimeout)
 
