@@ -4,15 +4,14 @@ from __future__ import annotations
 
 import atexit
 import contextlib
-import re
-import shutil
-import tempfile
 import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
+
 #: Bytes of text that one step of a Python operator holds as Python objects.
 STEP_BYTES = 1_500_000
 
@@ -21,25 +20,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, or that of setCheckpointDir. A local master without either gets a local one for this session.
-
-    On a cluster each executor would write to a disk of its own and rows would vanish, so there a missing setting is an error.
-    """
-    sc = spark.sparkContext
-    chosen = sc._jsc.sc().getCheckpointDir()
-    base = spark.conf.get("spark.checkpoint.dir", None) or (chosen.get() if chosen.isDefined() else None) or getattr(sc, "_tallymart_dir", None)
-    if not base:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        base = sc._tallymart_dir = tempfile.mkdtemp(prefix="tallymart-")
-        atexit.register(shutil.rmtree, base, True)
-    return base.rstrip("/")
-
-
 def scratch(spark: SparkSession, what: str) -> str:
     """A path in the shared folder that no other run uses."""
-    path = f"{shared_dir(spark)}/tallymart/{what}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/tallymart/{what}-{uuid.uuid4().hex}"
     spark_tables(spark).append(path)
     return path
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_text, steps, tidy, unused, written
+from .common import id_text, settled, steps, tasks, tidy, unused, written
 from .components import components
 
 TILE, CHUNK, SKETCH = 2048, 512, 128
@@ -234,8 +234,7 @@ def links(distinct: DataFrame, radius: int = 4) -> DataFrame:
     dealt = rows.withColumn("other", other).select(
         "key", "fp", (F.least("own", "other") * F.lit(1 << 31) + F.greatest("own", "other")).alias("tile"), (F.col("own") > F.col("other")).cast("long").alias("side")
     )
-    parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.repartition(parts, "key", "tile").sortWithinPartitions("key", "tile", "side", "fp").mapInArrow(tidy(_linked(radius)), "a long, b long").distinct()
+    return dealt.repartition(tasks(distinct, 2_000_000), "key", "tile").sortWithinPartitions("key", "tile", "side", "fp").mapInArrow(tidy(_linked(radius)), "a long, b long").distinct()
 
 
 def minhashes(h: np.ndarray) -> np.ndarray:
@@ -374,8 +373,7 @@ def alike(rows: DataFrame, nodes: DataFrame, shingle: int, least: float) -> Data
     rooted = written(rooted.select("key", "node", "root"), "rooted")
     still = rooted.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
     open_ = rooted.join(still.select("key", F.ceil(F.col("n") / TILE).cast("long").alias("parts")), "key").join(nodes.select("node", "sig"), "node")
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tiles = _dealt(open_, "node").select("key", "tile", "side", "node", "root", "sig").repartition(parts, "key", "tile").sortWithinPartitions("key", "tile")
+    tiles = _dealt(open_, "node").select("key", "tile", "side", "node", "root", "sig").repartition(tasks(nodes), "key", "tile").sortWithinPartitions("key", "tile")
     more = written(tiles.mapInArrow(tidy(_unconnected(least)), "a long, b long").distinct(), "pairs")
     return first.unionByName(_decided(more, sets, least))
 
@@ -405,13 +403,13 @@ def _placed(rows: DataFrame, radius: int, shingle: int, least: float | None) ->
     if least is None:
         prints = written(_fingerprints(rows, shingle).withColumn("node", F.col("fp")), "fingerprints")
         nodes = written(prints.groupBy("node").agg(F.min("doc_id").alias("least")), "nodes")
-        found = components(links(nodes.select(F.col("node").alias("fp")), radius))
+        found = settled(rows.sparkSession, lambda: components(links(nodes.select(F.col("node").alias("fp")), radius)))
     else:
         prints = written(rows.select("row", "doc_id", "text").mapInArrow(tidy(_prints(shingle)), "row long, doc_id long, fp long, node long, keys array<long>, sig binary"), "fingerprints")
         one = F.min(F.struct("row", "keys", "sig"))
         nodes = written(prints.groupBy("node").agg(F.min("doc_id").alias("least"), one.alias("one")).select("node", "least", "one.*"), "nodes")
         prints = prints.drop("keys", "sig")
-        found = components(alike(rows, nodes, shingle, least))
+        found = settled(rows.sparkSession, lambda: components(alike(rows, nodes, shingle, least)))
     named = nodes.join(found, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least")
     smallest = written(named.groupBy("root").agg(F.min("least").alias("component_id")), "least")  # a table, so that a component of many fingerprints can be split in the join
     of = named.select("node", "root").join(smallest, "root")
