@@ -10,8 +10,9 @@ its own, so no task meets a whole hot bucket and no pair is lost. A tile gives a
 Near copies of some hundred words differ in ten bits or more, at which unrelated texts may meet too. Where a similarity is asked for
 (`least`), candidates therefore come from bands of MinHashes, and the Jaccard similarity of all distinct shingles decides. At 0.8 a
 pair shares none of BANDS bands of DEPTH with probability (1 - 0.8 ** 4) ** 18 = 7.6e-5, less above.
-Of each bucket first the pairs with its least node are decided, then all pairs that verified links haven't connected; only
-verified links connect, so no pair is left out because of one that is no link.
+Of each bucket first the pairs with its least node are decided. Then the sets of shingles of buckets that verified links haven't connected
+are dealt to tiles, each of which counts what its sets share, whole, and gives a spanning forest of the links between them: no
+pair of a bucket is left out, and no more links than nodes leave a tile. Only verified links connect.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from .common import id_text, settled, steps, tasks, tidy, unused, written
 from .components import components
 
 TILE, CHUNK, SKETCH = 2048, 512, 128
+#: Sets of shingles, and shingles, in a part of a bucket whose sets are compared exactly.
+SOME, ELEMENTS = 512, 2_000_000
 #: Bands of MinHashes and MinHashes in each; a byte of each makes the signature. SLACK: how far it may lie below the similarity asked for.
 BANDS, DEPTH, SLACK = 18, 4, 0.2
 SEEDS = np.random.default_rng(11).integers(0, 1 << 64, (3, BANDS * DEPTH), np.uint64, False) | np.uint64(1)
@@ -304,41 +307,65 @@ def _loosely(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     return pairs.join(ends[0], "a").join(ends[1], "b").mapInArrow(tidy(run), "a long, b long")
 
 
-def _unconnected(least: float):
-    """Of each (key, tile) all pairs of nodes with different roots whose signatures agree loosely."""
-    names = ("key", "tile", "side", "node", "root")
+def linked_sets(sets: list[np.ndarray], root: np.ndarray, own: np.ndarray, rest: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Pairs (i of own, j of rest) of a Jaccard similarity of at least `least` that connect all such pairs whose roots differ; no more pairs than sets.
+
+    Every shared element has a number, so one pass over all elements of `rest` counts what a set has in common with each of them.
+    """
+    sizes = np.array([len(x) for x in sets], np.int64)
+    _, number = np.unique(np.concatenate([sets[k] for k in (*own, *rest)]), return_inverse=True)
+    cuts = np.cumsum(sizes[own])
+    mine = np.split(number[: cuts[-1]], cuts[:-1])
+    theirs = number[cuts[-1] :]
+    at = np.cumsum(sizes[rest]) - sizes[rest]
+    full = np.flatnonzero(sizes[rest])
+    marked, out = np.zeros(number.max(initial=0) + 1, bool), []
+    root = root.copy()
+    for i, elements in zip(own.tolist(), mine):
+        if not (root[rest] != root[i]).any():
+            continue
+        marked[elements] = True
+        both = np.zeros(len(rest), np.int64)
+        if len(full):
+            both[full] = np.add.reduceat(marked[theirs], at[full], dtype=np.int64)
+        marked[elements] = False
+        whole = sizes[i] + sizes[rest] - both
+        for j in rest[(both >= least * whole) & (root[rest] != root[i])].tolist():
+            if root[j] != root[i]:
+                out.append((i, j))
+                root[root == max(root[i], root[j])] = min(root[i], root[j])
+    return out
+
+
+def _connected(least: float):
+    """Of each (key, tile) links that connect all nodes of at least that similarity which earlier links haven't; each is such a pair itself."""
+
+    def links(rows):
+        if len(rows) < 2:
+            return
+        root = np.array([r[2] for r in rows])
+        side = np.array([r[0] for r in rows])
+        own, rest = np.flatnonzero(side == 0), np.flatnonzero(side == side.max())
+        if len(own) and len(rest) and (root != root[0]).any():
+            yield from linked_sets([r[3] for r in rows], root, own, rest, least)
 
     def run(batches):
-        held, signs = [np.empty(0, np.int64)] * 5, np.empty((0, BANDS * DEPTH), np.uint8)
+        held, tile = [], None
+
+        def out():
+            found = [(rows[i][1], rows[j][1]) for rows in (held,) for i, j in links(rows)]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([min(x) for x in found], pa.int64()), pa.array([max(x) for x in found], pa.int64())], ["a", "b"])
 
-        def pairs(columns, signs, last):
-            key, tile, side, node, root = columns
-            n = len(key)
-            starts = np.r_[0, np.flatnonzero((key[1:] != key[:-1]) | (tile[1:] != tile[:-1])) + 1, n] if n else np.zeros(1, int)
-            upto = n if last or not n else int(starts[-2])
-            for i, j in zip(starts[:-1].tolist(), starts[1:].tolist()):
-                if j > upto:
-                    break
-                second = np.flatnonzero(side[i:j]) + i
-                two = len(second) > 0
-                own = np.flatnonzero(side[i:j] == 0) + i
-                for at in range(0, len(own), 64):
-                    some = own[at : at + 64]
-                    rest = second if two else own[at:]
-                    x, y = np.nonzero(root[some][:, None] != root[rest][None, :])
-                    for k in range(0, len(x), 1 << 18):
-                        p, q = some[x[k : k + (1 << 18)]], rest[y[k : k + (1 << 18)]]
-                        on = (signs[p] == signs[q]).mean(axis=1) >= least - SLACK
-                        if on.any():
-                            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[p], node[q])[on]), pa.array(np.maximum(node[p], node[q])[on])], ["a", "b"])
-            left.append(([c[upto:] for c in columns], signs[upto:]))
-
-        left: list = []
         for batch in batches:
-            columns = [np.concatenate((h, batch.column(c).to_numpy())) for h, c in zip(held, names)]
-            yield from pairs(columns, np.concatenate((signs, _bytes(batch.column("sig")))), False)
-            held, signs = left.pop()
-        yield from pairs(held, signs, True)
+            sets = batch.column("shingles")
+            ends, flat = np.asarray(sets.offsets), np.asarray(sets.values)
+            for k, here in enumerate(zip(batch.column("key").to_pylist(), batch.column("tile").to_pylist())):
+                if here != tile:
+                    yield from out()
+                    held, tile = [], here
+                held.append((batch.column("side")[k].as_py(), batch.column("node")[k].as_py(), batch.column("root")[k].as_py(), flat[ends[k] : ends[k + 1]].copy()))
+        yield from out()
 
     return run
 
@@ -369,13 +396,15 @@ def alike(rows: DataFrame, nodes: DataFrame, shingle: int, least: float) -> Data
     taking_part = nodes.select("node", "row").join(shared.select("node").distinct(), "node")
     sets = written(taking_part.join(rows.select("row", "text"), "row").select("node", "text").mapInArrow(tidy(_sets(shingle)), "node long, shingles array<long>"), "shingles")
     first = written(_decided(_loosely(stars, nodes, least), sets, least), "links")
-    rooted = shared.join(components(first), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rooted = written(rooted.select("key", "node", "root"), "rooted")
-    still = rooted.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
-    open_ = rooted.join(still.select("key", F.ceil(F.col("n") / TILE).cast("long").alias("parts")), "key").join(nodes.select("node", "sig"), "node")
-    tiles = _dealt(open_, "node").select("key", "tile", "side", "node", "root", "sig").repartition(tasks(nodes), "key", "tile").sortWithinPartitions("key", "tile")
-    more = written(tiles.mapInArrow(tidy(_unconnected(least)), "a long, b long").distinct(), "pairs")
-    return first.unionByName(_decided(more, sets, least))
+    rooted = written(shared.join(components(first), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "rooted")
+    h = F.xxhash64("node", F.lit(5))
+    open_ = rooted.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"), F.bit_xor(h).alias("x"), F.sum(h % 1_000_000_007).alias("y"))
+    open_ = open_.where("low != high and n > 2").groupBy("n", "x", "y").agg(F.min("key").alias("key"))  # a pair is decided, and of buckets with the same nodes one is enough
+    members = rooted.join(open_.select("key"), "key").join(sets, "node")
+    members = written(members, "members")
+    large = members.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / SOME), F.ceil(F.sum(F.size("shingles")) / ELEMENTS)).cast("long").alias("parts"))
+    tiles = _dealt(members.join(large, "key"), "node").select("key", "tile", "side", "node", "root", "shingles").repartition(tasks(members, 8_000_000), "key", "tile").sortWithinPartitions("key", "tile")
+    return first.unionByName(tiles.mapInArrow(tidy(_connected(least)), "a long, b long").distinct())
 
 
 def similarity(a: bytes, b: bytes) -> float:

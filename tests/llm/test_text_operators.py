@@ -387,6 +387,30 @@ def test_simhash_near_copies(spark):
     assert 40 <= kept <= 44
 
 
+@pytest.mark.parametrize("some", [8, 512])
+def test_large_group_of_near_copies(spark, monkeypatch, some):
+    """A star whose leaves are unlike each other, and chains: components are those of all pairs, and what tiles give grows with the nodes."""
+    rng = np.random.default_rng(31)
+    base = [f"w{x}" for x in rng.integers(0, 1 << 40, 120)]
+    texts = [edited(rng, base, int(rng.integers(0, 5))) for _ in range(150)]
+    for _ in range(20):
+        texts.append(edited(rng, texts[-1], 2))
+    texts += [base, base, [], ["one"]]
+    sets = [set(simhash.hashes(" ".join(t), 5).tolist()) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    monkeypatch.setattr(simhash, "SOME", some)
+    assert grouped(spark, texts) == dict(enumerate(root))
+    arrays = [np.array(sorted(s), np.uint64).view(np.int64) for s in sets]
+    n = len(arrays)
+    found = simhash.linked_sets(arrays, np.arange(n), np.arange(n), np.arange(n), 0.8)
+    assert all(len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) for i, j in found) and len(found) == n - len(set(root))
+
+
 def test_similarity_sketch():
     words = [f"w{i}" for i in range(90)]
     a, b = " ".join(words), " ".join(words[9:])
