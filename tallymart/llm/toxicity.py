@@ -2,8 +2,8 @@
 
 Labels are given for documents, so tokens are labelled from them: over a bounded sample of labelled documents, words
 and beginnings of words become cues if they stand in toxic documents more often than chance allows, over all that are tested.
-A token with a cue is toxic in a toxic document and not in another. The CRF learns from windows of these tokens how far a cue of some
-purity and its neighbourhood are to be believed; it and the scores are fitted on each half of the sample with the cues of the other half.
+A token with a cue is toxic in a toxic document and not in another. The CRF learns from windows of these tokens how far each cue, cues of some
+purity and their neighbourhood are to be believed; it and the scores are fitted on each half of the sample with the cues of the other half.
 Forward-backward marginals give each token's probability. A document's score is a logistic function of the log probability that no token is
 toxic, of the surest one, and of their sum and density.
 
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import crc_mod, id_text, parts, tidy
 from .crf import Crf, padded
 
-FORGET, STEP, CACHE = 1e-4, 4_000_000, 600_000
+FORGET, STEP, CACHE, SHRINK = 1e-4, 4_000_000, 600_000, 1e-2
 _WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = range(4, 9)
 
@@ -50,40 +50,53 @@ def tokens_of(texts: pa.Array) -> tuple[np.ndarray, pa.DictionaryArray]:
 
 
 class ToxicityModel:
-    """Fitted on (text, label) pairs; `chance` is the expected number of cues that are none."""
+    """Fitted on (text, label) pairs; `chance` is the expected number of cues that are none, `windows` how many of each half the chain is fitted on."""
 
-    #: Features: a cue of at least each purity, no cue, a cue before, a cue behind. The strongest purity is the cap.
+    #: Features: a cue of at least each purity (the strongest is open upwards), no cue, a cue before, a cue behind, and the cue itself.
     PURITIES = 6
-    NONE, BEFORE, BEHIND, WIDTH = PURITIES + 1, PURITIES + 2, PURITIES + 3, PURITIES + 3
+    NONE, BEFORE, BEHIND, WIDTH = PURITIES + 1, PURITIES + 2, PURITIES + 3, PURITIES + 4
 
-    def __init__(self, sample: list[tuple[str, int]], seed: int = 3, chance: float = 0.05):
+    def __init__(self, sample: list[tuple[str, int]], seed: int = 3, chance: float = 0.05, windows: int = 8_000):
         sample = sorted({t: y for t, y in sorted(sample)}.items())
         random.Random(seed).shuffle(sample)
         self.rate = (sum(y for _, y in sample) + 0.5) / (len(sample) + 1)
         self.crf, self.margin, self.logistic = None, 2, None
-        half = len(sample) // 2
+        self.number: dict[str, int] = {}
+        half, of = len(sample) // 2, self._documents(sample)
         made = []
-        for mine, others in ((sample[:half], sample[half:]), (sample[half:], sample[:half])):
+        for mine, others in ((sample[:half], of[half:]), (sample[half:], of[:half])):
             self._learn(others, chance)
             if mine:
                 made.append((*self.codes(pa.array([t for t, _ in mine], pa.string()))[:2], np.array([y for _, y in mine])))
-        self._learn(sample, chance)
+        self._learn(of, chance)
         if self.cues and made and any(c.any() for _, c, _ in made):
-            self._fit(made, random.Random(seed + 1))
+            self._fit(made, random.Random(seed + 1), windows)
 
-    def _learn(self, sample: list[tuple[str, int]], chance: float) -> None:
-        self.cues, self.known = self._cues(sample, chance), {}
+    @staticmethod
+    def _documents(sample: list[tuple[str, int]]) -> list[tuple[int, int, set[str]]]:
+        """Label, least word hash and cues of each text."""
+        of: dict[str, tuple[int, tuple[str, ...]]] = {}
+        out = []
+        for text, y in sample:
+            words = set(_WORD.findall(text.lower()))
+            for w in words:
+                if w not in of:
+                    of[w] = zlib.crc32(w.encode()), tuple(cues_of(w))
+            out.append((y, min((of[w][0] for w in words), default=0), {c for w in words for c in of[w][1]}))
+        return out
+
+    def _learn(self, documents: list[tuple[int, int, set[str]]], chance: float) -> None:
+        self.cues, self.known = self._cues(documents, chance), {}
+        for cue in self.cues:
+            self.number.setdefault(cue, len(self.number) + 1)
 
     @staticmethod
-    def _cues(sample: list[tuple[str, int]], chance: float) -> dict[str, tuple[int, float]]:
+    def _cues(documents: list[tuple[int, int, set[str]]], chance: float) -> dict[str, tuple[int, float]]:
         """Purity (1 to PURITIES) and weight of each cue: minus the log probability of its share of toxic documents, were it as frequent in all."""
         other: Counter = Counter()
         copies: dict[str, set[int]] = {}  # documents that share their least word hash are taken for copies and count once
         groups: tuple[set[int], set[int]] = (set(), set())
-        for text, y in sample:
-            words = set(_WORD.findall(text.lower()))
-            cues = {c for w in words for c in cues_of(w)}
-            copy = min((zlib.crc32(w.encode()) for w in words), default=0)
+        for y, copy, cues in documents:
             groups[y].add(copy)
             if not y:
                 other.update(cues)
@@ -102,13 +115,13 @@ class ToxicityModel:
         return out
 
     def code(self, token: str) -> int:
-        """The purity of the cue in a token that has the most weight, or 0."""
-        best = (0, 0.0)
+        """The purity of the cue in a token that has the most weight, with the cue's number above the lowest three bits; or 0."""
+        best, code = 0.0, 0
         for w in _WORD.findall(token):
             for c in cues_of(w):
-                if (got := self.cues.get(c)) and got[1] > best[1]:
-                    best = got
-        return best[0]
+                if (got := self.cues.get(c)) and got[1] > best:
+                    best, code = got[1], got[0] | self.number[c] << 3
+        return code
 
     def codes(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Bounds of texts in the flat tokens, the code of each token, and whether a text's first token is empty."""
@@ -127,29 +140,29 @@ class ToxicityModel:
         """Features of the tokens of a window."""
         near = codes > 0
         before, behind = np.r_[False, near[:-1]], np.r_[near[1:], False]
-        pure = [(codes >= k) * k for k in range(1, self.PURITIES + 1)]
-        return np.stack((~near * self.NONE, before * self.BEFORE, behind * self.BEHIND, *pure), axis=-1).astype(np.int64)
+        pure = [((codes & 7) >= k) * k for k in range(1, self.PURITIES + 1)]
+        return np.stack((~near * self.NONE, before * self.BEFORE, behind * self.BEHIND, near * (self.BEHIND + (codes >> 3)), *pure), axis=-1).astype(np.int64)
 
-    def _windows(self, bounds: np.ndarray, codes: np.ndarray, margin: int) -> list[tuple[int, int, int]]:
-        """(text, first, end) of token windows around cues, joined where they meet."""
+    def _windows(self, bounds: np.ndarray, codes: np.ndarray, margin: int, most: int = 2048) -> list[tuple[int, int, int, int, int]]:
+        """(text, first, end, from, to) of token windows around cues, joined where they meet. A longer one than `most` is several, which overlap by the margin; from and to say what each is read for."""
         at = np.flatnonzero(codes)
         text = np.searchsorted(bounds, at, side="right") - 1
         out: list[list[int]] = []
         for d, k in zip(text.tolist(), at.tolist()):
             low, high = max(int(bounds[d]), k - margin), min(int(bounds[d + 1]), k + margin + 1)
-            if out and out[-1][0] == d and low <= out[-1][2] and high - out[-1][1] <= 2048:
+            if out and out[-1][0] == d and low <= out[-1][2]:
                 out[-1][2] = high
             else:
-                out.append([d, max(low, out[-1][2]) if out and out[-1][0] == d else low, high])
-        return [tuple(w) for w in out]
+                out.append([d, low, high])
+        return [(d, max(a, k - margin), min(b, k + most + margin), k, min(b, k + most)) for d, a, b in out for k in range(a, b, most)]
 
-    def _fit(self, made: list[tuple[np.ndarray, np.ndarray, np.ndarray]], rng: random.Random) -> None:
+    def _fit(self, made: list[tuple[np.ndarray, np.ndarray, np.ndarray]], rng: random.Random, most: int) -> None:
         """Fit the chain and the scores on (bounds, codes, labels) of texts."""
         rows, tags = [], []
         for bounds, codes, labels in made:
-            windows = [w for w in self._windows(bounds, codes, 3) if w[2] - w[1] <= 64]
+            windows = [w[:3] for w in self._windows(bounds, codes, 3, 64)]
             rng.shuffle(windows)
-            windows = windows[:8_000]
+            windows = windows[:most]
             for _ in range(len(windows) // 4 + 20):  # and windows of any tokens
                 d = rng.randrange(len(labels))
                 a, b = int(bounds[d]), int(bounds[d + 1])
@@ -159,11 +172,12 @@ class ToxicityModel:
             rows += [self.rows(codes[a:b]) for _, a, b in windows]
             tags += [((codes[a:b] > 0) & (labels[d] == 1)).astype(np.int64)[:, None] for d, a, b in windows]
         x, lengths = padded(rows, self.WIDTH)
-        self.crf = Crf(self.BEHIND, 2).fit(x, padded(tags, 1)[0][..., 0], lengths, rounds=80, rate=0.15, l2=2e-5)
+        shrunk = np.r_[np.zeros(self.BEHIND + 1), np.full(len(self.number), SHRINK)][:, None]  # a single cue is believed less than its kind
+        self.crf = Crf(self.BEHIND + len(self.number), 2).fit(x, padded(tags, 1)[0][..., 0], lengths, rounds=80, rate=0.15, l2=2e-5, more=shrunk)
         step = np.exp(self.crf.moves + self.crf.weights[self.NONE])
         ratio = math.sqrt(step[0, 0] * step[1, 1] / (step[0, 1] * step[1, 0]))
         forget = abs(ratio - 1) / (ratio + 1)  # Birkhoff's contraction of one step without a cue
-        self.margin = max(2, min(40, math.ceil(math.log(FORGET) / math.log(forget)) if forget > 1e-9 else 2))
+        self.margin = max(2, math.ceil(math.log(FORGET) / math.log(forget)) if forget > 1e-9 else 2)
         summaries = [self._summary(p, n) for bounds, codes, _ in made for p, n in zip(self._probabilities(bounds, codes), np.diff(bounds).tolist())]
         self.logistic = _logistic(np.array(summaries), np.concatenate([y for _, _, y in made]).astype(float))
 
@@ -175,11 +189,11 @@ class ToxicityModel:
         windows = sorted(self._windows(bounds, codes, self.margin), key=lambda w: w[2] - w[1])
         for at in range(0, len(windows), 512):
             some = windows[at : at + 512]
-            rows, lengths = padded([self.rows(codes[a:b]) for _, a, b in some], self.WIDTH)
+            rows, lengths = padded([self.rows(codes[a:b]) for _, a, b, _, _ in some], self.WIDTH)
             p = self.crf.marginals(self.crf.emissions(rows), lengths)[..., 1]
-            for (d, a, b), q in zip(some, p):
-                for k in np.flatnonzero(codes[a:b]).tolist():
-                    out[d].append((a + k - int(bounds[d]), float(q[k])))
+            for (d, a, _, low, high), q in zip(some, p):
+                for k in (np.flatnonzero(codes[low:high]) + low).tolist():
+                    out[d].append((k - int(bounds[d]), float(q[k - a])))
         return out
 
     @staticmethod
@@ -225,15 +239,16 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5) -> np.ndarray:
     return w
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = 7_000, held_mod: int = 4, held: int = 2) -> ToxicityModel:
-    """A model from at most `most` labelled rows whose crc32(doc_id) mod 4 isn't 2, drawn by a hash of their ids.
+def train(docs: DataFrame, labels: DataFrame, most: int = 7_000, longest: int = 100_000, held_mod: int = 4, held: int = 2) -> ToxicityModel:
+    """A model from at most `most` labelled rows whose crc32(doc_id) mod 4 isn't 2, drawn by a hash of their ids, with texts of up to `longest` characters.
 
-    The ids are at most `most`, so they are broadcast. Labels that are null or repeat with both values are left out.
+    The ids are at most `most`, so they are broadcast. Labels that are null or repeat with both values are left out; of texts that share
+    an id the first in order stands for it. Both bounds hold the sample, not what is scored.
     """
     y = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("y")).dropna()
     y = y.where(crc_mod(F.col("doc_id"), held_mod) != held).where("y in (0, 1)").groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("z")).where("y = z")
     ids = F.broadcast(y.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select("doc_id", "y"))
-    rows = id_text(docs).join(ids, "doc_id").select("doc_id", "text", "y").dropDuplicates(["doc_id"]).where(F.length("text") <= 100_000)
+    rows = id_text(docs).join(ids, "doc_id").where(F.length("text") <= longest).groupBy("doc_id", "y").agg(F.min("text").alias("text"))
     return ToxicityModel([(r["text"], r["y"]) for r in rows.toLocalIterator()])
 
 

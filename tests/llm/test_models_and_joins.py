@@ -137,6 +137,31 @@ def test_toxicity_held_out():
     assert model(pa.array([" \n grukk x"]))[0][1][0][:2] == (3, 8)
 
 
+def test_toxicity_equals_whole_chains():
+    """Scores and marginals by windows against those of a chain over every token of each text."""
+    data = labelled(700, 4)
+    model = toxicity.ToxicityModel(data[:600])
+    texts = [t for t, _ in data[600:]] + [" ".join(["grukk", "blarf"] * 3_000), " ".join(["zopple"] + ["la"] * 40) * 3, "", "grukk", " ".join(t for t, _ in data[600:640])]
+    bounds, codes, _ = model.codes(pa.array(texts))
+    windows = model._probabilities(bounds, codes)
+    for d, (found, t) in enumerate(zip(windows, texts)):
+        a, b = int(bounds[d]), int(bounds[d + 1])
+        e = model.crf.emissions(model.rows(codes[a:b])[None])
+        whole = model.crf.marginals(e, np.array([b - a]))[0, :, 1]
+        assert [k for k, _ in sorted(found)] == np.flatnonzero(codes[a:b]).tolist()
+        assert max((abs(p - whole[k]) for k, p in found), default=0.0) < toxicity.FORGET
+        score = 1 / (1 + math.exp(-float(np.dot(model._summary([(int(k), float(whole[k])) for k in np.flatnonzero(codes[a:b])], b - a), model.logistic))))
+        assert model(pa.array([t]))[0][0] == pytest.approx(score, abs=1e-3)
+
+
+def test_toxicity_is_reproducible(spark):
+    """Of texts that share an id, always the same one is learnt from."""
+    data = [(i % 150, t, y) for i, (t, y) in enumerate(labelled(300, 5))]
+    docs, labels = spark.createDataFrame([d[:2] for d in data], "doc_id long, text string"), spark.createDataFrame([(i, y) for i, _, y in data[:150]], "doc_id long, toxic int")
+    one, other = (toxicity.train(d, labels) for d in (docs.repartition(3), docs.repartition(5, "text")))
+    assert one.cues == other.cues and one.rate == other.rate
+
+
 def test_toxicity_small_samples():
     for data in ([], [("a b", 1)], [("a b", 0)], [("", 0), ("", 1)], labelled(30, 2)):
         score, spans = toxicity.ToxicityModel(data)(pa.array(["", "some text"], pa.string()))[0]
