@@ -135,9 +135,12 @@ def labelled(n: int = 1600, seed: int = 5) -> list[tuple[list[str], list[int]]]:
 
     def phone() -> list[str]:
         a, b, c = num(3), num(3), num(4)
-        return rng.choice(([f"+1", f"({a})", f"{b}-{c}"], [f"({a})", f"{b}-{c}"], [f"+{num(2)}", a, b, c], [f"{a}-{b}-{c}"], [f"+1-{a}-{b}-{c}"], [f"+{num(11)}"]))
+        home = "0" + num(2)
+        return rng.choice(([f"+1", f"({a})", f"{b}-{c}"], [f"({a})", f"{b}-{c}"], [f"+{num(2)}", a, b, c], [f"{a}-{b}-{c}"], [f"+1-{a}-{b}-{c}"], [f"+{num(11)}"], [a, b, c], [home, num(4), c], [f"{home}/{num(rng.randint(5, 8))}"], [f"{a}.{b}.{c}"], [f"0{num(3)}", num(6)]))
 
     def other() -> list[str]:
+        if rng.random() < 0.25:  # numbers side by side that are none
+            return [num(rng.choice((1, 2, 4, 5))).lstrip("0") or "7" for _ in range(rng.randint(2, 4))]
         return [rng.choice((num(rng.randint(1, 6)), f"{num(1)}.{num(1)}", f"{num(1)}.{num(1)}.{num(1)}", f"20{num(2)}-{num(2)}-{num(2)}", f"{num(2)}/{num(2)}/{num(4)}", f"{num(2)}:{num(2)}", f"{num(3)}%", f"${num(3)}.{num(2)}", "".join(rng.choices("0123456789abcdef", k=40)), f"{word()}{num(2)}", num(16), num(18), f"v{num(1)}.{num(2)}", f"{num(4)}-{num(4)}", f"{word()}@{word()}", f"@{word()}", f"{num(1)},{num(3)}", f"({num(4)})", f"{num(3)}-{num(2)}", f"{word()}={key(rng.randint(6, 40))}", f'"{key(40)}"', f"{word()}:{key(rng.randint(6, 30))}", key(rng.randint(8, 64)), f"{word()}-{num(3)}-{word()}"))]
 
     out = []
