@@ -17,7 +17,6 @@ import math
 import random
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -62,52 +61,51 @@ class ToxicityModel:
         self.rate = (sum(y for _, y in sample) + 0.5) / (len(sample) + 1)
         self.crf, self.margin, self.logistic = None, 2, None
         self.number: dict[str, int] = {}
-        half, of = len(sample) // 2, self._documents(sample)
+        half, (names, of) = len(sample) // 2, self._documents(sample)
         made = []
         for mine, others in ((sample[:half], of[half:]), (sample[half:], of[:half])):
-            self._learn(others, chance)
+            self._learn(names, others, chance)
             if mine:
                 made.append((*self.codes(pa.array([t for t, _ in mine], pa.string()))[:2], np.array([y for _, y in mine])))
-        self._learn(of, chance)
+        self._learn(names, of, chance)
         if self.cues and made and any(c.any() for _, c, _ in made):
             self._fit(made, random.Random(seed + 1), windows)
 
     @staticmethod
-    def _documents(sample: list[tuple[str, int]]) -> list[tuple[int, int, set[str]]]:
-        """Label, least word hash and cues of each text."""
-        of: dict[str, tuple[int, tuple[str, ...]]] = {}
+    def _documents(sample: list[tuple[str, int]]) -> tuple[list[str], list[tuple[int, int, np.ndarray]]]:
+        """All cues, and label, least word hash and cues (as their numbers) of each text."""
+        names: dict[str, int] = {}
+        of: dict[str, tuple[int, list[int]]] = {}
         out = []
         for text, y in sample:
             words = set(_WORD.findall(text.lower()))
             for w in words:
                 if w not in of:
-                    of[w] = zlib.crc32(w.encode()), tuple(cues_of(w))
-            out.append((y, min((of[w][0] for w in words), default=0), {c for w in words for c in of[w][1]}))
-        return out
+                    of[w] = zlib.crc32(w.encode()), [names.setdefault(c, len(names)) for c in cues_of(w)]
+            out.append((y, min((of[w][0] for w in words), default=0), np.unique(np.array([c for w in words for c in of[w][1]], np.int32))))
+        return list(names), out
 
-    def _learn(self, documents: list[tuple[int, int, set[str]]], chance: float) -> None:
-        self.cues, self.known = self._cues(documents, chance), {}
+    def _learn(self, names: list[str], documents: list[tuple[int, int, np.ndarray]], chance: float) -> None:
+        self.cues, self.known = self._cues(names, documents, chance), {}
         for cue in self.cues:
             self.number.setdefault(cue, len(self.number) + 1)
 
     @staticmethod
-    def _cues(documents: list[tuple[int, int, set[str]]], chance: float) -> dict[str, tuple[int, float]]:
-        """Purity (1 to PURITIES) and weight of each cue: minus the log probability of its share of toxic documents, were it as frequent in all."""
-        other: Counter = Counter()
-        copies: dict[str, set[int]] = {}  # documents that share their least word hash are taken for copies and count once
-        groups: tuple[set[int], set[int]] = (set(), set())
-        for y, copy, cues in documents:
-            groups[y].add(copy)
-            if not y:
-                other.update(cues)
-                continue
-            for c in cues:
-                copies.setdefault(c, set()).add(copy)
+    def _cues(names: list[str], documents: list[tuple[int, int, np.ndarray]], chance: float) -> dict[str, tuple[int, float]]:
+        """Purity (1 to PURITIES) and weight of each cue: minus the log probability of its share of toxic documents, were it as frequent in all.
+
+        Documents that share their least word hash are taken for copies, and toxic ones among them count once.
+        """
+        none = [np.zeros(0, np.int64)]
+        other = np.bincount(np.concatenate([*none, *(c for y, _, c in documents if not y)]).astype(np.int64), minlength=len(names))
+        groups = tuple({copy for z, copy, _ in documents if z == y} for y in (0, 1))
+        place = {copy: i for i, copy in enumerate(sorted(groups[1]))}
+        pairs = np.unique(np.concatenate([*none, *(c.astype(np.int64) << 32 | place[copy] for y, copy, c in documents if y)]))
+        toxic = np.bincount(pairs >> 32, minlength=len(names))
         rate = (len(groups[1]) + 1) / (len(groups[0]) + len(groups[1]) + 2)
-        tested = {c: len(v) for c, v in copies.items() if len(v) > 2}
+        tested = sorted((names[c], int(toxic[c]), int(other[c])) for c in np.flatnonzero(toxic > 2).tolist())
         bound, out = math.log(max(1, len(tested)) / chance), {}
-        for cue, k in sorted(tested.items()):
-            m = other[cue]
+        for cue, k, m in tested:
             log_p = math.lgamma(k + m + 1) - math.lgamma(k + 1) - math.lgamma(m + 1) + k * math.log(rate) + m * math.log(1 - rate)
             if k >= m and -log_p > bound:
                 odds = math.log((k + 0.5) / (m + 0.5) * (1 - rate) / rate)
