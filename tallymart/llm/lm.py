@@ -1,16 +1,20 @@
 """Language-model scoring with a probabilistic suffix tree over words.
 
-The tree's root is the smoothed unigram distribution of all training words, however rare. Below it are contexts of one and two words.
-As in the tree's definition, a context or successor enters only with a relative frequency of at least `least_share` (and two occurrences),
-so at most 1 / least_share of them exist at each depth, whatever the size of the corpus: that bounds what is sent to
-the workers. Their counts are exact, over all training documents. A context is retained where its successors diverge from those of
-its suffix: where coding them by its own distribution saves more than `cost` nats for itself and each listed successor. Distributions are
-smoothed by their suffix's: P(w|s) = (c(s,w) + (r(s) + a) P(w|suffix)) / (c(s) + a), with c(s,w) for listed successors and r(s) the count of
-the others. A text is scored word by word, each by the longest retained suffix of what stands before it.
-
-Texts are read twice: once to count words, once to replace frequent words (again at most 1 / least_share) by numbers. Pairs and triples of
-numbers are counted locally and sent as sorted, compressed blocks. Rare words are joined with the vocabulary by the word; a
-rare word is in no list, so its part in both scores is its unigram term, which the join adds.
+The tree's root is the smoothed unigram distribution of all training words, however rare. Below it are contexts of one to `depth` words. A
+context or successor is listed from `least` (two) occurrences on, at every size of the corpus, so the tree grows with the corpus. Counts are
+exact, over all training documents. A context is retained where its successors diverge from those of its suffix: where coding them by its own
+distribution saves more than `cost` nats for itself and each listed successor. Distributions are smoothed by their suffix's:
+P(w|s) = (c(s,w) + (r(s) + a) P(w|suffix)) / (c(s) + a), with c(s,w) for listed successors and r(s) the count of the others. A text is scored
+word by word, each by the longest retained suffix of what stands before it.
+
+All contexts that end in the same word form a subtree that needs nothing of the others. So each place of a text is sent, as a few numbers in
+sorted, compressed blocks, to the bucket of the word before it; a bucket builds its subtrees and scores its places, and only sums go back.
+A context with more places than a bucket should hold (found on a sample, which changes speed and never results) is split: its places are dealt
+by the word before it, or by their number at the greatest depth, and the counts of its successors, added up beforehand, are sent to each part.
+
+Texts are read twice: once to count words, once to replace words by numbers. The `alphabet` most frequent words, sent to the workers, have
+numbers. Rarer ones are joined with the vocabulary by the word, which adds their unigram term; they are in no list of successors, and a
+context ends at them.
 """
 
 from __future__ import annotations
@@ -23,12 +27,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, id_text, parts, tidy, written
+from .common import crc_mod, id_text, parts, tasks, tidy, written
 
 #: The end of a text as a word of the vocabulary; no word can hold a line feed.
 END = "\n"
-#: Bytes of text in a step, distinct words and distinct keys held before they are sent on, bytes of numbers in a step.
-STEP, HELD, HELD_KEYS, NUMBERS = 6_000_000, 1_000_000, 1_500_000, 2_000_000
+#: Bytes of text in a step, distinct words held before they are sent on, bytes of numbers in a step.
+STEP, HELD, NUMBERS = 6_000_000, 1_000_000, 6_000_000
+#: Places that a bucket should hold at most and at least, and words of the sample that split contexts are found on.
+BUCKET, LITTLE, SAMPLE = 1_500_000, 50_000, 2_000_000
 
 
 def _words(texts: pa.Array) -> pa.ListArray:
@@ -102,140 +108,313 @@ def _flat(batch) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(ids) if ids else np.zeros(0, np.int32)), np.repeat(np.arange(len(ids)), lengths)
 
 
-class Keys:
-    """Membership and place of keys in a sorted array; a bitmap of their hashes spares most searches."""
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A hash of 64-bit numbers."""
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
 
-    BITS = 24
 
-    def __init__(self, keys: np.ndarray):
-        self.keys = keys
-        self.seen = np.zeros(1 << self.BITS, bool)
-        self.seen[self._hash(keys)] = True
+def contexts(ids: np.ndarray, doc: np.ndarray, depth: int) -> list[np.ndarray]:
+    """The word 1, 2, ... `depth` places before each place, -1 from the text's beginning or a rare word on."""
+    out, alive = [], np.ones(len(ids), bool)
+    for k in range(1, depth + 1):
+        c = np.full(len(ids), -1, np.int32)
+        if len(ids) > k:
+            c[k:] = np.where(alive[k:] & (doc[k:] == doc[:-k]), ids[:-k], -1)
+        alive = c >= 0
+        out.append(c)
+    return out
 
-    def _hash(self, keys: np.ndarray) -> np.ndarray:
-        return (keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.BITS)
+
+def context_keys(before: list[np.ndarray]) -> list[np.ndarray]:
+    """A hash of the last 1, 2, ... words before each place."""
+    out, key = [], np.full(len(before[0]), 17, np.uint64)
+    for c in before:
+        key = mixed(key + (c.astype(np.int64) + 2).astype(np.uint64))
+        out.append(key)
+    return out
+
+
+class Split:
+    """How places are dealt: to `root` buckets by the word before, but those of split contexts to buckets of the context.
+
+    chains: for each split context the split contexts that are its suffixes, shortest first, itself last.
+    """
+
+    def __init__(self, root: int, found: list[tuple[int, int, int, int]] = ()):
+        """found: (depth, key, key of its suffix, parts) of split contexts."""
+        found = sorted(found)
+        self.root = root
+        self.keys = np.array([f[1] for f in found], np.uint64)
+        self.sorted = np.argsort(self.keys)
+        of = {f[1]: i for i, f in enumerate(found)}
+        self.parts = np.array([f[3] for f in found], np.int64)
+        self.offsets = root + np.cumsum(self.parts) - self.parts
+        self.buckets = int(root + self.parts.sum())
+        self.chains: list[list[int]] = []
+        for i, f in enumerate(found):
+            self.chains.append([*(self.chains[of[f[2]]] if f[0] > 1 else []), i])
 
     def find(self, keys: np.ndarray) -> np.ndarray:
-        """The place of each key, or -1."""
-        out = np.full(len(keys), -1, np.int64)
-        if len(self.keys):
-            maybe = np.flatnonzero(self.seen[self._hash(keys)])
-            at = np.minimum(np.searchsorted(self.keys, keys[maybe]), len(self.keys) - 1)
-            out[maybe] = np.where(self.keys[at] == keys[maybe], at, -1)
+        """The number of the split context with each key, or -1."""
+        if not len(self.keys):
+            return np.full(len(keys), -1, np.int64)
+        at = self.sorted[np.minimum(np.searchsorted(self.keys, keys, sorter=self.sorted), len(self.keys) - 1)]
+        return np.where(self.keys[at] == keys, at, -1)
+
+    def place(self, before: list[np.ndarray]) -> np.ndarray:
+        """The bucket of each place."""
+        keys = context_keys(before)
+        out = (keys[0] % np.uint64(self.root)).astype(np.int64)
+        inside = np.flatnonzero(self.find(keys[0]) >= 0) if len(self.keys) else np.zeros(0, np.int64)
+        for k in range(len(before)):
+            if not len(inside):
+                break
+            node = self.find(keys[k][inside])
+            inside, node = inside[node >= 0], node[node >= 0]
+            finer = keys[k + 1][inside] if k + 1 < len(before) else mixed(inside.astype(np.uint64))
+            out[inside] = self.offsets[node] + (mixed(finer) % self.parts[node].astype(np.uint64)).astype(np.int64)
+            if k + 1 < len(before):
+                inside = inside[before[k + 1][inside] >= 0]
         return out
 
+    def above(self) -> list[tuple[int, int]]:
+        """(split context, bucket) of all buckets that need the context's successors."""
+        return [(j, b) for i, chain in enumerate(self.chains) for j in chain for b in range(int(self.offsets[i]), int(self.offsets[i] + self.parts[i]))]
+
+
+def _split(coded: DataFrame, total: int, depth: int) -> Split:
+    """The split contexts of all places, estimated on about SAMPLE of them."""
+    root = max(tasks(coded), -(-total // BUCKET))
+    most, every = max(LITTLE, min(BUCKET, 2 * total // root)), max(1, total // SAMPLE)
+    if total <= most:
+        return Split(root)
+    rows = coded.where(F.pmod(F.xxhash64("chunk", "k"), F.lit(every)) == 0).select("ids")
+    keys: list[dict[int, list[int]]] = [{} for _ in range(depth)]
+    for r in rows.toLocalIterator():
+        ids = np.frombuffer(r["ids"], "<i4")
+        before = contexts(ids, np.zeros(len(ids)), depth)
+        for k, here in enumerate(context_keys(before)):
+            on = before[k] >= 0
+            suffix = context_keys(before)[k - 1][on] if k else here[on]
+            values, first, counts = np.unique(here[on], return_index=True, return_counts=True)
+            for key, lower, c in zip(values.tolist(), suffix[first].tolist(), counts.tolist()):
+                held = keys[k].setdefault(key, [0, lower])
+                held[0] += c
+    return Split(root, [(k + 1, key, lower, -(-c * every * 3 // (2 * most))) for k, of in enumerate(keys) for key, (c, lower) in of.items() if c * every > most])
+
+
+class Places:
+    """Places of texts as columns of 32 bits (the words before, the word, twice the row's number plus 1 for training), as compressed bytes."""
+
+    @staticmethod
+    def pack(columns: list[np.ndarray]) -> bytes:
+        import zstandard
+
+        body = np.stack([c.astype("<i4") for c in columns]).view(np.uint8).reshape(-1, 4).T  # bytes of equal weight stand together
+        return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(body).tobytes())
+
+    @staticmethod
+    def unpack(data: bytes, width: int) -> np.ndarray:
+        import zstandard
+
+        body = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1)
+        return np.ascontiguousarray(body.T).view("<i4").reshape(width, -1)
+
+
+def _chunks(batches):
+    """(chunk, numbers, row of each, whether for training) of the rows of each chunk in a part of a batch."""
+    for batch in parts(batches, NUMBERS, "ids"):
+        chunk = np.asarray(batch.column("chunk"))
+        starts = np.r_[0, np.flatnonzero(chunk[1:] != chunk[:-1]) + 1, len(chunk)]
+        for a, b in zip(starts[:-1].tolist(), starts[1:].tolist()):
+            some = batch.slice(a, b - a)
+            ids, doc = _flat(some)
+            yield int(chunk[a]), ids, np.asarray(some.column("k"))[doc], ~np.asarray(some.column("held_out").to_pylist(), bool)[doc]
+
+
+BLOCK_SCHEMA = "bucket int, node int, chunk long, block binary"
+
+
+def _places(split: Split, depth: int):
+    """Of each chunk a block of places for each bucket. Places without a word before them are left out."""
 
-def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return a.astype(np.uint64) << np.uint64(24) | b.astype(np.uint64)
+    def run(batches):
+        for chunk, ids, row, train in _chunks(batches):
+            before = contexts(ids, row, depth)
+            on = np.flatnonzero(before[0] >= 0)
+            if not len(on):
+                continue
+            before = [c[on] for c in before]
+            bucket = split.place(before)
+            order = np.argsort(before[1], kind="stable") if depth > 1 else np.arange(len(on))
+            order = order[np.argsort(bucket[order] << 32 | before[0][order], kind="stable")]
+            columns = [c[order] for c in (*before, ids[on], row[on] << 1 | train[on])]
+            bucket = bucket[order]
+            cuts = np.r_[0, np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, len(bucket)]
+            for at in range(0, len(cuts) - 1, 256):
+                some = [(i, j) for i, j in zip(cuts[at : at + 256].tolist(), cuts[at + 1 : at + 257].tolist())]
+                blocks = [Places.pack([c[i:j] for c in columns]) for i, j in some]
+                yield pa.RecordBatch.from_arrays([pa.array([int(bucket[i]) for i, _ in some], pa.int32()), pa.array([-1] * len(some), pa.int32()), pa.array([chunk] * len(some), pa.int64()), pa.array(blocks, pa.binary())], ["bucket", "node", "chunk", "block"])
 
+    return run
 
-def _grams(ids: np.ndarray, doc: np.ndarray, end: int, pairs: Keys | None) -> tuple[np.ndarray, np.ndarray]:
-    """Positions from 1 on whose word and context are frequent, with the context's number: the word before, or with `pairs` the pair before."""
-    inside = np.zeros(len(ids), bool)
-    inside[1:] = (doc[1:] == doc[:-1]) & (ids[:-1] >= 0)
-    if pairs is None:
-        at = np.flatnonzero(inside)
-        return at, ids[at - 1].astype(np.int64)
-    two = np.zeros(len(ids), bool)
-    two[2:] = inside[2:] & inside[1:-1]
-    at = np.flatnonzero(two)
-    place = pairs.find(_pair(ids[at - 2], ids[at - 1]))
-    return at[place >= 0], place[place >= 0]
 
+#: In place of a word: the count of all places of a context.
+WHOLE = 0xFFFFFFFF
 
-def _gram_counts(coded: DataFrame, least: int, end: int, pairs: Keys | None) -> tuple[np.ndarray, np.ndarray]:
-    """All keys context << 24 | word with at least `least` occurrences in training documents, and their counts. At most N / least of them."""
+
+def _successors(coded: DataFrame, split: Split, depth: int, least: int) -> DataFrame:
+    """BLOCK_SCHEMA: the successors of each split context, a block with counts from `least` on and the whole count, for each bucket that needs it."""
     spark = coded.sparkSession
-    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    known = spark.sparkContext.broadcast(pairs)
+    spread = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def local(batches):
-        held: list = []
-        size = 0
-
-        def out():
-            keys, counts = (np.concatenate(x) for x in zip(*held))
-            keys, inverse = np.unique(keys, return_inverse=True)
-            counts = np.bincount(inverse, counts).astype(np.int64)
-            of = ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(buckets)
+        for _, ids, row, train in _chunks(batches):
+            before, held = contexts(ids, row, depth), []
+            for k, key in enumerate(context_keys(before)):
+                node = np.where(train & (before[k] >= 0), split.find(key), -1)
+                on = np.flatnonzero(node >= 0)
+                held.append(node[on] << 32 | WHOLE)
+                on = on[ids[on] >= 0]
+                held.append(node[on] << 32 | ids[on])
+            keys, counts = np.unique(np.concatenate(held).astype(np.uint64), return_counts=True)
+            of = mixed(keys) % np.uint64(spread)
             rows = [(int(b), Blocks.pack(keys[of == b], counts[of == b])) for b in np.unique(of).tolist()]
-            return pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], ["bucket", "block"])
-
-        for batch in parts(batches, NUMBERS, "ids"):
-            ids, doc = _flat(batch)
-            at, context = _grams(ids, doc, end, known.value)
-            on = ids[at] >= 0
-            keys, counts = np.unique(_pair(context[on], ids[at][on]), return_counts=True)
-            held.append((keys, counts))
-            size += len(keys)
-            if size > HELD_KEYS:
-                yield out()
-                held, size = [], 0
-        if size:
-            yield out()
+            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], ["part", "block"])
 
     def total(table):
         keys, counts = Blocks.total(table.column("block").to_pylist())
-        on = counts >= least
-        return pa.table({"block": pa.array([Blocks.pack(keys[on], counts[on])], pa.binary())})
-
-    rows = coded.where("not held_out").select("ids").mapInArrow(tidy(local), "bucket int, block binary")
-    found = [Blocks.unpack(r["block"]) for r in rows.groupBy("bucket").applyInArrow(total, "block binary").toLocalIterator()]
-    if not found:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    keys, counts = (np.concatenate(x) for x in zip(*found))
-    order = np.argsort(keys)
-    return keys[order], counts[order]
-
-
-class Level:
-    """Contexts of one length: which are retained, the log10 share left to the suffix, and log10 P of listed successors."""
-
-    def __init__(self, keys, counts, context_counts, below, a: float, cost: float):
-        """below(contexts, words): log10 P(word | the context's suffix)."""
-        n = len(context_counts)
-        context, word = (keys >> np.uint64(24)).astype(np.int64), (keys & np.uint64(0xFFFFFF)).astype(np.int64)
-        listed = np.bincount(context, counts, n) if len(keys) else np.zeros(n)
-        rest = np.maximum(context_counts - listed, 0.0)
-        self.left = np.log10((rest + a) / (context_counts + a))
-        lower = below(context, word) if len(keys) else np.zeros(0)
-        own = np.log10((counts + (rest[context] + a) * 10.0**lower) / (context_counts[context] + a)) if len(keys) else np.zeros(0)
-        gain = np.bincount(context, counts * (own - lower), n) + rest * self.left if len(keys) else np.zeros(n)
-        successors = np.bincount(context, minlength=n) if len(keys) else np.zeros(n)
-        self.retained = (successors > 0) & (gain * math.log(10) > cost * (1 + successors))
-        on = self.retained[context] if len(keys) else np.zeros(0, bool)
-        self.listed, self.log = Keys(keys[on]), own[on]
-
-    def apply(self, context: np.ndarray, word: np.ndarray, below: np.ndarray) -> np.ndarray:
-        """log10 P(word | context) given `below`, that of the suffix. word -1 is a rare one, with `below` still without its unigram term."""
-        out = np.where(self.retained[context], self.left[context] + below, below)
-        on = np.flatnonzero(self.retained[context] & (word >= 0))
-        place = self.listed.find(_pair(context[on], word[on]))
-        out[on[place >= 0]] = self.log[place[place >= 0]]
-        return out
-
+        on = (counts >= least) | (keys & np.uint64(WHOLE) == WHOLE)
+        node, word, counts = (keys[on] >> np.uint64(32)).astype(np.int64), keys[on] & np.uint64(WHOLE), counts[on]
+        rows = [(int(n), Blocks.pack(word[node == n], counts[node == n])) for n in np.unique(node).tolist()]
+        return pa.table({"node": pa.array([n for n, _ in rows], pa.int32()), "block": pa.array([x for _, x in rows], pa.binary())})
+
+    rows = coded.where("not held_out").select("chunk", "k", "held_out", "ids").mapInArrow(tidy(local), "part int, block binary")
+    summed = written(rows.groupBy("part").applyInArrow(total, "node int, block binary"), "successors")
+    needed = spark.createDataFrame(pa.table({"node": pa.array([n for n, _ in split.above()], pa.int32()), "bucket": pa.array([b for _, b in split.above()], pa.int32())}))
+    return summed.join(needed, "node").select("bucket", "node", F.lit(-1).cast("long").alias("chunk"), "block")
+
+
+class Tree:
+    """Scores the places of one bucket, level by level."""
+
+    def __init__(self, unigram: np.ndarray, split: Split, depth: int, least: int, a: float, cost: float):
+        self.unigram, self.split, self.depth, self.least, self.a, self.cost = unigram, split, depth, least, a, cost
+
+    def _kept(self, gain, successors):
+        return (successors > 0) & (gain * math.log(10) > self.cost * (1 + successors))
+
+    def given(self, tables: list[tuple[np.ndarray, np.ndarray, float]], word: np.ndarray, now: np.ndarray) -> np.ndarray:
+        """log10 P of the words by contexts that all places share, shortest first; tables: words, counts, and the whole count of each context."""
+        levels = []
+
+        def applied(w, p, upto):
+            for words, left, own in levels[:upto]:
+                at = np.minimum(np.searchsorted(words, w), max(0, len(words) - 1))
+                p = np.where((words[at] == w) & (w >= 0), own[at], left + p) if len(words) else left + p
+            return p
+
+        for words, counts, total in tables:
+            rest = max(0.0, total - counts.sum())
+            left = math.log10((rest + self.a) / (total + self.a))
+            lower = applied(words, self.unigram[words], len(levels))
+            own = np.log10((counts + (rest + self.a) * 10.0**lower) / (total + self.a))
+            if self._kept((counts * (own - lower)).sum() + rest * left, len(words)):
+                levels.append((words, left, own))
+        return applied(word, now, len(levels))
+
+    def score(self, before: list[np.ndarray], word: np.ndarray, train: np.ndarray, tables: list) -> np.ndarray:
+        """log10 P of each place's word less its unigram term; of a rare word (-1) what its contexts leave to their suffixes."""
+        start = np.where(word >= 0, self.unigram[word], 0.0)
+        now = self.given(tables, word, start.copy())
+        alive, group, wide = np.arange(len(word)), np.zeros(len(word), np.int64), len(self.unigram) + 1
+        for k, c in enumerate(before):
+            alive, group = alive[c[alive] >= 0], group[c[alive] >= 0]
+            if not len(alive):
+                break
+            group = np.unique(group * wide + c[alive], return_inverse=True)[1]
+            if k < len(tables):
+                continue
+            n, learnt = int(group.max()) + 1, train[alive]
+            total = np.bincount(group, learnt, n)
+            seen = total[group] >= self.least
+            alive, group, learnt = alive[seen], group[seen], learnt[seen]
+            on = word[alive] >= 0
+            pairs, which = np.unique(group[on] * wide + word[alive[on]], return_inverse=True)
+            count = np.bincount(which, learnt[on], len(pairs)).astype(np.float64)
+            lower = np.empty(len(pairs))
+            lower[which] = now[alive[on]]
+            listed, s = count >= self.least, pairs // wide
+            rest = total - np.bincount(s[listed], count[listed], n)
+            left = np.log10((rest + self.a) / (total + self.a))
+            own = np.log10((count + (rest[s] + self.a) * 10.0**lower) / (total[s] + self.a))
+            gain = np.bincount(s[listed], (count * (own - lower))[listed], n) + rest * left
+            kept = self._kept(gain, np.bincount(s[listed], minlength=n))
+            new = np.where(kept[group], left[group] + now[alive], now[alive])
+            at = np.flatnonzero(on)
+            hit = listed[which] & kept[group[at]]
+            new[at[hit]] = own[which[hit]]
+            now[alive] = new
+        return now - start
+
+
+def _scored(tree):
+    """Of rows sorted by bucket, first its successors, then its places: what each row of a chunk gains, as blocks."""
+
+    def run(batches):
+        model = tree.value
+        held: list[dict] = []
 
-class SuffixTree:
-    """The bounded part of the model: frequent words with their unigram terms, and the two levels below."""
+        def out():
+            if not held or all(r["node"] >= 0 for r in held):
+                return
+            tables: dict[int, list] = {}
+            for r in held:
+                if r["node"] >= 0:
+                    tables.setdefault(r["node"], []).append(Blocks.unpack(r["block"]))
+            given = []
+            for node in sorted(tables):  # numbers ascend with depth
+                words, counts = (np.concatenate(x) for x in zip(*tables[node]))
+                whole = words == WHOLE
+                order = np.argsort(words[~whole])
+                given.append((words[~whole].astype(np.int64)[order], counts[~whole].astype(np.float64)[order], float(counts[whole].sum())))
+            own = [r for r in held if r["node"] < 0]
+            blocks = [Places.unpack(r["block"], model.depth + 2) for r in own]
+            ends = np.cumsum([0, *(b.shape[1] for b in blocks)])
+            columns = np.concatenate(blocks, axis=1)
+            del blocks
+            gains = model.score(list(columns[: model.depth]), columns[model.depth].astype(np.int64), (columns[-1] & 1).astype(bool), given)
+            rows = []
+            for i, j in zip(ends[:-1].tolist(), ends[1:].tolist()):
+                k, inverse = np.unique(columns[-1][i:j] >> 1, return_inverse=True)
+                total = np.bincount(inverse, gains[i:j])
+                on = np.flatnonzero(total)
+                rows.append(k[on].astype("<i4").tobytes() + total[on].astype("<f8").tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array([r["chunk"] for r in own], pa.int64()), pa.array(rows, pa.binary())], ["chunk", "block"])
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                if held and held[0]["bucket"] != row["bucket"]:
+                    yield from out()
+                    held = []
+                held.append(row)
+        yield from out()
 
-    def __init__(self, unigram: np.ndarray, first: Level, pairs: Keys, second: Level, end: int):
-        self.unigram, self.first, self.pairs, self.second, self.end = unigram, first, pairs, second, end
+    return run
 
-    def unigrams(self, word: np.ndarray) -> np.ndarray:
-        return np.where(word >= 0, self.unigram[word], 0.0)
 
-    def score(self, ids: np.ndarray, doc: np.ndarray) -> np.ndarray:
-        """log10 P of each word by its longest retained context; for rare words without their unigram term."""
-        out = self.unigrams(ids)
-        at, context = _grams(ids, doc, self.end, None)
-        out[at] = self.first.apply(context, ids[at], out[at])
-        at, context = _grams(ids, doc, self.end, self.pairs)
-        if len(at):
-            out[at] = self.second.apply(context, ids[at], out[at])
-        return out
+def _summed(key, table):
+    """The gains of a chunk's rows over all buckets."""
+    blocks = [x for x in table.column("block").to_pylist() if x]
+    k = np.concatenate([np.zeros(0, "<i4"), *(np.frombuffer(x, "<i4", len(x) // 12) for x in blocks)])
+    gain = np.concatenate([np.zeros(0), *(np.frombuffer(x, "<f8", len(x) // 12, len(x) // 12 * 4) for x in blocks)])
+    rows, inverse = np.unique(k, return_inverse=True)
+    return pa.table({"chunk": pa.array([key[0].as_py()] * len(rows), pa.int64()), "k": pa.array(rows.astype(np.int32)), "score": pa.array(np.bincount(inverse, gain) if len(rows) else np.zeros(0))})
 
 
-def score_texts(docs: DataFrame, least_share: float = 2e-7, a: float = 1.0, cost: float = 4.0, held_mod: int = 5, held: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_texts(docs: DataFrame, least: int = 2, depth: int = 4, alphabet: int = 2_000_000, a: float = 1.0, cost: float = 4.0, held_mod: int = 5, held: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Score all texts with a tree learnt from those whose crc32(doc_id as text) mod 5 isn't 1; one row for each row.
 
     Columns doc_id, held_out, n_tokens, n_known, train_tokens, base_score (unigram) and score. A null or empty text is its end alone. A
@@ -245,69 +424,58 @@ def score_texts(docs: DataFrame, least_share: float = 2e-7, a: float = 1.0, cost
     rows = id_text(docs, id_col, text_col)
     out = crc_mod(F.col("doc_id"), held_mod) == held
     words = vocabulary(rows, ~out)
-    total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    least = max(2, math.ceil(least_share * total))
-    top = words.where((F.col("c") >= least) | (F.col("word") == END)).toPandas().sort_values(["c", "word"], ascending=[False, True])
-    names, count = top["word"].tolist(), top["c"].to_numpy(np.float64)
+    total, distinct, ends = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(F.col("word") == END, F.col("c"))), F.lit(0))).first()
     scale = total + 0.5 * (distinct + 1)
-    if END not in names:  # no training document at all
-        names, count = [*names, END], np.r_[count, 0.0]
-    if len(names) >= 1 << 24:
-        raise ValueError("least_share allows more words than numbers have room for")
-    end = names.index(END)
-    common = spark.sparkContext.broadcast(pa.array(names, pa.string()))
+    top = words.where((F.col("c") >= least) & (F.col("word") != END)).orderBy(F.desc("c"), "word").limit(alphabet).toArrow()
+    names, count = pa.concat_arrays([pa.array([END]), *(c.cast(pa.string()) for c in top["word"].chunks)]), np.r_[float(ends), np.asarray(top["c"], np.float64)]
+    unigram = np.log10((count + 0.5) / scale)
+    common = spark.sparkContext.broadcast((names, count, unigram))
 
     def code(batches):
-        value_set = common.value
+        from pyspark import TaskContext
+
+        names, count, unigram = common.value
+        chunk = TaskContext.get().partitionId() << 32
         for part in parts(batches, STEP // 2):
             lists = _words(part.column("text"))
             flat = lists.flatten()
             bounds = np.asarray(lists.offsets) - np.asarray(lists.offsets)[0]
-            number = pc.fill_null(pc.index_in(flat, value_set), -1).to_numpy(zero_copy_only=False).astype(np.int32)
+            number = pc.fill_null(pc.index_in(flat, names), -1).to_numpy(zero_copy_only=False).astype(np.int32)
             real = np.asarray(pc.not_equal(flat, "")).astype(bool) if len(flat) else np.zeros(0, bool)
-            rare = np.flatnonzero((number < 0) & real)
-            owner = np.searchsorted(bounds, rare, side="right") - 1
-            strings = flat.take(pa.array(rare)).dictionary_encode()
+            unlisted = np.flatnonzero((number < 0) & real)
+            owner = np.searchsorted(bounds, unlisted, side="right") - 1
+            strings = flat.take(pa.array(unlisted)).dictionary_encode()
             each, times = np.unique(owner << 32 | np.asarray(strings.indices).astype(np.int64), return_counts=True)  # a rare word counts once a document
             cuts = np.searchsorted(each >> 32, np.arange(part.num_rows + 1))
             found = pa.StructArray.from_arrays([strings.dictionary.take(pa.array(each & 0xFFFFFFFF)), pa.array(times, pa.int64())], ["word", "tf"])
-            ids = []
-            for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-                ids.append(np.append(number[i:j][real[i:j]], np.int32(end)).astype("<i4").tobytes())
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(ids, pa.binary()), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), found)], ["doc_id", "held_out", "ids", "rare"])
-
-    made = rows.withColumn("held_out", out).mapInArrow(tidy(code), "doc_id long, held_out boolean, ids binary, rare array<struct<word:string,tf:long>>")
-    coded = written(made.withColumn("row", F.monotonically_increasing_id()), "coded", "zstd")
-
-    unigram = np.log10((count + 0.5) / scale)
-    keys, counts = _gram_counts(coded, least, end, None)
-    first = Level(keys, counts, count, lambda _, w: unigram[w], a, cost)
-    pairs = Keys(keys)
-
-    def suffix(context, word):
-        """log10 P(word | second word of the pair)."""
-        return first.apply((pairs.keys[context] & np.uint64(0xFFFFFF)).astype(np.int64), word, unigram[word])
-
-    keys2, counts2 = _gram_counts(coded, least, end, pairs) if len(keys) else (keys, counts)
-    second = Level(keys2, counts2, counts.astype(np.float64), suffix, a, cost)
-    tree = spark.sparkContext.broadcast(SuffixTree(unigram, first, pairs, second, end))
-
-    def score(batches):
-        model = tree.value
-        for batch in parts(batches, NUMBERS, "ids"):
-            ids, doc = _flat(batch)
-            n = batch.num_rows
-            known = (ids >= 0) & ((ids != model.end) | (count[end] > 0))
-            sums = [np.bincount(doc, x, n) for x in (np.ones(len(ids)), known, model.unigrams(ids), model.score(ids, doc))]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(sums[0].astype(np.int64)), pa.array(sums[1].astype(np.int64)), pa.array(sums[2]), pa.array(sums[3])], ["row", "n", "known", "base", "score"])
-
-    schema = "row long, n long, known long, base double, score double"
-    frequent = coded.select("row", "ids").mapInArrow(tidy(score), schema)
-    each = coded.select("row", F.explode("rare").alias("_r")).select("row", "_r.word", "_r.tf")
-    tail = words.where((F.col("c") < least) & (F.col("word") != END))
+            ids = [np.append(number[i:j][real[i:j]], np.int32(0)) for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+            doc = np.repeat(np.arange(len(ids)), [len(x) for x in ids])
+            all_ids = np.concatenate([np.zeros(0, np.int32), *ids])
+            sums = [np.bincount(doc, x, part.num_rows) for x in (np.ones(len(doc)), (all_ids >= 0) & (count[all_ids] > 0), np.where(all_ids >= 0, unigram[all_ids], 0.0))]
+            columns = [
+                pa.array(np.full(part.num_rows, chunk)), pa.array(np.arange(part.num_rows, dtype=np.int32)), part.column("doc_id"), part.column("held_out"), pa.array([x.astype("<i4").tobytes() for x in ids], pa.binary()),
+                pa.array(sums[0].astype(np.int64)), pa.array(sums[1].astype(np.int64)), pa.array(sums[2]), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), found),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["chunk", "k", "doc_id", "held_out", "ids", "n", "known", "base", "rare"])
+            chunk += 1
+
+    made = rows.withColumn("held_out", out).mapInArrow(tidy(code), "chunk long, k int, doc_id long, held_out boolean, ids binary, n long, known long, base double, rare array<struct<word:string,tf:long>>")
+    coded = written(made, "coded", "zstd")
+    places = coded.select("chunk", "k", "held_out", "ids")
+    split = _split(places, int(total) * held_mod // max(1, held_mod - 1), depth)
+    tree = spark.sparkContext.broadcast(Tree(unigram, split, depth, least, a, cost))
+    dealt = places.mapInArrow(tidy(_places(split, depth)), BLOCK_SCHEMA)
+    if len(split.keys):
+        dealt = dealt.unionByName(_successors(places, split, depth, least))
+    dealt = dealt.repartition(split.buckets, "bucket").sortWithinPartitions("bucket", F.desc("node"))
+    gains = dealt.mapInArrow(tidy(_scored(tree)), "chunk long, block binary").groupBy("chunk").applyInArrow(_summed, "chunk long, k int, score double")
+
+    none = {c: F.lit(0).cast("long").alias(c) for c in ("n", "known")}
+    frequent = coded.select("chunk", "k", "doc_id", "held_out", "n", "known", "base", F.col("base").alias("score"))
+    gained = gains.select("chunk", "k", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("boolean").alias("held_out"), *none.values(), F.lit(0.0).alias("base"), "score")
+    each = coded.select("chunk", "k", F.explode("rare").alias("_r")).select("chunk", "k", "_r.word", "_r.tf")
     unit = F.log10((F.coalesce("c", F.lit(0)) + 0.5) / F.lit(float(scale))) * F.col("tf")
-    rare = each.join(tail, "word", "left").select("row", F.lit(0).cast("long").alias("n"), F.when(F.col("c") > 0, F.col("tf")).otherwise(0).cast("long").alias("known"), unit.alias("base"), unit.alias("score"))
-    summed = frequent.unionByName(rare).groupBy("row").agg(*[F.sum(c).alias(c) for c in ("n", "known", "base", "score")])
-    return coded.select("row", "doc_id", "held_out").join(summed, "row").select(
-        "doc_id", "held_out", F.col("n").alias("n_tokens"), F.col("known").alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score"
-    )
+    known = F.when(F.col("c") > 0, F.col("tf")).otherwise(0).cast("long").alias("known")
+    rare = each.join(words.where(F.col("word") != END), "word", "left").select("chunk", "k", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("boolean").alias("held_out"), none["n"], known, unit.alias("base"), unit.alias("score"))
+    summed = frequent.unionByName(rare).unionByName(gained).groupBy("chunk", "k").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), *[F.sum(c).alias(c) for c in ("n", "known", "base", "score")])
+    return summed.select("doc_id", "held_out", F.col("n").alias("n_tokens"), F.col("known").alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")

@@ -43,62 +43,97 @@ def test_lm_base_and_gain(spark, sf_dir, messy, empty):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
-def plain_tree(train, a, cost, least):
+def plain_tree(train, a, cost, least, depth):
     """log10 P(word | words before) by the tree's definition, over dictionaries."""
     uni = collections.Counter(w for d in train for w in d)
     n, v = sum(uni.values()), len(uni)
     p0 = lambda w: (uni[w] + 0.5) / (n + 0.5 * (v + 1))
     frequent = {w for w in uni if uni[w] >= least or w == "\n"}
-    pairs = collections.Counter((x, y) for d in train for x, y in zip(d, d[1:]) if x in frequent and y in frequent)
-    pairs = {k: c for k, c in pairs.items() if c >= least}
-    triples = collections.Counter((x, y, z) for d in train for x, y, z in zip(d, d[1:], d[2:]) if (x, y) in pairs and z in frequent)
-    triples = {k: c for k, c in triples.items() if c >= least}
-
-    def level(counts, total, below):
-        by = collections.defaultdict(dict)
-        for k, c in counts.items():
-            by[k[:-1]][k[-1]] = c
-        kept = {}
+    kept: list[dict] = []
+
+    def chance(before, w, upto):
+        p = p0(w)
+        for k in range(1, upto + 1):
+            s = tuple(before[-k:])
+            if len(before) < k or before[-k] not in frequent:
+                break
+            if s in kept[k - 1]:
+                own, left = kept[k - 1][s]
+                p = own[w] if w in own else left * p
+        return p
+
+    for k in range(1, depth + 1):
+        whole, by = collections.Counter(), collections.defaultdict(collections.Counter)
+        for d in train:
+            for i in range(k, len(d)):
+                s = tuple(d[i - k : i])
+                if all(x in frequent for x in s):
+                    whole[s] += 1
+                    if d[i] in frequent:
+                        by[s][d[i]] += 1
+        level = {}
         for s, nxt in by.items():
-            rest = total(s) - sum(nxt.values())
-            own = {w: (c + (rest + a) * below(s, w)) / (total(s) + a) for w, c in nxt.items()}
-            gain = sum(c * math.log(own[w] / below(s, w)) for w, c in nxt.items()) + rest * math.log((rest + a) / (total(s) + a))
-            if gain > cost * (1 + len(nxt)):
-                kept[s] = own, (rest + a) / (total(s) + a)
-        return kept
-
-    one = level(pairs, lambda s: uni[s[0]], lambda s, w: p0(w))
-
-    def p1(x, w):
-        if (x,) not in one:
-            return p0(w)
-        own, left = one[(x,)]
-        return own.get(w, left * p0(w))
-
-    two = level(triples, lambda s: pairs[s], lambda s, w: p1(s[1], w))
-
-    def p(before, w):
-        if len(before) > 1 and tuple(before[-2:]) in two:
-            own, left = two[tuple(before[-2:])]
-            return own.get(w, left * p1(before[-1], w))
-        return p1(before[-1], w) if before else p0(w)
-
-    return p
-
-
-def test_lm_tree_equals_definition(spark):
+            nxt = {w: c for w, c in nxt.items() if c >= least}
+            if not nxt:
+                continue
+            rest = whole[s] - sum(nxt.values())
+            lower = {w: chance(s, w, k - 1) for w in nxt}
+            own = {w: (c + (rest + a) * lower[w]) / (whole[s] + a) for w, c in nxt.items()}
+            left = (rest + a) / (whole[s] + a)
+            if sum(c * math.log(own[w] / lower[w]) for w, c in nxt.items()) + rest * math.log(left) > cost * (1 + len(nxt)):
+                level[s] = own, left
+        kept.append(level)
+    return (lambda before, w: chance(before, w, depth)), [len(x) for x in kept]
+
+
+@pytest.mark.parametrize("bucket,depth", [(1_500_000, 4), (20, 4), (60, 2), (200, 1)])
+def test_lm_tree_equals_definition(spark, monkeypatch, bucket, depth):
+    """Also where most contexts are split over many buckets, those of the greatest depth too."""
     rng = random.Random(3)
     words = [f"w{i}" for i in range(30)]
     passage = [rng.choice(words) for _ in range(40)]
     texts = []
     for i in range(150):
         d = [rng.choice(words) if rng.random() < 0.9 else f"rare{rng.randrange(400)}" for _ in range(rng.randrange(0, 40))]
-        texts.append((i, " ".join(d + passage[rng.randrange(10) :] if i % 3 == 0 else d)))
-    found = {r["doc_id"]: r["score"] for r in rows(lm.score_texts(spark.createDataFrame(texts, "doc_id long, text string"), least_share=1e-9, cost=2.0))}
+        x = [rng.randrange(4) for _ in range(4)]
+        for _ in range(30):  # a word that only four before it tell
+            x.append((x[-1] + x[-4]) % 4 if rng.random() < 0.95 else rng.randrange(4))
+        texts.append((i, " ".join(d + (passage[rng.randrange(10) :] if i % 3 == 0 else [f"w{k}" for k in x]))))
+    monkeypatch.setattr(lm, "BUCKET", bucket)
+    monkeypatch.setattr(lm, "LITTLE", min(lm.LITTLE, bucket))
+    splits = []
+    real = lm._split
+    monkeypatch.setattr(lm, "_split", lambda *x: splits.append(real(*x)) or splits[-1])
+    found = {r["doc_id"]: r["score"] for r in rows(lm.score_texts(spark.createDataFrame(texts, "doc_id long, text string"), depth=depth, cost=2.0))}
+    assert (len(splits[0].keys) > 5) == (bucket < 1000) and max(map(len, splits[0].chains), default=0) == depth * (bucket < 1000)
     split = {i: t.split() + ["\n"] for i, t in texts}
-    p = plain_tree([d for i, d in split.items() if zlib.crc32(str(i).encode()) % 5 != 1], 1.0, 2.0, 2)
+    p, levels = plain_tree([d for i, d in split.items() if zlib.crc32(str(i).encode()) % 5 != 1], 1.0, 2.0, 2, depth)
+    assert all(levels)
     for i, d in split.items():
-        assert found[i] == pytest.approx(sum(math.log10(p(d[:k], w)) for k, w in enumerate(d)), rel=1e-6), i
+        assert found[i] == pytest.approx(sum(math.log10(p(d[:k], w)) for k, w in enumerate(d)), rel=1e-9), i
+
+
+def test_lm_words_beyond_the_alphabet(spark):
+    """Base scores don't depend on how many words have numbers."""
+    texts = [(i, " ".join(f"w{i * k % 37}" for k in range(20))) for i in range(60)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    one, other = (sorted((r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 9)) for r in rows(lm.score_texts(df, alphabet=n))) for n in (5, 1000))
+    assert one == other
+
+
+def test_lm_learns_phrases_at_any_size(spark):
+    """A phrase that training texts hold twice is learnt among few and among many other texts."""
+    rng = random.Random(5)
+    phrase = " ".join(f"p{i}" for i in range(40))
+    scores = []
+    for n in (50, 1500):
+        texts = [(i, " ".join(f"w{rng.randrange(5000)}" for _ in range(40))) for i in range(n)]
+        held = next(i for i in range(10_000, 20_000) if zlib.crc32(str(i).encode()) % 5 == 1)
+        seen = [i for i in range(20_000, 20_100) if zlib.crc32(str(i).encode()) % 5 != 1][:2]
+        df = spark.createDataFrame([*texts, *((i, phrase) for i in (held, *seen))], "doc_id long, text string")
+        r = next(r for r in rows(lm.score_texts(df)) if r["doc_id"] == held)
+        scores.append(r["score"] - r["base_score"])
+    assert min(scores) > 40 * 2
 
 
 def test_blocks_round_trip():
@@ -108,7 +143,8 @@ def test_blocks_round_trip():
     assert (k == keys).all() and (c == counts).all()
     k, c = lm.Blocks.total([lm.Blocks.pack(keys, counts), lm.Blocks.pack(keys[::2], counts[::2])])
     assert (k == keys).all() and c[0] == 2 and c[1] == 2
-    assert (lm.Keys(keys).find(np.r_[keys[5], np.uint64(3)]) == [5, -1]).all()
+    columns = [np.arange(7) - 1, np.arange(7) * 100_003, np.full(7, -1)]
+    assert (lm.Places.unpack(lm.Places.pack(columns), 3) == np.stack(columns)).all()
 
 
 def labelled(n, seed):
