@@ -12,8 +12,8 @@ sorted, compressed blocks, to the bucket of the word before it; a bucket builds
 A context with more places than a bucket should hold (found on a sample, which changes speed and never results) is split: its places are dealt
 by the word before it, or by their number at the greatest depth, and the counts of its successors, added up beforehand, are sent to each part.
 
-Texts are read twice: once to count words, once to replace words by numbers. The `alphabet` most frequent words, sent to the workers, have
-numbers. Rarer ones are joined with the vocabulary by the word, which adds their unigram term; they are in no list of successors, and a
+Texts are read twice: once to count words, once to replace words by numbers. The most frequent words, up to `alphabet` of them, are sent to
+the workers and have numbers. Rarer ones are joined with the vocabulary by the word, which adds their unigram term; they are in no list of successors, and a
 context ends at them.
 """
 
@@ -190,19 +190,16 @@ def _split(coded: DataFrame, total: int, depth: int) -> Split:
     most, every = max(LITTLE, min(BUCKET, 2 * total // root)), max(1, total // SAMPLE)
     if total <= most:
         return Split(root)
-    rows = coded.where(F.pmod(F.xxhash64("chunk", "k"), F.lit(every)) == 0).select("ids")
-    keys: list[dict[int, list[int]]] = [{} for _ in range(depth)]
-    for r in rows.toLocalIterator():
-        ids = np.frombuffer(r["ids"], "<i4")
-        before = contexts(ids, np.zeros(len(ids)), depth)
-        for k, here in enumerate(context_keys(before)):
-            on = before[k] >= 0
-            suffix = context_keys(before)[k - 1][on] if k else here[on]
-            values, first, counts = np.unique(here[on], return_index=True, return_counts=True)
-            for key, lower, c in zip(values.tolist(), suffix[first].tolist(), counts.tolist()):
-                held = keys[k].setdefault(key, [0, lower])
-                held[0] += c
-    return Split(root, [(k + 1, key, lower, -(-c * every * 3 // (2 * most))) for k, of in enumerate(keys) for key, (c, lower) in of.items() if c * every > most])
+    rows = [np.frombuffer(r["ids"], "<i4") for r in coded.where(F.pmod(F.xxhash64("chunk", "k"), F.lit(every)) == 0).select("ids").toLocalIterator()]
+    before = contexts(np.concatenate([np.zeros(0, np.int32), *rows]), np.repeat(np.arange(len(rows)), [len(x) for x in rows]), depth)
+    del rows
+    keys, found = context_keys(before), []
+    for k, here in enumerate(keys):
+        on = before[k] >= 0
+        values, first, counts = np.unique(here[on], return_index=True, return_counts=True)
+        suffix = keys[max(0, k - 1)][on][first]
+        found += [(k + 1, int(values[i]), int(suffix[i]), int(-(-counts[i] * every * 3 // (2 * most)))) for i in np.flatnonzero(counts * every > most)]
+    return Split(root, found)
 
 
 class Places:
@@ -414,7 +411,7 @@ def _summed(key, table):
     return pa.table({"chunk": pa.array([key[0].as_py()] * len(rows), pa.int64()), "k": pa.array(rows.astype(np.int32)), "score": pa.array(np.bincount(inverse, gain) if len(rows) else np.zeros(0))})
 
 
-def score_texts(docs: DataFrame, least: int = 2, depth: int = 4, alphabet: int = 2_000_000, a: float = 1.0, cost: float = 4.0, held_mod: int = 5, held: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_texts(docs: DataFrame, least: int = 2, depth: int = 4, alphabet: int = 1_000_000, a: float = 1.0, cost: float = 4.0, held_mod: int = 5, held: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Score all texts with a tree learnt from those whose crc32(doc_id as text) mod 5 isn't 1; one row for each row.
 
     Columns doc_id, held_out, n_tokens, n_known, train_tokens, base_score (unigram) and score. A null or empty text is its end alone. A
@@ -426,8 +423,14 @@ def score_texts(docs: DataFrame, least: int = 2, depth: int = 4, alphabet: int =
     words = vocabulary(rows, ~out)
     total, distinct, ends = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(F.col("word") == END, F.col("c"))), F.lit(0))).first()
     scale = total + 0.5 * (distinct + 1)
-    top = words.where((F.col("c") >= least) & (F.col("word") != END)).orderBy(F.desc("c"), "word").limit(alphabet).toArrow()
+    listed = words.where((F.col("c") >= least) & (F.col("word") != END))
+    steps = sorted((tuple(r) for r in listed.groupBy(F.floor(F.log2("c") * 8).alias("b")).agg(F.count("*"), F.min("c")).collect()), reverse=True)
+    sizes = np.cumsum([0, *(n for _, n, _ in steps)])
+    lowest = [c for (_, _, c), n in zip(steps, sizes[1:]) if n <= alphabet]  # a few hundred classes of counts, of which the highest fit
+    top = listed.where(F.col("c") >= lowest[-1] if lowest else F.lit(False)).toArrow()
+    top = top.take(np.argsort(-np.asarray(top["c"]), kind="stable"))
     names, count = pa.concat_arrays([pa.array([END]), *(c.cast(pa.string()) for c in top["word"].chunks)]), np.r_[float(ends), np.asarray(top["c"], np.float64)]
+    del top
     unigram = np.log10((count + 0.5) / scale)
     common = spark.sparkContext.broadcast((names, count, unigram))
 
