@@ -31,8 +31,8 @@ from .common import crc_mod, id_text, parts, tasks, tidy, written
 
 #: The end of a text as a word of the vocabulary; no word can hold a line feed.
 END = "\n"
-#: Bytes of text in a step, distinct words held before they are sent on, bytes of numbers in a step.
-STEP, HELD, NUMBERS = 6_000_000, 1_000_000, 6_000_000
+#: Bytes of text in a step, distinct words held before they are sent on, bytes of numbers in a step, compression of what is shuffled.
+STEP, HELD, NUMBERS, LEVEL = 8_000_000, 1_000_000, 8_000_000, 6
 #: Places that a bucket should hold at most and at least, and words of the sample that split contexts are found on.
 BUCKET, LITTLE, SAMPLE = 1_500_000, 50_000, 2_000_000
 
@@ -210,7 +210,7 @@ class Places:
         import zstandard
 
         body = np.stack([c.astype("<i4") for c in columns]).view(np.uint8).reshape(-1, 4).T  # bytes of equal weight stand together
-        return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(body).tobytes())
+        return zstandard.ZstdCompressor(level=LEVEL).compress(np.ascontiguousarray(body).tobytes())
 
     @staticmethod
     def unpack(data: bytes, width: int) -> np.ndarray:
@@ -220,6 +220,26 @@ class Places:
         return np.ascontiguousarray(body.T).view("<i4").reshape(width, -1)
 
 
+class Gains:
+    """What rows of a chunk gain: their numbers, ascending, and doubles."""
+
+    @staticmethod
+    def pack(k: np.ndarray, gain: np.ndarray) -> bytes:
+        import zstandard
+
+        planes = [np.ascontiguousarray(x.view(np.uint8).reshape(len(k), -1).T).tobytes() for x in (np.diff(k.astype("<i4"), prepend=np.int32(0)), gain.astype("<f8"))]
+        return zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
+
+    @staticmethod
+    def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+        import zstandard
+
+        body = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+        n = len(body) // 12
+        k, gain = (np.ascontiguousarray(x.reshape(-1, n).T) for x in (body[: 4 * n], body[4 * n :]))
+        return np.cumsum(k.view("<i4").ravel()), gain.view("<f8").ravel()
+
+
 def _chunks(batches):
     """(chunk, numbers, row of each, whether for training) of the rows of each chunk in a part of a batch."""
     for batch in parts(batches, NUMBERS, "ids"):
@@ -388,7 +408,7 @@ def _scored(tree):
                 k, inverse = np.unique(columns[-1][i:j] >> 1, return_inverse=True)
                 total = np.bincount(inverse, gains[i:j])
                 on = np.flatnonzero(total)
-                rows.append(k[on].astype("<i4").tobytes() + total[on].astype("<f8").tobytes())
+                rows.append(Gains.pack(k[on], total[on]) if len(on) else b"")
             yield pa.RecordBatch.from_arrays([pa.array([r["chunk"] for r in own], pa.int64()), pa.array(rows, pa.binary())], ["chunk", "block"])
 
         for batch in batches:
@@ -404,9 +424,8 @@ def _scored(tree):
 
 def _summed(key, table):
     """The gains of a chunk's rows over all buckets."""
-    blocks = [x for x in table.column("block").to_pylist() if x]
-    k = np.concatenate([np.zeros(0, "<i4"), *(np.frombuffer(x, "<i4", len(x) // 12) for x in blocks)])
-    gain = np.concatenate([np.zeros(0), *(np.frombuffer(x, "<f8", len(x) // 12, len(x) // 12 * 4) for x in blocks)])
+    blocks = [Gains.unpack(x) for x in table.column("block").to_pylist() if x]
+    k, gain = (np.concatenate(x) for x in zip((np.zeros(0, "<i4"), np.zeros(0)), *blocks))
     rows, inverse = np.unique(k, return_inverse=True)
     return pa.table({"chunk": pa.array([key[0].as_py()] * len(rows), pa.int64()), "k": pa.array(rows.astype(np.int32)), "score": pa.array(np.bincount(inverse, gain) if len(rows) else np.zeros(0))})
 
@@ -439,7 +458,7 @@ def score_texts(docs: DataFrame, least: int = 2, depth: int = 4, alphabet: int =
 
         names, count, unigram = common.value
         chunk = TaskContext.get().partitionId() << 32
-        for part in parts(batches, STEP // 2):
+        for part in parts(batches, STEP):
             lists = _words(part.column("text"))
             flat = lists.flatten()
             bounds = np.asarray(lists.offsets) - np.asarray(lists.offsets)[0]

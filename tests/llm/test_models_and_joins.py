@@ -143,6 +143,8 @@ def test_blocks_round_trip():
     assert (k == keys).all() and (c == counts).all()
     k, c = lm.Blocks.total([lm.Blocks.pack(keys, counts), lm.Blocks.pack(keys[::2], counts[::2])])
     assert (k == keys).all() and c[0] == 2 and c[1] == 2
+    k, gain = lm.Gains.unpack(lm.Gains.pack(np.array([0, 3, 70_000]), np.array([-1.5, 1e-300, 7.25])))
+    assert k.tolist() == [0, 3, 70_000] and gain.tolist() == [-1.5, 1e-300, 7.25]
     columns = [np.arange(7) - 1, np.arange(7) * 100_003, np.full(7, -1)]
     assert (lm.Places.unpack(lm.Places.pack(columns), 3) == np.stack(columns)).all()
 
