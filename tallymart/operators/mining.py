@@ -12,11 +12,13 @@ import re
 import pandas as pd
 from pyspark.sql import DataFrame
 
-RULE_SCHEMA = "brand string, article_id long, into_id long, reason string, score long, name string, degrees double, size string, package string"
+RULE_SCHEMA = "brand string, article_id long, into_id long, reason string, score long, name string, degrees double, measure double, size string, package string"
 COLUMNS = ("article_id", "brand", "name", "measure", "degrees", "units", "package", "size", "shops")
 
-#: Similarity that each round of passes asks for, high ones first.
-LEVELS = (95, 90, 85, 70)
+#: The similarities that the rounds of filling ask for, then those of the second series, then those of joining what few shops sell.
+FILL_LEVELS, AGAIN_LEVELS, SELLER_LEVELS = (88, 70, 60, 50, 40), (95, 90, 85), (93, 80, 70, 60)
+#: The order in which attributes are filled.
+FILLED = ("package", "degrees", "measure", "size")
 
 
 def words_sorted(name: str) -> str:
@@ -71,7 +73,7 @@ class Brand:
     def merge(self, i: int, j: int, reason: str, score: int) -> None:
         """Row i becomes row j, which takes over its shops; i has none from then on and so takes part in nothing."""
         a, b = self.rows[i], self.rows[j]
-        self.rules.append((a["brand"], a["article_id"], b["article_id"], reason, score, b["name"], b["degrees"], b["size"], b["package"]))
+        self.rules.append((a["brand"], a["article_id"], b["article_id"], reason, score, b["name"], b["degrees"], b["measure"], b["size"], b["package"]))
         b["shops"] |= a["shops"]
         a["shops"] = set()
         self.live[i] = False
@@ -95,10 +97,10 @@ class Brand:
                     self.merge(i, found[0], "few sellers", found[1])
 
     def mined(self) -> pd.DataFrame:
-        for level in LEVELS:
-            for column in ("degrees", "size", "package"):
+        for level in FILL_LEVELS + AGAIN_LEVELS:
+            for column in FILLED:
                 self.fill(column, level)
-        for level in LEVELS[:3]:
+        for level in SELLER_LEVELS:
             for most in (1, 2):
                 self.few_sellers(most, level)
         return pd.DataFrame(self.rules, columns=[c.split()[0] for c in RULE_SCHEMA.split(", ")])

@@ -12,7 +12,7 @@ from ..operators.tables import overlapping
 from ..registry import query
 from ..sources.views import Views
 
-KEY = ("brand", "name", "degrees", "size")
+KEY = ("brand", "name", "degrees", "measure", "units", "package", "size")
 
 
 def whole_listing(v: Views) -> DataFrame:
@@ -20,30 +20,45 @@ def whole_listing(v: Views) -> DataFrame:
     return v.usable.select("article_id", "shop_id").distinct()
 
 
-def sample_rules(v: Views) -> DataFrame:
-    """Chains of one to four rules and a cycle, over brand, name, degrees and size; null matches null."""
-    rows = [(1, "Brand#1", "red ring", 0.0, "m", "Brand#2", "red ring", 0.0, "m"), (2, "Brand#2", "red ring", 0.0, "m", "Brand#3", "red ring", 0.0, "l"), (3, "Brand#3", "red ring", 0.0, "l", "Brand#4", "blue ring", 0.0, "l"), (4, "Brand#4", "blue ring", 0.0, "l", "Brand#5", "blue ring", 0.0, "l"), (5, "Brand#6", "old bolt", 0.0, "s", "Brand#7", "old bolt", 0.0, "s"), (6, "Brand#7", "old bolt", 0.0, "s", "Brand#6", "old bolt", 0.0, "s"), (7, "Brand#8", "hot gear", 0.0, None, "Brand#9", "hot gear", 12.5, "xl")]
-    return v.spark.createDataFrame(rows, "rule_id long, if_brand string, if_name string, if_degrees double, if_size string, then_brand string, then_name string, then_degrees double, then_size string")
+#: Steps that a key takes: brand, units and size from one value to another. A chain of four and a cycle.
+STEPS = (("chain", None, "Brand#A"), ("chain", "Brand#A", "Brand#B"), ("chain", "Brand#B", "Brand#C"), ("chain", "Brand#C", "Brand#D"), ("cycle", None, "Brand#X"), ("cycle", "Brand#X", "Brand#Y"), ("cycle", "Brand#Y", "Brand#X"))
 
 
-_RULES = """SELECT * FROM (VALUES (1, 'Brand#1', 'red ring', 0.0::DOUBLE, 'm', 'Brand#2', 'red ring', 0.0::DOUBLE, 'm'), (2, 'Brand#2', 'red ring', 0.0, 'm', 'Brand#3', 'red ring', 0.0, 'l'), (3, 'Brand#3', 'red ring', 0.0, 'l', 'Brand#4', 'blue ring', 0.0, 'l'),
-    (4, 'Brand#4', 'blue ring', 0.0, 'l', 'Brand#5', 'blue ring', 0.0, 'l'), (5, 'Brand#6', 'old bolt', 0.0, 's', 'Brand#7', 'old bolt', 0.0, 's'), (6, 'Brand#7', 'old bolt', 0.0, 's', 'Brand#6', 'old bolt', 0.0, 's'), (7, 'Brand#8', 'hot gear', 0.0, NULL, 'Brand#9', 'hot gear', 12.5, 'xl'))
-    t(rule_id, if_brand, if_name, if_degrees, if_size, then_brand, then_name, then_degrees, then_size)"""
+def sized(articles: DataFrame) -> DataFrame:
+    """The articles with no size in place of the smallest, as a column that may be null."""
+    return articles.withColumn("size", F.when(F.col("size") != "xs", F.col("size")))
 
 
-def _step(source: str) -> str:
-    return f"""SELECT x.article_id, coalesce(r.then_brand, x.brand) AS brand, coalesce(r.then_name, x.name) AS name, coalesce(r.then_degrees, x.degrees) AS degrees, CASE WHEN r.rule_id IS NULL THEN x.size ELSE r.then_size END AS size, x.used + CASE WHEN r.rule_id IS NULL THEN 0 ELSE 1 END AS used
-    FROM ({source}) x LEFT JOIN rules r ON x.brand IS NOT DISTINCT FROM r.if_brand AND lower(x.name) IS NOT DISTINCT FROM lower(r.if_name) AND x.degrees IS NOT DISTINCT FROM r.if_degrees AND x.size IS NOT DISTINCT FROM r.if_size"""
+def rules_of(articles: DataFrame) -> DataFrame:
+    """Rules for the keys of some articles: chains of one to four rules, and cycles, over all seven columns; null matches null."""
+    kind = F.when(F.col("article_id") % 3 == 0, "chain").when(F.col("article_id") % 3 == 1, "cycle")
+    keys = articles.groupBy(*KEY).agg(F.min("article_id").alias("article_id")).withColumn("kind", kind).where("kind is not null")
+    steps = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(a).cast("string").alias("a"), F.lit(b).alias("b"), F.lit(n).alias("n")) for n, (k, a, b) in enumerate(STEPS)])
+    rows = keys.withColumn("s", F.explode(steps)).where("s.kind = kind")
+    before, after = F.coalesce("s.a", "brand"), F.col("s.b")
+    same = [c for c in KEY if c not in ("brand", "units")]
+    return rows.select(
+        (F.col("article_id") * 10 + F.col("s.n")).alias("rule_id"), before.alias("if_brand"), F.when(F.col("s.a").isNull(), F.col("units")).otherwise(F.lit(0)).cast("long").alias("if_units"), after.alias("then_brand"), F.lit(0).cast("long").alias("then_units"),
+        *[F.col(c).alias(f"if_{c}") for c in same], *[F.col(c).alias(f"then_{c}") for c in same],
+    ).dropDuplicates([f"if_{c}" for c in KEY])
+
+
+_SIZED = "SELECT article_id, brand, name, degrees, measure, units, package, CASE WHEN size = 'xs' THEN NULL ELSE size END AS size FROM article"
+_RULES = f"""SELECT DISTINCT coalesce(s.a, k.brand) AS if_brand, s.b AS then_brand, CASE WHEN s.a IS NULL THEN k.units ELSE 0 END AS if_units, name, degrees, measure, package, size
+    FROM (SELECT brand, name, degrees, measure, units, package, size, min(article_id) % 3 AS m FROM ({_SIZED}) GROUP BY ALL) k
+    JOIN (VALUES {", ".join(f"({0 if k == 'chain' else 1}, {'NULL' if a is None else repr(a)}, {b!r})" for k, a, b in STEPS)}) s(m, a, b) ON s.m = k.m"""
 
 
-_UNRULED = "SELECT article_id, brand, name, degrees, CASE WHEN size = 'xs' THEN NULL ELSE size END AS size, 0 AS used FROM article"
+def _step(source: str) -> str:
+    return f"""SELECT x.article_id, coalesce(r.then_brand, x.brand) AS brand, x.name, x.degrees, x.measure, CASE WHEN r.then_brand IS NULL THEN x.units ELSE 0 END AS units, x.package, x.size, x.used + CASE WHEN r.then_brand IS NULL THEN 0 ELSE 1 END AS used
+    FROM ({source}) x LEFT JOIN rules r ON x.brand = r.if_brand AND lower(x.name) = lower(r.name) AND x.degrees = r.degrees AND x.measure = r.measure AND x.units = r.if_units AND x.package = r.package AND x.size IS NOT DISTINCT FROM r.size"""
 
 
-@query(f"WITH rules AS ({_RULES}) SELECT article_id, brand, name, degrees, size, CAST(used AS BIGINT) AS used FROM ({_step(_step(_step(_UNRULED)))})")
+@query(f"WITH rules AS ({_RULES}) SELECT article_id, brand, name, degrees, measure, CAST(units AS BIGINT) AS units, package, size, CAST(used AS BIGINT) AS used FROM ({_step(_step(_step(f'SELECT *, 0 AS used FROM ({_SIZED})')))})")
 def rules_apply_3(v: Views) -> DataFrame:
-    """Three rounds, so a chain of four stops before its end and a cycle ends."""
-    rows = v.article.select("article_id", "brand", "name", "degrees", F.when(F.col("size") != "xs", F.col("size")).alias("size"))
-    return apply_rules(rows, sample_rules(v), KEY, rounds=3)
+    """Rules over the seven columns of an article's key in three rounds, so a chain of four stops before its end and a cycle ends."""
+    rows = sized(v.article).select("article_id", *KEY)
+    return apply_rules(rows, rules_of(rows), KEY, rounds=3)
 
 
 @query("SELECT min(article_id) AS article_id, brand, name, measure, degrees, units, package, size, count(*) AS copies FROM article GROUP BY ALL")
@@ -130,10 +145,21 @@ def m17_brand_bootstrap(v: Views) -> DataFrame:
     return v.article.where(~F.col("brand").rlike("^[0-9]+$")).select(F.lower("brand").alias("brand")).distinct().join(known, "brand", "left_anti")
 
 
-@query("SELECT brand, degrees, count(*) AS n, min(name) AS name FROM article GROUP BY 1, 2 HAVING count(*) < 30")
-def m10_rare_degrees(v: Views) -> DataFrame:
-    """Values that stand rarely within a brand, which a repair looks at."""
-    return v.article.groupBy("brand", "degrees").agg(F.count("*").alias("n"), F.min("name").alias("name")).where("n < 30")
+_ONCE = "SELECT brand, package, degrees FROM article GROUP BY 1, 2, 3 HAVING count(*) = 1"
+
+
+@query(f"""SELECT article_id, new_degrees, CAST(score AS BIGINT) AS score FROM (SELECT *, row_number() OVER (PARTITION BY article_id ORDER BY score DESC, other_id) AS n FROM (SELECT article_id, other_id, new_degrees, {_SIM} AS score FROM (
+    SELECT a.article_id, b.article_id AS other_id, b.degrees AS new_degrees, {_SORTED.format('a.name')} AS x, {_SORTED.format('b.name')} AS y FROM article a JOIN ({_ONCE}) o ON o.brand = a.brand AND o.package = a.package AND o.degrees = a.degrees
+    JOIN article b ON a.brand = b.brand AND a.measure // 10 = b.measure // 10 AND a.units = b.units AND b.degrees <> 0 WHERE a.degrees = 0)) WHERE score > 0) WHERE n = 1""")
+def m10_degrees_repaired(v: Views) -> DataFrame:
+    """Articles without degrees, where that stands once in their brand and package, with those of the most similar name of the same brand, units and class of measure."""
+    once = v.article.groupBy("brand", "package", "degrees").agg(F.count("*").alias("n")).where("n = 1 and degrees = 0").select("brand", "package", "degrees")
+    keyed = v.article.withColumn("class", F.floor(F.col("measure") / 10)).withColumn("x", token_sorted(F.col("name")))
+    rows = keyed.join(once, ["brand", "package", "degrees"]).select("article_id", "brand", "class", "units", "x")
+    other = keyed.where("degrees <> 0").select(F.col("article_id").alias("other_id"), "brand", "class", "units", F.col("degrees").alias("new_degrees"), F.col("x").alias("y"))
+    pairs = rows.join(other, ["brand", "class", "units"]).withColumn("score", similarity(F.col("x"), F.col("y"))).where("score > 0")
+    best = pairs.groupBy("article_id").agg(F.max(F.struct("score", (-F.col("other_id")).alias("m"), "new_degrees")).alias("b"))
+    return best.select("article_id", "b.new_degrees", "b.score")
 
 
 @query()
@@ -183,10 +209,25 @@ def m14_full_rebuild(v: Views) -> DataFrame:
     return rebuild(rows, whole_listing(v), redirects)[0]
 
 
-@query("SELECT brand, name, min(article_id) AS article_id FROM article GROUP BY 1, 2 HAVING count(*) = 1")
-def m11_singleton_articles(v: Views) -> DataFrame:
-    """Names that stand once in a brand, which the repair of names looks at."""
-    return v.article.groupBy("brand", "name").agg(F.count("*").alias("n"), F.min("article_id").alias("article_id")).where("n = 1").drop("n")
+#: How alike names and prices are before a name that stands once is taken for a misspelling.
+NAMES, PRICES = 55, 40
+
+
+@query(f"""WITH s AS (SELECT article_id, list(DISTINCT shop_id) AS shops, CAST(min(price) AS VARCHAR) AS price FROM usable GROUP BY 1), o AS (SELECT brand, name FROM article GROUP BY 1, 2 HAVING count(*) = 1),
+    p AS (SELECT a.article_id, b.article_id AS other_id, b.name AS new_name, {_SORTED.format('a.name')} AS x, {_SORTED.format('b.name')} AS y, t.price AS q, u.price AS r FROM article a JOIN o ON o.brand = a.brand AND o.name = a.name
+    JOIN article b ON b.brand = a.brand AND b.units = a.units AND b.degrees = a.degrees AND b.name <> a.name JOIN s t ON t.article_id = a.article_id JOIN s u ON u.article_id = b.article_id WHERE NOT list_has_any(t.shops, u.shops))
+    SELECT article_id, new_name, CAST(score AS BIGINT) AS score FROM (SELECT *, row_number() OVER (PARTITION BY article_id ORDER BY score DESC, other_id) AS n FROM (SELECT article_id, other_id, new_name, {_SIM} AS score,
+    round(100.0::DOUBLE * (1.0::DOUBLE - levenshtein(q, r) / CAST(greatest(length(q), length(r), 1) AS DOUBLE))) AS near FROM p)) WHERE n = 1 AND score >= {NAMES} AND near > {PRICES}""")
+def m11_names_repaired(v: Views) -> DataFrame:
+    """Names that stand once in a brand, with the most similar one of an article of equal units and degrees that no shop sells beside it and whose price is written alike."""
+    sold = v.usable.groupBy("article_id").agg(F.collect_set("shop_id").alias("shops"), F.min("price").cast("string").alias("price"))
+    once = v.article.groupBy("brand", "name").agg(F.count("*").alias("n")).where("n = 1").select("brand", "name")
+    keyed = v.article.join(sold, "article_id").select("article_id", "brand", "units", "degrees", "name", "shops", "price")
+    other = keyed.select("brand", "units", "degrees", F.col("article_id").alias("other_id"), F.col("name").alias("new_name"), F.col("shops").alias("other_shops"), F.col("price").alias("other_price"))
+    pairs = keyed.join(once, ["brand", "name"]).join(other, ["brand", "units", "degrees"]).where((F.col("name") != F.col("new_name")) & ~overlapping(F.col("shops"), F.col("other_shops")))
+    scored = pairs.select("article_id", "other_id", "new_name", similarity(token_sorted(F.col("name")), token_sorted(F.col("new_name"))).alias("score"), similarity(F.col("price"), F.col("other_price")).alias("near"))
+    best = scored.groupBy("article_id").agg(F.max(F.struct("score", (-F.col("other_id")).alias("m"), "new_name", "near")).alias("b")).where((F.col("b.score") >= NAMES) & (F.col("b.near") > PRICES))
+    return best.select("article_id", "b.new_name", "b.score")
 
 
 @query(f"""SELECT article_id, other_id, CAST(score AS BIGINT) AS score FROM (SELECT article_id, other_id, {_SIM} AS score FROM (SELECT a.article_id, b.article_id AS other_id, {_SORTED.format('a.name')} AS x, {_SORTED.format('b.name')} AS y FROM article a JOIN article b ON a.brand = b.brand AND a.units = b.units AND a.article_id < b.article_id)) WHERE score >= 90""")

@@ -61,9 +61,11 @@ def mut10_enabled_flag(v: Views) -> DataFrame:
     return v.article.select("brand").distinct().join(rules, F.col("brand") == F.col("target"), "left").select("brand", F.col("target").isNotNull().alias("enabled"))
 
 
-@query("SELECT basket_id, string_agg(item, '; ' ORDER BY item) AS items, count(*) AS n FROM basket GROUP BY 1")
+@query("SELECT basket_id, string_agg(quantity || ' ' || item, '; ' ORDER BY item) AS items, count(*) AS n FROM basket GROUP BY 1")
 def q17_saved_lists(v: Views) -> DataFrame:
-    return v.basket.groupBy("basket_id").agg(F.array_join(F.array_sort(F.collect_list("item")), "; ").alias("items"), F.count("*").alias("n"))
+    """The contents of each list with their quantities; a list is what one person put together."""
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("item", "quantity"))), lambda x: F.concat_ws(" ", x["quantity"].cast("string"), x["item"]))
+    return v.basket.groupBy("basket_id").agg(F.array_join(lines, "; ").alias("items"), F.count("*").alias("n"))
 
 
 @query("""SELECT z.region_id, to_json(list({'district': d.name, 'shops': d.n} ORDER BY d.name))::VARCHAR AS json FROM zone z JOIN (SELECT d.region_id, d.name, count(s.shop_id) AS n FROM district d LEFT JOIN shop s ON s.district_id = d.district_id GROUP BY 1, 2) d ON d.region_id = z.region_id GROUP BY 1""")

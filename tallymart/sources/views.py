@@ -26,7 +26,8 @@ SQL = {
         CAST(l_quantity AS BIGINT) AS seconds FROM lineitem""",
     "usable": "SELECT o.* FROM offer o JOIN shop s ON o.shop_id = s.shop_id WHERE s.enabled AND o.price > 0 AND NOT o.error404",
     "listing": "SELECT DISTINCT article_id, shop_id FROM offer",
-    "basket": "SELECT DISTINCT l_orderkey AS basket_id, p_brand || '/' || p_type || '/' || CAST(p_size // 10 AS VARCHAR) AS item FROM lineitem JOIN part ON l_partkey = p_partkey",
+    "basket": """SELECT l_orderkey AS basket_id, p_brand || '/' || p_type || '/' || CAST(p_size // 10 AS VARCHAR) AS item, CAST(sum(l_quantity) AS BIGINT) AS quantity, max((p_size - 1) % 6 + 1)::BIGINT AS units
+        FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2""",
     "shelf": """SELECT u.shop_id, a.brand || '/' || a.package || '/' || CAST(CAST(a.measure AS INT) // 10 AS VARCHAR) AS item, min(u.price) AS price
         FROM usable u JOIN article a ON u.article_id = a.article_id GROUP BY 1, 2""",
     "delivery_area": """SELECT s.shop_id, e.district_id, 100 * (s.shop_id % 7) AS fee, 1000 * (s.shop_id % 5) AS minimum
@@ -116,8 +117,10 @@ class Views:
 
     @cached_property
     def basket(self) -> DataFrame:
-        part = self.table("part").select("p_partkey", self._item("p_brand", "p_type", "p_size").alias("item"))
-        return self.table("lineitem").select(F.col("l_orderkey").alias("basket_id"), "l_partkey").join(part, F.col("l_partkey") == F.col("p_partkey")).select("basket_id", "item").distinct()
+        """Items of a basket with how many are wanted and the units that each holds, dealt by basket."""
+        part = self.table("part").select("p_partkey", self._item("p_brand", "p_type", "p_size").alias("item"), units_of(F.col("p_size")).alias("units"))
+        rows = self.table("lineitem").select(F.col("l_orderkey").alias("basket_id"), "l_partkey", F.col("l_quantity").cast("long").alias("quantity")).join(part, F.col("l_partkey") == F.col("p_partkey"))
+        return rows.repartition("basket_id").groupBy("basket_id", "item").agg(F.sum("quantity").alias("quantity"), F.max("units").alias("units"))
 
     @cached_property
     def shelf(self) -> DataFrame:

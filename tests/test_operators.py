@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tallymart.operators import tables as O
 from tallymart.operators.mining import mine
 from tallymart.operators.rules import apply_rules, rule_hits, rule_upsert
-from tallymart.plans import catalog, matching
+from tallymart.plans import baskets, catalog, matching
 from tallymart.plans.catalog import redirected
 from tallymart.plans.history import price_matrix
 from tallymart.plans.normalise import named_in
@@ -251,3 +251,34 @@ def test_rebuild_and_mining_see_every_listing(spark, sf_dir, monkeypatch):
     assert {tuple(r) for r in seen[0].collect()} == sold
     articles = {r[0] for r in v.article.select("article_id").collect()}
     assert {tuple(r) for r in seen[1].collect()} == {r for r in sold if r[0] in articles}
+
+
+def repairable(spark, rows_, sold):
+    """Views of articles of one brand, with the sellers and prices of each."""
+    v = Shop(spark, [(1, "a", "x")], [])
+    v.article = spark.createDataFrame([(i, n, "x", p, 1, m, d) for i, n, p, m, d in rows_], "article_id long, name string, brand string, package string, units long, measure double, degrees double")
+    v.usable = spark.createDataFrame([(i, s, p) for i, of, p in sold for s in of], "article_id long, shop_id long, price long")
+    return v
+
+
+def test_degrees_repaired(spark):
+    """A lone article without degrees takes those of the most similar name of its class of measure."""
+    rows_ = [(1, "pisco sour", "botella", 75.0, 0.0), (2, "pisco sour especial", "lata", 70.0, 35.0), (3, "pisco sour", "lata", 71.0, 12.0), (4, "pisco sour", "lata", 5.0, 9.0), (5, "agua", "caja", 75.0, 0.0), (6, "agua", "caja", 75.0, 0.0)]
+    assert got(matching.m10_degrees_repaired(repairable(spark, rows_, [])), "article_id", "new_degrees", "score") == [(1, 12.0, 100)]
+
+
+def test_names_repaired(spark):
+    """A name that stands once is taken for a misspelling of one that other shops sell at a like price."""
+    rows_ = [(1, "cerveza negra", "p", 1.0, 0.0), (2, "cervesa negra", "p", 1.0, 0.0), (3, "cerveza rubia", "p", 1.0, 0.0), (4, "cerveza negra", "p", 1.0, 5.0)]
+    found = lambda sold: got(matching.m11_names_repaired(repairable(spark, rows_, sold)), "article_id", "new_name")
+    assert found([(1, [1], 1990), (2, [2], 1990), (3, [1, 2], 1990)]) == [(2, "cerveza negra")]
+    assert found([(1, [1, 2], 1990), (2, [2], 1990), (3, [1, 2], 1990)]) == [] and found([(1, [1], 9), (2, [2], 1990)]) == []
+
+
+def test_basket_of_quantities(spark):
+    """Subtotals and units count how many are wanted; a shop that alone sells an item is required."""
+    basket = spark.createDataFrame([(1, "a", 3, 2), (1, "b", 1, 6), (2, "a", 1, 2)], "basket_id long, item string, quantity long, units long")
+    shelf = spark.createDataFrame([(1, "a", 10), (1, "b", 50), (2, "a", 9), (3, "a", 1)], "shop_id long, item string, price long")
+    areas = spark.createDataFrame([(1, 5, 0), (2, 0, 20)], "shop_id long, fee long, minimum long")
+    rows_ = got(baskets.ranked(basket, shelf, areas), "basket_id", "shop_id", "found", "units", "wanted_units", "subtotal", "total", "complete", "enough", "required", "rank")
+    assert rows_ == [(1, 1, 2, 12, 12, 80, 85, True, True, True, 1), (1, 2, 1, 6, 12, 27, 27, False, True, False, 2), (2, 1, 1, 2, 2, 10, 15, True, True, False, 1), (2, 2, 1, 2, 2, 9, 9, True, False, False, 2)]
