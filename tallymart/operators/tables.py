@@ -31,6 +31,22 @@ def without(df: DataFrame, **unwanted) -> DataFrame:
     return df.where(~both)
 
 
+def small(df: DataFrame, most: int = 400_000) -> DataFrame:
+    """df with the hint to broadcast it if it has at most that many rows, which are counted; for rows of a few numbers and short names."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def balanced(df: DataFrame, label: str, key: str) -> DataFrame:
+    """df with every class thinned to about the size of the smallest by a multiplicative hash of an integer key; null labels go.
+
+    One pass for the counts, whose few rows are broadcast, and one filter: no class is gathered or sorted.
+    """
+    counts = df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("_n"))
+    share = counts.join(counts.agg(F.min("_n").alias("_least"))).select(F.col(label).alias("_label"), (F.col("_least") / F.col("_n")).alias("_share"))
+    place = F.pmod(F.col(key) * F.lit(2654435761), F.lit(1 << 32)) / F.lit(float(1 << 32))
+    return df.join(small(share), F.col(label) == F.col("_label")).where(place < F.col("_share")).drop("_label", "_share")
+
+
 def page(df: DataFrame, number: int, size: int, *order: Column, past_end: str = "empty") -> DataFrame:
     """One page of the rows in the given order, counted from 1, with its row_number. past_end "last" gives the last page for a number beyond it.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -288,9 +290,20 @@ def o05_last_page(v: Views) -> DataFrame:
     return page(rows, 10_000, 50, *map(F.col, ("price", "order_id", "line", "article_id")), past_end="last")
 
 
-@query("SELECT article_id, name, brand FROM article ORDER BY article_id LIMIT 100 OFFSET 200")
+@query("""SELECT * FROM (SELECT 'brand' AS resource, brand AS id FROM (SELECT DISTINCT brand FROM article) ORDER BY id LIMIT 10 OFFSET 5) UNION ALL SELECT * FROM (SELECT 'corporation', CAST(region_id AS VARCHAR) FROM zone ORDER BY region_id LIMIT 10 OFFSET 2)
+    UNION ALL SELECT * FROM (SELECT 'article', CAST(article_id AS VARCHAR) FROM article ORDER BY article_id LIMIT 100 OFFSET 50) UNION ALL SELECT * FROM (SELECT 'shop', CAST(shop_id AS VARCHAR) FROM shop ORDER BY shop_id LIMIT 100 OFFSET 5)
+    UNION ALL SELECT * FROM (SELECT 'offer', order_id || '/' || line FROM offer ORDER BY order_id, line, article_id LIMIT 100 OFFSET 200) UNION ALL SELECT * FROM (SELECT 'seller', article_id || '/' || shop_id FROM listing ORDER BY article_id, shop_id LIMIT 100 OFFSET 200)
+    UNION ALL SELECT * FROM (SELECT 'price', article_id || '/' || shop_id || '/' || CAST(ts AS DATE) || '/' || price FROM usable ORDER BY article_id, shop_id, ts, price LIMIT 100 OFFSET 200)""")
 def snk05_limit_offset(v: Views) -> DataFrame:
-    return v.article.select("article_id", "name", "brand").orderBy("article_id").offset(200).limit(100)
+    """A page of each of the seven listing resources: brands, corporations (here zones), articles, shops, offers, sellers and prices."""
+    text = lambda *c: F.concat_ws("/", *[F.col(x).cast("string") for x in c])
+    prices = v.usable.select("article_id", "shop_id", "ts", F.col("ts").cast("date").alias("day"), "price")
+    pages = [
+        ("brand", v.article.select("brand").distinct(), ["brand"], ["brand"], 10, 5), ("corporation", v.zone, ["region_id"], ["region_id"], 10, 2), ("article", v.article, ["article_id"], ["article_id"], 100, 50), ("shop", v.shop, ["shop_id"], ["shop_id"], 100, 5),
+        ("offer", v.offer, ["order_id", "line", "article_id"], ["order_id", "line"], 100, 200), ("seller", v.listing, ["article_id", "shop_id"], ["article_id", "shop_id"], 100, 200), ("price", prices, ["article_id", "shop_id", "ts", "price"], ["article_id", "shop_id", "day", "price"], 100, 200),
+    ]
+    rows = [df.orderBy(*order).offset(skip).limit(n).select(F.lit(name).alias("resource"), text(*shown).alias("id")) for name, df, order, shown, n, skip in pages]
+    return reduce(DataFrame.unionByName, rows)
 
 
 @query("SELECT shop_id, n, row_number() OVER (ORDER BY n DESC, shop_id) AS position FROM (SELECT shop_id, count(*) AS n FROM offer GROUP BY 1)")

@@ -12,6 +12,7 @@ from ..operators.tables import any_of
 from ..registry import query
 from ..sources.views import Views
 from .history import price_matrix
+from .matching import RULES_SQL, USED_SQL, rules_apply_3
 
 UNITS = ("ml", "lt", "gr", "kg", "cl")
 
@@ -166,9 +167,19 @@ def q24_pages_to_offers(v: Views) -> DataFrame:
     return rows.select("page_id", F.lower(F.trim(F.substring("found", 1, 50))).alias("name"), (F.col("found") == "").alias("missing"), F.floor(F.length("html") / 1000).cast("long").alias("price"), F.substring(lang, 1, 20).alias("stock"))
 
 
-@query("SELECT order_id, line, article_id, shop_id, price, CASE WHEN price = 0 THEN NULL ELSE round(price / 100.0::DOUBLE, 2) END AS shown FROM offer")
+@query(f"""WITH rules AS ({RULES_SQL}), used AS ({USED_SQL}), h AS (SELECT article_id, shop_id, CAST(count(*) AS BIGINT) AS prices, string_agg(day || ' ' || price, '; ' ORDER BY day, price) AS history
+    FROM (SELECT DISTINCT article_id, shop_id, CAST(ts AS DATE) AS day, price FROM offer WHERE price > 0) GROUP BY 1, 2)
+    SELECT o.order_id, o.line, s.name || ': ' || a.brand || ', ' || a.name AS title, o.price, CAST(u.used AS BIGINT) AS rules, coalesce(h.prices, 0) AS prices, coalesce(h.history, '') AS history
+    FROM offer o JOIN shop s ON s.shop_id = o.shop_id JOIN article a ON a.article_id = o.article_id JOIN used u ON u.article_id = o.article_id LEFT JOIN h ON h.article_id = o.article_id AND h.shop_id = o.shop_id""")
 def q15_offer_page(v: Views) -> DataFrame:
-    return v.offer.select("order_id", "line", "article_id", "shop_id", "price", F.when(F.col("price") != 0, F.round(F.col("price") / 100.0, 2)).alias("shown"))
+    """The page of every offer: its title, how many rules its article went through, and the prices that its shop has asked for the article, in order of days."""
+    priced = v.offer.where("price > 0").select("article_id", "shop_id", F.col("ts").cast("date").alias("day"), "price").distinct()
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("day", "price"))), lambda x: F.concat_ws(" ", x["day"].cast("string"), x["price"].cast("string")))
+    history = priced.groupBy("article_id", "shop_id").agg(F.count("*").alias("prices"), F.array_join(lines, "; ").alias("history"))
+    articles = v.article.select("article_id", "brand", "name").join(rules_apply_3(v).select("article_id", F.col("used").alias("rules")), "article_id")
+    rows = v.offer.join(v.shop.select("shop_id", F.col("name").alias("shop")), "shop_id").join(articles, "article_id").join(history, ["article_id", "shop_id"], "left")
+    title = F.concat("shop", F.lit(": "), "brand", F.lit(", "), "name")
+    return rows.select("order_id", "line", title.alias("title"), "price", "rules", F.coalesce("prices", F.lit(0)).cast("long").alias("prices"), F.coalesce("history", F.lit("")).alias("history"))
 
 
 @query("""SELECT z.name AS region, string_agg(d.name || ':' || d.n, '; ' ORDER BY d.name) AS districts, CAST(sum(d.n) AS BIGINT) AS shops FROM zone z JOIN (SELECT d.region_id, d.name, count(s.shop_id) AS n FROM district d LEFT JOIN shop s ON s.district_id = d.district_id GROUP BY 1, 2) d ON d.region_id = z.region_id GROUP BY 1""")

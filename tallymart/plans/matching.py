@@ -54,7 +54,11 @@ def _step(source: str) -> str:
     FROM ({source}) x LEFT JOIN rules r ON x.brand = r.if_brand AND lower(x.name) = lower(r.name) AND x.degrees = r.degrees AND x.measure = r.measure AND x.units = r.if_units AND x.package = r.package AND x.size IS NOT DISTINCT FROM r.size"""
 
 
-@query(f"WITH rules AS ({_RULES}) SELECT article_id, brand, name, degrees, measure, CAST(units AS BIGINT) AS units, package, size, CAST(used AS BIGINT) AS used FROM ({_step(_step(_step(f'SELECT *, 0 AS used FROM ({_SIZED})')))})")
+#: The rules, and the articles after three rounds of them.
+RULES_SQL, USED_SQL = _RULES, _step(_step(_step(f"SELECT *, 0 AS used FROM ({_SIZED})")))
+
+
+@query(f"WITH rules AS ({RULES_SQL}) SELECT article_id, brand, name, degrees, measure, CAST(units AS BIGINT) AS units, package, size, CAST(used AS BIGINT) AS used FROM ({USED_SQL})")
 def rules_apply_3(v: Views) -> DataFrame:
     """Rules over the seven columns of an article's key in three rounds, so a chain of four stops before its end and a cycle ends."""
     rows = sized(v.article).select("article_id", *KEY)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.tables import update_columns, upsert
+from ..operators.tables import balanced, update_columns, upsert
 from ..registry import query
 from ..sources.views import Views
 
@@ -76,6 +76,22 @@ def snk03_nested_json(v: Views) -> DataFrame:
     return n.groupBy("region_id").agg(F.to_json(nested).alias("json"))
 
 
+@query("""SELECT plan, to_json({'plan': plan, 'contents': list({'position': p, 'what': what, 'n': n} ORDER BY p)})::VARCHAR AS json FROM (SELECT c_mktsegment AS plan, o_orderpriority AS what, CAST(left(o_orderpriority, 1) AS BIGINT) AS p, count(*) AS n
+    FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY 1, 2, 3) GROUP BY 1""")
+def q16_plans_with_contents(v: Views) -> DataFrame:
+    """Plans (here market segments) with what each contains, in order, as nested documents."""
+    rows = v.table("customer").select("c_custkey", F.col("c_mktsegment").alias("plan")).join(v.table("orders").select("o_custkey", F.col("o_orderpriority").alias("what")), F.col("c_custkey") == F.col("o_custkey"))
+    lines = rows.groupBy("plan", "what").agg(F.count("*").alias("n")).withColumn("position", F.substring("what", 1, 1).cast("long"))
+    contents = F.array_sort(F.collect_list(F.struct("position", "what", "n"))).alias("contents")
+    return lines.groupBy("plan").agg(contents).select("plan", F.to_json(F.struct("plan", "contents")).alias("json"))
+
+
+@query("""WITH n AS (SELECT toxic, count(*) AS n FROM labels WHERE toxic IS NOT NULL GROUP BY 1) SELECT l.doc_id, CAST(l.toxic AS BIGINT) AS toxic FROM labels l JOIN n ON n.toxic = l.toxic
+    WHERE (l.doc_id * 2654435761) % 4294967296 / 4294967296.0::DOUBLE < (SELECT min(n) FROM n) / n.n::DOUBLE""")
+def f08_balanced_classes(v: Views) -> DataFrame:
+    return balanced(v.table("labels").select("doc_id", F.col("toxic").cast("long").alias("toxic")), "toxic", "doc_id")
+
+
 @query("SELECT shop_id, to_json({'shop_id': shop_id, 'name': name, 'enabled': enabled})::VARCHAR AS json FROM shop WHERE enabled")
 def snk02_json_export(v: Views) -> DataFrame:
     return v.shop.where("enabled").select("shop_id", F.to_json(F.struct("shop_id", "name", "enabled")).alias("json"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +25,28 @@ def read_sitemap_index(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("xml").option("rowTag", "sitemap").schema("loc string").load(path).select(F.trim("loc").alias("loc"))
 
 
+def read_sitemaps(spark: SparkSession, index: str) -> DataFrame:
+    """(loc, lastmod) of all sitemaps that an index lists, followed through indexes of indexes; what was followed once isn't followed again.
+
+    The protocol bounds an index at 50,000 entries; their paths alone reach the driver. A file that is no index gives no entries there.
+    """
+    seen: set[str] = set()
+    front, maps = [index], []
+    while front:
+        seen.update(front)
+        listed = {r["loc"] for at in front for r in read_sitemap_index(spark, at).distinct().collect()}
+        maps += front
+        front = sorted(listed - seen)
+    found = [read_sitemap(spark, at) for at in maps]
+    return reduce(DataFrame.unionByName, found).distinct()
+
+
+def write_index(spark: SparkSession, locs: list[str], path: str) -> None:
+    """An index of sitemaps."""
+    rows = spark.createDataFrame([(x,) for x in locs], "loc string").coalesce(1)
+    rows.write.format("xml").option("rootTag", "sitemapindex").option("rowTag", "sitemap").mode("overwrite").save(path)
+
+
 def read_robots(spark: SparkSession, path: str) -> DataFrame:
     """(directive, content) of the lines of robots files, directives in lower case; comments and blank lines go."""
     line = F.trim(F.regexp_replace("value", "#.*$", ""))
@@ -39,7 +62,7 @@ def read_crawl(spark: SparkSession, path: str, schema: str, most: int | None = N
 
 def read_upload(spark: SparkSession, path: str) -> DataFrame:
     """Offers out of CSV files with a header."""
-    return spark.read.option("header", True).schema(UPLOAD_SCHEMA).csv(path)
+    return spark.read.option("header", True).option("escape", '"').schema(UPLOAD_SCHEMA).csv(path)
 
 
 def read_access_log(spark: SparkSession, path: str) -> DataFrame:
@@ -58,10 +81,10 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def write_sitemap(df: DataFrame, path: str, loc: str = "loc", lastmod: str = "lastmod") -> None:
-    """XML files of url elements."""
+def write_sitemap(df: DataFrame, path: str, loc: str = "loc", lastmod: str = "lastmod", compression: str = "none") -> None:
+    """XML files of url elements, compressed on request."""
     rows = df.select(F.col(loc).alias("loc"), F.date_format(lastmod, "yyyy-MM-dd").alias("lastmod"))
-    rows.write.format("xml").option("rootTag", "urlset").option("rowTag", "url").mode("overwrite").save(path)
+    rows.write.format("xml").option("rootTag", "urlset").option("rowTag", "url").option("compression", compression).mode("overwrite").save(path)
 
 
 def read_jdbc(spark: SparkSession, url: str, name: str, key: str | None = None, bounds: tuple[int, int] | None = None, parts: int = 8, options: Mapping[str, str] | None = None) -> DataFrame:
