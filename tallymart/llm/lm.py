@@ -31,8 +31,8 @@ from .common import crc_mod, id_text, parts, tasks, tidy, written
 
 #: The end of a text as a word of the vocabulary; no word can hold a line feed.
 END = "\n"
-#: Bytes of text in a step, distinct words held before they are sent on, bytes of numbers in a step, compression of what is shuffled.
-STEP, HELD, NUMBERS, LEVEL = 8_000_000, 1_000_000, 8_000_000, 6
+#: Bytes of text in a step of counting and in a chunk, distinct words held before they are sent on, bytes of numbers in a step, compression of what is shuffled.
+STEP, CHUNK, HELD, NUMBERS, LEVEL = 4_000_000, 8_000_000, 1_000_000, 6_000_000, 6
 #: Places that a bucket should hold at most and at least, and words of the sample that split contexts are found on.
 BUCKET, LITTLE, SAMPLE = 1_500_000, 50_000, 2_000_000
 
@@ -165,7 +165,7 @@ class Split:
 
     def place(self, before: list[np.ndarray]) -> np.ndarray:
         """The bucket of each place."""
-        keys = context_keys(before)
+        keys = context_keys(before if len(self.keys) else before[:1])
         out = (keys[0] % np.uint64(self.root)).astype(np.int64)
         inside = np.flatnonzero(self.find(keys[0]) >= 0) if len(self.keys) else np.zeros(0, np.int64)
         for k in range(len(before)):
@@ -269,6 +269,7 @@ def _places(split: Split, depth: int):
             order = order[np.argsort(bucket[order] << 32 | before[0][order], kind="stable")]
             columns = [c[order] for c in (*before, ids[on], row[on] << 1 | train[on])]
             bucket = bucket[order]
+            del before, order
             cuts = np.r_[0, np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, len(bucket)]
             for at in range(0, len(cuts) - 1, 256):
                 some = [(i, j) for i, j in zip(cuts[at : at + 256].tolist(), cuts[at + 1 : at + 257].tolist())]
@@ -458,7 +459,7 @@ def score_texts(docs: DataFrame, least: int = 2, depth: int = 4, alphabet: int =
 
         names, count, unigram = common.value
         chunk = TaskContext.get().partitionId() << 32
-        for part in parts(batches, STEP):
+        for part in parts(batches, CHUNK):
             lists = _words(part.column("text"))
             flat = lists.flatten()
             bounds = np.asarray(lists.offsets) - np.asarray(lists.offsets)[0]
