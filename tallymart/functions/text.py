@@ -210,8 +210,12 @@ def token_sorted(text: Column) -> Column:
 
 
 def similarity(a: Column, b: Column) -> Column:
-    """0 to 100: token-sorted texts, one minus the edit distance over the longer length, rounded."""
-    x, y = token_sorted(a), token_sorted(b)
+    """0 to 100: the likeness of token-sorted texts."""
+    return likeness(token_sorted(a), token_sorted(b))
+
+
+def likeness(x: Column, y: Column) -> Column:
+    """0 to 100: one minus the edit distance over the longer length, rounded."""
     longest = F.greatest(F.length(x), F.length(y), F.lit(1))
     return F.round(F.lit(100.0) * (F.lit(1.0) - F.levenshtein(x, y) / longest)).cast("long")
 
@@ -265,6 +269,9 @@ def cut_out(text: Column, remove: Sequence[str] = (), split_by: str | None = Non
 
 
 def token_set(a: Column, b: Column) -> Column:
-    """0 to 100: shared words over all words of two texts."""
-    x, y = (F.array_distinct(F.split(token_sorted(c), " ")) for c in (a, b))
-    return F.round(100.0 * F.size(F.array_intersect(x, y)) / F.greatest(F.size(F.array_union(x, y)), F.lit(1))).cast("long")
+    """The best similarity among the words that both have, those with the rest of the one, and those with the rest of the other."""
+    x, y = F.array_distinct(F.split(token_sorted(a), " ")), F.array_distinct(F.split(token_sorted(b), " "))
+    both = F.array_sort(F.array_intersect(x, y))
+    joined = lambda rest: F.array_join(F.concat(both, F.array_sort(rest)), " ")
+    shared, one, other = F.array_join(both, " "), joined(F.array_except(x, y)), joined(F.array_except(y, x))
+    return F.greatest(likeness(shared, one), likeness(shared, other), likeness(one, other))

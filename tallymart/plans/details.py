@@ -127,23 +127,31 @@ def p13_changed_rows(v: Views) -> DataFrame:
 
 
 _SET = "list_distinct(string_split(trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g')), ' '))"
+_NEAR = "round(100.0::DOUBLE * (1.0::DOUBLE - levenshtein({0}, {1}) / CAST(greatest(length({0}), length({1}), 1) AS DOUBLE)))"
 
 
-@query(f"""SELECT article_id, other_id, CAST(round(100.0::DOUBLE * len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y)))) AS BIGINT) AS score FROM (SELECT a.article_id, b.article_id AS other_id, {_SET.format('a.name')} AS x, {_SET.format('b.name')} AS y
-    FROM article a JOIN article b ON a.brand = b.brand AND a.units = b.units AND a.size = b.size AND a.article_id < b.article_id)""")
+@query(f"""SELECT article_id, other_id, CAST(greatest({_NEAR.format('t', 'u')}, {_NEAR.format('t', 'w')}, {_NEAR.format('u', 'w')}) AS BIGINT) AS score FROM (SELECT article_id, other_id, array_to_string(z, ' ') AS t,
+    array_to_string(list_concat(z, list_sort([e for e in x if NOT list_contains(y, e)])), ' ') AS u, array_to_string(list_concat(z, list_sort([e for e in y if NOT list_contains(x, e)])), ' ') AS w FROM (SELECT *, list_sort(list_intersect(x, y)) AS z
+    FROM (SELECT a.article_id, b.article_id AS other_id, {_SET.format('a.name')} AS x, {_SET.format('b.name')} AS y FROM article a JOIN article b ON a.brand = b.brand AND a.units = b.units AND a.size = b.size AND a.article_id < b.article_id)))""")
 def m06_token_set_scores(v: Views) -> DataFrame:
+    """Pairs of like articles by the words that their names share, whatever else the names hold."""
     a = v.article.select("article_id", "brand", "units", "size", "name")
     b = a.select(F.col("article_id").alias("other_id"), "brand", "units", "size", F.col("name").alias("other"))
     return a.join(b, ["brand", "units", "size"]).where("article_id < other_id").select("article_id", "other_id", T.token_set(F.col("name"), F.col("other")).alias("score"))
 
 
-@query("""WITH s AS (SELECT a.article_id, a.brand, a.name, count(DISTINCT l.shop_id) AS n FROM article a JOIN listing l ON l.article_id = a.article_id GROUP BY 1, 2, 3)
-    SELECT a.article_id, min(b.article_id) AS leader, count(*) AS members FROM s a JOIN s b ON a.brand = b.brand AND a.name = b.name AND abs(a.n - b.n) <= 10 GROUP BY 1""")
+_LINE = "array_to_string(list_sort(string_split(trim(regexp_replace(lower(a.name), '[^a-z0-9]+', ' ', 'g')), ' ')), ' ')"
+
+
+@query(f"""WITH s AS (SELECT a.article_id, a.brand, {_LINE} AS x, count(DISTINCT l.shop_id) AS n FROM article a JOIN listing l ON l.article_id = a.article_id GROUP BY 1, 2, 3)
+    SELECT a.article_id, min(b.article_id) AS leader, count(*) AS members FROM s a JOIN s b ON a.brand = b.brand AND abs(a.n - b.n) <= 10 WHERE {_NEAR.format('a.x', 'b.x')} >= 90 GROUP BY 1""")
 def m15_similar_groups(v: Views) -> DataFrame:
-    """Articles with equal names and seller counts within ten, led by the lowest id."""
-    s = v.article.join(v.listing, "article_id").groupBy("article_id", "brand", "name").agg(F.count_distinct("shop_id").alias("n"))
-    o = s.select(F.col("article_id").alias("other_id"), "brand", "name", F.col("n").alias("m"))
-    return s.join(o, ["brand", "name"]).where(F.abs(F.col("n") - F.col("m")) <= 10).groupBy("article_id").agg(F.min("other_id").alias("leader"), F.count("*").alias("members"))
+    """Articles whose names are alike by 90 and whose seller counts are within ten, led by the lowest id. Names that differ too much in length are never compared."""
+    s = v.article.join(v.listing, "article_id").groupBy("article_id", "brand", T.token_sorted(F.col("name")).alias("x")).agg(F.count_distinct("shop_id").alias("n"))
+    o = s.select(F.col("article_id").alias("other_id"), "brand", F.col("x").alias("y"), F.col("n").alias("m"))
+    length = F.abs(F.length("x") - F.length("y")) <= 0.11 * F.greatest(F.length("x"), F.length("y"))
+    pairs = s.join(o, "brand").where((F.abs(F.col("n") - F.col("m")) <= 10) & length).where(T.likeness(F.col("x"), F.col("y")) >= 90)
+    return pairs.groupBy("article_id").agg(F.min("other_id").alias("leader"), F.count("*").alias("members"))
 
 
 CONFIG = [(1, "name", 1, "h2", 0), (1, "name", 2, "h1", 3), (1, "price", 1, "span", 5), (2, "name", 1, "h1", 0), (2, "stock", 1, "div", 2)]

@@ -116,13 +116,21 @@ def fuzzy_fill_package(v: Views) -> DataFrame:
     return best.select("article_id", "package", "b.new_package", "b.score")
 
 
-@query("""WITH e AS (SELECT ean, min(article_id) AS article_id, max(degrees) AS degrees, max(measure) AS measure, arg_min(name, article_id) AS name, count(*) AS merged FROM article GROUP BY 1 HAVING count(*) > 1), s AS (SELECT a.ean, count(DISTINCT l.shop_id) AS sellers FROM article a JOIN listing l ON l.article_id = a.article_id GROUP BY 1)
-    SELECT e.*, s.sellers FROM e LEFT JOIN s ON s.ean = e.ean""")
+@query("""WITH s AS (SELECT article_id, list(DISTINCT shop_id) AS shops FROM usable GROUP BY 1), f AS (SELECT ean, min(article_id) AS lead FROM article GROUP BY 1),
+    m AS (SELECT a.article_id, a.ean, a.degrees, a.measure, f.lead, x.shops FROM article a JOIN f ON f.ean = a.ean LEFT JOIN s x ON x.article_id = a.article_id LEFT JOIN s y ON y.article_id = f.lead WHERE a.article_id = f.lead OR (x.shops IS NOT NULL AND y.shops IS NOT NULL AND NOT list_has_any(x.shops, y.shops))),
+    n AS (SELECT ean, count(DISTINCT shop) AS sellers FROM (SELECT ean, unnest(shops) AS shop FROM m) GROUP BY 1)
+    SELECT m.ean, m.lead AS article_id, max(m.degrees) AS degrees, max(m.measure) AS measure, any_value(l.name) AS name, count(*) AS merged, any_value(n.sellers) AS sellers FROM m JOIN article l ON l.article_id = m.lead LEFT JOIN n ON n.ean = m.ean GROUP BY 1, 2 HAVING count(*) > 1""")
 def ean_merge(v: Views) -> DataFrame:
-    """Articles of one barcode as one: filled degrees, the larger measure, the first name, the union of sellers."""
-    merged = v.article.groupBy("ean").agg(F.min("article_id").alias("article_id"), F.max("degrees").alias("degrees"), F.max("measure").alias("measure"), F.min(F.struct("article_id", "name"))["name"].alias("name"), F.count("*").alias("merged")).where("merged > 1")
-    sellers = v.article.select("article_id", "ean").join(v.listing, "article_id").groupBy("ean").agg(F.count_distinct("shop_id").alias("sellers"))
-    return merged.join(sellers, "ean", "left")
+    """Articles of one barcode that no shop sells beside the first of them, as one: filled degrees, the larger measure, the first name, the union of sellers."""
+    shops = v.usable.groupBy("article_id").agg(F.collect_set("shop_id").alias("shops"))
+    rows = v.article.select("article_id", "ean", "name", "degrees", "measure").join(shops, "article_id", "left").withColumn("shops", F.coalesce("shops", F.array().cast("array<bigint>")))
+    first = F.min(F.struct("article_id", "name", "shops")).over(Window.partitionBy("ean"))  # a barcode has few articles
+    joined = rows.withColumn("lead", first).where((F.col("article_id") == F.col("lead.article_id")) | ~overlapping(F.col("shops"), F.col("lead.shops")))
+    merged = joined.groupBy("ean").agg(
+        F.first("lead.article_id").alias("article_id"), F.max("degrees").alias("degrees"), F.max("measure").alias("measure"), F.first("lead.name").alias("name"), F.count("*").alias("merged"),
+        F.size(F.array_distinct(F.flatten(F.collect_list("shops")))).cast("long").alias("sellers"),
+    )
+    return merged.where("merged > 1")
 
 
 @query("""WITH s AS (SELECT article_id, list(DISTINCT shop_id) AS shops FROM usable GROUP BY 1) SELECT a.article_id, b.article_id AS other_id FROM article a JOIN article b ON a.brand = b.brand AND a.name = b.name AND a.article_id < b.article_id

@@ -42,34 +42,47 @@ def freshness_histogram(v: Views) -> DataFrame:
     return freshness(v.offer.where(F.col("ts") < F.lit(AS_OF).cast("timestamp_ntz")))
 
 
-def status(offers: DataFrame, shops: DataFrame, rate: float = 0.02) -> DataFrame:
-    """One row a shop, those without offers included, and one in all: counts, shares with a guarded denominator, and cost of fetching."""
+#: Hours that a shop and a delivery area take to set up, and what an hour costs.
+SITE_HOURS, AREA_HOURS, HOUR = 4.0, 0.25, 20.0
+STALE_DAYS = 365
+
+
+def status(offers: DataFrame, shops: DataFrame, areas: DataFrame, rate: float = 0.02, as_of: str = AS_OF) -> DataFrame:
+    """One row a shop, those without offers included, and one in all: counts of offers and places, shares with a guarded denominator, and cost of fetching and of setting up."""
+    usable = ~F.col("error404") & (F.col("price") > 0)
+    old = F.datediff(F.lit(as_of).cast("date"), F.col("ts")) >= STALE_DAYS
     c = offers.rollup("shop_id").agg(
-        F.grouping("shop_id").alias("all_shops"), F.count("*").alias("offers"), F.count_if("error404").alias("missing"), F.count_if(F.col("price") == 0).alias("unpriced"),
-        F.count_if(~F.col("error404") & (F.col("price") > 0)).alias("usable"), F.count_distinct("article_id").alias("articles"), F.sum("seconds").alias("seconds"), F.avg("seconds").alias("mean_seconds"),
-    )
-    names = shops.select("shop_id", "name", "enabled").unionByName(shops.sparkSession.range(1).select(F.lit(None).cast("long").alias("shop_id"), F.lit("total").alias("name"), F.lit(True).alias("enabled")))
-    c = c.withColumnRenamed("shop_id", "_shop").drop("all_shops")
-    rows = names.join(c, F.col("shop_id").eqNullSafe(F.col("_shop")), "left").drop("_shop")
+        F.count("*").alias("offers"), F.count_if("error404").alias("missing"), F.count_if(F.col("price") == 0).alias("unpriced"), F.count_if(usable).alias("usable"), F.count_if(usable & old).alias("stale"),
+        F.count_distinct("article_id").alias("articles"), F.sum("seconds").alias("seconds"), F.avg("seconds").alias("mean_seconds"),
+    ).withColumnRenamed("shop_id", "_shop")
+    places = areas.rollup("shop_id").agg(F.count("*").alias("areas"), F.count_distinct("district_id").alias("districts")).withColumnRenamed("shop_id", "_place")
+    total = shops.agg(F.count("*").alias("shops")).select(F.lit(None).cast("long").alias("shop_id"), F.lit("total").alias("name"), F.lit(True).alias("enabled"), "shops")
+    names = shops.select("shop_id", "name", "enabled", F.lit(1).cast("long").alias("shops")).unionByName(total)
+    rows = names.join(c, F.col("shop_id").eqNullSafe(F.col("_shop")), "left").join(places, F.col("shop_id").eqNullSafe(F.col("_place")), "left")
     whole = F.when(F.coalesce("offers", F.lit(0)) == 0, 1).otherwise(F.col("offers"))
     number = lambda n: F.coalesce(F.col(n), F.lit(0)).cast("long").alias(n)
-    share = lambda n: F.round(100.0 * F.coalesce(F.col(n), F.lit(0)) / whole, 4)
+    share = lambda n: F.round(100.0 * F.coalesce(F.col(n), F.lit(0)) / whole, 4).alias(f"{n}_share")
     hours = F.coalesce("seconds", F.lit(0)) / 3600.0
+    site, area = F.col("shops") * SITE_HOURS * HOUR, F.coalesce("areas", F.lit(0)) * AREA_HOURS * HOUR
     return rows.select(
-        "shop_id", "name", "enabled", *map(number, ("offers", "missing", "unpriced", "usable", "articles", "seconds")), share("usable").alias("usable_share"), share("missing").alias("missing_share"),
-        F.round(F.coalesce("mean_seconds", F.lit(0.0)), 4).alias("mean_seconds"), F.round(hours, 4).alias("hours"), F.round(hours * 30 * rate, 4).alias("cost_a_month"),
+        "shop_id", "name", "enabled", "shops", *map(number, ("offers", "missing", "unpriced", "usable", "stale", "articles", "seconds", "areas", "districts")), *map(share, ("usable", "missing", "unpriced", "stale", "articles")),
+        F.round(F.coalesce("mean_seconds", F.lit(0.0)), 4).alias("mean_seconds"), F.round(hours, 4).alias("hours"), F.round(hours * 30 * rate, 4).alias("cost_a_month"), site.alias("site_cost"), area.alias("area_cost"), (site + area).alias("start_cost"),
     )
 
 
-@query("""WITH c AS (SELECT shop_id, grouping(shop_id) AS g, count(*) AS offers, count(*) FILTER (error404) AS missing, count(*) FILTER (price = 0) AS unpriced, count(*) FILTER (NOT error404 AND price > 0) AS usable_n,
-        count(DISTINCT article_id) AS articles, CAST(sum(seconds) AS BIGINT) AS seconds, avg(seconds) AS mean_seconds FROM offer GROUP BY ROLLUP (shop_id)),
-    n AS (SELECT shop_id, name, enabled FROM shop UNION ALL SELECT NULL, 'total', TRUE)
-    SELECT n.shop_id, n.name, n.enabled, coalesce(offers, 0) AS offers, coalesce(missing, 0) AS missing, coalesce(unpriced, 0) AS unpriced, coalesce(usable_n, 0) AS usable, coalesce(articles, 0) AS articles, coalesce(seconds, 0) AS seconds,
-    round(100.0::DOUBLE * coalesce(usable_n, 0) / CASE WHEN coalesce(offers, 0) = 0 THEN 1 ELSE offers END, 4) AS usable_share, round(100.0::DOUBLE * coalesce(missing, 0) / CASE WHEN coalesce(offers, 0) = 0 THEN 1 ELSE offers END, 4) AS missing_share,
-    round(coalesce(mean_seconds, 0), 4) AS mean_seconds, round(coalesce(seconds, 0) / 3600.0::DOUBLE, 4) AS hours, round(coalesce(seconds, 0) / 3600.0::DOUBLE * 30 * 0.02::DOUBLE, 4) AS cost_a_month
-    FROM n LEFT JOIN c ON n.shop_id IS NOT DISTINCT FROM c.shop_id""")
+_SHARES = ", ".join(f"round(100.0::DOUBLE * coalesce({n}, 0) / CASE WHEN coalesce(offers, 0) = 0 THEN 1 ELSE offers END, 4) AS {a}_share" for n, a in (("usable_n", "usable"), ("missing", "missing"), ("unpriced", "unpriced"), ("stale", "stale"), ("articles", "articles")))
+
+
+@query(f"""WITH c AS (SELECT shop_id, count(*) AS offers, count(*) FILTER (error404) AS missing, count(*) FILTER (price = 0) AS unpriced, count(*) FILTER (NOT error404 AND price > 0) AS usable_n,
+        count(*) FILTER (NOT error404 AND price > 0 AND {_AGE} >= {STALE_DAYS}) AS stale, count(DISTINCT article_id) AS articles, CAST(sum(seconds) AS BIGINT) AS seconds, avg(seconds) AS mean_seconds FROM offer GROUP BY ROLLUP (shop_id)),
+    p AS (SELECT shop_id, count(*) AS areas, count(DISTINCT district_id) AS districts FROM delivery_area GROUP BY ROLLUP (shop_id)),
+    n AS (SELECT shop_id, name, enabled, 1 AS shops FROM shop UNION ALL SELECT NULL, 'total', TRUE, count(*) FROM shop)
+    SELECT n.shop_id, n.name, n.enabled, CAST(n.shops AS BIGINT) AS shops, coalesce(offers, 0) AS offers, coalesce(missing, 0) AS missing, coalesce(unpriced, 0) AS unpriced, coalesce(usable_n, 0) AS usable, coalesce(stale, 0) AS stale, coalesce(articles, 0) AS articles,
+    coalesce(seconds, 0) AS seconds, coalesce(areas, 0) AS areas, coalesce(districts, 0) AS districts, {_SHARES}, round(coalesce(mean_seconds, 0), 4) AS mean_seconds, round(coalesce(seconds, 0) / 3600.0::DOUBLE, 4) AS hours,
+    round(coalesce(seconds, 0) / 3600.0::DOUBLE * 30 * 0.02::DOUBLE, 4) AS cost_a_month, n.shops * {SITE_HOURS * HOUR}::DOUBLE AS site_cost, coalesce(areas, 0) * {AREA_HOURS * HOUR}::DOUBLE AS area_cost,
+    n.shops * {SITE_HOURS * HOUR}::DOUBLE + coalesce(areas, 0) * {AREA_HOURS * HOUR}::DOUBLE AS start_cost FROM n LEFT JOIN c ON n.shop_id IS NOT DISTINCT FROM c.shop_id LEFT JOIN p ON n.shop_id IS NOT DISTINCT FROM p.shop_id""")
 def shop_status(v: Views) -> DataFrame:
-    return status(v.offer, v.shop)
+    return status(v.offer, v.shop, v.delivery_area)
 
 
 @query("""SELECT z.region_id, z.name AS region, d.district_id, d.name AS district, count(DISTINCT a.shop_id) AS shops, string_agg(s.name, ', ' ORDER BY s.name) AS names, min(a.fee) AS lowest_fee, max(a.fee) AS highest_fee, count(a.shop_id) > 3 AS covered
