@@ -82,6 +82,23 @@ def global_pages(df: DataFrame, size: int, key: str) -> DataFrame:
     return ranked.withColumn("page", (F.floor((F.col("_before") + F.col("_local") - 1) / size) + 1).cast("long")).drop("_range", "_local", "_before")
 
 
+def numbered_within(df: DataFrame, group: str, key: str, *order: str) -> DataFrame:
+    """df with `id`, the place of each row in its group in that order, from 1, though a group may hold most rows.
+
+    key: a number that ascends with the order. Its quantiles cut all groups into the same ranges once; rows are ranked within
+    their group and range, after the counts of the group's ranges before.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts = sorted(set(df.approxQuantile(key, [k / parts for k in range(1, parts)], 0.01)))
+    rows = df.withColumn("_range", F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<double>"), lambda c: c <= F.col(key))))
+    counts = rows.groupBy(group, "_range").agg(F.count("*").alias("_n"))
+    ahead = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = small(counts.select(F.col(group).alias("_group"), F.col("_range").alias("_r"), F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_before")))
+    ranked = rows.withColumn("_local", F.row_number().over(Window.partitionBy(group, "_range").orderBy(*order)))
+    joined = ranked.join(before, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_range") == F.col("_r")))
+    return joined.withColumn("id", (F.col("_before") + F.col("_local")).cast("long")).drop("_range", "_local", "_group", "_r", "_before")
+
+
 def upsert(old: DataFrame, new: DataFrame, key: Sequence[str], keep: Mapping[str, Column] | None = None) -> DataFrame:
     """old with the rows of new put in or over it by key. `keep` gives other merge rules, over columns old_x and new_x.
 

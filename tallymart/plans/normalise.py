@@ -220,12 +220,12 @@ def s30_title(v: Views) -> DataFrame:
     return v.article.select("article_id", title.alias("title"))
 
 
-@query("SELECT doc_id, trim(regexp_replace(regexp_replace(strip_accents(lower(text)), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g')) AS text FROM documents WHERE lang IN ('es', 'fr')")
+@query("SELECT doc_id, trim(regexp_replace(regexp_replace(strip_accents(lower(text)), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g')) AS text FROM documents")
 def s31_folded(v: Views) -> DataFrame:
     """Letters without accents, other characters as spaces."""
     t = F.translate(F.lower("text"), "áàâäãéèêëíìîïóòôöõúùûüñç", "aaaaaeeeeiiiiooooouuuunc")
     folded = F.trim(F.regexp_replace(F.regexp_replace(t, "[^a-z0-9 ]", " "), " +", " "))
-    return v.table("documents").where(F.col("lang").isin("es", "fr")).select("doc_id", folded.alias("text"))
+    return v.table("documents").select("doc_id", folded.alias("text"))
 
 
 @query("SELECT shop_id, n, round(n * 1.19::DOUBLE, 2) AS gross, round(n / 7.0::DOUBLE, 2) AS weekly, format('{:,}', n) AS shown FROM (SELECT shop_id, count(*) AS n FROM offer GROUP BY 1)")

@@ -46,6 +46,17 @@ def test_pages(spark):
     assert sorted(map(tuple, pages)) == [(1, 10), (2, 10), (3, 5)]
 
 
+def test_numbered_within(spark):
+    """Ties of the key that fall on a border, a group that holds most rows, and a null group."""
+    data = [(i, "a" if i % 10 else ("b" if i % 20 else None), i // 7) for i in range(500)]
+    df = spark.createDataFrame(data, "i long, g string, t long").repartition(7)
+    expected, seen = [], {}
+    for i, g, _ in data:
+        seen[g] = seen.get(g, 0) + 1
+        expected.append((i, seen[g]))
+    assert sorted((r["i"], r["id"]) for r in O.numbered_within(df, "g", "t", "t", "i").collect()) == expected
+
+
 class Shop:
     """Views of a few articles and offers."""
 
