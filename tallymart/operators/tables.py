@@ -90,7 +90,8 @@ def numbered_within(df: DataFrame, group: str, key: str, *order: str) -> DataFra
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cuts = sorted(set(df.approxQuantile(key, [k / parts for k in range(1, parts)], 0.01)))
-    rows = df.withColumn("_range", F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<double>"), lambda c: c <= F.col(key))))
+    at = df.sparkSession.createDataFrame([(float(c),) for c in cuts], "_cut double").agg(F.array_sort(F.collect_list("_cut")).alias("_cuts"))  # one row
+    rows = df.join(F.broadcast(at)).withColumn("_range", F.size(F.filter("_cuts", lambda c: c <= F.col(key)))).drop("_cuts")
     counts = rows.groupBy(group, "_range").agg(F.count("*").alias("_n"))
     ahead = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     before = small(counts.select(F.col(group).alias("_group"), F.col("_range").alias("_r"), F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_before")))
