@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, id_text, parts, tasks, tidy, written
+from .common import crc_mod, id_text, parts, release, tasks, tidy, written
 
 #: The end of a text as a word of the vocabulary; no word can hold a line feed.
 END = "\n"
@@ -484,6 +484,7 @@ def score_texts(docs: DataFrame, least: int = 2, depth: int = 4, alphabet: int =
 
     made = rows.withColumn("held_out", out).mapInArrow(tidy(code), "chunk long, k int, doc_id long, held_out boolean, ids binary, n long, known long, base double, rare array<struct<word:string,tf:long>>")
     coded = written(made, "coded", "zstd")
+    release(spark)  # the words' shuffle, before the larger one
     places = coded.select("chunk", "k", "held_out", "ids")
     split = _split(places, int(total) * held_mod // max(1, held_mod - 1), depth)
     tree = spark.sparkContext.broadcast(Tree(unigram, split, depth, least, a, cost))
