@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import atexit
 import contextlib
-import gc
 import uuid
 from collections.abc import Iterator
 
@@ -76,12 +75,6 @@ def clear(spark: SparkSession) -> None:
         remove(spark, path)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished jobs now; it does so when the driver collects its garbage, which may be long after a large shuffle."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def forget(df: DataFrame) -> None:
     """Delete a table of written() that nothing reads any more."""
     remove(df.sparkSession, df.scratch_path)
