@@ -1,7 +1,7 @@
 """Token ids as length-delimited binary records, with an offset index beside them.
 
-A file holds records in ascending doc_id order; part-PPPPP-...-cCCC is file C of range P, and ranges, then files of a range, ascend as numbers
-(as text, c1000 would stand before c101). A file ends with the record that fills FILE_BYTES, so a reader that takes a file whole is bounded. A record is
+A file holds records in ascending doc_id order. Its first record, the head, has no ids and says which file it is: range << 32 | place within the
+range, by which files ascend; their names, which Spark chooses, mean nothing. A file ends with the record that fills FILE_BYTES, so a reader that takes a file whole is bounded. A record is
 
     u64  length of the payload in bytes, little-endian
     u32  masked CRC-32 of those 8 bytes
@@ -9,7 +9,7 @@ A file holds records in ascending doc_id order; part-PPPPP-...-cCCC is file C of
     u32  masked CRC-32 of the payload
     u8   0x0A
 
-and a payload is: i64 doc_id, u8 flags (bit 0: doc_id is null, bit 1: ids take 4 bytes, else 2), then the ids. The mask
+and a payload is: i64 doc_id, u8 flags (bit 0: doc_id is null, bit 1: ids take 4 bytes, else 2, bit 2: the head, whose number stands for doc_id), then the ids. The mask
 turns a checksum c into (c >> 15 | c << 17) + 0xa282ead8 modulo 2**32, so that a checksum of stored checksums isn't
 degenerate. Spark's text sink writes the files and ends each record with the line feed: it commits each task's files once, in any
 store that Spark reaches, whichever executors are lost. The index has a row for each record: file, byte offset and
@@ -30,7 +30,7 @@ from .common import id_text, parts, scratch, tasks, tidy
 from .tokenizing import STEP, encoder, tokenizer_path
 
 FILE_BYTES = 16_000_000
-HEAD, INDEX_SCHEMA = struct.Struct("<QI"), "file string, offset long, length long, doc_id long, file_start long, n_tokens long, ids_crc32 long"
+HEAD, INDEX_SCHEMA = struct.Struct("<QI"), "file string, number long, offset long, length long, doc_id long, file_start long, n_tokens long, ids_crc32 long"
 
 
 def masked(data) -> int:
@@ -38,15 +38,15 @@ def masked(data) -> int:
     return ((c >> 15 | c << 17) + 0xA282EAD8) & 0xFFFFFFFF
 
 
-def frame(doc_id: int | None, ids: bytes, wide: bool) -> bytes:
+def frame(doc_id: int | None, ids: bytes, wide: bool, head: bool = False) -> bytes:
     """A record without its last byte, which the sink adds."""
-    payload = struct.pack("<qB", doc_id or 0, (doc_id is None) | wide << 1) + ids
+    payload = struct.pack("<qB", doc_id or 0, (doc_id is None) | wide << 1 | head << 2) + ids
     size = struct.pack("<Q", len(payload))
     return b"".join((size, struct.pack("<I", masked(size)), payload, struct.pack("<I", masked(payload))))
 
 
-def parse(content: bytes):
-    """(offset, length, doc_id, ids as an array) of each record of a file; ValueError where it is damaged."""
+def parse(content: bytes, heads: bool = False):
+    """(offset, length, doc_id, ids as an array) of each record of a file, on request of its head alone; ValueError where it is damaged."""
     at, view = 0, memoryview(content)
     while at < len(content):
         if len(content) - at < HEAD.size:
@@ -58,7 +58,10 @@ def parse(content: bytes):
         if masked(payload) != struct.unpack_from("<I", content, end)[0] or content[end + 4] != 10:
             raise ValueError(f"damaged record at byte {at}")
         doc_id, flags = struct.unpack_from("<qB", payload)
-        yield at, end + 5 - at, None if flags & 1 else doc_id, np.frombuffer(payload[9:], "<u4" if flags & 2 else "<u2")
+        if heads == bool(flags & 4):
+            yield at, end + 5 - at, None if flags & 1 else doc_id, np.frombuffer(payload[9:], "<u4" if flags & 2 else "<u2")
+        if heads:
+            return
         at = end + 5
 
 
@@ -66,11 +69,13 @@ def _framed(path: str, end: int, wide: bool, most_records: int, most_bytes: int)
     """One row for each file: its records, all but the last with their line feed."""
 
     def run(batches):
+        from pyspark import TaskContext
+
         encode = encoder(path, "words", "I" if wide else "H")
-        tail, held, size = encode.pack([end]), [], 0
+        tail, held, size, number = encode.pack([end]), [], 0, TaskContext.get().partitionId() << 32
 
         def out():
-            return pa.RecordBatch.from_arrays([pa.array([b"\n".join(held)], pa.binary())], ["value"])
+            return pa.RecordBatch.from_arrays([pa.array([b"\n".join((frame(number, b"", wide, True), *held))], pa.binary())], ["value"])
 
         for given in parts(batches, STEP):
             for doc_id, ids in zip(given.column("doc_id").to_pylist(), encode(given.column("text"))):
@@ -78,7 +83,7 @@ def _framed(path: str, end: int, wide: bool, most_records: int, most_bytes: int)
                 size += len(held[-1]) + 1
                 if size >= most_bytes or len(held) >= most_records:
                     yield out()
-                    held, size = [], 0
+                    held, size, number = [], 0, number + 1
         if held:
             yield out()
 
@@ -88,12 +93,15 @@ def _framed(path: str, end: int, wide: bool, most_records: int, most_bytes: int)
 def _indexed(batches):
     for batch in batches:
         for path, content in zip(batch.column("path").to_pylist(), batch.column("content")):
-            rows, start = [], 0
-            for offset, length, doc_id, ids in parse(content.as_buffer().to_pybytes()):
-                rows.append((path, offset, length, doc_id, start, len(ids), zlib.crc32(ids.astype("<u4"))))
+            rows, start, held = [], 0, content.as_buffer().to_pybytes()
+            number = next((x[2] for x in parse(held, heads=True)), None)
+            for offset, length, doc_id, ids in parse(held):
+                rows.append((path, number, offset, length, doc_id, start, len(ids), zlib.crc32(ids.astype("<u4"))))
                 start += len(ids)
+            if rows and number is None:
+                raise ValueError(f"no head in {path}")
             if rows:
-                types = [pa.string()] + [pa.int64()] * 6
+                types = [pa.string()] + [pa.int64()] * 7
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], [f.split()[0] for f in INDEX_SCHEMA.split(", ")])
 
 
@@ -128,20 +136,27 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content").mapInArrow(run, "doc_id long, ids array<int>")
 
 
+def with_starts(index: DataFrame) -> DataFrame:
+    """The index of read_index() with `start`, the ids of all records before, by the numbers in the files' heads.
+
+    Only the totals of ranges meet in one task.
+    """
+    totals = index.groupBy("number").agg(F.sum("n_tokens").alias("total")).withColumn("range", F.shiftright("number", 32))
+    ahead = lambda w: F.coalesce(F.sum("total").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    files = totals.withColumn("inside", ahead(Window.partitionBy("range").orderBy("number")))
+    ranges = totals.groupBy("range").agg(F.sum("total").alias("total")).select("range", ahead(Window.orderBy("range")).alias("outside"))
+    before = files.join(ranges, "range").select("number", (F.col("inside") + F.col("outside")).alias("before"))
+    return index.join(before, "number").withColumn("start", F.col("before") + F.col("file_start")).drop("before")
+
+
 def token_records(docs: DataFrame, path: str | None = None, **options) -> DataFrame:
     """Write records and their index (path/records, path/index), and give the index with `start`, the ids of all documents before.
 
-    The totals of files are summed in order of their ranges, then of their numbers within the range; only the totals of ranges meet in one task.
+    Rows with the same id, or none, each have a record, in order of their texts; null texts are empty and have the id `end` alone; an empty table gives no rows.
     """
     spark = docs.sparkSession
     path = path or scratch(spark, "records")
     write_records(docs, f"{path}/records", **options)
     read_index(spark, f"{path}/records").write.parquet(f"{path}/index")
     index = spark.read.schema(INDEX_SCHEMA).parquet(f"{path}/index")
-    number = lambda pattern: F.regexp_extract("file", pattern, 1).cast("long")
-    totals = index.groupBy("file").agg(F.sum("n_tokens").alias("total")).select("file", "total", number(r"part-(\d+)-[^/]*$").alias("range"), number(r"-c(\d+)[^/]*$").alias("number"))
-    ahead = lambda w: F.coalesce(F.sum("total").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    files = totals.withColumn("inside", ahead(Window.partitionBy("range").orderBy("number")))
-    ranges = totals.groupBy("range").agg(F.sum("total").alias("total")).select("range", ahead(Window.orderBy("range")).alias("outside"))
-    before = files.join(ranges, "range").select("file", (F.col("inside") + F.col("outside")).alias("before"))
-    return index.join(before, "file").withColumn("start", F.col("before") + F.col("file_start")).drop("before")
+    return with_starts(index)

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import os
 import re
 import zlib
 
@@ -95,6 +96,23 @@ def test_records_in_many_files(spark):
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
+def test_order_of_files_is_in_their_heads(spark):
+    """Names with a group of c and digits before the number of the file, as a random UUID has them, and in any order."""
+    docs = spark.createDataFrame([(i, f"word {i}") for i in range(30)], "doc_id long, text string").coalesce(1)
+    path = scratch(spark, "test")
+    records.write_records(docs, path, records_per_file=2)
+    folder = path.removeprefix("file:")
+    names = sorted(n for n in os.listdir(folder) if n.startswith("part-"))
+    assert len(names) >= 15
+    for k, n in enumerate(names):
+        os.rename(f"{folder}/{n}", f"{folder}/part-00000-c9ff98ce-{(k * 7) % 101:04}-c{(k * 13) % 17:03}.txt")
+        if os.path.exists(f"{folder}/.{n}.crc"):
+            os.remove(f"{folder}/.{n}.crc")
+    found = sorted(rows(records.with_starts(records.read_index(spark, path))), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in found] == list(range(30))
+    assert [r["start"] for r in found] == [sum(r["n_tokens"] for r in found[:k]) for k in range(30)]
+
+
 @pytest.mark.parametrize("spoil", [lambda b: b[:-1], lambda b: b[:20] + bytes([b[20] ^ 1]) + b[21:], lambda b: bytes([b[0] ^ 1]) + b[1:], lambda b: b[:5]])
 def test_damaged_records(spoil):
     good = records.frame(5, np.arange(9, dtype="<u2").tobytes(), False) + b"\n"
