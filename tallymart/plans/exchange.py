@@ -75,8 +75,7 @@ def uploaded(v: Views) -> DataFrame:
     return files.read_upload(v.spark, at)
 
 
-@query(f"""WITH o AS (SELECT url, max(price) AS price FROM ({_UPLOAD}) GROUP BY 1), old AS (SELECT * FROM o WHERE price % 3 <> 0), new AS (SELECT url, price + 1 AS price FROM o WHERE price % 3 <> 1)
-    SELECT coalesce(n.url, d.url) AS url, coalesce(n.price, d.price) AS price FROM old d FULL OUTER JOIN new n ON n.url = d.url""")
+@query(f"SELECT url, CASE WHEN price % 3 = 1 THEN price ELSE price + 1 END AS price FROM (SELECT url, max(price) AS price FROM ({_UPLOAD}) GROUP BY 1)")
 def mut09_upload_upsert(v: Views) -> DataFrame:
     """An upload put in or over the offers that are there, by address. The tables have no upload, so two parts of the offers stand for its sides."""
     rows = uploaded(v).groupBy("url").agg(F.max("price").alias("price"))
