@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import crc_mod, table
+from .hard_negatives import ORACLE_SQL as NEGATIVES_SQL
 from .licenses import oracle as licenses_sql
 from .quality import RULES, STOP_WORDS
+from .spelling import ORACLE_SQL as SPELLING_SQL
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,13 +90,26 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hard_negatives import hard_negatives
+
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", label))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spelling import spelling_variants
+
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .licenses import find_licenses, license_digest
 
     return license_digest(find_licenses(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_simhash, op3_pii, op5_suffix_tree_scores, op6_toxicity, op8_quality_rules, op4_best_fit_packing, op7_token_records, op9_bpe, op10_embedding_dedup, op13_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_simhash, op3_pii, op5_suffix_tree_scores, op6_toxicity, op8_quality_rules, op4_best_fit_packing, op7_token_records, op9_bpe, op10_embedding_dedup, op11_hard_negatives, op12_spelling_variants, op13_license_scan)}
 #: op8 restates the counts and the threshold table over lists; op10 links pairs and follows them to a fixed point.
 _STOP = "', '".join(STOP_WORDS)
 
@@ -116,6 +131,8 @@ ORACLE_SQL: dict[str, str] = {
         coalesce(c.n, 0) AS n_repeat_words, len(ls) AS n_lines, length(regexp_replace(text, '[^!]', '', 'g')) AS n_marks, len([x for x in ws if lower(x) in ('{_STOP}')]) AS n_stop_words FROM w LEFT JOIN c ON c.r = w.r),
     b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM k)
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({" OR ".join(map(_fails, RULES))}) AS kept FROM b""",
+    "op11_hard_negatives": NEGATIVES_SQL,
+    "op12_spelling_variants": SPELLING_SQL,
     "op13_license_scan": licenses_sql(),
     "op10_embedding_dedup": """WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
     ok AS (SELECT vec_id, label, e FROM v WHERE len(e) > 0 AND len([x for x in e if x IS NULL OR NOT isfinite(x)]) = 0 AND len([x for x in e if x <> 0]) > 0),
