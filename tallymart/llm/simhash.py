@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import id_text, settled, steps, tasks, tidy, unused, written
 from .components import components
 
-TILE, CHUNK, SKETCH = 2048, 512, 128
+TILE, CHUNK = 2048, 512
 #: Sets of shingles, and shingles, in a part of a bucket whose sets are compared exactly.
 SOME, ELEMENTS = 512, 2_000_000
 #: Bands of MinHashes and MinHashes in each; a byte of each makes the signature. SLACK: how far it may lie below the similarity asked for.
@@ -296,11 +296,13 @@ def _bytes(column) -> np.ndarray:
 
 
 def _loosely(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
-    """The pairs whose signatures agree in all but SLACK of the share that is asked for."""
+    """The pairs whose signatures agree in all but SLACK of the share that is asked for; only for pairs that are looked at again if they are left out."""
+
+    bar = least - SLACK
 
     def run(batches):
         for b in batches:
-            on = pa.array((_bytes(b.column("x")) == _bytes(b.column("y"))).mean(axis=1) >= least - SLACK)
+            on = pa.array((_bytes(b.column("x")) == _bytes(b.column("y"))).mean(axis=1) >= bar)
             yield pa.RecordBatch.from_arrays([b.column("a").filter(on), b.column("b").filter(on)], ["a", "b"])
 
     ends = [nodes.select(F.col("node").alias(end), F.col("sig").alias(name)) for end, name in (("a", "x"), ("b", "y"))]
@@ -392,10 +394,11 @@ def alike(rows: DataFrame, nodes: DataFrame, shingle: int, least: float) -> Data
     keyed = nodes.select("node", F.explode("keys").alias("key"))
     buckets = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("first")).where("n > 1")
     shared = written(keyed.join(buckets, "key"), "buckets")
-    stars = shared.where("node != first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
+    stars = written(shared.where("node != first").groupBy(F.col("first").alias("a"), F.col("node").alias("b")).agg(F.min("n").alias("n")), "stars")
     taking_part = nodes.select("node", "row").join(shared.select("node").distinct(), "node")
     sets = written(taking_part.join(rows.select("row", "text"), "row").select("node", "text").mapInArrow(tidy(_sets(shingle)), "node long, shingles array<long>"), "shingles")
-    first = written(_decided(_loosely(stars, nodes, least), sets, least), "links")
+    near = stars.where("n = 2").select("a", "b").unionByName(_loosely(stars.where("n > 2").select("a", "b"), nodes, least))  # a bucket of two is decided here and never again
+    first = written(_decided(near, sets, least), "links")
     rooted = written(shared.join(components(first), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "rooted")
     h = F.xxhash64("node", F.lit(5))
     open_ = rooted.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"), F.bit_xor(h).alias("x"), F.sum(h % 1_000_000_007).alias("y"))
@@ -407,13 +410,6 @@ def alike(rows: DataFrame, nodes: DataFrame, shingle: int, least: float) -> Data
     return first.unionByName(tiles.mapInArrow(tidy(_connected(least)), "a long, b long").distinct())
 
 
-def similarity(a: bytes, b: bytes) -> float:
-    """Of the least hashes of both texts together, the share that both have: their shingles' Jaccard similarity, exactly if they have no more than SKETCH."""
-    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-    least = np.union1d(x, y)[:SKETCH]
-    return 1.0 if not len(least) else float(np.isin(least, np.intersect1d(x, y, True), True).mean())
-
-
 def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text", least: float | None = None) -> DataFrame:
     """doc_id, fp and component_id, the smallest doc_id among all documents reachable by links, for each row.
 
