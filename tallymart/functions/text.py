@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
 
@@ -252,6 +253,52 @@ def scanned_measure(text: Column, units: Sequence[str]) -> tuple[Column, Column]
     return F.coalesce(best["q"], F.lit("")), F.coalesce(best["u"], F.lit(""))
 
 
+def measure_taken(text: Column, units: Sequence[str]) -> Column:
+    """(quantity, unit, dimension, rest) of the last token of a text that is a measure, and the tokens without it; blank where there is none.
+
+    From the right: a unit with a number before it takes both, a unit alone counts one, a number glued to a unit is split, and AxB with or without a unit is a dimension
+    that ends the search. A decimal comma stays as it is written.
+    """
+    names = "|".join(re.escape(u) for u in sorted(units, key=len, reverse=True))
+    glued = rf"^(\d+(?:[.,]\d+)?)({names})$"
+    part = lambda q, u, d, n: F.struct(q.alias("quantity"), u.alias("unit"), d.alias("dimension"), F.lit(n).alias("n"))
+    blank = F.lit("")
+
+    def of(words):
+        def found(w, i):
+            unit, before = w.isin(list(units)), F.get(words, i - 1)
+            hit = F.when(unit & (i > 0) & F.coalesce(is_number(before), F.lit(False)), part(before, w, blank, 2)).when(unit, part(F.lit("1"), w, blank, 1))
+            hit = hit.when(w.rlike(glued), part(F.regexp_extract(w, glued, 1), F.regexp_extract(w, glued, 2), blank, 1)).when(w.rlike(r"^\d+[xX]\d+[a-zA-Z]*$"), part(blank, blank, w, 1))
+            return F.when(hit.isNotNull(), F.struct(i.alias("i"), hit.alias("hit")))
+
+        last = F.try_element_at(F.filter(F.transform(words, found), lambda x: x.isNotNull()), F.lit(-1))
+        kept = lambda x: F.filter(words, lambda w, i: x.isNull() | ~((i > x["i"] - x["hit"]["n"]) & (i <= x["i"])))
+        value = lambda x, c: F.coalesce(x["hit"][c], blank).alias(c)
+        return F.element_at(F.transform(F.array(last), lambda x: F.struct(value(x, "quantity"), value(x, "unit"), value(x, "dimension"), F.array_join(kept(x), " ").alias("rest"))), 1)
+
+    return F.element_at(F.transform(F.array(F.split(F.trim(text), " +")), of), 1)
+
+
+def packs_taken(text: Column) -> Column:
+    """(units, rest) by the pack patterns in their order: the first that matches gives the units, and all its own matches go; while units are one, later patterns are tried on what is left."""
+    start = F.struct(F.lit(1).cast("long").alias("units"), text.alias("rest"))
+
+    def step(s, p):
+        hit = (s["units"] == 1) & F.coalesce(F.regexp_like(s["rest"], p), F.lit(False))
+        units = F.coalesce(F.nullif(F.call_function("regexp_extract", s["rest"], p, F.lit(1)), F.lit("")).try_cast("long"), F.lit(1).cast("long"))
+        return F.struct(F.when(hit, units).otherwise(s["units"]).alias("units"), F.when(hit, F.trim(F.regexp_replace(s["rest"], p, ""))).otherwise(s["rest"]).alias("rest"))
+
+    return F.aggregate(F.array(*[F.lit("(?i)" + p) for p in PACK_PATTERNS]), start, step)
+
+
+def units_taken(text: Column, words: Sequence[str]) -> Column:
+    """(units, rest): the number before the first of the words, which both go, else 1 and the text."""
+    pattern = rf"(?:^| )(\d+(?:[.,]\d+)?) (?:{'|'.join(words)})(?= |$)"
+    found = F.regexp_extract(text, pattern, 1)
+    one = F.replace(F.concat(F.lit(" "), text, F.lit(" ")), F.concat(F.lit(" "), F.trim(F.regexp_extract(text, pattern, 0)), F.lit(" ")), F.lit(" "))
+    return F.struct(F.when(found == "", 1.0).otherwise(F.replace(found, F.lit(","), F.lit(".")).try_cast("double")).alias("units"), F.when(found == "", text).otherwise(F.trim(one)).alias("rest"))
+
+
 def trailing_units(text: Column, words: Sequence[str]) -> Column:
     """The number before the first token of the list, else 1."""
     found = F.regexp_extract(F.concat(F.lit(" "), text, F.lit(" ")), rf" (\d+(?:[.,]\d+)?) (?:{'|'.join(words)}) ", 1)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import similarity, token_sorted
 from ..operators.mining import mine
 from ..operators.rules import apply_rules, changed, rule_upsert as upsert_rules
+from ..operators.similar import best_names, similar_names
 from ..operators.tables import overlapping
 from ..registry import query
 from ..sources.views import Views
@@ -89,6 +90,22 @@ def rule_upsert(v: Views) -> DataFrame:
     return upsert_rules(old, new, ["brand", "name"])
 
 
+def best_other(rows: DataFrame, by: list[str], least: int) -> DataFrame:
+    """(article_id, other_id, score) of the most similar other article (by, name, article_id) of its group, the lowest id of equals.
+
+    An article's namesakes are known from the two lowest ids of its name; the other names are compared once each.
+    """
+    first = rows.groupBy(*by, "name").agg(F.min("article_id").alias("first"))
+    second = rows.join(first, [*by, "name"]).where("article_id > first").groupBy(*by, "name").agg(F.min("article_id").alias("second"))
+    named = first.join(second, [*by, "name"], "left")
+    alike = similar_names(first, first, by, least).where("x <> y").join(first.withColumnRenamed("name", "y"), [*by, "y"])
+    top = alike.groupBy(*by, F.col("x").alias("name")).agg(F.max(F.struct("score", (-F.col("first")).alias("m"))).alias("top"))
+    twin = F.when(F.col("article_id") != F.col("first"), F.col("first")).otherwise(F.col("second"))
+    own = F.when(twin.isNotNull(), F.struct(F.lit(100).cast("long").alias("score"), (-twin).alias("m")))
+    best = rows.join(named, [*by, "name"]).join(top, [*by, "name"], "left").withColumn("b", F.greatest("top", own)).where("b is not null")
+    return best.select("article_id", (-F.col("b.m")).alias("other_id"), F.col("b.score").alias("score"))
+
+
 _SIM = "round(100.0::DOUBLE * (1.0::DOUBLE - levenshtein(x, y) / CAST(greatest(length(x), length(y), 1) AS DOUBLE)))"
 _SORTED = "array_to_string(list_sort(string_split(trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g')), ' ')), ' ')"
 
@@ -97,11 +114,8 @@ _SORTED = "array_to_string(list_sort(string_split(trim(regexp_replace(lower({0})
     SELECT a.article_id, b.article_id AS other_id, {_SORTED.format('a.name')} AS x, {_SORTED.format('b.name')} AS y FROM article a JOIN article b ON a.brand = b.brand AND a.units = b.units AND a.package = b.package AND a.article_id <> b.article_id)) WHERE score >= 60) WHERE n = 1""")
 def fuzzy_best_match(v: Views) -> DataFrame:
     """The most similar article of the same brand, units and package, the lowest id of equals."""
-    rows = v.article.select("article_id", "brand", "units", "package", token_sorted(F.col("name")).alias("x"))
-    other = rows.select(F.col("article_id").alias("other_id"), "brand", "units", "package", F.col("x").alias("y"))
-    pairs = rows.join(other, ["brand", "units", "package"]).where("article_id <> other_id").withColumn("score", similarity(F.col("x"), F.col("y"))).where("score >= 60")
-    best = pairs.groupBy("article_id").agg(F.max(F.struct("score", (-F.col("other_id")).alias("m"))).alias("b"))
-    return best.select("article_id", (-F.col("b.m")).alias("other_id"), F.col("b.score").alias("score"))
+    rows = v.article.select("article_id", "brand", "units", "package", token_sorted(F.col("name")).alias("name"))
+    return best_other(rows, ["brand", "units", "package"], 60)
 
 
 @query(f"""SELECT article_id, package, new_package, CAST(score AS BIGINT) AS score FROM (SELECT *, row_number() OVER (PARTITION BY article_id ORDER BY score DESC, other_id) AS n FROM (SELECT article_id, other_id, package, new_package, {_SIM} AS score FROM (
@@ -109,11 +123,12 @@ def fuzzy_best_match(v: Views) -> DataFrame:
     WHERE a.package = 'PROMO' AND b.package <> 'PROMO')) WHERE score > 70) WHERE n = 1""")
 def fuzzy_fill_package(v: Views) -> DataFrame:
     """A missing package (here PROMO) from the most similar article with equal other attributes, as one pass over sets."""
-    rows = v.article.select("article_id", "brand", "units", "size", "degrees", "package", token_sorted(F.col("name")).alias("x"))
-    other = rows.where("package <> 'PROMO'").select(F.col("article_id").alias("other_id"), "brand", "units", "size", "degrees", F.col("package").alias("new_package"), F.col("x").alias("y"))
-    pairs = rows.where("package = 'PROMO'").join(other, ["brand", "units", "size", "degrees"]).withColumn("score", similarity(F.col("x"), F.col("y"))).where("score > 70")
-    best = pairs.groupBy("article_id", "package").agg(F.max(F.struct("score", (-F.col("other_id")).alias("m"), "new_package")).alias("b"))
-    return best.select("article_id", "package", "b.new_package", "b.score")
+    by = ["brand", "units", "size", "degrees"]
+    rows = v.article.select("article_id", *by, "package", token_sorted(F.col("name")).alias("name"))
+    blank, known = rows.where("package = 'PROMO'"), rows.where("package <> 'PROMO'")
+    best = best_names(blank, known, by, 71, "article_id").withColumnRenamed("x", "name")
+    filled = blank.join(best, [*by, "name"]).join(known.select(F.col("article_id").alias("id"), F.col("package").alias("new_package")), "id")
+    return filled.select("article_id", "package", "new_package", "score")
 
 
 @query("""WITH s AS (SELECT article_id, list(DISTINCT shop_id) AS shops FROM usable GROUP BY 1), f AS (SELECT ean, min(article_id) AS lead FROM article GROUP BY 1),
@@ -166,12 +181,12 @@ _ONCE = "SELECT brand, package, degrees FROM article GROUP BY 1, 2, 3 HAVING cou
 def m10_degrees_repaired(v: Views) -> DataFrame:
     """Articles without degrees, where that stands once in their brand and package, with those of the most similar name of the same brand, units and class of measure."""
     once = v.article.groupBy("brand", "package", "degrees").agg(F.count("*").alias("n")).where("n = 1 and degrees = 0").select("brand", "package", "degrees")
-    keyed = v.article.withColumn("class", F.floor(F.col("measure") / 10)).withColumn("x", token_sorted(F.col("name")))
-    rows = keyed.join(once, ["brand", "package", "degrees"]).select("article_id", "brand", "class", "units", "x")
-    other = keyed.where("degrees <> 0").select(F.col("article_id").alias("other_id"), "brand", "class", "units", F.col("degrees").alias("new_degrees"), F.col("x").alias("y"))
-    pairs = rows.join(other, ["brand", "class", "units"]).withColumn("score", similarity(F.col("x"), F.col("y"))).where("score > 0")
-    best = pairs.groupBy("article_id").agg(F.max(F.struct("score", (-F.col("other_id")).alias("m"), "new_degrees")).alias("b"))
-    return best.select("article_id", "b.new_degrees", "b.score")
+    by = ["brand", "class", "units"]
+    keyed = v.article.select("article_id", "brand", "package", "degrees", "units", F.floor(F.col("measure") / 10).alias("class"), token_sorted(F.col("name")).alias("name"))
+    rows, other = keyed.join(once, ["brand", "package", "degrees"]), keyed.where("degrees <> 0")
+    best = best_names(rows, other, by, 1, "article_id").withColumnRenamed("x", "name")
+    filled = rows.join(best, [*by, "name"]).join(other.select(F.col("article_id").alias("id"), F.col("degrees").alias("new_degrees")), "id")
+    return filled.select("article_id", "new_degrees", "score")
 
 
 @query()
@@ -235,17 +250,30 @@ def m11_names_repaired(v: Views) -> DataFrame:
     sold = v.usable.groupBy("article_id").agg(F.collect_set("shop_id").alias("shops"), F.min("price").cast("string").alias("price"))
     once = v.article.groupBy("brand", "name").agg(F.count("*").alias("n")).where("n = 1").select("brand", "name")
     keyed = v.article.join(sold, "article_id").select("article_id", "brand", "units", "degrees", "name", "shops", "price")
-    other = keyed.select("brand", "units", "degrees", F.col("article_id").alias("other_id"), F.col("name").alias("new_name"), F.col("shops").alias("other_shops"), F.col("price").alias("other_price"))
-    pairs = keyed.join(once, ["brand", "name"]).join(other, ["brand", "units", "degrees"]).where((F.col("name") != F.col("new_name")) & ~overlapping(F.col("shops"), F.col("other_shops")))
-    scored = pairs.select("article_id", "other_id", "new_name", similarity(token_sorted(F.col("name")), token_sorted(F.col("new_name"))).alias("score"), similarity(F.col("price"), F.col("other_price")).alias("near"))
-    best = scored.groupBy("article_id").agg(F.max(F.struct("score", (-F.col("other_id")).alias("m"), "new_name", "near")).alias("b")).where((F.col("b.score") >= NAMES) & (F.col("b.near") > PRICES))
+    return names_repaired(keyed, once, NAMES, PRICES)
+
+
+def names_repaired(keyed: DataFrame, once: DataFrame, least: int = 90, least_price: int = 90) -> DataFrame:
+    """(article_id, new_name, score) of articles (brand, units, degrees, name, shops, price as text) whose (brand, name) is in `once`.
+
+    The levels that a catalogue is repaired with are the defaults. Only names that are alike by `least` are ever joined with articles.
+    """
+    by = ["brand", "units", "degrees"]
+    rows = keyed.withColumn("x", token_sorted(F.col("name")))
+    single = rows.join(once, ["brand", "name"])
+    alike = similar_names(single.select(*by, F.col("x").alias("name")), rows.select(*by, F.col("x").alias("name")), by, least)
+    other = rows.select(*by, F.col("article_id").alias("other_id"), F.col("name").alias("new_name"), F.col("shops").alias("other_shops"), F.col("price").alias("other_price"), F.col("x").alias("y"))
+    pairs = single.join(alike, [*by, "x"]).join(other, [*by, "y"]).where((F.col("name") != F.col("new_name")) & ~overlapping(F.col("shops"), F.col("other_shops")))
+    scored = pairs.select("article_id", "other_id", "new_name", "score", similarity(F.col("price"), F.col("other_price")).alias("near"))
+    best = scored.groupBy("article_id").agg(F.max(F.struct("score", (-F.col("other_id")).alias("m"), "new_name", "near")).alias("b")).where(F.col("b.near") > least_price)
     return best.select("article_id", "b.new_name", "b.score")
 
 
 @query(f"""SELECT article_id, other_id, CAST(score AS BIGINT) AS score FROM (SELECT article_id, other_id, {_SIM} AS score FROM (SELECT a.article_id, b.article_id AS other_id, {_SORTED.format('a.name')} AS x, {_SORTED.format('b.name')} AS y FROM article a JOIN article b ON a.brand = b.brand AND a.units = b.units AND a.article_id < b.article_id)) WHERE score >= 90""")
 def m05_similar_pairs(v: Views) -> DataFrame:
     """Pairs within a brand and pack count whose names are nearly the same."""
-    a = v.article.select("article_id", "brand", "units", "name")
-    b = a.select(F.col("article_id").alias("other_id"), "brand", "units", F.col("name").alias("other"))
-    pairs = a.join(b, ["brand", "units"]).where("article_id < other_id")
-    return pairs.select("article_id", "other_id", similarity(F.col("name"), F.col("other")).alias("score")).where("score >= 90")
+    by = ["brand", "units"]
+    rows = v.article.select("article_id", *by, token_sorted(F.col("name")).alias("name"))
+    alike = similar_names(rows, rows, by, 90)
+    one, two = rows.withColumnRenamed("name", "x"), rows.select(*by, F.col("article_id").alias("other_id"), F.col("name").alias("y"))
+    return one.join(alike, [*by, "x"]).join(two, [*by, "y"]).where("article_id < other_id").select("article_id", "other_id", "score")

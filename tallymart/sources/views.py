@@ -53,6 +53,8 @@ def with_views(sql: str) -> str:
         return sql
     body = sql.strip()
     head = ", ".join(f"{n} AS ({SQL[n]})" for n in SQL if n in needed)
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {head}, {body[15:]}"
     return f"WITH {head}, {body[5:]}" if body.upper().startswith("WITH ") else f"WITH {head} {body}"
 
 
