@@ -1,7 +1,10 @@
-"""Mining rewrite rules from articles that mean the same, one brand at a time.
+"""Mining rewrite rules from articles that mean the same.
 
-The passes change what later passes see, so a brand is one sequence of steps in a worker. Brands are dealt to tasks by a shuffle on the
-brand; an article of one brand never meets another brand's. Row order is fixed by name, units, measure, degrees and id.
+The passes change what later passes see, so in a brand they are one sequence of steps, which `Brand` states. `mine_rules` gives the same rules without making a
+brand one task: articles that could ever merge, in any pass, are linked by a similarity join of their names, and what isn't linked, however
+indirectly, never changes each other's steps. Small components go through the steps as they are. Large ones go through each pass in rounds: every
+article proposes to the best target that is left to it, and a target decides all proposals whose outcome no earlier article can change any more. Row order is fixed
+by name, units, measure, degrees and id.
 """
 
 from __future__ import annotations
@@ -9,8 +12,16 @@ from __future__ import annotations
 import difflib
 import re
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.text import token_sorted
+from .graph import components
+from .similar import Names, _ddl, _in_tiles, _tiles
+from .staged import Staging
 
 RULE_SCHEMA = "brand string, article_id long, into_id long, reason string, score long, name string, degrees double, measure double, size string, package string"
 COLUMNS = ("article_id", "brand", "name", "measure", "degrees", "units", "package", "size", "shops")
@@ -109,3 +120,143 @@ class Brand:
 def mine(articles: DataFrame) -> DataFrame:
     """Rules (brand, article_id, into_id, reason, score, and the values taken over) from articles with their shops."""
     return articles.select(*COLUMNS).groupBy("brand").applyInPandas(lambda rows: Brand(rows).mined(), RULE_SCHEMA)
+
+
+#: Articles of a component that one task takes through all passes.
+COMPONENT = 2_000
+
+
+def alike(left: DataFrame, right: DataFrame, by: list[str], above: int) -> DataFrame:
+    """(by, x, y, score) of the distinct names (by, name) of left and right whose ratio is above the level. Letters that both have bound the ratio."""
+
+    def compare(x, y, ids):
+        a, b = Names(x), Names(y)
+        shared = np.zeros((len(x), len(y)), np.int32)
+        for c in range(a.counts.shape[1]):
+            p, q = a.counts[:, c], b.counts[:, c]
+            if p.any() and q.any():
+                shared += np.minimum(p[:, None], q[None, :])
+        length = a.length[:, None] + b.length[None, :]
+        i, j = np.nonzero(200.0 * shared + 0.5001 * length > above * length)
+        scores = [(p, q, ratio(x[p], y[q])) for p, q in zip(i.tolist(), j.tolist())]
+        found = [(x[p], y[q], s) for p, q, s in scores if s > above]
+        return [list(c) for c in zip(*found)] if found else [[], [], []]
+
+    a, b = left.select(*by, "name").distinct(), right.select(*by, "name").distinct().withColumn("id", F.lit(None).cast("long"))
+    fields = [("x", pa.string()), ("y", pa.string()), ("score", pa.int64())]
+    return _tiles(a, b, by).mapInArrow(_in_tiles(compare, by, fields), _ddl(a, by) + "x string, y string, score long")
+
+
+def _empty(column: str, kind: str):
+    c = F.col(column)
+    return c.isNull() | (c == "") if kind == "string" else c.isNull() | (c == 0) | (F.isnan(c) if kind in ("double", "float") else F.lit(False))
+
+
+def _possible(rows: DataFrame, kind: str, source, target, columns: tuple[str, ...], above: int) -> DataFrame:
+    """(kind, a, b, score): rows a for which `source` holds and b for which `target` does, equal in the columns, of disjoint shops, whose names are alike."""
+    plain = lambda c: F.when(F.isnan(c), None).otherwise(F.col(c)) if dict(rows.dtypes)[c] in ("double", "float") else F.col(c)
+    key = F.to_json(F.struct(*[plain(c).alias(c) for c in ("brand", *columns)]), {"ignoreNullFields": "false"}).alias("key")
+    keyed = rows.select("pos", "shops", F.col("sorted").alias("name"), key, source.alias("source"), target.alias("target"))
+    a, b = keyed.where("source"), keyed.where("target")
+    names = alike(a, b, ["key"], above)
+    one, two = a.select("key", F.col("name").alias("x"), F.col("pos").alias("a"), F.col("shops").alias("p")), b.select("key", F.col("name").alias("y"), F.col("pos").alias("b"), F.col("shops").alias("q"))
+    return one.join(names, ["key", "x"]).join(two, ["key", "y"]).where((F.col("a") != F.col("b")) & ~F.arrays_overlap("p", "q")).select(F.lit(kind).alias("kind"), "a", "b", "score")
+
+
+def _edges(rows: DataFrame) -> DataFrame:
+    """All merges that some pass could make. Shops only come to articles that stay, so what isn't possible at first never is."""
+    types = dict(rows.dtypes)
+    out = None
+    for column in FILLED:
+        others = tuple(c for c in ("measure", "degrees", "units", "package", "size") if c != column)
+        blank = _empty(column, types[column])
+        found = _possible(rows, column, blank, ~blank, others, min(FILL_LEVELS + AGAIN_LEVELS))
+        out = found if out is None else out.unionByName(found)
+    return out.unionByName(_possible(rows, "few", F.size("shops") <= 2, F.lit(True), ("units", "measure"), min(SELLER_LEVELS)))
+
+
+def _decided(batches):
+    """Of edges sorted by target and source (t, s, top, shops of both) whether each is taken, refused or still open.
+
+    Sources decide in their order. One whose best target this is joins it if it shares no shop with those that are there and none with an earlier source that
+    may still come; one that shares a shop with those that are there is refused for good.
+    """
+    target, there, maybe = None, set(), set()
+    for batch in batches:
+        out = []
+        for t, top, mine, theirs in zip(*[batch.column(c).to_pylist() for c in ("t", "top", "mine", "theirs")]):
+            if t != target:
+                target, there, maybe = t, set(theirs), set()
+            mine = set(mine)
+            if not there.isdisjoint(mine):
+                out.append("refused")
+            elif top and maybe.isdisjoint(mine):
+                there |= mine
+                out.append("taken")
+            else:
+                maybe |= mine
+                out.append("open")
+        yield pa.RecordBatch.from_arrays([batch.column("s"), batch.column("t"), batch.column("score"), pa.array(out, pa.string())], ["s", "t", "score", "says"])
+
+
+def _passes():
+    """(kind, level, most, reason) of all passes in their order."""
+    for level in FILL_LEVELS + AGAIN_LEVELS:
+        for column in FILLED:
+            yield column, level, 0, f"fill {column}"
+    for level in SELLER_LEVELS:
+        for most in (1, 2):
+            yield "few", level, most, "few sellers"
+
+
+def in_rounds(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """(a, b, reason, score) of the merges among rows (pos, shops) over their possible edges, pass by pass, each in rounds of proposals."""
+    spark = rows.sparkSession
+    state, open_, merged = Staging(spark, "shops"), Staging(spark, "open"), Staging(spark, "merged")
+    shops, edges = state.put(rows.select("pos", "shops")), Staging(spark, "edges").put(edges)
+    done = merged.put(spark.createDataFrame([], "a long, b long, reason string, score long"))
+    for kind, level, most, reason in _passes():
+        here = edges.where((F.col("kind") == kind) & (F.col("score") > level)).select(F.col("a").alias("s"), F.col("b").alias("t"), "score")
+        with_shops = lambda e, now: e.join(now.select(F.col("pos").alias("s"), F.col("shops").alias("mine")), "s").join(now.select(F.col("pos").alias("t"), F.col("shops").alias("theirs")), "t")
+        able = with_shops(here, shops).where((F.size("mine") > 0) & (F.size("theirs") > 0) & ~F.arrays_overlap("mine", "theirs"))
+        if kind == "few":
+            able = able.where((F.size("mine") <= most) & (F.size("theirs") > most))
+        left = open_.put(able.select("s", "t", "score"))
+        while left.limit(1).count():
+            best = left.groupBy("s").agg(F.max(F.struct("score", (-F.col("t")).alias("m"))).alias("best"))
+            asked = with_shops(left.join(best, "s").withColumn("top", -F.col("best.m") == F.col("t")), shops)
+            said = open_.put(asked.select("t", "s", "score", "top", "mine", "theirs").repartition("t").sortWithinPartitions("t", "s").mapInArrow(_decided, "s long, t long, score long, says string"))
+            taken = said.where("says = 'taken'")
+            moved = taken.join(shops.withColumnRenamed("pos", "s"), "s").groupBy("t").agg(F.array_distinct(F.flatten(F.collect_list("shops"))).alias("more"))  # a target's shops
+            done = merged.put(done.unionByName(taken.select(F.col("s").alias("a"), F.col("t").alias("b"), F.lit(reason).alias("reason"), "score")))
+            gone = taken.select(F.col("s").alias("pos"), F.lit(True).alias("gone"))
+            grown = shops.join(moved.withColumnRenamed("t", "pos"), "pos", "left").join(gone, "pos", "left")
+            shops = state.put(grown.select("pos", F.when(F.col("gone"), F.array().cast("array<long>")).when(F.col("more").isNotNull(), F.array_union("shops", "more")).otherwise(F.col("shops")).alias("shops")))
+            left = open_.put(said.where("says = 'open'").join(taken.select("s"), "s", "left_anti").select("s", "t", "score"))
+    return done
+
+
+def mine_rules(articles: DataFrame, most: int = COMPONENT) -> DataFrame:
+    """The rules of `mine`, by components of articles that could ever merge; those of more than `most` articles in rounds.
+
+    Articles without shops take part in nothing. A null name counts as empty.
+    """
+    staging = Staging(articles.sparkSession, "rows")
+    order = [F.col(c).asc_nulls_last() for c in ("name", "units", "measure", "degrees", "article_id")]
+    rows = articles.select(*COLUMNS).where(F.size(F.coalesce("shops", F.array().cast("array<long>"))) > 0)
+    rows = rows.withColumn("shops", F.col("shops").cast("array<long>")).withColumn("sorted", token_sorted(F.coalesce("name", F.lit(""))))
+    parts = int(articles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = staging.put(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("pos", F.monotonically_increasing_id()))
+    edges = Staging(articles.sparkSession, "possible").put(_edges(rows))
+    roots = components(edges)
+    sizes = roots.groupBy("root").agg(F.count("*").alias("n"))
+    linked = rows.join(roots.withColumnRenamed("node", "pos"), "pos").join(sizes, "root")
+    small = linked.where(F.col("n") <= most).select("root", *COLUMNS).groupBy("root").applyInPandas(lambda r: Brand(r.drop(columns="root")).mined(), RULE_SCHEMA)
+    large = Staging(articles.sparkSession, "large").put(linked.where(F.col("n") > most).drop("root", "n"))
+    if not large.limit(1).count():
+        return small
+    inside = edges.join(large.select(F.col("pos").alias("a")), "a", "left_semi")
+    merges = in_rounds(large, inside)
+    a, b = large.select(F.col("pos").alias("a"), "brand", "article_id"), large.select(F.col("pos").alias("b"), F.col("article_id").alias("into_id"), "name", "degrees", "measure", "size", "package")
+    names = [c.split()[0] for c in RULE_SCHEMA.split(", ")]
+    return small.unionByName(merges.join(a, "a").join(b, "b").select([F.col(c).cast(t.split()[1]) for c, t in zip(names, RULE_SCHEMA.split(", "))]))

@@ -26,6 +26,19 @@ def apply_rules(rows: DataFrame, rules: DataFrame, key: Sequence[str], rounds: i
     return out
 
 
+def apply_counted(rows: DataFrame, rules: DataFrame, key: Sequence[str], rounds: int = 3, text: str = "name") -> DataFrame:
+    """As apply_rules, with the ids of the rules that a row used, in their order, as `rules_used`."""
+    out = rows.withColumn("rules_used", F.array().cast("array<long>"))
+    for _ in range(rounds):
+        same = all_of(F.lower(f"_r.{k}").eqNullSafe(F.lower(f"if_{k}")) if k == text else F.col(f"_r.{k}").eqNullSafe(F.col(f"if_{k}")) for k in key)
+        joined = out.alias("_r").join(rules, same, "left")
+        hit = F.col("rule_id").isNotNull()
+        new = {k: F.when(hit, F.col(f"then_{k}")).otherwise(F.col(f"_r.{k}")) for k in key}
+        ids = F.when(hit, F.array_append("rules_used", F.col("rule_id"))).otherwise(F.col("rules_used")).alias("rules_used")
+        out = joined.select(*[new[c].alias(c) if c in new else ids if c == "rules_used" else F.col(f"_r.{c}") for c in out.columns])
+    return out
+
+
 def rule_hits(rows: DataFrame, rules: DataFrame, key: Sequence[str]) -> DataFrame:
     """(rule_id, hits) of one round, rules without hits included."""
     same = all_of(F.col(k).eqNullSafe(F.col(f"if_{k}")) for k in key)

@@ -1,6 +1,6 @@
 """Tables that are replaced in steps which a failure can't leave half done.
 
-A version is written whole to a folder of its own and becomes the table when its manifest is put in place by one rename; readers resolve the newest manifest
+The tables of a version are written whole to folders of their own and become the tables when its manifest is put in place by one rename; readers resolve the newest manifest
 and so see the old rows or the new ones. A manifest carries the number of the batch that made it: a batch that is there already is not
 applied again, so retries and replays change nothing. Tables whose partitions are replaced by themselves take Spark's dynamic overwrite.
 """
@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,20 +39,19 @@ def _files(spark: SparkSession, path: str):
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
 
 
-class StagedTable:
-    """A table under `path`. One writer at a time: of two that make the same version, the later one gets an error and changes nothing."""
+class StagedTables:
+    """Tables under `path` that change together. One writer at a time: of two that make the same version, the later one gets an error and changes nothing."""
 
-    def __init__(self, spark: SparkSession, path: str, schema: str):
+    def __init__(self, spark: SparkSession, path: str, schemas: Mapping[str, str]):
         self.spark, self.path = spark, path.rstrip("/")
-        self.schema = spark.createDataFrame([], schema).schema
+        self.schemas = {name: spark.createDataFrame([], schema).schema for name, schema in schemas.items()}
 
     def _manifests(self) -> list[str]:
         files, where = _files(self.spark, f"{self.path}/log")
-        if not files.exists(where):
-            return []
-        return sorted(str(s.getPath().getName()) for s in files.listStatus(where) if str(s.getPath().getName()).endswith(".json"))
+        names = [str(s.getPath().getName()) for s in files.listStatus(where)] if files.exists(where) else []
+        return sorted(n for n in names if n.endswith(".json"))
 
-    def _read(self, name: str) -> dict:
+    def _manifest(self, name: str) -> dict:
         files, where = _files(self.spark, f"{self.path}/log/{name}")
         stream = files.open(where)
         try:
@@ -60,22 +60,22 @@ class StagedTable:
             stream.close()
 
     def current(self) -> dict:
-        """The newest manifest: version, the last batch of each writer, and the folder of the rows."""
+        """The newest manifest: version, the last batch of each writer, and the folder of each table."""
         names = self._manifests()
-        return self._read(names[-1]) if names else {"version": 0, "batches": {}, "folder": None}
+        return self._manifest(names[-1]) if names else {"version": 0, "batches": {}, "folders": {}}
 
-    def read(self) -> DataFrame:
+    def read(self, name: str) -> DataFrame:
         """The rows of the newest version; none before the first."""
-        folder = self.current()["folder"]
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{folder}") if folder else self.spark.createDataFrame([], self.schema)
+        folder, schema = self.current()["folders"].get(name), self.schemas[name]
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{folder}") if folder else self.spark.createDataFrame([], schema)
 
     def applied(self, writer: str, batch: int) -> bool:
         return self.current()["batches"].get(writer, -1) >= batch
 
-    def _publish(self, before: dict, folder: str, writer: str | None, batch: int | None) -> None:
+    def _publish(self, before: dict, folders: Mapping[str, str], writer: str | None, batch: int | None) -> None:
         version = before["version"] + 1
         batches = before["batches"] | ({writer: batch} if writer is not None else {})
-        text = json.dumps({"version": version, "batches": batches, "folder": folder})
+        text = json.dumps({"version": version, "batches": batches, "folders": before["folders"] | dict(folders)})
         files, part = _files(self.spark, f"{self.path}/log/.{uuid.uuid4().hex}")
         _, whole = _files(self.spark, f"{self.path}/log/{version:012}.json")
         stream = files.create(part)
@@ -85,39 +85,39 @@ class StagedTable:
             files.delete(part, False)
             raise RuntimeError(f"version {version} of {self.path} was written by another writer")
 
-    def replace(self, rows: DataFrame, writer: str | None = None, batch: int | None = None) -> bool:
-        """The rows in place of all; False if the writer's batch is there already."""
+    def replace(self, tables: Mapping[str, DataFrame], writer: str | None = None, batch: int | None = None) -> bool:
+        """The given tables' rows in place of theirs, all at once; False if the writer's batch is there already."""
         before = self.current()
         if writer is not None and before["batches"].get(writer, -1) >= batch:
             return False
-        folder = f"data/{before['version'] + 1}-{uuid.uuid4().hex}"
-        rows.select([F.col(f.name).cast(f.dataType) for f in self.schema]).write.parquet(f"{self.path}/{folder}")
-        self._publish(before, folder, writer, batch)
+        folders = {}
+        for name, rows in tables.items():
+            folders[name] = f"data/{before['version'] + 1}-{name}-{uuid.uuid4().hex}"
+            rows.select([F.col(f.name).cast(f.dataType) for f in self.schemas[name]]).write.parquet(f"{self.path}/{folders[name]}")
+        self._publish(before, folders, writer, batch)
         return True
 
-    def upsert(self, rows: DataFrame, keys: Sequence[str], writer: str | None = None, batch: int | None = None, merge: Mapping[str, Callable[[Column, Column], Column]] | None = None) -> bool:
+    def upsert(self, name: str, rows: DataFrame, keys: Sequence[str], writer: str | None = None, batch: int | None = None, merge: Mapping[str, Callable[[Column, Column], Column]] | None = None) -> bool:
         """The rows in or over those of the same key; merge[c](old, new) gives a column where both have a row. Null keys match null keys."""
         if writer is not None and self.applied(writer, batch):
             return False
-        names = [f.name for f in self.schema]
-        old, new = self.read().alias("o"), rows.select(names).alias("n")
-        same = [F.col(f"o.{k}").eqNullSafe(F.col(f"n.{k}")) for k in keys]
-        on = same[0]
-        for s in same[1:]:
-            on = on & s
-        both = old.withColumn("_o", F.lit(True)).alias("o").join(new.withColumn("_n", F.lit(True)).alias("n"), on, "full_outer")
+        names = [f.name for f in self.schemas[name]]
+        old, new = self.read(name).withColumn("_o", F.lit(True)).alias("o"), rows.select(names).withColumn("_n", F.lit(True)).alias("n")
+        both = old.join(new, reduce(lambda a, b: a & b, [F.col(f"o.{k}").eqNullSafe(F.col(f"n.{k}")) for k in keys]), "full_outer")
         value = lambda c: (merge or {}).get(c, lambda o, n: n)(F.col(f"o.{c}"), F.col(f"n.{c}"))
         out = [F.when(F.col("_o") & F.col("_n"), value(c)).when(F.col("_n"), F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c) for c in names]
-        return self.replace(both.select(out), writer, batch)
+        return self.replace({name: both.select(out)}, writer, batch)
 
-    def sink(self, keys: Sequence[str], writer: str, **options):
+    def sink(self, name: str, keys: Sequence[str], writer: str, **options):
         """A function for foreachBatch which upserts each batch of a stream once, however often it is tried."""
-        return lambda rows, batch: self.upsert(rows, keys, writer, batch, **options)
+        return lambda rows, batch: self.upsert(name, rows, keys, writer, batch, **options)
 
     def forget_old(self, keep: int = 2) -> None:
-        """Deletes all but the newest `keep` versions; readers of older ones must be done."""
-        for n in self._manifests()[:-keep]:
-            for path in (f"{self.path}/{self._read(n)['folder']}", f"{self.path}/log/{n}"):
+        """Deletes what only versions before the newest `keep` have; readers of those must be done."""
+        names = self._manifests()
+        held = {f for n in names[-keep:] for f in self._manifest(n)["folders"].values()}
+        for n in names[:-keep]:
+            for path in (*(f"{self.path}/{f}" for f in set(self._manifest(n)["folders"].values()) - held), f"{self.path}/log/{n}"):
                 files, where = _files(self.spark, path)
                 files.delete(where, True)
 

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import markup as M
 from ..functions import text as T
+from ..operators.graph import components
 from ..operators.rules import changed
+from ..operators.similar import similar_names
+from ..operators.staged import Staging
 from ..operators.tables import any_of
 from ..registry import query
 from ..sources.views import Views
@@ -143,15 +146,23 @@ def m06_token_set_scores(v: Views) -> DataFrame:
 _LINE = "array_to_string(list_sort(string_split(trim(regexp_replace(lower(a.name), '[^a-z0-9]+', ' ', 'g')), ' ')), ' ')"
 
 
-@query(f"""WITH s AS (SELECT a.article_id, a.brand, {_LINE} AS x, count(DISTINCT l.shop_id) AS n FROM article a JOIN listing l ON l.article_id = a.article_id GROUP BY 1, 2, 3)
-    SELECT a.article_id, min(b.article_id) AS leader, count(*) AS members FROM s a JOIN s b ON a.brand = b.brand AND abs(a.n - b.n) <= 10 WHERE {_NEAR.format('a.x', 'b.x')} >= 90 GROUP BY 1""")
+@query(f"""WITH RECURSIVE s AS (SELECT a.article_id, a.brand, {_LINE} AS x, count(DISTINCT l.shop_id) AS n FROM article a JOIN listing l ON l.article_id = a.article_id GROUP BY 1, 2, 3),
+    e AS (SELECT a.article_id AS a, b.article_id AS b FROM s a JOIN s b ON a.brand = b.brand AND abs(a.n - b.n) <= 10 WHERE {_NEAR.format('a.x', 'b.x')} >= 90),
+    r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b)
+    SELECT r.a AS article_id, min(r.b) AS leader, (SELECT count(*) FROM e WHERE e.a = r.a) AS members FROM r GROUP BY 1""")
 def m15_similar_groups(v: Views) -> DataFrame:
-    """Articles whose names are alike by 90 and whose seller counts are within ten, led by the lowest id. Names that differ too much in length are never compared."""
-    s = v.article.join(v.listing, "article_id").groupBy("article_id", "brand", T.token_sorted(F.col("name")).alias("x")).agg(F.count_distinct("shop_id").alias("n"))
-    o = s.select(F.col("article_id").alias("other_id"), "brand", F.col("x").alias("y"), F.col("n").alias("m"))
-    length = F.abs(F.length("x") - F.length("y")) <= 0.11 * F.greatest(F.length("x"), F.length("y"))
-    pairs = s.join(o, "brand").where((F.abs(F.col("n") - F.col("m")) <= 10) & length).where(T.likeness(F.col("x"), F.col("y")) >= 90)
-    return pairs.groupBy("article_id").agg(F.min("other_id").alias("leader"), F.count("*").alias("members"))
+    """Articles whose names are alike by 90 and whose seller counts are within ten, however indirectly, as a group led by its lowest id; members counts an article's own likes.
+
+    Names are compared once each; articles of like names are linked where their seller counts allow it.
+    """
+    s = v.article.join(v.listing, "article_id").groupBy("article_id", "brand", T.token_sorted(F.col("name")).alias("name")).agg(F.count_distinct("shop_id").alias("n"))
+    s = Staging(v.spark, "sellers").put(s)
+    alike = similar_names(s, s, ["brand"], 90)
+    one = s.select("brand", F.col("name").alias("x"), F.col("article_id").alias("a"), "n")
+    two = s.select("brand", F.col("name").alias("y"), F.col("article_id").alias("b"), F.col("n").alias("m"))
+    links = Staging(v.spark, "links").put(one.join(alike, ["brand", "x"]).join(two, ["brand", "y"]).where(F.abs(F.col("n") - F.col("m")) <= 10).select("a", "b"))
+    members = links.groupBy(F.col("a").alias("article_id")).agg(F.count("*").alias("members"))
+    return members.join(components(links).select(F.col("node").alias("article_id"), F.col("root").alias("leader")), "article_id").select("article_id", "leader", "members")
 
 
 CONFIG = [(1, "name", 1, "h2", 0), (1, "name", 2, "h1", 3), (1, "price", 1, "span", 5), (2, "name", 1, "h1", 0), (2, "stock", 1, "div", 2)]

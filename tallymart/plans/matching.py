@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import similarity, token_sorted
-from ..operators.mining import mine
+from ..operators.mining import mine_rules
 from ..operators.rules import apply_rules, changed, rule_upsert as upsert_rules
 from ..operators.similar import best_names, similar_names
+from ..operators.staged import Staging
 from ..operators.tables import overlapping
 from ..registry import query
 from ..sources.views import Views
@@ -191,10 +192,10 @@ def m10_degrees_repaired(v: Views) -> DataFrame:
 
 @query()
 def mine_rules_per_brand(v: Views) -> DataFrame:
-    """Rules mined by the whole sequence of passes, one brand at a time."""
+    """Rules mined by the whole sequence of passes, by components of articles that could merge."""
     shops = whole_listing(v).groupBy("article_id").agg(F.array_sort(F.collect_set("shop_id")).alias("shops"))
     rows = v.article.withColumn("measure", F.floor(F.col("measure") / 20)).withColumn("size", F.when(F.col("size") != "xs", F.col("size")))
-    return mine(rows.join(shops, "article_id", "left"))
+    return mine_rules(rows.join(shops, "article_id", "left"))
 
 
 @query("""SELECT order_id, line, o.article_id, shop_id, m.article_id AS identity FROM offer o JOIN article a ON a.article_id = o.article_id JOIN (SELECT min(article_id) AS article_id, brand, name, measure, degrees, units, package, size FROM article GROUP BY ALL) m
@@ -217,8 +218,9 @@ def rebuild(articles: DataFrame, listing: DataFrame, redirects: DataFrame, round
     named = rows.withColumn("identity", F.min("article_id").over(key))
     moved = listing.join(named.select("article_id", "identity"), "article_id").select(F.col("identity").alias("article_id"), "shop_id").distinct()
     shops = moved.groupBy("article_id").agg(F.array_sort(F.collect_set("shop_id")).alias("shops"))
-    kept = named.where("article_id = identity").join(shops, "article_id", "left")
-    rules = mine(kept)
+    spark = articles.sparkSession
+    kept = Staging(spark, "kept").put(named.where("article_id = identity").join(shops, "article_id", "left"))
+    rules = Staging(spark, "rules").put(mine_rules(kept))
     steps = rules.select(F.col("article_id").alias("from"), F.col("into_id").alias("into"))
     final = moved.withColumn("to", F.col("article_id"))
     for _ in range(rounds):

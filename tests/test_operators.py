@@ -255,7 +255,7 @@ def test_rebuild_and_mining_see_every_listing(spark, sf_dir, monkeypatch):
 
     v, seen = Views(spark, sf_dir), []
     monkeypatch.setattr(matching, "rebuild", lambda articles, listing, redirects: seen.append(listing) or (articles, None))
-    monkeypatch.setattr(matching, "mine", lambda rows: seen.append(rows.select("article_id", F.explode("shops").alias("shop_id"))))
+    monkeypatch.setattr(matching, "mine_rules", lambda rows: seen.append(rows.select("article_id", F.explode("shops").alias("shop_id"))))
     matching.m14_full_rebuild(v)
     matching.mine_rules_per_brand(v)
     sold = {tuple(r) for r in v.usable.select("article_id", "shop_id").distinct().collect()}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallymart.functions import text as T
 from tallymart.operators.phrases import Automaton, brands_recognised, phrases_in, phrases_replaced
-from tallymart.operators.staged import Staging, StagedTable, replace_partitions
+from tallymart.operators.staged import Staging, StagedTables, replace_partitions
 
 MANY = 0  # letters beyond which a dictionary is joined
 
@@ -95,7 +95,7 @@ def test_units_taken(spark):
 
 
 def table(spark, tmp_path):
-    return StagedTable(spark, str(tmp_path / "t"), "k long, v string, n long")
+    return StagedTables(spark, str(tmp_path / "t"), {"one": "k long, v string, n long", "two": "k long"})
 
 
 def rows(df):
@@ -105,31 +105,31 @@ def rows(df):
 def test_upserts_once(spark, tmp_path):
     t = table(spark, tmp_path)
     new = lambda *r: spark.createDataFrame(list(r), "k long, v string, n long")
-    assert rows(t.read()) == []
+    assert rows(t.read("one")) == []
     add = {"n": lambda o, n: o + n}
-    assert t.upsert(new((1, "a", 1), (None, "z", 5)), ["k"], "w", 0, merge=add)
-    assert t.upsert(new((1, "b", 2), (2, "c", 3), (None, "y", 1)), ["k"], "w", 1, merge=add)
+    assert t.upsert("one", new((1, "a", 1), (None, "z", 5)), ["k"], "w", 0, merge=add)
+    assert t.upsert("one", new((1, "b", 2), (2, "c", 3), (None, "y", 1)), ["k"], "w", 1, merge=add)
     expected = [(1, "b", 3), (2, "c", 3), (None, "y", 6)]
-    assert rows(t.read()) == sorted(expected, key=str)
-    assert not t.upsert(new((1, "b", 2)), ["k"], "w", 1, merge=add) and not t.replace(new(), "w", 0)  # a batch that is tried again
-    assert rows(t.read()) == sorted(expected, key=str)
-    assert t.upsert(new((2, "d", 1)), ["k"], "other", 0, merge=add)  # another writer has its own numbers
+    assert rows(t.read("one")) == sorted(expected, key=str)
+    assert not t.upsert("one", new((1, "b", 2)), ["k"], "w", 1, merge=add) and not t.replace({"one": new()}, "w", 0)  # a batch that is tried again
+    assert rows(t.read("one")) == sorted(expected, key=str)
+    assert t.upsert("one", new((2, "d", 1)), ["k"], "other", 0, merge=add)  # another writer has its own numbers
     t.forget_old(1)
-    assert rows(t.read()) == sorted([(1, "b", 3), (2, "d", 4), (None, "y", 6)], key=str)
+    assert rows(t.read("one")) == sorted([(1, "b", 3), (2, "d", 4), (None, "y", 6)], key=str)
 
 
 def test_failure_leaves_the_old_rows(spark, tmp_path):
     t = table(spark, tmp_path)
-    t.replace(spark.createDataFrame([(1, "a", 1)], "k long, v string, n long"))
+    t.replace({"one": spark.createDataFrame([(1, "a", 1)], "k long, v string, n long"), "two": spark.range(2).withColumnRenamed("id", "k")})
     bad = spark.range(3).select(F.col("id").alias("k"), F.raise_error(F.lit("lost")).cast("string").alias("v"), F.lit(1).alias("n"))
     with pytest.raises(Exception, match="lost"):
-        t.replace(bad)
-    assert rows(t.read()) == [(1, "a", 1)]
+        t.replace({"two": spark.range(9).withColumnRenamed("id", "k"), "one": bad})
+    assert rows(t.read("one")) == [(1, "a", 1)] and t.read("two").count() == 2  # neither table changes
     before = t.current()
-    t.replace(spark.createDataFrame([(2, "b", 1)], "k long, v string, n long"))
+    t.replace({"one": spark.createDataFrame([(2, "b", 1)], "k long, v string, n long")})
     with pytest.raises(RuntimeError, match="another writer"):  # one that began from the older version
-        t._publish(before, "data/none", None, None)
-    assert rows(t.read()) == [(2, "b", 1)]
+        t._publish(before, {"one": "data/none"}, None, None)
+    assert rows(t.read("one")) == [(2, "b", 1)] and t.read("two").count() == 2
 
 
 def test_stream_is_put_in_once(spark, tmp_path):
@@ -137,7 +137,7 @@ def test_stream_is_put_in_once(spark, tmp_path):
     spark.createDataFrame([(1, "a", 1), (2, "b", 1)], "k long, v string, n long").write.parquet(source)
     t = table(spark, tmp_path)
     calls = []
-    sink = t.sink(["k"], "stream", merge={"n": lambda o, n: o + n})
+    sink = t.sink("one", ["k"], "stream", merge={"n": lambda o, n: o + n})
 
     def twice(batch, number):  # as after a failure between the write and the stream's own note of it
         calls.append(number)
@@ -148,7 +148,7 @@ def test_stream_is_put_in_once(spark, tmp_path):
         q = spark.readStream.schema("k long, v string, n long").parquet(source).writeStream.foreachBatch(twice).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
         q.awaitTermination()
         spark.createDataFrame([(2, "c", 4)], "k long, v string, n long").write.mode("append").parquet(source)
-    assert rows(t.read()) == [(1, "a", 1), (2, "c", 5)] and calls == [0, 1]
+    assert rows(t.read("one")) == [(1, "a", 1), (2, "c", 5)] and calls == [0, 1]
 
 
 def test_partitions_are_replaced(spark, tmp_path):

@@ -46,4 +46,6 @@ def test_query_equals_sql(spark, duck, sf_dir, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
 def test_query_runs(spark, sf_dir, name):
-    assert QUERIES[name](spark, sf_dir).columns
+    """Queries that SQL can't express are run whole; what they give is tested beside their operators."""
+    df = QUERIES[name](spark, sf_dir)
+    assert all(set(r.asDict()) == set(df.columns) for r in df.collect())
