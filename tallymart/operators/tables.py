@@ -32,8 +32,11 @@ def without(df: DataFrame, **unwanted) -> DataFrame:
 
 
 def small(df: DataFrame, most: int = 400_000) -> DataFrame:
-    """df with the hint to broadcast it if it has at most that many rows, which are counted; for rows of a few numbers and short names."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    """df, computed once into a table, with the hint to broadcast it if it has at most that many rows; for rows of a few numbers and short names."""
+    from .staged import Staging
+
+    table = Staging(df.sparkSession, "small").put(df)
+    return F.broadcast(table) if table.count() <= most else table
 
 
 def balanced(df: DataFrame, label: str, key: str) -> DataFrame:
@@ -150,6 +153,30 @@ def carried_forward(df: DataFrame, key: Sequence[str], order: Sequence[str], val
     return df.withColumn(name, F.last(value, ignorenulls=True).over(w))
 
 
+def crawled(edges: DataFrame, start: DataFrame, depth: int, prefix: str = "", avoid: Sequence[str] = (), most: int | None = None) -> DataFrame:
+    """(node, level) in order of a crawl along (src, dst) from the start nodes: those of the prefix that hold none of the words to avoid, level by level.
+
+    `most` bounds all pages, taken in order of their levels and names. Each level is a table, so neither the plan nor the lineage grows with the depth; a
+    crawl ends where a level finds nothing new. Start nodes are filtered like others.
+    """
+    from .staged import Staging
+
+    spark = edges.sparkSession
+    wanted = all_of([F.col("node").startswith(prefix), *(~F.col("node").contains(w) for w in avoid)])
+    seen, fronts = Staging(spark, "seen"), Staging(spark, "front")
+    front = fronts.put(start.select("node").where(wanted).distinct())
+    done = seen.put(front.withColumn("level", F.lit(0).cast("long")))
+    for level in range(1, depth + 1):
+        if most is not None and done.count() >= most:
+            break
+        found = edges.join(front.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).where(wanted).distinct()
+        front = fronts.put(found.join(done.select("node"), "node", "left_anti"))
+        if not front.limit(1).count():
+            break
+        done = seen.put(done.unionByName(front.withColumn("level", F.lit(level).cast("long"))))
+    return done if most is None else done.orderBy("level", "node").limit(most)
+
+
 def reachable(edges: DataFrame, start: DataFrame, depth: int, most: int | None = None) -> DataFrame:
     """(node, level) reached from the start nodes along (src, dst) in at most `depth` steps, each at its least level.
 

@@ -37,8 +37,8 @@ def search(v: Views, text: str, least_sellers: int = 2, number: int = 1, size: i
     """Articles by text: a barcode finds just its articles; else words that name a brand, of one word or more, narrow to all brands that are so
     named, the first word that isn't the brand's starts the name and the rest stand in it. Cheapest per unit first, one page.
 
-    A brand is named where its words are a subset of the text's in their order, without regard to case. Every article is tested against its own
-    brand, so neither the subsets nor the brands are listed; only whether any brand is named reaches the driver.
+    A brand is named where its words are a subset of the text's in their order, without regard to case. Each distinct brand is tested once and joined with its
+    articles; whether any is named is a frame of one row.
     """
     words = [w for w in text.split() if w]
     articles = narrowed(v.article, **filters)
@@ -47,12 +47,12 @@ def search(v: Views, text: str, least_sellers: int = 2, number: int = 1, size: i
     else:
         given, name = F.array(*[F.lit(w.lower()) for w in words]).cast("array<string>"), F.lower("name")
         named, rest = T.subset_in_order(given, F.split(F.trim(F.lower("brand")), r"\s+"))
-        if v.article.where(named).select("brand").limit(1).collect():
-            articles = articles.where(named)
-        else:
-            rest = given
-        starts = (F.size(rest) == 0) | F.startswith(name, F.get(rest, 0))
-        articles = articles.where(starts & F.forall(rest, lambda w: F.contains(name, w)))
+        brands = v.article.select("brand").distinct().select(F.col("brand").alias("_brand"), named.alias("_named"), rest.alias("_rest"))
+        some = brands.agg(F.coalesce(F.max("_named"), F.lit(False)).alias("_any"))
+        rows = articles.join(brands, F.col("brand").eqNullSafe(F.col("_brand"))).join(F.broadcast(some)).where(~F.col("_any") | F.col("_named"))  # one row
+        asked = F.when(F.col("_any"), F.col("_rest")).otherwise(given)
+        starts = (F.size(asked) == 0) | F.startswith(name, F.get(asked, 0))
+        articles = rows.where(starts & F.forall(asked, lambda w: F.contains(name, w))).select(articles.columns)
     found = best_offers(v.usable.join(articles.select("article_id"), "article_id", "left_semi"), articles, least_sellers)
     return page(found, number, size, F.col("price_per_unit").asc_nulls_last(), F.col("article_id"))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.intervals import as_of, validity
 from ..operators.tables import carried_forward, changes_only, numbered_within
 from ..registry import query
 from ..sources.views import Views
@@ -141,3 +142,22 @@ def t08_expiring_blocks(v: Views) -> DataFrame:
     """A block lasts an hour from the last offence."""
     last = v.table("events").where("event_type = 'error'").groupBy("user_id").agg(F.max("ts").alias("ts"))
     return last.select("user_id", F.col("ts").cast("date").alias("day"), (F.col("ts") + F.expr("interval 1 hour") < F.lit("2024-01-20").cast("timestamp_ntz")).alias("expired"))
+
+
+_SPANS = """SELECT article_id, shop_id, price, ts AS since, lead(ts) OVER (PARTITION BY article_id, shop_id ORDER BY ts) AS until FROM (SELECT *, lag(price) OVER (PARTITION BY article_id, shop_id ORDER BY ts) AS before
+    FROM (SELECT article_id, shop_id, ts, max(price) AS price FROM usable GROUP BY 1, 2, 3)) WHERE price IS DISTINCT FROM before"""
+
+
+@query(f"SELECT article_id, shop_id, price, CAST(since AS DATE) AS since, CAST(until AS DATE) AS until FROM ({_SPANS})")
+def t02_price_intervals(v: Views) -> DataFrame:
+    """From when until when each price of a shop holds."""
+    spans = validity(v.usable, ("article_id", "shop_id"), "price")
+    return spans.select("article_id", "shop_id", "price", F.col("since").cast("date").alias("since"), F.col("until").cast("date").alias("until"))
+
+
+@query(f"SELECT m.article_id, CAST(m.ts AS DATE) AS day, x.shop_id, x.price FROM (SELECT DISTINCT article_id, date_trunc('month', ts) AS ts FROM usable) m JOIN ({_SPANS}) x ON x.article_id = m.article_id AND x.since <= m.ts AND (x.until IS NULL OR m.ts < x.until)")
+def w04_prices_as_of(v: Views) -> DataFrame:
+    """The price of each shop at the beginning of each month in which an article had offers: intervals and times meet in buckets, without a grid of events and shops."""
+    months = v.usable.select("article_id", F.date_trunc("month", "ts").cast("timestamp_ntz").alias("ts")).distinct()
+    found = as_of(months, validity(v.usable, ("article_id", "shop_id"), "price"), ["article_id"])
+    return found.select("article_id", F.col("ts").cast("date").alias("day"), "shop_id", "price")

@@ -16,7 +16,9 @@ def probe(spark: SparkSession, robots: str, sitemaps: str, pages: DataFrame) ->
     """
     rules = files.read_robots(spark, robots).where("directive = 'disallow' and content <> ''").select(F.col("content").alias("path"))
     locs = files.read_sitemap(spark, sitemaps).withColumn("at", F.regexp_replace("loc", "^https?://[^/]+", ""))
-    denied = locs.join(F.broadcast(rules), F.col("at").startswith(F.col("path"))).select("loc").distinct().withColumn("denied", F.lit(True))  # a robots file is short
+    sizes = rules.agg(F.collect_set(F.length("path")).alias("sizes"))
+    begun = locs.join(F.broadcast(sizes)).select("loc", F.explode(F.transform(F.filter("sizes", lambda n: n <= F.length("at")), lambda n: F.substring("at", F.lit(1), n))).alias("path"))  # one row
+    denied = begun.join(rules.distinct(), "path").select("loc").distinct().withColumn("denied", F.lit(True))
     node = M.product_node(F.col("json"))
     found = pages.select(F.col("url").alias("loc"), node.alias("node")).select("loc", *M.product_fields(F.col("node"))[:3], M.product_fields(F.col("node"))[4], F.lit(True).alias("fetched"))
     rows = locs.drop("at").join(denied, "loc", "left").join(found, "loc", "left")

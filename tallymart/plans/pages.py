@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import markup as M
 from ..functions import text as T
-from ..operators.tables import reachable
+from ..operators.tables import crawled, reachable
 from ..registry import query
 from ..sources.views import Views
 
@@ -43,6 +43,16 @@ def crawl_levels(v: Views) -> DataFrame:
     return reachable(link_edges(v), v.spark.createDataFrame([("/The",)], "node string"), 2)
 
 
+@query(f"""WITH RECURSIVE e AS ({_EDGES}), r AS (SELECT DISTINCT src AS node, CAST(0 AS BIGINT) AS level FROM e WHERE src IN ('/The', '/In', '/La') UNION
+    SELECT dst, level + 1 FROM r JOIN e ON src = node WHERE level < 3 AND starts_with(dst, '/') AND NOT contains(dst, 'z') AND NOT contains(dst, ','))
+    SELECT node, min(level) AS level FROM r GROUP BY 1 ORDER BY 2, 1 LIMIT 400""")
+def src12_bounded_crawl(v: Views) -> DataFrame:
+    """Pages in order of a crawl of three levels from several starts, of one prefix, without avoided words, four hundred at most."""
+    edges = link_edges(v)
+    start = edges.select(F.col("src").alias("node")).where(F.col("node").isin("/The", "/In", "/La")).distinct()
+    return crawled(edges, start, 3, "/", ("z", ","), 400)
+
+
 @query(r"""SELECT page_id, regexp_extract(url, '^https?://([^/]+)', 1) AS domain, [x for x in string_split(regexp_replace(url, '^https?://[^/]+', ''), '/') if x <> ''][1] AS group_1, [x for x in string_split(regexp_replace(url, '^https?://[^/]+', ''), '/') if x <> ''][2] AS group_2 FROM pages""")
 def url_groups(v: Views) -> DataFrame:
     url = F.col("url")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,14 +12,14 @@ DEFAULT_LASTMOD = "2022-10-24"
 UPLOAD_SCHEMA = "site string, url string, error404 boolean, price long, name string, product_code string, brand string, image string"
 
 
-def read_sitemap(spark: SparkSession, path: str) -> DataFrame:
-    """(loc, lastmod) of all url elements of the XML files under path, which may be compressed; a missing or odd date is the default."""
+def read_sitemap(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(loc, lastmod) of all url elements of the XML files under one path or several, which may be compressed; a missing or odd date is the default."""
     raw = spark.read.format("xml").option("rowTag", "url").schema("loc string, lastmod string").load(path)
     day = F.coalesce(F.try_to_date(F.substring("lastmod", 1, 10), "yyyy-MM-dd"), F.lit(DEFAULT_LASTMOD).cast("date"))
     return raw.where(F.col("loc").isNotNull()).select(F.trim("loc").alias("loc"), day.alias("lastmod"))
 
 
-def read_sitemap_index(spark: SparkSession, path: str) -> DataFrame:
+def read_sitemap_index(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(loc) of all sitemap elements of index files."""
     return spark.read.format("xml").option("rowTag", "sitemap").schema("loc string").load(path).select(F.trim("loc").alias("loc"))
 
@@ -28,17 +27,35 @@ def read_sitemap_index(spark: SparkSession, path: str) -> DataFrame:
 def read_sitemaps(spark: SparkSession, index: str) -> DataFrame:
     """(loc, lastmod) of all sitemaps that an index lists, followed through indexes of indexes; what was followed once isn't followed again.
 
-    The protocol bounds an index at 50,000 entries; their paths alone reach the driver. A file that is no index gives no entries there.
+    The protocol bounds an index at 50,000 entries; their paths alone reach the driver. A file that is no index gives no entries there. All files
+    of a level are read at once, so the jobs are as many as the levels.
     """
     seen: set[str] = set()
     front, maps = [index], []
     while front:
         seen.update(front)
-        listed = {r["loc"] for at in front for r in read_sitemap_index(spark, at).distinct().collect()}
+        listed = {r["loc"] for r in read_sitemap_index(spark, front).distinct().collect()}
         maps += front
         front = sorted(listed - seen)
-    found = [read_sitemap(spark, at) for at in maps]
-    return reduce(DataFrame.unionByName, found).distinct()
+    return read_sitemap(spark, maps).distinct()
+
+
+def write_sitemap_pages(df: DataFrame, path: str, key: str, size: int = 10_000, loc: str = "loc", lastmod: str = "lastmod") -> int:
+    """A sitemap file for each page of `size` rows in order of a unique numeric key, and under path/index the index of the files that are there. Gives their number.
+
+    Each file holds exactly the rows of its page: pages are numbered by ranges, dealt whole, and written to a folder each.
+    """
+    from ..operators.tables import global_pages
+
+    spark = df.sparkSession
+    rows = global_pages(df.select(key, F.col(loc).alias("loc"), F.date_format(lastmod, "yyyy-MM-dd").alias("lastmod")), size, key)
+    rows.select("loc", "lastmod", "page").repartition("page").write.partitionBy("page").format("xml").option("rootTag", "urlset").option("rowTag", "url").mode("overwrite").save(f"{path}/maps")
+    there = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "part-*").load(f"{path}/maps").select(F.col("path").alias("loc"))
+    files = [r["loc"] for r in there.limit(50_001).collect()]
+    if len(files) > 50_000:
+        raise ValueError("more than 50,000 pages: take larger ones")
+    write_index(spark, sorted(files), f"{path}/index")
+    return len(files)
 
 
 def write_index(spark: SparkSession, locs: list[str], path: str) -> None:
