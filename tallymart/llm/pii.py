@@ -82,7 +82,7 @@ _DIGITS = re.compile("[0-9]+")
 
 
 def shape(token: str) -> str:
-    """X, x for runs of letters, a digit run by its length (9 for more than 8), other characters as they are, up to 24."""
+    """X, x for runs of letters, a digit run by its length (9 for more than 8), other characters as they are; of a shape beyond 24 the first 24 are the feature."""
     for run, sign in _RUNS:
         token = run.sub(sign, token)
     return _DIGITS.sub(lambda m: str(min(9, m.end() - m.start())), token)[:24]
@@ -96,21 +96,23 @@ PLAIN = "plain"
 
 
 def features(tokens: list[str]) -> list[list[str]]:
-    """Features of each token: own shape and those around it, digit count, check sum."""
-    shapes, counts = [], []
+    """Features of each token: own shape and those around it, digit count, check sum, and the shape whatever the lengths of its digit runs."""
+    shapes, counts, coarse = [], [], []
     for t in tokens:
         digits = _digits(t)
         if digits or "@" in t:
             shapes.append(shape(_core(t)))
             counts.append(f"n{min(len(digits), 20)}" + ("ok" if 16 <= len(digits) <= 19 and luhn(digits) else ""))
+            coarse.append(_DIGITS.sub("9", shapes[-1]) + ("t" if digits[:1] == "0" else "") + str(min(len(digits) // 3, 5)))
         else:
             shapes.append(PLAIN)
             counts.append(PLAIN)
+            coarse.append(PLAIN)
     n = len(tokens)
-    return [[f"s={shapes[i]}", f"p={shapes[i - 1] if i else '^'}", f"q={shapes[i + 1] if i + 1 < n else '$'}", f"c={counts[i]}", f"pc={shapes[i - 1] if i else '^'}|{shapes[i]}"] for i in range(n)]
+    return [[f"s={shapes[i]}", f"p={shapes[i - 1] if i else '^'}", f"q={shapes[i + 1] if i + 1 < n else '$'}", f"c={counts[i]}", f"pc={shapes[i - 1] if i else '^'}|{shapes[i]}", f"g={coarse[i]}"] for i in range(n)]
 
 
-def labelled(n: int = 1600, seed: int = 5) -> list[tuple[list[str], list[int]]]:
+def labelled(n: int = 2000, seed: int = 5) -> list[tuple[list[str], list[int]]]:
     """The labelled table: tokens of a sentence and the kind of each, OUT for none."""
     rng = random.Random(seed)
     word = lambda: "".join(rng.choices("abcdefghilmnoprstuvé", k=rng.randint(1, 9)))
@@ -133,12 +135,21 @@ def labelled(n: int = 1600, seed: int = 5) -> list[tuple[list[str], list[int]]]:
         fours = [c[i : i + 4] for i in range(0, 16, 4)]
         return rng.choice(([c], ["-".join(fours)], fours, [".".join(fours)]))
 
+    def national() -> list[list[str]]:
+        """Numbers as they are written at home: a trunk or foreign prefix, an area of two to four digits, groups of two to four."""
+        groups = [num(rng.randint(2, 4)) for _ in range(rng.randint(2, 4))]
+        area = "0" + num(rng.randint(1, 4))
+        tail = [*groups[:-2], f"{groups[-2]}-{groups[-1]}"]
+        return [[f"00{num(2)}", num(rng.randint(1, 3)), *groups], [f"({area})", *tail], [f"({area})", *groups], [f"{area}/{''.join(groups)}"[:14]], [area, *groups], ["-".join(("1", num(3), num(3), num(4)))], [num(2), num(3), num(2), num(2)], ["0" + num(1), *[num(2) for _ in range(4)]]]
+
     def phone() -> list[str]:
         a, b, c = num(3), num(3), num(4)
         home = "0" + num(2)
-        return rng.choice(([f"+1", f"({a})", f"{b}-{c}"], [f"({a})", f"{b}-{c}"], [f"+{num(2)}", a, b, c], [f"{a}-{b}-{c}"], [f"+1-{a}-{b}-{c}"], [f"+{num(11)}"], [a, b, c], [home, num(4), c], [f"{home}/{num(rng.randint(5, 8))}"], [f"{a}.{b}.{c}"], [f"0{num(3)}", num(6)]))
+        return rng.choice(([f"+1", f"({a})", f"{b}-{c}"], [f"({a})", f"{b}-{c}"], [f"+{num(2)}", a, b, c], [f"{a}-{b}-{c}"], [f"+1-{a}-{b}-{c}"], [f"+{num(11)}"], [a, b, c], [home, num(4), c], [f"{home}/{num(rng.randint(5, 8))}"], [f"{a}.{b}.{c}"], [f"0{num(3)}", num(6)], *national()))
 
     def other() -> list[str]:
+        if rng.random() < 0.2:  # thousands, and numbers that are counted up
+            return rng.choice(([str(rng.randint(1, 999)), *[num(3) for _ in range(rng.randint(1, 3))]], [str(100 * k) for k in range(1, rng.randint(3, 6))]))
         if rng.random() < 0.25:  # numbers side by side that are none
             return [num(rng.choice((1, 2, 4, 5))).lstrip("0") or "7" for _ in range(rng.randint(2, 4))]
         return [rng.choice((num(rng.randint(1, 6)), f"{num(1)}.{num(1)}", f"{num(1)}.{num(1)}.{num(1)}", f"20{num(2)}-{num(2)}-{num(2)}", f"{num(2)}/{num(2)}/{num(4)}", f"{num(2)}:{num(2)}", f"{num(3)}%", f"${num(3)}.{num(2)}", "".join(rng.choices("0123456789abcdef", k=40)), f"{word()}{num(2)}", num(16), num(18), f"v{num(1)}.{num(2)}", f"{num(4)}-{num(4)}", f"{word()}@{word()}", f"@{word()}", f"{num(1)},{num(3)}", f"({num(4)})", f"{num(3)}-{num(2)}", f"{word()}={key(rng.randint(6, 40))}", f'"{key(40)}"', f"{word()}:{key(rng.randint(6, 30))}", key(rng.randint(8, 64)), f"{word()}-{num(3)}-{word()}"))]
@@ -176,12 +187,12 @@ class PiiModel:
                 for f in fs:
                     seen[f] = seen.get(f, 0) + 1
         self.number = {f: i for i, f in enumerate((f for f, c in seen.items() if c > 1), 1)}
-        rows, lengths = padded([[self.row(fs) for fs in s] for s in feats], 5)
+        rows, lengths = padded([[self.row(fs) for fs in s] for s in feats], 6)
         tags = np.full(rows.shape[:2], OUT)
         for i, (_, g) in enumerate(table):
             tags[i, : len(g)] = g
         self.crf = Crf(len(self.number), OUT + 1).fit(rows, tags, lengths, rounds)
-        lone = self.crf.emissions(np.array(self.row([f"s={PLAIN}", f"p={PLAIN}", f"q={PLAIN}", f"c={PLAIN}", f"pc={PLAIN}|{PLAIN}"])))
+        lone = self.crf.emissions(np.array(self.row([f"s={PLAIN}", f"p={PLAIN}", f"q={PLAIN}", f"c={PLAIN}", f"pc={PLAIN}|{PLAIN}", f"g={PLAIN}"])))
         moves = self.crf.moves
         gain = moves.max() - min(moves[OUT, OUT], moves[OUT].min(), moves[:, OUT].min())
         if not (lone[OUT] - np.delete(lone, OUT).max() > 0 and 2 * (lone[OUT] - np.delete(lone, OUT).max()) > gain):
@@ -196,7 +207,7 @@ class PiiModel:
         order = sorted(range(len(windows)), key=lambda i: len(windows[i]))
         for at in range(0, len(order), 256):
             some = order[at : at + 256]
-            rows, lengths = padded([[self.row(fs) for fs in features(windows[i])] for i in some], 5)
+            rows, lengths = padded([[self.row(fs) for fs in features(windows[i])] for i in some], 6)
             path = self.crf.viterbi(self.crf.emissions(rows), lengths)
             for i, p, n in zip(some, path, lengths):
                 out[i] = p[:n].tolist()
