@@ -322,3 +322,8 @@ def token_set(a: Column, b: Column) -> Column:
     joined = lambda rest: F.array_join(F.concat(both, F.array_sort(rest)), " ")
     shared, one, other = F.array_join(both, " "), joined(F.array_except(x, y)), joined(F.array_except(y, x))
     return F.greatest(likeness(shared, one), likeness(shared, other), likeness(one, other))
+
+
+def stock_and_category(stock: Column, category: Column) -> tuple[Column, Column]:
+    """Stock without the vocabulary's address, cut to twenty letters, and a category cut to fifty."""
+    return F.substring(F.regexp_replace(stock, "^https?://schema.org/", ""), 1, 20), F.substring(category, 1, 50)
