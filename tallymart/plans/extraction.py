@@ -52,3 +52,26 @@ def a26_selector_errors(v: Views) -> DataFrame:
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("ord", "search"))), lambda x: x["search"])
     listed = config.groupBy("site", "field").agg(F.array_join(ordered, " | ").alias("selectors"))
     return listed.join(errors, ["site", "field"], "left").select("site", "field", "selectors", F.coalesce("errors", F.lit(0)).cast("long").alias("errors"))
+
+
+_GOT = ("name", "brand", "category", "image", "stock", "price", "code")
+_SHARES = ", ".join(f"round(100.0::DOUBLE * {c} / CASE WHEN pages = 0 THEN 1 ELSE pages END, 4) AS {c}_share" for c in _GOT)
+
+
+@query(f"""WITH f AS ({_FIELDS}), p AS (SELECT regexp_extract(url, '^https?://([^/]+)', 1) AS site, page_id, html IS NULL AS gone, starts_with(url, 'https:') AS secure, contains(url, '?') AS asked FROM pages),
+    c AS (SELECT p.site, count(*) AS pages, count(*) FILTER (gone) AS missing, count(*) FILTER (secure) AS secure, count(*) FILTER (asked) AS with_query, {", ".join(f"count(*) FILTER (coalesce(f.{c}, '') <> '') AS {c}" for c in _GOT)},
+        count(*) FILTER (coalesce(f.name, '') <> '' AND coalesce(f.price, '') <> '') AS usable, count(f.page_id) AS fetched FROM p LEFT JOIN f ON f.page_id = p.page_id GROUP BY ROLLUP (p.site))
+    SELECT coalesce(site, 'total') AS site, pages, missing, pages - missing AS fetched, secure, with_query, {", ".join(_GOT)}, usable, {len({s[0] for s in SETTINGS})}::BIGINT AS fields, {len(SETTINGS)}::BIGINT AS selectors, {sum(s[2] == "css" for s in SETTINGS)}::BIGINT AS css, {sum(s[2] == "fixed" for s in SETTINGS)}::BIGINT AS fixed, {_SHARES},
+    round(100.0::DOUBLE * missing / CASE WHEN pages = 0 THEN 1 ELSE pages END, 4) AS missing_share, round(100.0::DOUBLE * usable / CASE WHEN pages = 0 THEN 1 ELSE pages END, 4) AS usable_share FROM c""")
+def a12_site_matrix(v: Views) -> DataFrame:
+    """What the crawl has of each site and in all: pages, fields that were found, settings, and shares with a guarded denominator. Beside shop_status it is the rest of the status report."""
+    pages = v.table("pages").select("page_id", "url", "html", F.regexp_extract("url", "^https?://([^/]+)", 1).alias("site"))
+    found = extracted(pages, settings(v), "page_id").select("page_id", "values")
+    rows = pages.select("page_id", "site", F.col("html").isNull().alias("gone"), F.startswith("url", F.lit("https:")).alias("secure"), F.contains("url", F.lit("?")).alias("asked")).join(found, "page_id", "left")
+    has = lambda c: F.col("values")[c].isNotNull()
+    counts = [F.count("*").alias("pages"), F.count_if("gone").alias("missing"), F.count_if("secure").alias("secure"), F.count_if("asked").alias("with_query"), *[F.count_if(has(c)).alias(c) for c in _GOT], F.count_if(has("name") & has("price")).alias("usable")]
+    c = rows.rollup("site").agg(*counts)
+    fixed = {"fields": len({s[0] for s in SETTINGS}), "selectors": len(SETTINGS), "css": sum(s[2] == "css" for s in SETTINGS), "fixed": sum(s[2] == "fixed" for s in SETTINGS)}
+    share = lambda n: F.round(100.0 * F.col(n) / F.when(F.col("pages") == 0, 1).otherwise(F.col("pages")), 4).alias(f"{n}_share")
+    numbers = [F.lit(n).cast("long").alias(k) for k, n in fixed.items()]
+    return c.select(F.coalesce("site", F.lit("total")).alias("site"), "pages", "missing", (F.col("pages") - F.col("missing")).alias("fetched"), "secure", "with_query", *_GOT, "usable", *numbers, *map(share, (*_GOT, "missing", "usable")))
