@@ -1,8 +1,8 @@
 """Similarity joins of names: pairs by edit distance, found without comparing all names of a group.
 
 Everything works on the distinct names of a group, never on its rows. From `PREFIX` on, names meet in an inverted index of their rarest pieces of
-two letters: names within k edits share one of each other's 2 k + 1 rarest pieces, at places that differ by at most k, and their lengths differ
-by at most k; what meets is then compared exactly. Below, and for names too short to have that many pieces, the names of a group are dealt to tiles of bounded
+p letters: names within k edits share one of each other's p k + 1 rarest pieces, at places that differ by at most k, and their lengths differ
+by at most k; what meets is then compared exactly. Below, the names of a group are dealt to tiles of bounded
 size; in a tile a bound from letter counts and lengths leaves out most pairs before any edit distance is computed.
 Scores are one minus the edit distance over the longer length, 0 to 100, rounded.
 """
@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import likeness
 
-#: The least score for which the index is used, letters of a piece, names of a side of a tile.
-PREFIX, PIECE, TILE = 80, 2, 1024
+#: The least score for which the index is used, that for which its pieces are longer, names of a side of a tile.
+PREFIX, FINER, TILE = 80, 90, 1024
 #: Letter classes of the bound; merging letters only weakens it.
 CLASSES = 48
 
@@ -29,8 +29,13 @@ def allowed(length: Column, least: int) -> Column:
     return F.floor(F.lit((100.5 - least) / 100) * length + F.lit(1e-9)).cast("int")
 
 
-def _pieces(name: str) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.length(name) - (PIECE - 1)), lambda i: F.struct(F.substring(F.col(name), i, F.lit(PIECE)).alias("piece"), i.alias("at")))
+def piece_length(least: int) -> int:
+    """Three letters where every name of three or more has more pieces than the edits that the score leaves it, times three, else two (from PREFIX on, names of two or more have those)."""
+    return 3 if least >= FINER else 2
+
+
+def _pieces(name: str, size: int) -> Column:
+    return F.transform(F.sequence(F.lit(1), F.length(name) - (size - 1)), lambda i: F.struct(F.substring(F.col(name), i, F.lit(size)).alias("piece"), i.alias("at")))
 
 
 def _longer(name: str, least: int) -> Column:
@@ -39,12 +44,12 @@ def _longer(name: str, least: int) -> Column:
     return F.floor(F.lit(share / (1 - share)) * F.length(name) + F.lit(1e-9)).cast("int")
 
 
-def _indexed(names: DataFrame, counts: DataFrame, by: Sequence[str], edits: Column) -> DataFrame:
-    """(by, name, edits, piece, at) of the edits * PIECE + 1 rarest pieces of each name of PIECE letters or more, which from PREFIX on has as many."""
-    each = names.where(F.length("name") >= PIECE).withColumn("edits", edits)
-    pieces = each.select(*by, "name", "edits", F.explode(_pieces("name")).alias("p")).select(*by, "name", "edits", "p.*").join(counts, "piece")
+def _indexed(names: DataFrame, counts: DataFrame, by: Sequence[str], edits: Column, size: int) -> DataFrame:
+    """(by, name, edits, piece, at) of the edits * size + 1 rarest pieces of each name of `size` letters or more, which has as many."""
+    each = names.where(F.length("name") >= size).withColumn("edits", edits)
+    pieces = each.select(*by, "name", "edits", F.explode(_pieces("name", size)).alias("p")).select(*by, "name", "edits", "p.*").join(counts, "piece")
     gathered = pieces.groupBy(*by, "name", "edits").agg(F.array_sort(F.collect_list(F.struct("n", "piece", "at"))).alias("all"))  # a name's own pieces
-    return gathered.select(*by, "name", "edits", F.explode(F.slice("all", F.lit(1), F.col("edits") * PIECE + 1)).alias("p")).select(*by, "name", "edits", F.col("p.piece").alias("piece"), F.col("p.at").alias("at"))
+    return gathered.select(*by, "name", "edits", F.explode(F.slice("all", F.lit(1), F.col("edits") * size + 1)).alias("p")).select(*by, "name", "edits", F.col("p.piece").alias("piece"), F.col("p.at").alias("at"))
 
 
 def _met(shorter: DataFrame, longer: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -188,12 +193,13 @@ def similar_names(left: DataFrame, right: DataFrame, by: Sequence[str], least: i
     a, b = (side.select(*by, "name").dropna().distinct() for side in (left, right))
     if least < PREFIX:
         return _similar_in_tiles(a, b, by, least)
-    counts = a.unionByName(b).select(F.explode(_pieces("name")).alias("p")).groupBy("p.piece").agg(F.count("*").alias("n"))
+    size = piece_length(least)
+    counts = a.unionByName(b).where(F.length("name") >= size).select(F.explode(_pieces("name", size)).alias("p")).groupBy("p.piece").agg(F.count("*").alias("n"))
     own, more = allowed(F.length("name"), least), _longer("name", least)
-    short, long = {s: _indexed(d, counts, by, more) for s, d in (("a", a), ("b", b))}, {s: _indexed(d, counts, by, own) for s, d in (("a", a), ("b", b))}
+    short, long = {s: _indexed(d, counts, by, more, size) for s, d in (("a", a), ("b", b))}, {s: _indexed(d, counts, by, own, size) for s, d in (("a", a), ("b", b))}
     met = _met(short["a"], long["b"], by).unionByName(_met(short["b"], long["a"], by).select(*by, F.col("y").alias("x"), F.col("x").alias("y"))).distinct()
     found = met.withColumn("score", likeness(F.col("x"), F.col("y"))).where(F.col("score") >= least)
-    tiny = a.where(F.length("name") < PIECE).join(b, [*by, "name"])  # from PREFIX on, names of no piece are like equal ones alone
+    tiny = a.where(F.length("name") < size).join(b, [*by, "name"])  # names of no piece are like equal ones alone
     return found.unionByName(tiny.select(*by, F.col("name").alias("x"), F.col("name").alias("y"), F.lit(100).cast("long").alias("score")))
 
 

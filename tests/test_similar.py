@@ -91,3 +91,12 @@ def test_closest_of_ties():
     x, y = Names(["abcd", "zzzz"]), Names(["abce", "abcf", "zzzz", "abcd x"])
     i, ids, scores = closest(x, y, np.array([9, 4, 2, 1]), 50)
     assert (i.tolist(), ids.tolist(), scores.tolist()) == ([0, 1], [4, 2], [75, 100])
+
+
+@pytest.mark.parametrize("least", range(similar.PREFIX, 101))
+def test_names_have_pieces_enough(least):
+    """What the index rests on: a name has more pieces than the edits that its longest possible partner may need can destroy, and shorter ones need none."""
+    share, size = (100.5 - least) / 100, similar.piece_length(least)
+    for n in range(400):
+        edits = int(share / (1 - share) * n + 1e-9)
+        assert n - (size - 1) >= edits * size + 1 if n >= size else edits == 0
