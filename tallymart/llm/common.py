@@ -36,6 +36,19 @@ def written(df: DataFrame, what: str, compression: str = "snappy") -> DataFrame:
     return out
 
 
+def placed(df: DataFrame, what: str, key: str, buckets: int) -> DataFrame:
+    """As written(), in buckets by the key: a grouping or join on it by as many tasks doesn't move these rows.
+
+    The table is known to the catalog only while it is written and looked up.
+    """
+    spark, path, name = df.sparkSession, scratch(df.sparkSession, what), f"tallymart_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, key).option("path", path).option("compression", "zstd").saveAsTable(name, format="parquet")
+    out = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # its files stay: they lie outside the warehouse
+    out.scratch_path = path
+    return out
+
+
 def spark_tables(spark: SparkSession) -> list[str]:
     """Scratch paths that this driver has taken and not deleted."""
     sc = spark.sparkContext

@@ -13,8 +13,10 @@ A context with more places than a bucket should hold (found on a sample, which c
 by the word before it, or by their number at the greatest depth, and the counts of its successors, added up beforehand, are sent to each part.
 
 Texts are read twice: once to count words, once to replace words by numbers. The most frequent words, up to `alphabet` of them, are sent to
-the workers and have numbers. Rarer ones are joined with the vocabulary by the word, which adds their unigram term; they are in no list of successors, and a
-context ends at them.
+the workers, which number them on the spot; `alphabet` bounds that broadcast and changes speed, never results. All other words are joined with the vocabulary
+by the word, once for each document that holds them, which gives their unigram terms and the numbers of those that are listed. The numbered texts stand in
+buckets by chunk, so these numbers, a small part of all, are sent to their chunks and the texts stay where they are. Numbers ascend as counts descend, so a
+worker tells a word's count from its number by the few places where the count changes. A context ends at a word below `least` occurrences.
 """
 
 from __future__ import annotations
@@ -27,12 +29,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, id_text, parts, tasks, tidy, written
+from .common import crc_mod, forget, id_text, parts, placed, tasks, tidy, written
 
 #: The end of a text as a word of the vocabulary; no word can hold a line feed.
 END = "\n"
-#: Bytes of text in a step of counting and in a chunk, distinct words held before they are sent on, bytes of numbers in a step, compression of what is shuffled.
-STEP, CHUNK, HELD, NUMBERS, LEVEL = 4_000_000, 8_000_000, 1_000_000, 6_000_000, 6
+#: Bytes of text in a step of counting and in a chunk, distinct words held before they are sent on, compression of what is shuffled.
+STEP, CHUNK, HELD, LEVEL = 4_000_000, 8_000_000, 1_000_000, 6
 #: Places that a bucket should hold at most and at least, and words of the sample that split contexts are found on.
 BUCKET, LITTLE, SAMPLE = 1_500_000, 50_000, 2_000_000
 
@@ -102,7 +104,7 @@ class Blocks:
 
 
 def _flat(batch) -> tuple[np.ndarray, np.ndarray]:
-    """The numbers of all documents of a batch, each followed by its END, and the document each belongs to."""
+    """The numbers of all documents, each followed by its END, and the document each belongs to."""
     ids = [np.frombuffer(x, "<i4") for x in batch.column("ids").to_pylist()]
     lengths = np.array([len(x) for x in ids], np.int64)
     return (np.concatenate(ids) if ids else np.zeros(0, np.int32)), np.repeat(np.arange(len(ids)), lengths)
@@ -121,7 +123,7 @@ def contexts(ids: np.ndarray, doc: np.ndarray, depth: int) -> list[np.ndarray]:
     for k in range(1, depth + 1):
         c = np.full(len(ids), -1, np.int32)
         if len(ids) > k:
-            c[k:] = np.where(alive[k:] & (doc[k:] == doc[:-k]), ids[:-k], -1)
+            c[k:] = np.where(alive[k:] & (doc[k:] == doc[:-k]), np.maximum(ids[:-k], -1), -1)
         alive = c >= 0
         out.append(c)
     return out
@@ -240,41 +242,58 @@ class Gains:
         return np.cumsum(k.view("<i4").ravel()), gain.view("<f8").ravel()
 
 
-def _chunks(batches):
-    """(chunk, numbers, row of each, whether for training) of the rows of each chunk in a part of a batch."""
-    for batch in parts(batches, NUMBERS, "ids"):
-        chunk = np.asarray(batch.column("chunk"))
-        starts = np.r_[0, np.flatnonzero(chunk[1:] != chunk[:-1]) + 1, len(chunk)]
-        for a, b in zip(starts[:-1].tolist(), starts[1:].tolist()):
-            some = batch.slice(a, b - a)
-            ids, doc = _flat(some)
-            yield int(chunk[a]), ids, np.asarray(some.column("k"))[doc], ~np.asarray(some.column("held_out").to_pylist(), bool)[doc]
+def _numbered(scale: float):
+    """Of the joined words of a chunk: the number of each of its unlisted words (-1: none), and what its rows have of known words and unigram terms."""
+
+    def run(key, table):
+        at, number, c, k, tf = (np.asarray(table.column(x)).astype(np.int64) for x in ("at", "number", "c", "k", "tf"))
+        numbers = np.full(int(at.max(initial=-1)) + 1, -1, "<i4")
+        numbers[at] = number
+        rows, which = np.unique(k, return_inverse=True)
+        known, base = np.bincount(which, np.where(c > 0, tf, 0)), np.bincount(which, tf * np.log10((c + 0.5) / scale))
+        columns = [pa.array([key[0].as_py()], pa.int64()), pa.array([numbers.tobytes()], pa.binary())]
+        columns += [pa.array([x.tolist()], pa.list_(t)) for x, t in ((rows, pa.int32()), (known.astype(np.int64), pa.int64()), (base, pa.float64()))]
+        return pa.table(columns, ["chunk", "numbers", "rows", "known", "base"])
+
+    return run
+
+
+NUMBERED_SCHEMA = "chunk long, numbers binary, rows array<int>, known array<long>, base array<double>"
+
+
+def _whole(coded: pa.Table, numbers: pa.Table) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    """A chunk, the numbers of all its words, the row of each and whether it is for training; -1 for words that aren't listed."""
+    ids, doc = _flat(coded)
+    open_ = np.flatnonzero(ids < -1)
+    if len(open_):
+        ids[open_] = np.frombuffer(numbers.column("numbers")[0].as_py(), "<i4")[-2 - ids[open_]]
+    return coded.column("chunk")[0].as_py(), ids, np.asarray(coded.column("k"))[doc], ~np.asarray(coded.column("held_out").to_pylist(), bool)[doc]
 
 
 BLOCK_SCHEMA = "bucket int, node int, chunk long, block binary"
 
 
 def _places(split: Split, depth: int):
-    """Of each chunk a block of places for each bucket. Places without a word before them are left out."""
-
-    def run(batches):
-        for chunk, ids, row, train in _chunks(batches):
-            before = contexts(ids, row, depth)
-            on = np.flatnonzero(before[0] >= 0)
-            if not len(on):
-                continue
-            before = [c[on] for c in before]
-            bucket = split.place(before)
-            order = np.argsort(before[1], kind="stable") if depth > 1 else np.arange(len(on))
-            order = order[np.argsort(bucket[order] << 32 | before[0][order], kind="stable")]
-            columns = [c[order] for c in (*before, ids[on], row[on] << 1 | train[on])]
-            bucket = bucket[order]
-            del before, order
-            cuts = np.r_[0, np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, len(bucket)]
-            for at in range(0, len(cuts) - 1, 256):
-                some = [(i, j) for i, j in zip(cuts[at : at + 256].tolist(), cuts[at + 1 : at + 257].tolist())]
-                blocks = [Places.pack([c[i:j] for c in columns]) for i, j in some]
-                yield pa.RecordBatch.from_arrays([pa.array([int(bucket[i]) for i, _ in some], pa.int32()), pa.array([-1] * len(some), pa.int32()), pa.array([chunk] * len(some), pa.int64()), pa.array(blocks, pa.binary())], ["bucket", "node", "chunk", "block"])
+    """Of a chunk a block of places for each bucket. Places without a word before them are left out."""
+    schema = pa.schema([("bucket", pa.int32()), ("node", pa.int32()), ("chunk", pa.int64()), ("block", pa.binary())])
+
+    def run(coded, numbers):
+        if not coded.num_rows:
+            return schema.empty_table()
+        chunk, ids, row, train = _whole(coded, numbers)
+        before = contexts(ids, row, depth)
+        on = np.flatnonzero(before[0] >= 0)
+        before = [c[on] for c in before]
+        bucket = split.place(before)
+        order = np.argsort(before[1], kind="stable") if depth > 1 else np.arange(len(on))
+        order = order[np.argsort(bucket[order] << 32 | before[0][order], kind="stable")]
+        columns = [c[order] for c in (*before, ids[on], row[on] << 1 | train[on])]
+        bucket = bucket[order]
+        del before, order
+        cuts = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1)).tolist()
+        blocks = [Places.pack([c[i:j] for c in columns]) for i, j in zip(cuts[:-1], cuts[1:])]
+        n = len(blocks)
+        return pa.table([pa.array(bucket[cuts[:-1]], pa.int32()), pa.array([-1] * n, pa.int32()), pa.array([chunk] * n, pa.int64()), pa.array(blocks, pa.binary())], schema=schema)
 
     return run
 
@@ -283,13 +302,15 @@ def _places(split: Split, depth: int):
 WHOLE = 0xFFFFFFFF
 
 
-def _successors(coded: DataFrame, split: Split, depth: int, least: int) -> DataFrame:
+def _successors(coded: DataFrame, numbered: DataFrame, split: Split, depth: int, least: int) -> DataFrame:
     """BLOCK_SCHEMA: the successors of each split context, a block with counts from `least` on and the whole count, for each bucket that needs it."""
     spark = coded.sparkSession
     spread = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
-    def local(batches):
-        for _, ids, row, train in _chunks(batches):
+    def local(texts, numbers):
+        rows = []
+        if texts.num_rows:
+            _, ids, row, train = _whole(texts, numbers)
             before, held = contexts(ids, row, depth), []
             for k, key in enumerate(context_keys(before)):
                 node = np.where(train & (before[k] >= 0), split.find(key), -1)
@@ -300,7 +321,7 @@ def _successors(coded: DataFrame, split: Split, depth: int, least: int) -> DataF
             keys, counts = np.unique(np.concatenate(held).astype(np.uint64), return_counts=True)
             of = mixed(keys) % np.uint64(spread)
             rows = [(int(b), Blocks.pack(keys[of == b], counts[of == b])) for b in np.unique(of).tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], ["part", "block"])
+        return pa.table({"part": pa.array([b for b, _ in rows], pa.int32()), "block": pa.array([x for _, x in rows], pa.binary())})
 
     def total(table):
         keys, counts = Blocks.total(table.column("block").to_pylist())
@@ -309,16 +330,33 @@ def _successors(coded: DataFrame, split: Split, depth: int, least: int) -> DataF
         rows = [(int(n), Blocks.pack(word[node == n], counts[node == n])) for n in np.unique(node).tolist()]
         return pa.table({"node": pa.array([n for n, _ in rows], pa.int32()), "block": pa.array([x for _, x in rows], pa.binary())})
 
-    rows = coded.where("not held_out").select("chunk", "k", "held_out", "ids").mapInArrow(tidy(local), "part int, block binary")
+    rows = coded.where("not held_out").groupBy("chunk").cogroup(numbered.groupBy("chunk")).applyInArrow(local, "part int, block binary")
     summed = written(rows.groupBy("part").applyInArrow(total, "node int, block binary"), "successors")
     needed = spark.createDataFrame(pa.table({"node": pa.array([n for n, _ in split.above()], pa.int32()), "bucket": pa.array([b for _, b in split.above()], pa.int32())}))
     return summed.join(needed, "node").select("bucket", "node", F.lit(-1).cast("long").alias("chunk"), "block")
 
 
+class Terms:
+    """The unigram terms of words by their numbers: one each for the first, one for all from each further number on at which the count changes."""
+
+    def __init__(self, first: np.ndarray, starts: np.ndarray, values: np.ndarray, size: int):
+        self.first, self.starts, self.values, self.size = first, starts, values, size
+
+    def __getitem__(self, word: np.ndarray) -> np.ndarray:
+        out = self.first[np.clip(word, 0, len(self.first) - 1)]
+        if len(self.starts):
+            far = np.flatnonzero(word >= len(self.first))
+            out[far] = self.values[np.searchsorted(self.starts, word[far], side="right") - 1]
+        return out
+
+    def __len__(self) -> int:
+        return self.size
+
+
 class Tree:
     """Scores the places of one bucket, level by level."""
 
-    def __init__(self, unigram: np.ndarray, split: Split, depth: int, least: int, a: float, cost: float):
+    def __init__(self, unigram: Terms, split: Split, depth: int, least: int, a: float, cost: float):
         self.unigram, self.split, self.depth, self.least, self.a, self.cost = unigram, split, depth, least, a, cost
 
     def _kept(self, gain, successors):
@@ -431,11 +469,33 @@ def _summed(key, table):
     return pa.table({"chunk": pa.array([key[0].as_py()] * len(rows), pa.int64()), "k": pa.array(rows.astype(np.int32)), "score": pa.array(np.bincount(inverse, gain) if len(rows) else np.zeros(0))})
 
 
+def _far(listed: DataFrame, first: int) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """word, c and number of the listed words that aren't broadcast, numbered from `first` on by descending count; the first number of each count, and the counts.
+
+    Words are sorted once, in ranges; a word's number is what stands in the ranges before its own and its place there. What comes to the driver is one row a range
+    and one a count; counts here are at most a few times the training tokens divided by the words that are broadcast.
+    """
+    spark = listed.sparkSession
+    ranked = written(listed.orderBy(F.desc("c"), "word").select("word", "c", F.monotonically_increasing_id().alias("place")), "ranked")
+    counts = ranked.groupBy("c").count().orderBy(F.desc("c")).collect()
+    if not counts:
+        forget(ranked)
+        return spark.createDataFrame([], "word string, c long, number int"), np.zeros(0, np.int64), np.zeros(0)
+    ranges = ranked.groupBy(F.shiftright("place", 33).alias("range")).count().orderBy("range").collect()
+    before = np.cumsum([first, *(r["count"] for r in ranges)])
+    offsets = spark.createDataFrame([(int(r["range"]), int(n)) for r, n in zip(ranges, before)], "range long, before long")
+    number = (F.col("before") + F.col("place").bitwiseAND(F.lit((1 << 33) - 1))).cast("int").alias("number")
+    far = ranked.withColumn("range", F.shiftright("place", 33)).join(F.broadcast(offsets), "range").select("word", "c", number)
+    far.scratch_path = ranked.scratch_path
+    return far, np.cumsum([first, *(r["count"] for r in counts[:-1])]), np.array([r["c"] for r in counts], np.float64)
+
+
 def score_texts(docs: DataFrame, least: int = 2, depth: int = 4, alphabet: int = 1_000_000, a: float = 1.0, cost: float = 4.0, held_mod: int = 5, held: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Score all texts with a tree learnt from those whose crc32(doc_id as text) mod 5 isn't 1; one row for each row.
 
     Columns doc_id, held_out, n_tokens, n_known, train_tokens, base_score (unigram) and score. A null or empty text is its end alone. A
-    null id counts as the empty text in the crc; rows that repeat an id are separate documents. An empty table gives no rows.
+    null id counts as the empty text in the crc; rows that repeat an id are separate documents. An empty table gives no rows. `alphabet` bounds what is
+    broadcast and changes no result; more than 2 ** 31 - 1 words of `least` occurrences raise an error.
     """
     spark = docs.sparkSession
     rows = id_text(docs, id_col, text_col)
@@ -446,12 +506,16 @@ def score_texts(docs: DataFrame, least: int = 2, depth: int = 4, alphabet: int =
     listed = words.where((F.col("c") >= least) & (F.col("word") != END))
     steps = sorted((tuple(r) for r in listed.groupBy(F.floor(F.log2("c") * 8).alias("b")).agg(F.count("*"), F.min("c")).collect()), reverse=True)
     sizes = np.cumsum([0, *(n for _, n, _ in steps)])
+    if sizes[-1] >= 2**31 - 1:
+        raise ValueError(f"{sizes[-1]} words occur {least} times or more; numbers go to 2 ** 31 - 1")
     lowest = [c for (_, _, c), n in zip(steps, sizes[1:]) if n <= alphabet]  # a few hundred classes of counts, of which the highest fit
-    top = listed.where(F.col("c") >= lowest[-1] if lowest else F.lit(False)).toArrow()
+    near = F.col("c") >= lowest[-1] if lowest else F.lit(False)
+    top = listed.where(near).toArrow()
     top = top.take(np.argsort(-np.asarray(top["c"]), kind="stable"))
     names, count = pa.concat_arrays([pa.array([END]), *(c.cast(pa.string()) for c in top["word"].chunks)]), np.r_[float(ends), np.asarray(top["c"], np.float64)]
     del top
     unigram = np.log10((count + 0.5) / scale)
+    far, starts, counts = _far(listed.where(~near), len(names))
     common = spark.sparkContext.broadcast((names, count, unigram))
 
     def code(batches):
@@ -468,13 +532,16 @@ def score_texts(docs: DataFrame, least: int = 2, depth: int = 4, alphabet: int =
             unlisted = np.flatnonzero((number < 0) & real)
             owner = np.searchsorted(bounds, unlisted, side="right") - 1
             strings = flat.take(pa.array(unlisted)).dictionary_encode()
-            each, times = np.unique(owner << 32 | np.asarray(strings.indices).astype(np.int64), return_counts=True)  # a rare word counts once a document
+            at = np.asarray(strings.indices).astype(np.int64)
+            number[unlisted] = -2 - at  # until its number is known
+            each, times = np.unique(owner << 32 | at, return_counts=True)  # such a word counts once a document
             cuts = np.searchsorted(each >> 32, np.arange(part.num_rows + 1))
-            found = pa.StructArray.from_arrays([strings.dictionary.take(pa.array(each & 0xFFFFFFFF)), pa.array(times, pa.int64())], ["word", "tf"])
+            found = pa.StructArray.from_arrays([pa.array((each & 0xFFFFFFFF).astype(np.int32)), strings.dictionary.take(pa.array(each & 0xFFFFFFFF)), pa.array(times, pa.int64())], ["at", "word", "tf"])
             ids = [np.append(number[i:j][real[i:j]], np.int32(0)) for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
             doc = np.repeat(np.arange(len(ids)), [len(x) for x in ids])
             all_ids = np.concatenate([np.zeros(0, np.int32), *ids])
-            sums = [np.bincount(doc, x, part.num_rows) for x in (np.ones(len(doc)), (all_ids >= 0) & (count[all_ids] > 0), np.where(all_ids >= 0, unigram[all_ids], 0.0))]
+            there, safe = all_ids >= 0, np.maximum(all_ids, 0)
+            sums = [np.bincount(doc, x, part.num_rows) for x in (np.ones(len(doc)), there & (count[safe] > 0), np.where(there, unigram[safe], 0.0))]
             columns = [
                 pa.array(np.full(part.num_rows, chunk)), pa.array(np.arange(part.num_rows, dtype=np.int32)), part.column("doc_id"), part.column("held_out"), pa.array([x.astype("<i4").tobytes() for x in ids], pa.binary()),
                 pa.array(sums[0].astype(np.int64)), pa.array(sums[1].astype(np.int64)), pa.array(sums[2]), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), found),
@@ -482,23 +549,32 @@ def score_texts(docs: DataFrame, least: int = 2, depth: int = 4, alphabet: int =
             yield pa.RecordBatch.from_arrays(columns, ["chunk", "k", "doc_id", "held_out", "ids", "n", "known", "base", "rare"])
             chunk += 1
 
-    made = rows.withColumn("held_out", out).mapInArrow(tidy(code), "chunk long, k int, doc_id long, held_out boolean, ids binary, n long, known long, base double, rare array<struct<word:string,tf:long>>")
-    coded = written(made, "coded", "zstd")
+    made = rows.withColumn("held_out", out).mapInArrow(tidy(code), "chunk long, k int, doc_id long, held_out boolean, ids binary, n long, known long, base double, rare array<struct<at:int,word:string,tf:long>>")
+    coded = placed(made, "coded", "chunk", tasks(rows))
     places = coded.select("chunk", "k", "held_out", "ids")
+
+    each = coded.select("chunk", "k", F.explode("rare").alias("_r")).select("chunk", "k", "_r.*")
+    others = words.where((F.col("c") < least) & (F.col("word") != END)).select("word", "c", F.lit(-1).alias("number")).unionByName(far)
+    joined = each.join(others, "word", "left").select("chunk", "k", "at", "tf", F.coalesce("number", F.lit(-1)).alias("number"), F.coalesce("c", F.lit(0)).alias("c"))
+    numbered = written(joined.groupBy("chunk").applyInArrow(_numbered(float(scale)), NUMBERED_SCHEMA), "numbered")
+    forget(words)
+    if len(starts):
+        forget(far)
+
     split = _split(places, int(total) * held_mod // max(1, held_mod - 1), depth)
-    tree = spark.sparkContext.broadcast(Tree(unigram, split, depth, least, a, cost))
-    dealt = places.mapInArrow(tidy(_places(split, depth)), BLOCK_SCHEMA)
+    terms = Terms(unigram, starts, np.log10((counts + 0.5) / scale), max(len(names), int(sizes[-1]) + 1))
+    tree = spark.sparkContext.broadcast(Tree(terms, split, depth, least, a, cost))
+    numbers = numbered.select("chunk", "numbers")
+    dealt = places.groupBy("chunk").cogroup(numbers.groupBy("chunk")).applyInArrow(_places(split, depth), BLOCK_SCHEMA)
     if len(split.keys):
-        dealt = dealt.unionByName(_successors(places, split, depth, least))
+        dealt = dealt.unionByName(_successors(places, numbers, split, depth, least))
     dealt = dealt.repartition(split.buckets, "bucket").sortWithinPartitions("bucket", F.desc("node"))
     gains = dealt.mapInArrow(tidy(_scored(tree)), "chunk long, block binary").groupBy("chunk").applyInArrow(_summed, "chunk long, k int, score double")
 
     none = {c: F.lit(0).cast("long").alias(c) for c in ("n", "known")}
+    nobody = [F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("boolean").alias("held_out")]
     frequent = coded.select("chunk", "k", "doc_id", "held_out", "n", "known", "base", F.col("base").alias("score"))
-    gained = gains.select("chunk", "k", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("boolean").alias("held_out"), *none.values(), F.lit(0.0).alias("base"), "score")
-    each = coded.select("chunk", "k", F.explode("rare").alias("_r")).select("chunk", "k", "_r.word", "_r.tf")
-    unit = F.log10((F.coalesce("c", F.lit(0)) + 0.5) / F.lit(float(scale))) * F.col("tf")
-    known = F.when(F.col("c") > 0, F.col("tf")).otherwise(0).cast("long").alias("known")
-    rare = each.join(words.where(F.col("word") != END), "word", "left").select("chunk", "k", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("boolean").alias("held_out"), none["n"], known, unit.alias("base"), unit.alias("score"))
+    gained = gains.select("chunk", "k", *nobody, *none.values(), F.lit(0.0).alias("base"), "score")
+    rare = numbered.select("chunk", F.explode(F.arrays_zip("rows", "known", "base")).alias("_r")).select("chunk", F.col("_r.rows").alias("k"), *nobody, none["n"], "_r.known", "_r.base", F.col("_r.base").alias("score"))
     summed = frequent.unionByName(rare).unionByName(gained).groupBy("chunk", "k").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), *[F.sum(c).alias(c) for c in ("n", "known", "base", "score")])
     return summed.select("doc_id", "held_out", F.col("n").alias("n_tokens"), F.col("known").alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")

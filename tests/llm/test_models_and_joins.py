@@ -88,9 +88,9 @@ def plain_tree(train, a, cost, least, depth):
     return (lambda before, w: chance(before, w, depth)), [len(x) for x in kept]
 
 
-@pytest.mark.parametrize("bucket,depth", [(1_500_000, 4), (20, 4), (60, 2), (200, 1)])
-def test_lm_tree_equals_definition(spark, monkeypatch, bucket, depth):
-    """Also where most contexts are split over many buckets, those of the greatest depth too."""
+@pytest.mark.parametrize("bucket,depth,alphabet", [(1_500_000, 4, 1_000_000), (20, 4, 1_000_000), (60, 2, 1_000_000), (200, 1, 1_000_000), (1_500_000, 4, 0), (1_500_000, 4, 12), (20, 4, 12), (60, 2, 31)])
+def test_lm_tree_equals_definition(spark, monkeypatch, bucket, depth, alphabet):
+    """Also where most contexts are split over many buckets, those of the greatest depth too, and where few or no words are broadcast."""
     rng = random.Random(3)
     words = [f"w{i}" for i in range(30)]
     passage = [rng.choice(words) for _ in range(40)]
@@ -106,8 +106,10 @@ def test_lm_tree_equals_definition(spark, monkeypatch, bucket, depth):
     splits = []
     real = lm._split
     monkeypatch.setattr(lm, "_split", lambda *x: splits.append(real(*x)) or splits[-1])
-    found = {r["doc_id"]: r["score"] for r in rows(lm.score_texts(spark.createDataFrame(texts, "doc_id long, text string"), depth=depth, cost=2.0))}
-    assert (len(splits[0].keys) > 5) == (bucket < 1000) and max(map(len, splits[0].chains), default=0) == depth * (bucket < 1000)
+    found = {r["doc_id"]: r["score"] for r in rows(lm.score_texts(spark.createDataFrame(texts, "doc_id long, text string").repartition(3), depth=depth, alphabet=alphabet, cost=2.0))}
+    if alphabet > 100:  # contexts that are split hold broadcast words only
+        assert (len(splits[0].keys) > 5) == (bucket < 1000) and max(map(len, splits[0].chains), default=0) == depth * (bucket < 1000)
+    assert (len(splits[0].keys) > 0) == (bucket < 1000)
     split = {i: t.split() + ["\n"] for i, t in texts}
     p, levels = plain_tree([d for i, d in split.items() if zlib.crc32(str(i).encode()) % 5 != 1], 1.0, 2.0, 2, depth)
     assert all(levels)
@@ -115,12 +117,12 @@ def test_lm_tree_equals_definition(spark, monkeypatch, bucket, depth):
         assert found[i] == pytest.approx(sum(math.log10(p(d[:k], w)) for k, w in enumerate(d)), rel=1e-9), i
 
 
-def test_lm_words_beyond_the_alphabet(spark):
-    """Base scores don't depend on how many words have numbers."""
-    texts = [(i, " ".join(f"w{i * k % 37}" for k in range(20))) for i in range(60)]
+def test_lm_words_beyond_the_broadcast(spark):
+    """Nothing depends on how many words are broadcast."""
+    texts = [(i, " ".join(f"w{i * k % 37}" for k in range(20))) for i in range(60)] + [(None, None), (7, ""), (61, "once upon"), (61, "once upon")]
     df = spark.createDataFrame(texts, "doc_id long, text string")
-    one, other = (sorted((r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 9)) for r in rows(lm.score_texts(df, alphabet=n))) for n in (5, 1000))
-    assert one == other
+    one, other = (sorted((str(r["doc_id"]), r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 9), round(r["score"], 9)) for r in rows(lm.score_texts(df, alphabet=n))) for n in (5, 1000))
+    assert one == other and len(one) == 64
 
 
 def test_lm_learns_phrases_at_any_size(spark):
