@@ -3,7 +3,7 @@
 Vectors with a cosine of at least t lie, as unit vectors, within eps = sqrt(2 - 2 t) of each other, and so do their projections on any
 orthonormal directions with the length of the remainder as a last coordinate. Directions are the leading principal ones of a bounded sample;
 they only order the vectors, so the sample changes speed and never results. Distinct vectors are sorted by the grid cells of side eps of these
-projections and cut into blocks, within a label and dimension. Blocks whose boxes are farther apart than eps are never paired. A pair of blocks
+projections and cut into blocks, within a label and dimension. Blocks whose boxes are farther apart than eps are never paired: blocks meet by the cells of the first direction, in labels of many blocks by those of the second as well. A pair of blocks
 is joined by halving the longer interval of the order again and again, skipping what is provably distant, down to small intervals compared by
 matrix products. A pair of blocks gives each vector's number of links and a spanning forest, never the links. Exact copies (known by 128 bits
 of hashes) are one vector with a weight. Neighbouring blocks make tiles of TILE_BYTES, and a task compares two tiles: a block is sent once to
@@ -22,6 +22,8 @@ from .components import components
 from .simhash import forest
 
 BLOCK, LEAF, TILE_BYTES = 2048, 96, 16_000_000
+#: Blocks of a label beyond which they meet by cells of the second direction too, and the least width of those.
+MANY, SECOND = 64, 0.125
 
 
 def directions(sample: np.ndarray, dims: int) -> np.ndarray:
@@ -214,12 +216,18 @@ def near_vectors(vectors: DataFrame, least: float = 0.98, dims: int = 8, sample:
     forget(located)
 
     boxes = blocks.select("block", "tile", "label", "size", "low", "high")
-    near = lambda up: F.explode(F.sequence(F.floor(F.col("low")[0] / eps).cast("int"), (F.floor(F.col("high")[0] / eps) + up).cast("int")))
-    one = boxes.select(F.col("block").alias("a"), F.col("tile").alias("first"), "label", "size", F.col("low").alias("low_a"), F.col("high").alias("high_a"), near(1).alias("cell"))
-    two = boxes.select(F.col("block").alias("b"), F.col("tile").alias("second"), "label", "size", F.col("low").alias("low_b"), F.col("high").alias("high_b"), near(1).alias("cell"))
+    second = F.when(F.col("many") > MANY, max(eps, SECOND)).otherwise(4.0).alias("second")  # projections lie in [-1, 1]
+    boxes = boxes.join(boxes.groupBy("label", "size").agg(F.count("*").alias("many")).select("label", "size", second), ["label", "size"])
+    start = lambda x, k: F.floor(x[k] / (F.col("second") if k else eps)).cast("int")
+    cells_of = lambda k: F.explode(F.sequence(start(F.col("low"), k), start(F.col("high"), k) + 1))
+    grid = ["label", "size", "cell", "second_cell"]
+    dealt = boxes.withColumn("cell", cells_of(0)).withColumn("second_cell", cells_of(1))
+    one = dealt.select(F.col("block").alias("a"), F.col("tile").alias("first"), *grid, F.col("low").alias("low_a"), F.col("high").alias("high_a"), "second")
+    two = dealt.select(F.col("block").alias("b"), F.col("tile").alias("second_tile"), *grid, F.col("low").alias("low_b"), F.col("high").alias("high_b"))
+    met = [F.col(c) == F.greatest(start(F.col("low_a"), k), start(F.col("low_b"), k)) for k, c in enumerate(grid[2:])]  # the first cell that both have: a pair meets once
     gaps = F.zip_with(F.zip_with("low_a", "high_b", lambda x, y: x - y), F.zip_with("low_b", "high_a", lambda x, y: x - y), lambda x, y: F.greatest(x, y, F.lit(0.0)))
     close = F.aggregate(gaps, F.lit(0.0), lambda s, g: s + g * g) <= eps * eps
-    pairs = one.join(two, ["label", "size", "cell"]).where((F.col("a") <= F.col("b")) & close)
+    pairs = one.join(two, grid).where((F.col("a") <= F.col("b")) & met[0] & met[1] & close).select("a", "b", "first", F.col("second_tile").alias("second"))
     block = F.explode(F.array("a", "b")).alias("block")
     wanted = written(pairs.select("first", "second", block).distinct(), "wanted")  # tiles ascend with blocks, so first <= second
     work = wanted.join(blocks, "block").repartition(tasks(blocks, TILE_BYTES), "first", "second").sortWithinPartitions("first", "second", "block")

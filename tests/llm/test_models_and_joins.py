@@ -289,9 +289,11 @@ def test_hot_label_is_sent_few_times(spark, monkeypatch):
     assert sent[0] <= blocks * (blocks / 8 + 6)
 
 
-@pytest.mark.parametrize("block", [8, 2048])
-def test_vectors(spark, monkeypatch, block):
+@pytest.mark.parametrize("block,many", [(8, 64), (8, 0), (2048, 64)])
+def test_vectors(spark, monkeypatch, block, many):
+    """Also where the blocks of every label meet by cells of two directions."""
     monkeypatch.setattr(embed_dedup, "BLOCK", block)
+    monkeypatch.setattr(embed_dedup, "MANY", many)
     monkeypatch.setattr(embed_dedup, "TILE_BYTES", block * 6 * 8 * 3)
     monkeypatch.setattr(embed_dedup, "LEAF", 4)
     rng = np.random.default_rng(7)
