@@ -266,8 +266,8 @@ def _free(covered: tuple[list[int], list[int]], span: tuple[int, int, int]) -> b
     return k < 0 or covered[1][k] <= span[1]
 
 
-def find_spans(texts: list[str], model: PiiModel) -> list[list[tuple[int, int, int]]]:
-    """Base spans, and the spans of the model that touch none of them, of each text by kind, then start."""
+def both_spans(texts: list[str], model: PiiModel) -> list[tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]]:
+    """Base spans, and the spans of the model that touch none of them, of each text."""
     found = [base_spans(t) for t in texts]
     covered = [_merged(f) for f in found]
     added: list[list[tuple[int, int, int]]] = [[] for _ in texts]
@@ -289,23 +289,29 @@ def find_spans(texts: list[str], model: PiiModel) -> list[list[tuple[int, int, i
                 if span and _free(covered[i], span) and not any(s < span[2] and span[1] < e for _, s, e in added[i][-4 * model.MARGIN :]):
                     added[i].append(span)  # spans come in order of the text, but for the few tokens that pieces share
             k = j
-    return [sorted(f + a) for f, a in zip(found, added)]
+    return list(zip(found, added))
+
+
+def find_spans(texts: list[str], model: PiiModel) -> list[list[tuple[int, int, int]]]:
+    """Base spans, and the spans of the model that touch none of them, of each text by kind, then start."""
+    return [sorted(f + a) for f, a in both_spans(texts, model)]
 
 
 def find_pii(docs: DataFrame, model: PiiModel | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and spans (array of kind, start, end in code points, by kind, then start) of every row.
+    """doc_id and spans (array of kind, start, end in code points, and base, by kind, then start) of every row.
 
-    A null or empty text has none. Repeated rows and null ids are rows like others; an empty table gives no rows.
+    base is true for spans of the fixed patterns and false for those that the model adds, which have the same kinds. A null or empty text has none. Repeated rows and null ids are rows like others; an empty table gives no rows.
     """
     model = model or PiiModel()
-    kind = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
+    kind = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_())])
 
     def run(batches):
         for given, texts in steps(batches):
-            spans = [[{"kind": KINDS[k], "start": s, "end": e} for k, s, e in found] for found in find_spans(texts, model)]
+            marked = [sorted([(*x, True) for x in base] + [(*x, False) for x in added]) for base, added in both_spans(texts, model)]
+            spans = [[{"kind": KINDS[k], "start": s, "end": e, "base": b} for k, s, e, b in found] for found in marked]
             yield pa.RecordBatch.from_arrays([given.column("doc_id"), pa.array(spans, pa.list_(kind))], ["doc_id", "spans"])
 
-    return id_text(docs, id_col, text_col).mapInArrow(tidy(run), "doc_id long, spans array<struct<kind:string,start:long,end:long>>")
+    return id_text(docs, id_col, text_col).mapInArrow(tidy(run), "doc_id long, spans array<struct<kind:string,start:long,end:long,base:boolean>>")
 
 
 def redact(docs: DataFrame, model: PiiModel | None = None, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,7 +23,7 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import KINDS, find_pii
 
-    return _digest(find_pii(table(spark, sf_dir, "documents")), KINDS)
+    return _digest(find_pii(table(spark, sf_dir, "documents")), KINDS, lambda x: x.getField("base"))
 
 
 def op5_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,10 +57,10 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x.getField("kind"), x.getField("start"), x.getField("end"))), ",")
 
 
-def _digest(found: DataFrame, kinds: Sequence[str]) -> DataFrame:
-    """Counts of the base kinds, the SHA-256 of their spans, and all spans."""
-    base = F.filter("spans", lambda x: x.getField("kind").isin(list(kinds)))
-    of_kind = lambda k: F.filter("spans", lambda x: x.getField("kind") == k)
+def _digest(found: DataFrame, kinds: Sequence[str], is_base: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Counts of the base spans by kind, their SHA-256, and all spans. Base are those of the kinds, unless `is_base` says which."""
+    base = F.filter("spans", is_base or (lambda x: x.getField("kind").isin(list(kinds))))
+    of_kind = lambda k: F.filter(base, lambda x: x.getField("kind") == k)
     counts = [F.size(of_kind(k)).cast("long").alias(f"n_{k}") for k in kinds]
     return found.select("doc_id", *counts, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
 

@@ -161,3 +161,24 @@ def test_bins_equal_a_plain_best_fit(seed):
     assert sum(map(len, used.values())) == len(lengths)
     assert all([a for a, _ in sorted(x)] == [0, *np.cumsum([n for _, n in sorted(x)])[:-1].tolist()] for x in used.values())
     assert sorted(size - sum(n for _, n in x) for x in used.values()) == best_fit(lengths, size, most)
+
+
+def test_base_columns_hold_base_spans_only(spark, tmp_path):
+    """What the model adds has kinds of the base, but neither its counts nor its digest."""
+    import hashlib
+
+    from tallymart.llm import queries
+
+    texts = [(1, "Ruf an: 0171/2345678 (abends), Zentrale (212) 664-7665"), (2, "mail z.z@ex.org or call 555.867.5309 soon"), (3, "+1 (555) 555-1234 or 10.0.0.1"), (4, None), (5, "paid with 4111 1111 1111 1111, call 1-800-555-0199")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = {r["doc_id"]: r for r in queries.op3_pii(spark, str(tmp_path)).collect()}
+    added = 0
+    for i, text in texts:
+        base = [(pii.KINDS[k], s, e) for k, s, e in pii.base_spans(text or "")]
+        r = found[i]
+        assert [r[f"n_{k}"] for k in pii.KINDS] == [sum(b[0] == k for b in base) for k in pii.KINDS]
+        joined = [f"{k}:{s}:{e}" for k, s, e in base]
+        assert r["base_sha256"] == hashlib.sha256(",".join(joined).encode()).hexdigest()
+        assert set(joined) <= set(filter(None, r["spans"].split(",")))
+        added += len(list(filter(None, r["spans"].split(",")))) - len(joined)
+    assert added >= 3  # or the test shows nothing
