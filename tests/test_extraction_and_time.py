@@ -85,3 +85,12 @@ def test_sitemap_pages(spark, tmp_path):
     counts = sorted(files.read_sitemap(spark, m).count() for m in maps)
     assert counts == [7, 10, 10, 10, 10]
     assert {r["loc"] for r in files.read_sitemaps(spark, f"{tmp_path}/index").collect()} == {f"https://e/{k}" for k in range(1, 48)}
+
+
+def test_references_that_were_cut_short_are_text():
+    page = Page('<h1 title="a &amp; b">a &amp; b&amp</h1><p>x &lt y &copy z && &#38; &#38</p><!-- &amp --><script>if (a && b) f("&amp");</script><p>end</p>')
+    assert found(page, "h1", "text") == "a & b&amp"
+    assert found(page, "h1", "title") == "a & b"
+    assert found(page, "p:nth-of-type(1)", "text") == "x &lt y &copy z && & &#38"
+    assert found(page, "script", "text") == 'if (a && b) f("&amp");'
+    assert found(page, "p:nth-of-type(2)", "text") == "end"
