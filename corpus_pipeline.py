@@ -32,9 +32,9 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays, the one with the smallest doc_id; documents without one all stay.
 
-    Documents are linked whose sets of five-word shingles have a Jaccard similarity of 0.8 or more. Candidates share a band of MinHashes, and each link is decided
-    on the whole sets: a radius of fingerprints that missed no such pair would take in unlike texts, and the smaller ones lose links, so here the
-    operator takes its `least` instead of its radius.
+    Documents are linked whose sets of five-word shingles have a Jaccard similarity of 0.8 or more. Candidates are texts whose fingerprints differ in at most
+    four bits, found by the bit-sliced comparison, then those that share a band of MinHashes and aren't connected by then, because pairs of that similarity may differ in ten bits and
+    more; each link is decided on the whole sets.
     """
     return keep_first(docs)
 

@@ -145,17 +145,22 @@ def steps(batches: Iterator, text: str = "text") -> Iterator[tuple[object, list[
         yield part, part.column(text).to_pylist()
 
 
+def give_back() -> None:
+    """Memory that this Python process no longer uses goes back to the machine."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library than glibc has no such call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def tidy(run):
     """The Arrow function, after whose end a worker gives memory that it no longer uses back to the machine."""
 
     def wrapped(batches):
-        import ctypes
-
-        import pyarrow as pa
-
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):  # another C library than glibc has no such call
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        give_back()
 
     return wrapped

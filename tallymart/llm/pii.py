@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, steps, tidy
+from .common import give_back, id_text, steps, tidy
 from .crf import Crf, padded
 
 KINDS = ("email", "ip", "card", "phone")
@@ -197,6 +197,7 @@ class PiiModel:
         gain = moves.max() - min(moves[OUT, OUT], moves[OUT].min(), moves[:, OUT].min())
         if not (lone[OUT] - np.delete(lone, OUT).max() > 0 and 2 * (lone[OUT] - np.delete(lone, OUT).max()) > gain):
             raise ValueError("the labelled table doesn't make plain tokens outside")
+        give_back()
 
     def row(self, fs: list[str]) -> list[int]:
         return [self.number.get(f, 0) for f in fs]

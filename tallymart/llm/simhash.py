@@ -8,8 +8,9 @@ the block exceeds the radius are abandoned. A bucket beyond TILE members is cut
 its own, so no task meets a whole hot bucket and no pair is lost. A tile gives a spanning forest of its links, not the links.
 
 Near copies of some hundred words differ in ten bits or more, at which unrelated texts may meet too. Where a similarity is asked for
-(`least`), candidates therefore come from bands of MinHashes, and the Jaccard similarity of all distinct shingles decides. At 0.8 a
+(`least`), further candidates therefore come from bands of MinHashes, and the Jaccard similarity of all distinct shingles decides. At 0.8 a
 pair shares none of BANDS bands of DEPTH with probability (1 - 0.8 ** 4) ** 18 = 7.6e-5, less above.
+There too the fingerprints are compared first: what they link within the radius is decided exactly, and the buckets of bands only add links between what this left apart.
 Of each bucket first the pairs with its least node are decided. Then the sets of shingles of buckets that verified links haven't connected
 are dealt to tiles, each of which counts what its sets share, whole, and gives a spanning forest of the links between them: no
 pair of a bucket is left out, and no more links than nodes leave a tile. Only verified links connect.
@@ -386,19 +387,34 @@ def _decided(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return pairs.join(ends[0], "a").join(ends[1], "b").where(both / (F.size("x") + F.size("y") - both) >= F.lit(least)).select("a", "b")
 
 
-def alike(rows: DataFrame, nodes: DataFrame, shingle: int, least: float) -> DataFrame:
-    """Edges (a, b) that connect all nodes of a similarity of at least `least` that share a band, each such a pair itself.
+def _close(nodes: DataFrame, radius: int) -> DataFrame:
+    """Pairs (a, b) of nodes whose fingerprints are equal or within the radius: one node of each fingerprint stands for it."""
+    firsts = written(nodes.groupBy("fp").agg(F.min("node").alias("first")), "firsts")
+    equal = nodes.join(firsts, "fp").where("node != first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    ends = [firsts.select(F.col("fp").alias(end), F.col("first").alias(name)) for end, name in (("a", "x"), ("b", "y"))]
+    near = links(firsts.select("fp"), radius).where("a != b").join(ends[0], "a").join(ends[1], "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return written(equal.unionByName(near), "close")
 
-    rows has row and text; nodes has node, row, keys and sig, one row for each set of shingles.
+
+def alike(rows: DataFrame, nodes: DataFrame, shingle: int, least: float, radius: int = 4) -> DataFrame:
+    """Edges (a, b) that connect all nodes of a similarity of at least `least` whose fingerprints the radius links or that share a band, each such a pair itself.
+
+    rows has row and text; nodes has node, row, fp, keys and sig, one row for each set of shingles.
     """
+    close = _close(nodes, radius)
     keyed = nodes.select("node", F.explode("keys").alias("key"))
     buckets = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("first")).where("n > 1")
     shared = written(keyed.join(buckets, "key"), "buckets")
     stars = written(shared.where("node != first").groupBy(F.col("first").alias("a"), F.col("node").alias("b")).agg(F.min("n").alias("n")), "stars")
-    taking_part = nodes.select("node", "row").join(shared.select("node").distinct(), "node")
+    asked = shared.select("node").unionByName(close.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
+    taking_part = nodes.select("node", "row").join(asked, "node")
     sets = written(taking_part.join(rows.select("row", "text"), "row").select("node", "text").mapInArrow(tidy(_sets(shingle)), "node long, shingles array<long>"), "shingles")
-    near = stars.where("n = 2").select("a", "b").unionByName(_loosely(stars.where("n > 2").select("a", "b"), nodes, least))  # a bucket of two is decided here and never again
-    first = written(_decided(near, sets, least), "links")
+    by_print = written(_decided(close, sets, least), "links")
+    tied = components(by_print)
+    ends = [tied.select(F.col("node").alias(end), F.col("root").alias(name)) for end, name in (("a", "x"), ("b", "y"))]
+    apart = stars.join(ends[0], "a", "left").join(ends[1], "b", "left").where(F.coalesce("x", "a") != F.coalesce("y", "b")).select("a", "b", "n")
+    near = apart.where("n = 2").select("a", "b").unionByName(_loosely(apart.where("n > 2").select("a", "b"), nodes, least))  # a bucket of two is decided here and never again
+    first = by_print.unionByName(written(_decided(near, sets, least), "links"))
     rooted = written(shared.join(components(first), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "rooted")
     h = F.xxhash64("node", F.lit(5))
     open_ = rooted.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"), F.bit_xor(h).alias("x"), F.sum(h % 1_000_000_007).alias("y"))
@@ -415,7 +431,7 @@ def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, id_col:
 
     Rows with the same id or text each have a row; a null id has a component_id too, null only where no id is reachable.
     Texts without words have fingerprint 0 and link like any other. An empty table gives no rows.
-    least: instead of a radius, two texts are linked whose distinct shingles have at least that Jaccard similarity.
+    least: two texts are linked whose distinct shingles have at least that Jaccard similarity; what fingerprints link within the radius is decided first.
     """
     rows = id_text(docs, id_col, text_col)
     if least is not None:
@@ -431,17 +447,17 @@ def _placed(rows: DataFrame, radius: int, shingle: int, least: float | None) ->
         found = settled(rows.sparkSession, lambda: components(links(nodes.select(F.col("node").alias("fp")), radius)))
     else:
         prints = written(rows.select("row", "doc_id", "text").mapInArrow(tidy(_prints(shingle)), "row long, doc_id long, fp long, node long, keys array<long>, sig binary"), "fingerprints")
-        one = F.min(F.struct("row", "keys", "sig"))
+        one = F.min(F.struct("row", "fp", "keys", "sig"))
         nodes = written(prints.groupBy("node").agg(F.min("doc_id").alias("least"), one.alias("one")).select("node", "least", "one.*"), "nodes")
         prints = prints.drop("keys", "sig")
-        found = settled(rows.sparkSession, lambda: components(alike(rows, nodes, shingle, least)))
+        found = settled(rows.sparkSession, lambda: components(alike(rows, nodes, shingle, least, radius)))
     named = nodes.join(found, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least")
     smallest = written(named.groupBy("root").agg(F.min("least").alias("component_id")), "least")  # a table, so that a component of many fingerprints can be split in the join
     of = named.select("node", "root").join(smallest, "root")
     return prints.join(of, "node")
 
 
-def keep_first(docs: DataFrame, radius: int = 10, shingle: int = 5, least: float | None = 0.8) -> DataFrame:
+def keep_first(docs: DataFrame, radius: int = 4, shingle: int = 5, least: float | None = 0.8) -> DataFrame:
     """The rows of documents of which each component keeps one, that with the smallest doc_id; columns stay as they are.
 
     Rows stay and go by themselves, whatever other rows have their doc_id: of a component's rows with the smallest, the first in order of

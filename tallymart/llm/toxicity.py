@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, id_text, parts, tidy
+from .common import crc_mod, give_back, id_text, parts, tidy
 from .crf import Crf, padded
 
 FORGET, STEP, CACHE, SHRINK = 1e-4, 4_000_000, 600_000, 1e-2
@@ -247,7 +247,9 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 7_000, longest: int =
     y = y.where(crc_mod(F.col("doc_id"), held_mod) != held).where("y in (0, 1)").groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("z")).where("y = z")
     ids = F.broadcast(y.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select("doc_id", "y"))
     rows = id_text(docs).join(ids, "doc_id").where(F.length("text") <= longest).groupBy("doc_id", "y").agg(F.min("text").alias("text"))
-    return ToxicityModel([(r["text"], r["y"]) for r in rows.toLocalIterator()])
+    model = ToxicityModel([(r["text"], r["y"]) for r in rows.toLocalIterator()])
+    give_back()  # of the driver, which trained it
+    return model
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -529,3 +529,18 @@ def test_repeated_ids_with_other_texts(spark):
     for least in (0.8, None):
         kept = simhash.keep_first(spark.createDataFrame(docs, "doc_id long, text string"), 3, 5, least)
         assert sorted((r["doc_id"], r["text"]) for r in rows(kept)) == [(3, one), (7, other), (9, "a b c")]
+
+
+def test_keep_first_compares_fingerprints(spark, monkeypatch):
+    """Near copies that share no band are met by their fingerprints; what is within the radius but unlike is not linked."""
+    rng, texts = np.random.default_rng(51), []
+    while len(texts) < 24:
+        a = [f"w{x}" for x in rng.integers(0, 1 << 40, 300)]
+        b = edited(rng, a, 1)
+        if bin(simhash.fingerprint(" ".join(a), 5) ^ simhash.fingerprint(" ".join(b), 5)).count("1") <= 4:
+            texts += [a, b]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    one = simhash._bands
+    monkeypatch.setattr(simhash, "_bands", lambda least: one(least) + np.arange(len(least), dtype=np.uint64)[:, None] * simhash.SEEDS[1][0])  # no two rows of a batch share a band
+    assert sorted(r["doc_id"] for r in rows(simhash.keep_first(docs.coalesce(1)))) == list(range(0, 24, 2))
+    assert simhash.keep_first(docs.coalesce(1), least=1.1).count() == 24
