@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import likeness
+from .staged import Staging
 
 #: The least score for which the index is used, that for which its pieces are longer, names of a side of a tile.
 PREFIX, FINER, TILE = 80, 90, 1024
@@ -212,6 +213,23 @@ def _similar_in_tiles(a: DataFrame, b: DataFrame, by: Sequence[str], least: int)
     return _tiles(a, b.withColumn("id", F.lit(None).cast("long")), by).mapInArrow(_in_tiles(compare, by, fields), _ddl(a, by) + "x string, y string, score long")
 
 
+def pairs_of_rows(rows: DataFrame, pairs: DataFrame, by: Sequence[str], key: str, other: str, block: int = 1024, per_task: int = 4_000_000) -> DataFrame:
+    """(key, other, score) of rows (by, name, key) whose names are a pair (by, x, y, score), key below other: each pair of names once a block of each side's keys.
+
+    Keys of one name stand in blocks, so what is moved grows with the rows and the pairs of names, and tasks are dealt by the pairs that come out of them.
+    """
+    by = list(by)
+    sizes = rows.groupBy(*by, "name").agg(F.ceil(F.count("*") / block).cast("int").alias("_n"))
+    keyed = rows.select(*by, "name", key).join(sizes, [*by, "name"]).withColumn("_block", F.pmod(F.xxhash64(key, F.lit(3)), F.col("_n")))
+    blocks = Staging(rows.sparkSession, "blocks").put(keyed.groupBy(*by, "name", "_block").agg(F.collect_list(key).alias("keys")))
+    one, two = blocks.select(*by, F.col("name").alias("x"), F.col("keys").alias("_a")), blocks.select(*by, F.col("name").alias("y"), F.col("keys").alias("_b"))
+    met = Staging(rows.sparkSession, "met").put(one.join(pairs, [*by, "x"]).join(two, [*by, "y"]).where(F.array_min("_a") < F.array_max("_b")).select("_a", "_b", "score"))
+    found = met.agg(F.sum(F.size("_a").cast("long") * F.size("_b"))).first()[0] or 0
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-found // per_task))
+    each = met.repartition(parts).select(F.explode("_a").alias(key), "_b", "score").select(key, F.explode(F.filter("_b", lambda b: b > F.col(key))).alias(other), "score")
+    return each.select(key, other, "score")
+
+
 def best_names(left: DataFrame, right: DataFrame, by: Sequence[str], least: int, id_col: str = "id") -> DataFrame:
     """(by, x, id, score) of the most similar row of right (by, name, id) for each distinct name x of left in its group: the highest score, then the least id.
 

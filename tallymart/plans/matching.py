@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import similarity, token_sorted
 from ..operators.mining import mine_rules
 from ..operators.rules import apply_rules, changed, rule_upsert as upsert_rules
-from ..operators.similar import best_names, similar_names
+from ..operators.similar import best_names, pairs_of_rows, similar_names
 from ..operators.staged import Staging
 from ..operators.tables import overlapping
 from ..registry import query
@@ -277,5 +277,4 @@ def m05_similar_pairs(v: Views) -> DataFrame:
     by = ["brand", "units"]
     rows = v.article.select("article_id", *by, token_sorted(F.col("name")).alias("name"))
     alike = similar_names(rows, rows, by, 90)
-    one, two = rows.withColumnRenamed("name", "x"), rows.select(*by, F.col("article_id").alias("other_id"), F.col("name").alias("y"))
-    return one.join(alike, [*by, "x"]).join(two, [*by, "y"]).where("article_id < other_id").select("article_id", "other_id", "score")
+    return pairs_of_rows(rows, alike, by, "article_id", "other_id")
