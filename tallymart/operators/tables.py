@@ -32,11 +32,11 @@ def without(df: DataFrame, **unwanted) -> DataFrame:
 
 
 def small(df: DataFrame, most: int = 400_000) -> DataFrame:
-    """df, computed once into a table, with the hint to broadcast it if it has at most that many rows; for rows of a few numbers and short names."""
+    """df, computed once into a table, with the hint to broadcast it if it has at most that many rows, else with that to shuffle both sides; for rows of a few numbers and short names."""
     from .staged import Staging
 
     table = Staging(df.sparkSession, "small").put(df)
-    return F.broadcast(table) if table.count() <= most else table
+    return F.broadcast(table) if table.count() <= most else table.hint("merge")
 
 
 def balanced(df: DataFrame, label: str, key: str) -> DataFrame:

@@ -27,3 +27,13 @@ def test_pairs_of_rows_in_blocks(spark):
     expected = [(i, j, 1 if m == n else 2) for (g, m, i), (h, n, j) in itertools.product(rows, rows) if g == h == "g" and i < j]
     assert sorted(map(tuple, found.collect())) == sorted(expected)
     assert found.rdd.getNumPartitions() >= len(expected) // 5
+
+
+def test_names_are_broadcast_and_not_the_texts(copies, monkeypatch):
+    from tallymart.operators import tables
+
+    expected = sorted(map(tuple, normalise.token_subsets(copies).collect()))
+    monkeypatch.setattr(normalise, "small", lambda df: tables.small(df, 0))
+    large = normalise.token_subsets(copies)
+    assert "BroadcastHashJoin" not in large._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, large.collect())) == expected
