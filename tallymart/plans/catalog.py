@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators.tables import facets, narrowed, page, without
+from ..operators.tables import facets, narrowed, page, small, without
 from ..registry import query
 from ..sources.views import Views
 
@@ -160,13 +160,23 @@ def p09_optional_filters(v: Views) -> DataFrame:
     return narrowed(v.article, brand="Brand#9", degrees=None, package=None, colour=[], size=["m", "l"], units=2).select("article_id")
 
 
+#: Articles of a brand and pack count that one task holds against all others of these.
+PART = 2_000
+
+
 @query("SELECT a.article_id, b.article_id AS other_id FROM article a JOIN article b ON a.brand = b.brand AND a.units = b.units AND a.article_id <> b.article_id AND (a.degrees = 0 OR a.degrees = b.degrees) AND (a.size = 'xs' OR a.size = b.size) WHERE a.package = 'PROMO' AND b.package = 'PROMO'")
 def p10_wildcard_predicate(v: Views) -> DataFrame:
     """A row's own blank value asks nothing of its partner."""
     a = v.article.where("package = 'PROMO'")
     b = a.select(F.col("article_id").alias("other_id"), F.col("brand").alias("b"), F.col("units").alias("u"), F.col("degrees").alias("d"), F.col("size").alias("s"))
     fits = (F.col("article_id") != F.col("other_id")) & ((F.col("degrees") == 0) | (F.col("degrees") == F.col("d"))) & ((F.col("size") == "xs") | (F.col("size") == F.col("s")))
-    return a.join(b, (F.col("brand") == F.col("b")) & (F.col("units") == F.col("u")) & fits).select("article_id", "other_id")
+    n = F.ceil(F.count("*") / PART).cast("int").alias("parts")
+    sizes = small(a.groupBy(F.col("brand").alias("g"), F.col("units").alias("k")).agg(n))
+    parts = max(int(v.spark.conf.get("spark.sql.shuffle.partitions")), sizes.agg(F.sum("parts")).first()[0] or 0)
+    own = a.join(sizes, (F.col("brand") == F.col("g")) & (F.col("units") == F.col("k"))).withColumn("part", F.pmod(F.xxhash64("article_id"), F.col("parts")).cast("int")).drop("g", "k", "parts")
+    every = b.join(sizes, (F.col("b") == F.col("g")) & (F.col("u") == F.col("k"))).withColumn("p", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("g", "k", "parts")
+    one, two = own.repartition(parts, "brand", "units", "part"), every.repartition(parts, "b", "u", "p").hint("merge")
+    return one.join(two, (F.col("brand") == F.col("b")) & (F.col("units") == F.col("u")) & (F.col("part") == F.col("p")) & fits).select("article_id", "other_id")
 
 
 @query("SELECT o.article_id, o.shop_id, a.brand, o.price, CAST(o.ts AS DATE) AS day, d.name AS district FROM offer o JOIN shop s ON o.shop_id = s.shop_id JOIN article a ON a.article_id = o.article_id JOIN district d ON d.district_id = s.district_id JOIN zone z ON z.region_id = d.region_id WHERE o.price > 0")

@@ -37,3 +37,9 @@ def test_names_are_broadcast_and_not_the_texts(copies, monkeypatch):
     large = normalise.token_subsets(copies)
     assert "BroadcastHashJoin" not in large._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, large.collect())) == expected
+
+
+def test_wildcard_pairs_in_parts(copies, monkeypatch):
+    whole = sorted(map(tuple, catalog.p10_wildcard_predicate(copies).collect()))
+    monkeypatch.setattr(catalog, "PART", 1)
+    assert sorted(map(tuple, catalog.p10_wildcard_predicate(copies).collect())) == whole and whole
