@@ -142,7 +142,8 @@ def named_in(texts: DataFrame, names: DataFrame, key: str) -> DataFrame:
 
     Texts meet a name over its first word, so the subsets, two to the power of the words, are never listed.
     """
-    words = texts.select(key, F.split("text", " ").alias("w"))
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number that stays: few bytes are much work here
+    words = texts.select(key, F.split("text", " ").alias("w")).repartition(parts)
     asked = small(names.select("name", F.split("name", " ").alias("p")).withColumn("head", F.get("p", 0)))  # or the texts, whose size is underestimated, are broadcast
     near = words.select(key, "w", F.explode(F.array_distinct("w")).alias("head")).join(asked, "head")
     return near.where(T.subset_in_order(F.col("w"), F.col("p"))[0]).select(key, "name")
