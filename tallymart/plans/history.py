@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.intervals import as_of, validity
-from ..operators.tables import carried_forward, changes_only, numbered_within
+from ..operators.tables import changes_only, numbered_within
 from ..registry import query
 from ..sources.views import Views
 
@@ -17,15 +17,22 @@ def price_matrix(history: DataFrame, key: str, backfill: str | None = None) -> D
     """For each event of an article a row for each of its shops with the shop's latest price, null before its first.
 
     history: (key, shop_id, ts, price). Instead of pairing events with shops and looking back, each shop's price is spread over
-    the events between two of its own. backfill "final" fills what is before a shop's first price with its last.
+    the events between two of its own: rows are dealt by article once, and events meet the spans of prices there, so the grid is never moved. backfill "final"
+    fills what is before a shop's first price with its last. A null time is behind all others.
     """
-    per_event = history.groupBy(key, "ts", "shop_id").agg(F.max("price").alias("price"))
-    days, shops = history.select(key, "ts").distinct(), history.select(key, "shop_id").distinct()
-    grid = days.join(shops, key).join(per_event, [key, "ts", "shop_id"], "left")
-    out = carried_forward(grid, [key, "shop_id"], ["ts"], "price", "last_price")
-    if backfill == "final":
-        out = out.withColumn("last_price", F.coalesce("last_price", F.last("price", ignorenulls=True).over(Window.partitionBy(key, "shop_id").orderBy("ts").rowsBetween(0, Window.unboundedFollowing))))
-    return out.select(key, "ts", "shop_id", "last_price")
+    each = history.where(F.col(key).isNotNull()).select(key, "ts", "shop_id", "price").repartition(key).groupBy(key, "ts", "shop_id").agg(F.max("price").alias("price"))
+    shop = Window.partitionBy(key, "shop_id")
+    at = each.withColumn("_at", F.when(F.col("price").isNotNull() & F.col("shop_id").isNotNull(), F.col("ts")))
+    w = shop.orderBy(F.col("_at").asc_nulls_last())
+    first = F.max_by("price", "_at").over(shop) if backfill == "final" else F.lit(None)
+    placed = at.select(key, "shop_id", "price", "_at", F.lead("_at").over(w).alias("_next"), F.row_number().over(w).alias("_n"), first.cast(dict(each.dtypes)["price"]).alias("_first"))
+    span = lambda since, until, price: F.struct(since.alias("_since"), until.alias("_until"), price.alias("last_price"))
+    own = F.when(F.col("_at").isNotNull(), span(F.col("_at"), F.col("_next"), F.col("price")))
+    before = F.when(F.col("_n") == 1, span(F.lit(None).cast(dict(each.dtypes)["ts"]), F.col("_at"), F.col("_first")))
+    spans = placed.select(key, "shop_id", F.inline(F.filter(F.array(before, own), lambda x: x.isNotNull())))
+    holds = F.col("_until").isNull() | ((F.col("_since").isNull() | (F.col("ts") >= F.col("_since"))) & (F.col("ts") < F.col("_until")))
+    late = F.col("_until").isNotNull() | F.col("_since").isNull() | F.col("ts").isNull() | (F.col("ts") >= F.col("_since"))
+    return each.select(key, "ts").distinct().join(spans, key).where(F.coalesce(holds, F.lit(False)) & late).select(key, "ts", "shop_id", "last_price")
 
 
 @query("""WITH h AS (SELECT article_id, ts, shop_id, max(price) AS price FROM usable GROUP BY 1, 2, 3),
