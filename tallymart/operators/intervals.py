@@ -7,8 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .staged import Staging
+
 #: Microseconds of a day.
 DAY = 86_400_000_000
+#: Pairs of rows and intervals of a key beyond which it is cut into buckets of time.
+PAIRS = 10_000_000
 
 
 def validity(history: DataFrame, key: Sequence[str], value: str, ts: str = "ts") -> DataFrame:
@@ -26,13 +30,21 @@ def validity(history: DataFrame, key: Sequence[str], value: str, ts: str = "ts")
 def as_of(asked: DataFrame, intervals: DataFrame, on: Sequence[str], ts: str = "ts", days: int = 30) -> DataFrame:
     """The rows of asked (on, ts, ...) with what of intervals (on, since, until, ...) holds at that time; rows that nothing holds for go.
 
-    Both sides meet in buckets of time within their key, so a key with a long history is many groups. An interval stands in each bucket that it touches,
-    an open one up to the last time that is asked for. Times are without a zone or with one on both sides.
+    Both sides meet by their key. Keys of more than PAIRS pairs of rows and intervals (few, if any) meet in buckets of time instead, so a key with a long history is many groups:
+    there an interval stands in each bucket that it touches, an open one up to the last time that is asked for. Times are without a zone or with one on both sides.
     """
-    on = list(on)
+    on, spark = list(on), asked.sparkSession
+    asked, intervals = Staging(spark, "asked").put(asked), Staging(spark, "intervals").put(intervals)
+    counts = asked.groupBy(*on).agg(F.count("*").alias("_n")).join(intervals.groupBy(*on).agg(F.count("*").alias("_m")), on)
+    long = Staging(spark, "long").put(counts.where(F.col("_n") * F.col("_m") > PAIRS).select(*on))
+    holds = (F.col(ts) >= F.col("since")) & (F.col("until").isNull() | (F.col(ts) < F.col("until")))
+    if not long.limit(1).count():
+        return asked.join(intervals, on).where(holds)
+    short = asked.join(long, on, "left_anti").join(intervals, on).where(holds)
     number = lambda c: F.floor(F.unix_micros(F.col(c).cast("timestamp")) / (days * DAY)).cast("long")
+    asked, intervals = asked.join(long, on, "left_semi"), intervals.join(long, on, "left_semi")
     last = asked.agg(F.max(number(ts)).alias("_last"))
     from_, to = number("since"), F.coalesce(F.least(number("until"), F.col("_last")), F.col("_last"))
     spread = intervals.join(F.broadcast(last)).where(from_ <= F.col("_last")).withColumn("_bucket", F.explode(F.sequence(from_, F.greatest(from_, to)))).drop("_last")  # one row
     met = asked.withColumn("_bucket", number(ts)).join(spread, [*on, "_bucket"])
-    return met.where((F.col(ts) >= F.col("since")) & (F.col("until").isNull() | (F.col(ts) < F.col("until")))).drop("_bucket")
+    return short.unionByName(met.where(holds).drop("_bucket"))

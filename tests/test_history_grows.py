@@ -31,3 +31,18 @@ def test_matrix_equals_looking_back(spark):
                     before = [x for x in own if x <= key(t)]
                     expected.append((a, t, s, own[max(before)] if before else own[max(own)] if own and backfill else None))
         assert sorted(map(tuple, price_matrix(df, "a", backfill).collect()), key=str) == sorted(expected, key=str)
+
+
+def test_as_of_without_buckets_and_with(spark, monkeypatch):
+    """Long intervals aren't copied into each bucket that they touch, unless their key has too many pairs; both ways give the same."""
+    day = lambda n: datetime.datetime(2000, 1, 1) + datetime.timedelta(n)
+    spans = spark.createDataFrame([(k, k * 10 + i, day(i * 40), day(i * 40 + 40 + 7 * k) if i < 8 else None) for k in range(5) for i in range(9)], "k long, v long, since timestamp, until timestamp")
+    asked = spark.createDataFrame([(k, day(n), n) for k in range(6) for n in range(-20, 500, 13)], "k long, ts timestamp, n long")
+    spread = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("_bucket")
+    whole = intervals.as_of(asked, spans, ["k"], days=3)
+    rows = sorted(map(tuple, whole.collect()))
+    assert rows and not spread(whole)
+    for pairs in (0, 200, 359):
+        monkeypatch.setattr(intervals, "PAIRS", pairs)
+        cut = intervals.as_of(asked, spans, ["k"], days=3)
+        assert spread(cut) and sorted(map(tuple, cut.collect())) == rows
