@@ -27,15 +27,25 @@ def searches(v: Views) -> DataFrame:
     q AS (SELECT s.search_id, n.brand, coalesce(n.rest, s.w) AS w FROM s LEFT JOIN n ON n.search_id = s.search_id)
     SELECT q.search_id, count(*) AS found, min(a.article_id) AS first_id, CAST(sum(a.article_id) AS BIGINT) AS ids FROM q JOIN article a ON (q.brand IS NULL OR a.brand = q.brand) AND (len(q.w) > 0 AND starts_with(lower(a.name), q.w[1]) AND len([x for x in q.w if NOT contains(lower(a.name), x)]) = 0) GROUP BY 1""")
 def q01_many_searches(v: Views) -> DataFrame:
-    """What each of many searches finds: a brand that it names narrows it, its first other word starts the name, the rest stand in it. Names are met over posting lists."""
+    """What each of many searches finds: a brand that it names narrows it, its first other word starts the name, the rest stand in it.
+
+    Different words are met with different names once, over posting lists; articles of a name and brand are counted before.
+    """
     asked = searches(v).select("search_id", F.split(F.lower("text"), " ").alias("w"))
     brands = v.article.select("brand").distinct().select("brand", F.lower("brand").alias("word"))
     named = asked.select("search_id", F.explode(F.array_distinct("w")).alias("word")).join(brands, "word").select("search_id", "brand", "word")
     rows = asked.join(named, "search_id", "left").select("search_id", "brand", F.when(F.col("word").isNull(), F.col("w")).otherwise(F.array_remove("w", F.col("word"))).alias("words"))
-    lists = Staging(v.spark, "postings").put(posting_lists(v.article, "article_id", "name").repartitionByRange("piece").sortWithinPartitions("piece", "bucket"))
-    found = searched(rows.select("search_id", "words"), v.article, lists, "search_id", "article_id", "name")
-    kept = found.join(rows.select("search_id", F.col("brand").alias("asked")), "search_id").join(v.article.select("article_id", "brand"), "article_id").where(F.col("asked").isNull() | (F.col("asked") == F.col("brand")))
-    return kept.groupBy("search_id").agg(F.count("*").alias("found"), F.min("article_id").alias("first_id"), F.sum("article_id").alias("ids"))
+    asks = Staging(v.spark, "asks").put(rows.select("words").dropna().distinct().withColumn("ask", F.monotonically_increasing_id()))
+    kinds = Staging(v.spark, "kinds").put(v.article.groupBy(F.lower("name").alias("t"), "brand").agg(F.count("*").alias("n"), F.min("article_id").alias("least"), F.sum("article_id").alias("sum")))
+    names = Staging(v.spark, "names").put(kinds.groupBy("t").agg(F.min("least").alias("name_id")))
+    lists = Staging(v.spark, "postings").put(posting_lists(names, "name_id", "t").repartitionByRange("piece").sortWithinPartitions("piece", "bucket"))
+    found = searched(asks.select("ask", "words"), names, lists, "ask", "name_id", "t")
+    each = found.join(names, "name_id").join(kinds, "t").groupBy("ask", "brand").agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.sum("sum").alias("sum"))
+    each = Staging(v.spark, "found").put(each)
+    all_ = each.groupBy("ask").agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.sum("sum").alias("sum"))
+    askers = rows.join(asks, "words").select("search_id", "brand", "ask")
+    kept = askers.where(F.col("brand").isNull()).join(all_, "ask").select("search_id", "n", "least", "sum").unionByName(askers.join(each, ["ask", "brand"]).select("search_id", "n", "least", "sum"))
+    return kept.groupBy("search_id").agg(F.sum("n").alias("found"), F.min("least").alias("first_id"), F.sum("sum").alias("ids"))
 
 
 _SHOPS = "SELECT article_id, list(DISTINCT shop_id) AS shops FROM (SELECT u.article_id, u.shop_id, u.price, min(u.price) OVER (PARTITION BY u.article_id) AS least FROM usable u) WHERE price = least GROUP BY 1"

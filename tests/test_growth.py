@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallymart.operators.similar import pairs_of_rows
-from tallymart.plans import catalog, details, normalise
+from tallymart.plans import catalog, details, normalise, searches
 from tallymart.sources.views import Views
 
 
@@ -51,3 +51,12 @@ def test_wildcard_pairs_in_parts(copies, monkeypatch):
     whole = sorted(map(tuple, catalog.p10_wildcard_predicate(copies).collect()))
     monkeypatch.setattr(catalog, "PART", 1)
     assert sorted(map(tuple, catalog.p10_wildcard_predicate(copies).collect())) == whole and whole
+
+
+def test_searches_of_equal_words_meet_equal_names_once(copies, spark, sf_dir, monkeypatch):
+    seen, inner = [], searches.searched
+    monkeypatch.setattr(searches, "searched", lambda asks, rows, *rest: seen.append((asks.count(), rows.count())) or inner(asks, rows, *rest))
+    found = {r["search_id"]: r["found"] for r in searches.q01_many_searches(copies).collect()}
+    once = {r["search_id"]: r["found"] for r in searches.q01_many_searches(Views(spark, sf_dir)).collect()}
+    assert once and {k: found[k] for k in once} == {k: 5 * n for k, n in once.items()}
+    assert seen[0][1] == seen[1][1] == copies.article.select(F.lower("name")).distinct().count()
