@@ -66,6 +66,10 @@ def units_of(size: Column) -> Column:
     return ((size - 1) % 6 + 1).cast("long")
 
 
+#: Rows of lists that one task puts together, so that its memory doesn't grow with the table.
+ROWS = 250_000
+
+
 class Views:
     """The views over the tables of one folder."""
 
@@ -122,7 +126,8 @@ class Views:
         """Items of a basket with how many are wanted and the units that each holds, dealt by basket."""
         part = self.table("part").select("p_partkey", self._item("p_brand", "p_type", "p_size").alias("item"), units_of(F.col("p_size")).alias("units"))
         rows = self.table("lineitem").select(F.col("l_orderkey").alias("basket_id"), "l_partkey", F.col("l_quantity").cast("long").alias("quantity")).join(part, F.col("l_partkey") == F.col("p_partkey"))
-        return rows.repartition("basket_id").groupBy("basket_id", "item").agg(F.sum("quantity").alias("quantity"), F.max("units").alias("units"))
+        tasks = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-self.table("lineitem").count() // ROWS))
+        return rows.repartition(tasks, "basket_id").groupBy("basket_id", "item").agg(F.sum("quantity").alias("quantity"), F.max("units").alias("units"))
 
     @cached_property
     def shelf(self) -> DataFrame:

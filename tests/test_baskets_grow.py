@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallymart.plans import baskets
+from tallymart.sources import views
 from tallymart.sources.views import Views
 
 
@@ -34,3 +35,9 @@ def test_sellers_in_parts(copies, monkeypatch, query):
     monkeypatch.setattr(baskets, "SELLERS", 300)
     monkeypatch.setattr(baskets, "PAIRS", 500)
     assert sorted(map(tuple, query(copies).collect())) == whole and whole
+
+
+def test_lists_are_put_together_in_more_tasks_as_they_grow(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(views, "ROWS", 100)
+    v = Views(spark, sf_dir)
+    assert "REPARTITION_BY_NUM" in (plan := v.basket._jdf.queryExecution().executedPlan().toString()) and f", {-(-v.table('lineitem').count() // 100)})" in plan
