@@ -47,9 +47,7 @@ def snk04_sitemap_files(v: Views) -> DataFrame:
     at = place(v, "pages")
     rows = v.offer.groupBy("article_id").agg(F.max("ts").cast("date").alias("lastmod")).withColumn("loc", F.concat(F.lit("https://shop.example/p/"), F.col("article_id").cast("string")))
     files.write_sitemap_pages(rows, at, "article_id", 30)
-    maps = [r["loc"] for r in files.read_sitemap_index(v.spark, f"{at}/index").collect()]
-    found = v.spark.read.format("xml").option("rowTag", "url").schema("loc string, lastmod date").load(maps).select("loc", "lastmod", "_metadata.file_path")
-    return found.select("loc", "lastmod", F.regexp_extract("file_path", "/page=([0-9]+)/", 1).cast("long").alias("page"))
+    return files.read_sitemap_pages(v.spark, at)
 
 
 @query("SELECT directive, content, count(*) AS n FROM (SELECT 'user-agent' AS directive, '*' AS content FROM shop UNION ALL SELECT 'disallow', '/cart/' || (shop_id % 7) FROM shop UNION ALL SELECT 'sitemap', 'https://shop' || (shop_id % 5) || '.example/sitemap.xml' FROM shop) GROUP BY 1, 2")

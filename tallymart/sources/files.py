@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The default of a sitemap's lastmod.
 DEFAULT_LASTMOD = "2022-10-24"
+#: Entries that the protocol allows in an index.
+INDEX = 50_000
 UPLOAD_SCHEMA = "site string, url string, error404 boolean, price long, name string, product_code string, brand string, image string"
 
 
@@ -43,6 +45,8 @@ def read_sitemaps(spark: SparkSession, index: str) -> DataFrame:
 def write_sitemap_pages(df: DataFrame, path: str, key: str, size: int = 10_000, loc: str = "loc", lastmod: str = "lastmod") -> int:
     """A sitemap file for each page of `size` rows in order of a unique numeric key, and under path/index the index of the files that are there. Gives their number.
 
+    More than INDEX files are listed in several indexes, which path/index lists, as the protocol asks for.
+
     Each file holds exactly the rows of its page: pages are numbered by ranges, dealt whole, and written to a folder each.
     """
     from ..operators.tables import global_pages
@@ -51,17 +55,40 @@ def write_sitemap_pages(df: DataFrame, path: str, key: str, size: int = 10_000,
     rows = global_pages(df.select(key, F.col(loc).alias("loc"), F.date_format(lastmod, "yyyy-MM-dd").alias("lastmod")), size, key)
     rows.select("loc", "lastmod", "page").repartition("page").write.partitionBy("page").format("xml").option("rootTag", "urlset").option("rowTag", "url").mode("overwrite").save(f"{path}/maps")
     there = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "part-*").load(f"{path}/maps").select(F.col("path").alias("loc"))
-    files = [r["loc"] for r in there.limit(50_001).collect()]
-    if len(files) > 50_000:
-        raise ValueError("more than 50,000 pages: take larger ones")
-    write_index(spark, sorted(files), f"{path}/index")
-    return len(files)
+    pages = there.select("loc", page_of("loc").alias("page")).orderBy("page").cache()
+    found, last = pages.agg(F.count("*"), F.max("page")).first()
+    if found <= INDEX:
+        _write_index(pages.select("loc"), f"{path}/index")
+    else:
+        parts = range(-(-last // INDEX))
+        for k in parts:
+            _write_index(pages.where((F.col("page") > k * INDEX) & (F.col("page") <= (k + 1) * INDEX)).select("loc"), f"{path}/indexes/{k}")
+        write_index(spark, [f"{path}/indexes/{k}" for k in parts], f"{path}/index")
+    pages.unpersist()
+    return found
+
+
+def page_of(path: str) -> Column:
+    """The number of the page that a file of `write_sitemap_pages` holds, null for other files."""
+    return F.nullif(F.regexp_extract(path, "/page=([0-9]+)/", 1), F.lit("")).cast("long")
+
+
+def read_sitemap_pages(spark: SparkSession, path: str) -> DataFrame:
+    """(loc, lastmod, page) of the files under path that its index, or the indexes which that lists, name. No list of files reaches the driver, only that of indexes."""
+    top = read_sitemap_index(spark, f"{path}/index")
+    inner = [r["loc"] for r in top.where(page_of("loc").isNull()).collect()]
+    listed = top.unionByName(read_sitemap_index(spark, inner)) if inner else top
+    found = spark.read.format("xml").option("rowTag", "url").option("recursiveFileLookup", True).option("pathGlobFilter", "part-*").schema("loc string, lastmod date").load(f"{path}/maps").select("loc", "lastmod", page_of("_metadata.file_path").alias("page"))
+    return found.join(listed.select(page_of("loc").alias("page")).distinct(), "page", "left_semi").select("loc", "lastmod", "page")
 
 
 def write_index(spark: SparkSession, locs: list[str], path: str) -> None:
     """An index of sitemaps."""
-    rows = spark.createDataFrame([(x,) for x in locs], "loc string").coalesce(1)
-    rows.write.format("xml").option("rootTag", "sitemapindex").option("rowTag", "sitemap").mode("overwrite").save(path)
+    _write_index(spark.createDataFrame([(x,) for x in locs], "loc string"), path)
+
+
+def _write_index(locs: DataFrame, path: str) -> None:
+    locs.coalesce(1).write.format("xml").option("rootTag", "sitemapindex").option("rowTag", "sitemap").mode("overwrite").save(path)
 
 
 def read_robots(spark: SparkSession, path: str) -> DataFrame:
