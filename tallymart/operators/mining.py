@@ -2,7 +2,8 @@
 
 The passes change what later passes see, so in a brand they are one sequence of steps, which `Brand` states. `mine_rules` gives the same rules without making a
 brand one task: articles that could ever merge, in any pass, are linked by a similarity join of their names, and what isn't linked, however
-indirectly, never changes each other's steps. Small components go through the steps as they are. Large ones go through each pass in rounds: every
+indirectly, never changes each other's steps. Articles of equal attributes are linked as one class, names that are alike through a node each, so links grow with the
+classes and not with pairs of articles. Components of bounded size go through the same steps in `Component`, which looks targets up by name. Larger ones go through each pass in rounds: every
 article proposes to the best target that is left to it, and a target decides all proposals whose outcome no earlier article can change any more. Row order is fixed
 by name, units, measure, degrees and id.
 """
@@ -10,6 +11,7 @@ by name, units, measure, degrees and id.
 from __future__ import annotations
 
 import difflib
+import functools
 import re
 
 import numpy as np
@@ -36,6 +38,7 @@ def words_sorted(name: str) -> str:
     return " ".join(sorted(re.sub("[^a-z0-9]+", " ", name.lower()).split()))
 
 
+@functools.lru_cache(1 << 18)
 def ratio(a: str, b: str) -> int:
     """0 to 100, twice the matching characters over both lengths."""
     return round(100 * difflib.SequenceMatcher(None, a, b, autojunk=False).ratio())
@@ -122,22 +125,130 @@ def mine(articles: DataFrame) -> DataFrame:
     return articles.select(*COLUMNS).groupBy("brand").applyInPandas(lambda rows: Brand(rows).mined(), RULE_SCHEMA)
 
 
-#: Articles of a component that one task takes through all passes.
-COMPONENT = 2_000
+class Component:
+    """The steps of `Brand` for many articles of few names: in a pass no article is both source and target, so the targets of a source's name are put in order once.
+
+    Rows are those of `Brand` with their sorted names.
+    """
+
+    #: Targets that are tried one by one before those that hold a shop of the source are left out at once.
+    TRIED = 32
+
+    def __init__(self, rows: pd.DataFrame):
+        self.rows = rows = rows.sort_values(["name", "units", "measure", "degrees", "article_id"], kind="stable").reset_index(drop=True)
+        self.shops = [set(s.tolist()) for s in rows["shops"]]
+        self.size = np.array([len(s) for s in self.shops])
+        self.live = np.ones(len(rows), bool)
+        self.name, self.names = pd.factorize(rows["sorted"])
+        self.known = np.full((len(self.names), len(self.names)), -1, np.int8)
+        self.blank = {c: np.array([_blank(x) for x in rows[c].tolist()], bool) for c in FILLED}
+        self.group = {c: self.alike([o for o in ("measure", "degrees", "units", "package", "size") if o != c]) for c in FILLED} | {"few": self.alike(["units", "measure"])}
+        self.rules: list[tuple] = []
+        self.marked, self.stamp = np.zeros(len(rows), np.int64), 0
+
+    def alike(self, columns: list[str]) -> np.ndarray:
+        """A number for each row, the same for the same values in the columns."""
+        numbers: dict[tuple, int] = {}
+        keys = zip(*[[None if x != x else x for x in self.rows[c].tolist()] for c in columns])
+        return np.array([numbers.setdefault(k, len(numbers)) for k in keys], np.int64)
+
+    @functools.cached_property
+    def holders(self) -> dict[int, np.ndarray]:
+        """Which rows hold each shop at first."""
+        row, shop = np.repeat(np.arange(len(self.rows)), self.rows["shops"].map(len)), np.concatenate(self.rows["shops"].to_list())
+        order = np.argsort(shop, kind="stable")
+        found, first = np.unique(shop[order], return_index=True)
+        return dict(zip(found.tolist(), np.split(row[order], first[1:])))
+
+    @functools.cached_property
+    def gained(self) -> dict[int, list[int]]:
+        """Which rows took over each shop."""
+        out: dict[int, list[int]] = {}
+        for j in {j for _, j, _, _ in self.rules if self.live[j]}:
+            for s in self.shops[j].difference(self.rows["shops"][j].tolist()):
+                out.setdefault(s, []).append(j)
+        return out
+
+    def scores(self, x: int, names: np.ndarray) -> np.ndarray:
+        row = self.known[x]
+        for y in np.unique(names[row[names] < 0]).tolist():
+            row[y] = ratio(self.names[x], self.names[y])
+        return row[names]
+
+    def first(self, i: int, targets: np.ndarray, tried: list[int]) -> int | None:
+        """The first of the targets that shares no shop with row i."""
+        mine = self.shops[i]
+        for k, j in enumerate(tried):
+            if self.shops[j].isdisjoint(mine):
+                return k
+        if len(targets) == len(tried):
+            return None
+        self.stamp += 1
+        for s in mine:
+            self.marked[self.holders[s]] = self.stamp
+            self.marked[self.gained.get(s, [])] = self.stamp
+        free = self.marked[targets] != self.stamp
+        k = int(free.argmax())
+        return k if free[k] else None
+
+    def merge(self, i: int, j: int, reason: str, score: int) -> None:
+        if "gained" in self.__dict__:
+            for s in self.shops[i]:
+                self.gained.setdefault(s, []).append(j)
+        self.rules.append((i, j, reason, score))
+        self.shops[j] |= self.shops[i]
+        self.size[j] = len(self.shops[j])
+        self.shops[i], self.size[i], self.live[i] = set(), 0, False
+
+    def step(self, kind: str, level: int, most: int, reason: str) -> None:
+        """One pass. Groups of equal columns don't meet, so they go one by one."""
+        here, group = self.live & (self.size > 0), self.group[kind]
+        source = self.size <= most if kind == "few" else self.blank[kind]
+        by_group = lambda rows: rows[np.argsort(group[rows], kind="stable")]
+        s, t = by_group(np.flatnonzero(here & source)), by_group(np.flatnonzero(here & ~source))
+        if not len(s) or not len(t):
+            return
+        runs = np.flatnonzero(np.r_[True, (group[s][1:] != group[s][:-1]) | (self.name[s][1:] != self.name[s][:-1])])
+        for at, end in zip(runs.tolist(), [*runs[1:].tolist(), len(s)]):
+            lo, hi = np.searchsorted(group[t], group[s[at]], "left"), np.searchsorted(group[t], group[s[at]], "right")
+            score = self.scores(self.name[s[at]], self.name[t[lo:hi]])
+            order = np.argsort(-score, kind="stable")[: int((score > level).sum())]
+            targets, score = t[lo:hi][order], score[order]
+            tried = targets[: self.TRIED].tolist()
+            for i in s[at:end].tolist() if tried else ():
+                k = self.first(i, targets, tried)
+                if k is not None:
+                    self.merge(i, int(targets[k]), reason, int(score[k]))
+
+    def mined(self) -> pd.DataFrame:
+        for p in _passes():
+            self.step(*p)
+        of = lambda side, c: self.rows[c].astype(object).iloc[[r[side] for r in self.rules]]
+        given = [of(0, "brand"), of(0, "article_id"), of(1, "article_id"), [r[2] for r in self.rules], [r[3] for r in self.rules]]
+        return pd.DataFrame(list(zip(*given, *[of(1, c) for c in ("name", "degrees", "measure", "size", "package")])), columns=[c.split()[0] for c in RULE_SCHEMA.split(", ")])
+
+
+#: Articles of a component that one task takes through all passes, and different names of it.
+COMPONENT, NAMES = 50_000, 2_000
+
+
+def _likely(x: list[str], y: list[str], above: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs whose ratio may be above the level: letters that both have bound it."""
+    a, b = Names(x), Names(y)
+    shared = np.zeros((len(x), len(y)), np.int32)
+    for c in range(a.counts.shape[1]):
+        p, q = a.counts[:, c], b.counts[:, c]
+        if p.any() and q.any():
+            shared += np.minimum(p[:, None], q[None, :])
+    length = a.length[:, None] + b.length[None, :]
+    return np.nonzero((200.0 * shared + 0.5001 * length > above * length) | (length == 0))
 
 
 def alike(left: DataFrame, right: DataFrame, by: list[str], above: int) -> DataFrame:
-    """(by, x, y, score) of the distinct names (by, name) of left and right whose ratio is above the level. Letters that both have bound the ratio."""
+    """(by, x, y, score) of the distinct names (by, name) of left and right whose ratio is above the level."""
 
     def compare(x, y, ids):
-        a, b = Names(x), Names(y)
-        shared = np.zeros((len(x), len(y)), np.int32)
-        for c in range(a.counts.shape[1]):
-            p, q = a.counts[:, c], b.counts[:, c]
-            if p.any() and q.any():
-                shared += np.minimum(p[:, None], q[None, :])
-        length = a.length[:, None] + b.length[None, :]
-        i, j = np.nonzero(200.0 * shared + 0.5001 * length > above * length)
+        i, j = _likely(x, y, above)
         scores = [(p, q, ratio(x[p], y[q])) for p, q in zip(i.tolist(), j.tolist())]
         found = [(x[p], y[q], s) for p, q, s in scores if s > above]
         return [list(c) for c in zip(*found)] if found else [[], [], []]
@@ -147,16 +258,66 @@ def alike(left: DataFrame, right: DataFrame, by: list[str], above: int) -> DataF
     return _tiles(a, b, by).mapInArrow(_in_tiles(compare, by, fields), _ddl(a, by) + "x string, y string, score long")
 
 
+def joined(left: DataFrame, right: DataFrame, by: list[str], above: int) -> DataFrame:
+    """(by, x, y) of so many of the pairs of `alike` that they connect all names that those connect: fewer than the names of each tile."""
+
+    def compare(x, y, ids):
+        root = list(range(len(x) + len(y)))
+
+        def top(k):
+            while root[k] != k:
+                root[k] = k = root[root[k]]
+            return k
+
+        out = []
+        for p, q in zip(*[k.tolist() for k in _likely(x, y, above)]):
+            a, b = top(p), top(len(x) + q)
+            if a != b and ratio(x[p], y[q]) > above:
+                root[b] = a
+                out.append((x[p], y[q]))
+        return [list(c) for c in zip(*out)] if out else [[], []]
+
+    a, b = left.select(*by, "name").distinct(), right.select(*by, "name").distinct().withColumn("id", F.lit(None).cast("long"))
+    return _tiles(a, b, by).mapInArrow(_in_tiles(compare, by, [("x", pa.string()), ("y", pa.string())]), _ddl(a, by) + "x string, y string")
+
+
 def _empty(column: str, kind: str):
     c = F.col(column)
     return c.isNull() | (c == "") if kind == "string" else c.isNull() | (c == 0) | (F.isnan(c) if kind in ("double", "float") else F.lit(False))
 
 
+def _key(rows: DataFrame, columns: tuple[str, ...], *more):
+    """Brand and columns as one text; null is a value, and not-a-number is null."""
+    plain = lambda c: F.when(F.isnan(c), None).otherwise(F.col(c)) if dict(rows.dtypes)[c] in ("double", "float") else F.col(c)
+    return F.to_json(F.struct(*more, *[plain(c).alias(c) for c in ("brand", *columns)]), {"ignoreNullFields": "false"})
+
+
+#: Columns besides the sorted name that make articles one class.
+CLASS = ("brand", "measure", "degrees", "units", "package", "size")
+
+
+def _links(classes: DataFrame) -> DataFrame:
+    """(a, b) that connect the classes (node, sorted, least shops) of which some articles could ever merge, shops aside.
+
+    In each pass the sources of a name and the targets of a name have a node of their own, and those nodes are connected as the names are. Nodes are hashes; where two are equal, components are larger than they need be.
+    """
+    spark, types = classes.sparkSession, dict(classes.dtypes)
+    each = lambda c: tuple(o for o in ("measure", "degrees", "units", "package", "size") if o != c)
+    one = lambda kind, columns, source, target: F.struct(_key(classes, columns, F.lit(kind).alias("kind")).alias("key"), source.alias("source"), target.alias("target"), F.lit(kind == "few").alias("few"))
+    kinds = [one(c, each(c), _empty(c, types[c]), ~_empty(c, types[c])) for c in FILLED] + [one("few", ("units", "measure"), F.col("least") <= 2, F.lit(True))]
+    keyed = Staging(spark, "keyed").put(classes.select("node", F.col("sorted").alias("name"), F.explode(F.array(*kinds)).alias("k")).select("node", "name", "k.*"))
+    pairs = [joined(keyed.where(f"source and {few}"), keyed.where(f"target and {few}"), ["key"], min(levels)) for few, levels in (("not few", FILL_LEVELS + AGAIN_LEVELS), ("few", SELLER_LEVELS))]
+    found = Staging(spark, "joined").put(pairs[0].unionByName(pairs[1]).withColumns({"p": F.xxhash64(F.lit("s"), "key", "x"), "q": F.xxhash64(F.lit("t"), "key", "y")}))
+    out = found.select(F.col("p").alias("a"), F.col("q").alias("b"))
+    for side, at, name in (("source", "p", "x"), ("target", "q", "y")):
+        met = found.select("key", F.col(name).alias("name"), F.col(at).alias("b")).distinct()
+        out = out.unionByName(keyed.where(side).join(met, ["key", "name"]).select(F.col("node").alias("a"), "b"))
+    return out
+
+
 def _possible(rows: DataFrame, kind: str, source, target, columns: tuple[str, ...], above: int) -> DataFrame:
     """(kind, a, b, score): rows a for which `source` holds and b for which `target` does, equal in the columns, of disjoint shops, whose names are alike."""
-    plain = lambda c: F.when(F.isnan(c), None).otherwise(F.col(c)) if dict(rows.dtypes)[c] in ("double", "float") else F.col(c)
-    key = F.to_json(F.struct(*[plain(c).alias(c) for c in ("brand", *columns)]), {"ignoreNullFields": "false"}).alias("key")
-    keyed = rows.select("pos", "shops", F.col("sorted").alias("name"), key, source.alias("source"), target.alias("target"))
+    keyed = rows.select("pos", "shops", F.col("sorted").alias("name"), _key(rows, columns).alias("key"), source.alias("source"), target.alias("target"))
     a, b = keyed.where("source"), keyed.where("target")
     names = alike(a, b, ["key"], above)
     one, two = a.select("key", F.col("name").alias("x"), F.col("pos").alias("a"), F.col("shops").alias("p")), b.select("key", F.col("name").alias("y"), F.col("pos").alias("b"), F.col("shops").alias("q"))
@@ -200,10 +361,12 @@ def _decided(batches):
 
 
 def _passes():
-    """(kind, level, most, reason) of all passes in their order."""
+    """(kind, level, most, reason) of all passes in their order, but for those of filling at no lower a level than before. An article that found no target then finds none: targets only go or get more shops."""
+    lowest = 101
     for level in FILL_LEVELS + AGAIN_LEVELS:
-        for column in FILLED:
+        for column in FILLED if level < lowest else ():
             yield column, level, 0, f"fill {column}"
+        lowest = min(lowest, level)
     for level in SELLER_LEVELS:
         for most in (1, 2):
             yield "few", level, most, "few sellers"
@@ -236,27 +399,29 @@ def in_rounds(rows: DataFrame, edges: DataFrame) -> DataFrame:
     return done
 
 
-def mine_rules(articles: DataFrame, most: int = COMPONENT) -> DataFrame:
-    """The rules of `mine`, by components of articles that could ever merge; those of more than `most` articles in rounds.
+def mine_rules(articles: DataFrame, most: int = COMPONENT, names: int = NAMES) -> DataFrame:
+    """The rules of `mine`, by components of articles that could ever merge; those of more than `most` articles or `names` different names in rounds.
 
     Articles without shops take part in nothing. A null name counts as empty.
     """
-    staging = Staging(articles.sparkSession, "rows")
-    order = [F.col(c).asc_nulls_last() for c in ("name", "units", "measure", "degrees", "article_id")]
+    spark = articles.sparkSession
     rows = articles.select(*COLUMNS).where(F.size(F.coalesce("shops", F.array().cast("array<long>"))) > 0)
     rows = rows.withColumn("shops", F.col("shops").cast("array<long>")).withColumn("sorted", token_sorted(F.coalesce("name", F.lit(""))))
-    parts = int(articles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = staging.put(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("pos", F.monotonically_increasing_id()))
-    edges = Staging(articles.sparkSession, "possible").put(_edges(rows))
-    roots = components(edges)
-    sizes = roots.groupBy("root").agg(F.count("*").alias("n"))
-    linked = rows.join(roots.withColumnRenamed("node", "pos"), "pos").join(sizes, "root")
-    small = linked.where(F.col("n") <= most).select("root", *COLUMNS).groupBy("root").applyInPandas(lambda r: Brand(r.drop(columns="root")).mined(), RULE_SCHEMA)
-    large = Staging(articles.sparkSession, "large").put(linked.where(F.col("n") > most).drop("root", "n"))
-    if not large.limit(1).count():
+    rows = Staging(spark, "rows").put(rows.withColumn("node", F.xxhash64("sorted", *CLASS)))
+    classes = Staging(spark, "classes").put(rows.groupBy("node", "sorted", *CLASS).agg(F.min(F.size("shops")).alias("least"), F.count("*").alias("n")))
+    of = classes.join(components(_links(classes)), "node")
+    sizes = of.groupBy("root").agg(F.sum("n").alias("n"), F.count_distinct("sorted").alias("names"))
+    placed = Staging(spark, "placed").put(of.select("node", "root").distinct().join(sizes, "root").select("node", "root", ((F.col("n") > most) | (F.col("names") > names)).alias("large")))
+    linked = rows.join(placed, "node")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = linked.where("not large").select("root", "sorted", *COLUMNS).repartition(parts, "root")
+    small = dealt.groupBy("root").applyInPandas(lambda r: Component(r).mined(), RULE_SCHEMA)
+    if not placed.where("large").limit(1).count():
         return small
-    inside = edges.join(large.select(F.col("pos").alias("a")), "a", "left_semi")
-    merges = in_rounds(large, inside)
+    order = [F.col(c).asc_nulls_last() for c in ("name", "units", "measure", "degrees", "article_id")]
+    kept = linked.where("large").drop("node", "root", "large")
+    large = Staging(spark, "large").put(kept.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("pos", F.monotonically_increasing_id()))
+    merges = in_rounds(large, _edges(large))
     a, b = large.select(F.col("pos").alias("a"), "brand", "article_id"), large.select(F.col("pos").alias("b"), F.col("article_id").alias("into_id"), "name", "degrees", "measure", "size", "package")
-    names = [c.split()[0] for c in RULE_SCHEMA.split(", ")]
-    return small.unionByName(merges.join(a, "a").join(b, "b").select([F.col(c).cast(t.split()[1]) for c, t in zip(names, RULE_SCHEMA.split(", "))]))
+    columns = [c.split()[0] for c in RULE_SCHEMA.split(", ")]
+    return small.unionByName(merges.join(a, "a").join(b, "b").select([F.col(c).cast(t.split()[1]) for c, t in zip(columns, RULE_SCHEMA.split(", "))]))

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -47,6 +48,33 @@ def test_rules_equal_the_sequential_steps(spark, monkeypatch, seed, most):
     assert sorted((tuple(r) for r in mining.mine_rules(df, most).collect()), key=str) == expected
 
 
+@pytest.mark.parametrize("shops,tried", [(4, 32), (12, 1), (100, 1)])
+def test_components_take_the_same_steps(monkeypatch, shops, tried):
+    """With few targets tried one by one, the others are found by the shops that they hold."""
+    monkeypatch.setattr(mining.Component, "TRIED", tried)
+    rows = [r for r in articles(shops, 400, 1, shops) if r[8]]
+    df = pd.DataFrame([(*r[:8], np.array(r[8]), mining.words_sorted(r[2])) for r in rows], columns=[*(c.split()[0] for c in SCHEMA.split(", ")), "sorted"])
+    found = [tuple(None if x != x else x for x in r) for r in mining.Component(df).mined().itertuples(index=False)]
+    assert sorted(found, key=str) == rules_of_brands(rows) and len(found) > 10
+
+
+def test_links_grow_with_classes_and_not_with_pairs(spark, monkeypatch):
+    seen, inner = [], mining.components
+    monkeypatch.setattr(mining, "components", lambda edges: seen.append(edges.count()) or inner(edges))
+    rows = [(k, "b", "agua", 1.0, 12.5, 1, ("", "box")[k % 2], "xl", [k]) for k in range(400)]
+    found = sorted((tuple(r) for r in mining.mine_rules(spark.createDataFrame(rows, SCHEMA)).collect()), key=str)
+    assert found == rules_of_brands(rows) and len(found) == 399 and seen[0] < 20
+
+
+def test_empty_names_are_alike(spark, monkeypatch):
+    for name, levels in (("FILL_LEVELS", (70,)), ("AGAIN_LEVELS", ()), ("SELLER_LEVELS", (60,))):
+        monkeypatch.setattr(mining, name, levels)
+    rows = [(1, "b", None, 1.0, 12.5, 1, "", "xl", [1]), (2, "b", "!", 1.0, 12.5, 1, "box", "xl", [2])]
+    for most in (2_000, 0):
+        found = [tuple(r) for r in mining.mine_rules(spark.createDataFrame(rows, SCHEMA), most).collect()]
+        assert found == rules_of_brands(rows) and len(found) == 1
+
+
 def test_decisions_of_a_target():
     """Taken, refused because of what was taken, open behind a source that may still come, and taken beside it."""
     import pyarrow as pa
