@@ -193,7 +193,7 @@ def m10_degrees_repaired(v: Views) -> DataFrame:
 @query()
 def mine_rules_per_brand(v: Views) -> DataFrame:
     """Rules mined by the whole sequence of passes, by components of articles that could merge."""
-    shops = whole_listing(v).groupBy("article_id").agg(F.array_sort(F.collect_set("shop_id")).alias("shops"))
+    shops = v.usable.groupBy("article_id").agg(F.array_sort(F.collect_set("shop_id")).alias("shops"))
     rows = v.article.withColumn("measure", F.floor(F.col("measure") / 20)).withColumn("size", F.when(F.col("size") != "xs", F.col("size")))
     return mine_rules(rows.join(shops, "article_id", "left"))
 

@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallymart.operators.similar import pairs_of_rows
-from tallymart.plans import catalog, details, normalise, searches
+from tallymart.operators import mining
+from tallymart.plans import catalog, details, matching, normalise, searches
 from tallymart.sources.views import Views
 
 
@@ -60,3 +61,12 @@ def test_searches_of_equal_words_meet_equal_names_once(copies, spark, sf_dir, mo
     once = {r["search_id"]: r["found"] for r in searches.q01_many_searches(Views(spark, sf_dir)).collect()}
     assert once and {k: found[k] for k in once} == {k: 5 * n for k, n in once.items()}
     assert seen[0][1] == seen[1][1] == copies.article.select(F.lower("name")).distinct().count()
+
+
+def test_mining_links_copies_no_more_than_once(copies, spark, sf_dir, monkeypatch):
+    monkeypatch.setitem(vars(copies), "shop", Views(spark, sf_dir).shop)
+    seen, inner = [], mining.components
+    monkeypatch.setattr(mining, "components", lambda edges: seen.append(edges.distinct().count()) or inner(edges))
+    for v in (Views(spark, sf_dir), copies):
+        matching.mine_rules_per_brand(v)
+    assert seen[0] == seen[1] > 0
