@@ -216,17 +216,17 @@ def rebuild(articles: DataFrame, listing: DataFrame, redirects: DataFrame, round
     rows = articles.join(brands, "brand").drop("brand").withColumnRenamed("target", "brand")
     key = Window.partitionBy("brand", "name", "measure", "degrees", "units", "package", "size")
     named = rows.withColumn("identity", F.min("article_id").over(key))
-    moved = listing.join(named.select("article_id", "identity"), "article_id").select(F.col("identity").alias("article_id"), "shop_id").distinct()
-    shops = moved.groupBy("article_id").agg(F.array_sort(F.collect_set("shop_id")).alias("shops"))
+    shops = listing.join(named.select("article_id", "identity"), "article_id").groupBy(F.col("identity").alias("article_id")).agg(F.array_sort(F.collect_set("shop_id")).alias("shops"))
     spark = articles.sparkSession
     kept = Staging(spark, "kept").put(named.where("article_id = identity").join(shops, "article_id", "left"))
     rules = Staging(spark, "rules").put(mine_rules(kept))
     steps = rules.select(F.col("article_id").alias("from"), F.col("into_id").alias("into"))
-    final = moved.withColumn("to", F.col("article_id"))
-    for _ in range(rounds):
-        final = final.join(steps, F.col("to") == F.col("from"), "left").withColumn("to", F.coalesce("into", "to")).drop("from", "into")
-    sold = final.groupBy(F.col("to").alias("article_id")).agg(F.count_distinct("shop_id").alias("sellers"))
-    hits = final.where("article_id <> to").groupBy("article_id").agg(F.count("*").alias("hits"))
+    ends = rules.select("article_id", F.col("into_id").alias("to"))
+    for _ in range(rounds - 1):
+        ends = ends.join(steps, F.col("to") == F.col("from"), "left").select("article_id", F.coalesce("into", "to").alias("to"))
+    final = kept.where("shops is not null").select("article_id", "shops").join(ends, "article_id", "left").withColumn("to", F.coalesce("to", "article_id"))
+    sold = final.groupBy(F.col("to").alias("article_id")).agg(F.size(F.array_distinct(F.flatten(F.collect_list("shops")))).cast("long").alias("sellers"))  # an article's shops
+    hits = final.where("article_id <> to").select("article_id", F.size("shops").cast("long").alias("hits"))
     return kept.join(sold, "article_id").select("article_id", "brand", "name", "sellers"), rules.join(hits, "article_id")
 
 

@@ -70,3 +70,17 @@ def test_mining_links_copies_no_more_than_once(copies, spark, sf_dir, monkeypatc
     for v in (Views(spark, sf_dir), copies):
         matching.mine_rules_per_brand(v)
     assert seen[0] == seen[1] > 0
+
+
+def test_rebuild_reads_listings_once(copies, spark, sf_dir, monkeypatch):
+    """Articles follow their chains of rules, up to three, with the shops that they were put down with."""
+    monkeypatch.setitem(vars(copies), "shop", Views(spark, sf_dir).shop)
+    rule = "article_id long, into_id long, brand string"
+    monkeypatch.setattr(matching, "mine_rules", lambda rows: spark.createDataFrame([], rule))
+    assert not [f for f in matching.m14_full_rebuild(copies).inputFiles() if "/lineitem.parquet/" in f]
+    monkeypatch.setattr(matching, "mine_rules", lambda rows: spark.createDataFrame([(k, k + 1, "b") for k in range(1, 5)], rule))
+    articles = spark.createDataFrame([(k, "b", f"n{k}", 1.0, 0.0, 1, "p", "s") for k in range(1, 8)], "article_id long, brand string, name string, measure double, degrees double, units long, package string, size string")
+    listing = spark.createDataFrame([(k, s) for k in range(1, 7) for s in (10 * k, 10 * k + 1)] + [(6, 60)], "article_id long, shop_id long")
+    out, hits = matching.rebuild(articles, listing, spark.createDataFrame([("x", "y")], "brand string, target string"))
+    assert {r["article_id"]: r["sellers"] for r in out.collect()} == {4: 2, 5: 8, 6: 2}
+    assert {r["article_id"]: r["hits"] for r in hits.collect()} == {1: 2, 2: 2, 3: 2, 4: 2}
