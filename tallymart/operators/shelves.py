@@ -16,6 +16,8 @@ import pyarrow as pa
 #: Cells of baskets by shops that are looked at together, as bits and as sums.
 WIDE, NARROW = 1 << 21, 1 << 17
 NONE = np.iinfo(np.int64).max
+#: Levels of an item's prices, quantities at which sellers are told apart, shops that need no further choice. They change speed only.
+LEVELS, QUANTITIES, FEW = 16, np.array([1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128, 256, 1024]), 64
 
 
 class Shelves:
@@ -27,7 +29,7 @@ class Shelves:
         self.places = max(1, len(ids).bit_length())  # bits of a shop's place below a total
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("prices", "sellers", "caps")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("prices", "sellers", "dear", "reached")}
 
     @cached_property
     def prices(self) -> np.ndarray:
@@ -36,22 +38,29 @@ class Shelves:
         table[self.item, self.shop] = self.price
         return table
 
+    def _bits(self, table: np.ndarray) -> np.ndarray:
+        bits = np.packbits(table, axis=1, bitorder="little")
+        return np.ascontiguousarray(np.pad(bits, ((0, 0), (0, -bits.shape[1] % 8)))).view(np.uint64)
+
     @cached_property
     def sellers(self) -> np.ndarray:
         """Items by words of 64 shops, least bit first."""
-        width = -(-len(self.ids) // 64) * 8
-        bits = np.packbits(self.prices > 0, axis=1, bitorder="little")
-        return np.ascontiguousarray(np.pad(bits, ((0, 0), (0, width - bits.shape[1])))).view(np.uint64)
+        return self._bits(self.prices > 0)
+
+    @cached_property
+    def dear(self) -> tuple[np.ndarray, np.ndarray]:
+        """Prices of each item at LEVELS levels, the last its highest, and the bits of the sellers that ask more."""
+        order = np.lexsort((self.price, self.item))
+        begin = self.item[order].searchsorted(np.arange(self.items + 2))
+        n = np.diff(begin)[:, None]
+        at = begin[:-1, None] + -(-n * np.arange(1, LEVELS + 1) // LEVELS) - 1
+        price = np.where(n > 0, self.price[order][np.clip(at, 0, len(order) - 1)], 0).astype(np.int64)
+        return price, np.stack([self._bits(self.prices > price[:, k, None]) for k in range(LEVELS)], axis=1)
 
     @cached_property
-    def caps(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-        """Sellers by item and falling cap, the largest quantity of the item alone that stays below the shop's minimum: their keys, their places, where items begin, the largest cap."""
-        cap = (self.minimum[self.shop] - 1) // self.price
-        some = np.flatnonzero(cap > 0)
-        top = int(cap.max(initial=0))
-        key = self.item[some].astype(np.int64) * (top + 2) + (top - cap[some])
-        order = np.argsort(key, kind="stable")
-        return key[order], self.shop[some][order], np.searchsorted(key[order], np.arange(self.items + 2, dtype=np.int64) * (top + 2)), top
+    def reached(self) -> np.ndarray:
+        """At each of QUANTITIES, the bits of the sellers whose minimum that much of the item alone reaches."""
+        return np.stack([self._bits((self.prices > 0) & (self.prices >= -(-self.minimum // n))) for n in QUANTITIES], axis=1)
 
     def whole(self, m: np.ndarray) -> np.ndarray:
         """Bits of the shops that have all items of each row of m."""
@@ -60,21 +69,55 @@ class Shelves:
             bits &= self.sellers[m[:, j]]
         return bits
 
+    def some(self, m: np.ndarray, dropped: np.ndarray, level: np.ndarray) -> np.ndarray:
+        """Bits of the shops that have an item of each row of m and none for which `dropped` has them at the item's level."""
+        bits, out = self.sellers[m[:, 0]], dropped[m[:, 0], level[:, 0]]
+        for j in range(1, m.shape[1]):
+            bits |= self.sellers[m[:, j]]
+            out |= dropped[m[:, j], level[:, j]]
+        return bits & ~out
+
+    def within(self, m: np.ndarray, q: np.ndarray, budget: np.ndarray) -> np.ndarray:
+        """Bits of the shops that have an item of each row and sell no line of it for more than the budget, and perhaps of others."""
+        price, bits = self.dear
+        level = (price[m] * q[:, :, None] < budget[:, None, None]).sum(axis=2)
+        return self.some(m, bits, np.minimum(level, LEVELS - 1))
+
     def listed(self, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The rows and places of set bits, by row and place."""
-        width, flat = bits.shape[1] * 8, bits.view(np.uint8).ravel()
+        """How many bits of each row are set, and the places of set bits, by row and place."""
+        n, flat, width = np.bitwise_count(bits).sum(axis=1, dtype=np.int64), bits.view(np.uint8).ravel(), bits.shape[1] * 64
         at = np.flatnonzero(flat != 0)
-        one = np.flatnonzero(np.unpackbits(flat[at], bitorder="little"))
-        row, byte = np.divmod(at, width)
-        return row[one >> 3], (byte[one >> 3] << 3) + (one & 7)
+        one = np.flatnonzero(np.unpackbits(flat[at], bitorder="little").view(bool))
+        return n, (at << 3)[one >> 3] + (one & 7) - np.repeat(np.arange(len(bits)) * width, n)
 
-    def summed(self, m: np.ndarray, q: np.ndarray, row: np.ndarray, shop: np.ndarray) -> np.ndarray:
-        """Subtotals of single pairs of a row and a shop."""
-        flat, base, total = self.prices.ravel(), m * len(self.ids), np.zeros(len(row), np.int64)
+    def summed(self, m: np.ndarray, q: np.ndarray, n: np.ndarray, shop: np.ndarray) -> np.ndarray:
+        """Subtotals of n shops of each row."""
+        flat, total = self.prices.ravel(), np.zeros(len(shop), np.int64)
         for j in range(m.shape[1]):
-            total += flat[base[row, j] + shop] * q[row, j]
+            total += flat[np.repeat(m[:, j] * len(self.ids), n) + shop] * np.repeat(q[:, j], n)
         return total
 
+    def chosen(self, m: np.ndarray, q: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """A budget within which some of the n complete shops of each row are."""
+        level = np.where(n > FEW, np.ceil((FEW / 2 / np.maximum(n, 1)) ** (1 / m.shape[1]) * LEVELS).astype(np.int64) - 1, LEVELS - 1)
+        return (self.dear[0][m, level[:, None]] * q).max(axis=1)
+
+    def least(self, m: np.ndarray, q: np.ndarray, bits: np.ndarray, whole: np.ndarray, most: int) -> np.ndarray:
+        """The `most` least keys of each row among the shops in bits, ascending: two bits of class (incomplete, below the minimum), total, shop."""
+        n, shop = self.listed(bits)
+        total = self.summed(m, q, n, shop)
+        row = np.repeat(np.arange(len(m)), n)
+        key = (~whole.ravel()[row * whole.shape[1] + (shop >> 6)] >> (shop & 63).astype(np.uint64) & np.uint64(1)).astype(np.int64) * 2 + (total < self.minimum[shop])
+        key = (((key << 61 - self.places) + total + self.fee[shop]) << self.places) + shop
+        out, have = np.full((len(m), most), NONE), np.flatnonzero(n)
+        if len(have):
+            starts = (np.cumsum(n) - n)[have]
+            for rank in range(most):
+                out[have, rank] = best = np.minimum.reduceat(key, starts)
+                if rank + 1 < most:
+                    key[key == np.repeat(best, n[have])] = NONE
+        return out
+
     def added(self, m: np.ndarray, q: np.ndarray) -> np.ndarray:
         """Subtotals of all shops, 0 where a shop has nothing: prices and quantities are above 0."""
         total = np.zeros((len(m), len(self.ids)), np.int64)
@@ -85,86 +128,80 @@ class Shelves:
         return total
 
     def ranked(self, m: np.ndarray, q: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, shop, rank) of the first `most` shops: complete first, then at least the minimum, then the total and the shop."""
-        row, shop = self.listed(self.whole(m))
-        total = self.summed(m, q, row, shop)
-        enough = total >= self.minimum[shop]
-        row, shop, total = row[enough], shop[enough], total[enough]
-        many = np.bincount(row, minlength=len(m)) >= most
-        use = many[row]
-        row = row[use]
-        out = list(_first(row, ((total[use] + self.fee[shop[use]]) << self.places) + shop[use], most, self.places))
-        few, step = np.flatnonzero(~many), max(1, NARROW // len(self.ids))
+        """(row, shop, rank) of the first `most` shops: complete first, then at least the minimum, then the total and the shop.
+
+        Shops within a budget are enough if the last of them has everything and a total of at most the budget; else all complete ones are, if the last is one above its minimum. Then incomplete
+        ones within another budget come in, and all shops where these don't do.
+        """
+        keys, whole = np.full((len(m), most), NONE), self.whole(m)
+        n = np.bitwise_count(whole).sum(axis=1, dtype=np.int64)
+        total = lambda key: key >> self.places & (1 << 61 - self.places) - 1
+        todo = np.flatnonzero(n > FEW)
+        if len(todo):
+            budget = self.chosen(m[todo], q[todo], n[todo])
+            keys[todo] = self.least(m[todo], q[todo], whole[todo] & self.within(m[todo], q[todo], budget), whole[todo], most)
+            last = keys[todo, -1]
+            todo = todo[(last >> 61 > 0) | (total(last) > budget)]
+        todo = np.sort(np.append(todo, np.flatnonzero((n <= FEW) & (n >= most))))
+        keys[todo] = self.least(m[todo], q[todo], whole[todo], whole[todo], most)
+        few = np.flatnonzero(keys[:, -1] >> 61 > 0)
+        if len(few):
+            budget = np.sort(self.dear[0][m[few], LEVELS // 8 - 1] * q[few], axis=1)[:, min(1, m.shape[1] - 1)]
+            keys[few] = self.least(m[few], q[few], whole[few] | self.within(m[few], q[few], budget), whole[few], most)
+            last = keys[few, -1]
+            few = few[(last >> 61 > 2) | (last >> 61 == 2) & (total(last) > budget)]
+        step = max(1, NARROW // len(self.ids))
         for at in range(0, len(few), step):
             rows = few[at : at + step]
-            total = self.added(m[rows], q[rows])
-            has = np.unpackbits(self.whole(m[rows]).view(np.uint8), axis=1, count=len(self.ids), bitorder="little")
-            key = np.where(has, 0, 2) + (total < self.minimum)
-            key <<= 61 - self.places
-            key += total
-            key += self.fee
-            key <<= self.places
-            key += np.arange(len(self.ids))
-            key[total == 0] = NONE
-            for rank in range(1, most + 1):
-                least = key.min(axis=1)
-                there = np.flatnonzero(least != NONE)
-                best = least[there] & ((1 << self.places) - 1)
-                key[there, best] = NONE
-                out.append((rows[there], best, np.full(len(there), rank)))
-        return tuple(map(np.concatenate, zip(*out, strict=True))) if out else (np.zeros(0, np.int64),) * 3
+            keys[rows] = self.every(m[rows], q[rows], whole[rows], most)
+        row, rank = np.nonzero(keys != NONE)
+        return row, keys[row, rank] & (1 << self.places) - 1, rank + 1
+
+    def every(self, m: np.ndarray, q: np.ndarray, whole: np.ndarray, most: int) -> np.ndarray:
+        """As `least` among all shops."""
+        total = self.added(m, q)
+        key = np.where(np.unpackbits(whole.view(np.uint8), axis=1, count=len(self.ids), bitorder="little"), 0, 2) + (total < self.minimum)
+        key = (((key << 61 - self.places) + total + self.fee) << self.places) + np.arange(len(self.ids))
+        key[total == 0] = NONE
+        out = np.empty((len(m), most), np.int64)
+        for rank in range(most):
+            out[:, rank] = key.min(axis=1)
+            key[key == out[:, rank, None]] = NONE
+        return out
 
     def cheapest(self, m: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, ...]:
         """(row, shop, total, shop, subtotal) of the least total and the least subtotal among shops that have everything and whose minimum is met."""
-        row, shop = self.listed(self.whole(m))
-        total = self.summed(m, q, row, shop)
-        enough = total >= self.minimum[shop]
-        row, shop, total = row[enough], shop[enough], total[enough]
-        if not len(row):
-            return (np.zeros(0, np.int64),) * 5
-        starts = np.flatnonzero(np.diff(row, prepend=-1))
-        with_fee = np.minimum.reduceat(((total + self.fee[shop]) << self.places) + shop, starts)
-        without = np.minimum.reduceat((total << self.places) + shop, starts)
-        mask = (1 << self.places) - 1
-        return row[starts], with_fee & mask, with_fee >> self.places, without & mask, without >> self.places
+        whole = self.whole(m)
+        n = np.bitwise_count(whole).sum(axis=1, dtype=np.int64)
+        least, mask = np.full((len(m), 2), NONE), (1 << self.places) - 1
+
+        def look(rows: np.ndarray, bits: np.ndarray) -> None:
+            n, shop = self.listed(bits)
+            total = self.summed(m[rows], q[rows], n, shop)
+            low, have = total < self.minimum[shop], np.flatnonzero(n)
+            if len(have):
+                for k, fee in enumerate((self.fee[shop], 0)):
+                    key = ((total + fee) << self.places) + shop
+                    key[low] = NONE
+                    least[rows[have], k] = np.minimum.reduceat(key, (np.cumsum(n) - n)[have])
+
+        todo = np.flatnonzero(n > FEW)
+        if len(todo):  # shops beyond the budget have a subtotal above it
+            budget = self.chosen(m[todo], q[todo], n[todo])
+            look(todo, whole[todo] & self.within(m[todo], q[todo], budget))
+            todo = todo[least[todo, 0] >> self.places > budget]
+        todo = np.append(todo, np.flatnonzero((n <= FEW) & (n > 0)))
+        look(todo, whole[todo])
+        row = np.flatnonzero(least[:, 0] != NONE)
+        return row, least[row, 0] & mask, least[row, 0] >> self.places, least[row, 1] & mask, least[row, 1] >> self.places
 
     def below(self, m: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, shops below their minimum, shops that have everything) of the rows that some shop has something of."""
+        """(row, shops below their minimum, shops that have everything) of the rows that some shop has something of. A shop that one line alone lifts to its minimum isn't looked at."""
         complete = np.bitwise_count(self.whole(m)).sum(axis=1, dtype=np.int64)
-        key, sellers, begin, top = self.caps
-        low = key.searchsorted(m * (top + 2) + (top - np.minimum(q, top + 1)), side="right") - begin[m]  # sellers of each line that would stay below with it alone
-        np.maximum(low, 0, out=low)
-        dense = low.sum(axis=1) * 3 > len(self.ids)
-        n = np.zeros(len(m), np.int64)
-        for j in range(m.shape[1]):
-            c = np.where(dense, 0, low[:, j])
-            row = np.repeat(np.arange(len(m)), c)
-            shop = sellers[np.arange(len(row)) + np.repeat(begin[m[:, j]] - np.cumsum(c) + c, c)]
-            if j:  # a shop is counted with its first line
-                first = np.ones(len(row), bool)
-                for i in range(j):
-                    first &= self.prices[m[row, i], shop] == 0
-                row, shop = row[first], shop[first]
-            n += np.bincount(row[self.summed(m, q, row, shop) < self.minimum[shop]], minlength=len(m))
-        rows, step = np.flatnonzero(dense), max(1, NARROW // len(self.ids))
-        for at in range(0, len(rows), step):
-            total = self.added(m[rows[at : at + step]], q[rows[at : at + step]])
-            n[rows[at : at + step]] = ((total > 0) & (total < self.minimum)).sum(axis=1)
-        some = np.flatnonzero((self.sellers.any(axis=1)[m]).any(axis=1))
-        return some, n[some], complete[some]
-
-
-def _first(row: np.ndarray, key: np.ndarray, most: int, places: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(row, shop, rank) of the least keys of each row, which has at least `most`; rows ascend and keys end in a shop's place."""
-    if not len(row):
-        return
-    starts = np.flatnonzero(np.diff(row, prepend=-1))
-    sizes = np.diff(starts, append=len(row))
-    for rank in range(1, most + 1):
-        least = np.minimum.reduceat(key, starts)
-        yield row[starts], least & ((1 << places) - 1), np.full(len(starts), rank)
-        if rank < most:
-            key[key == np.repeat(least, sizes)] = NONE
+        n, shop = self.listed(self.some(m, self.reached, QUANTITIES.searchsorted(q, side="right") - 1))
+        row = np.repeat(np.arange(len(m)), n)[self.summed(m, q, n, shop) < self.minimum[shop]]
+        have = np.flatnonzero(self.sellers.any(axis=1)[m].any(axis=1))
+        return have, np.bincount(row, minlength=len(m))[have], complete[have]
 
 
 def contents(begin: np.ndarray, columns: list[np.ndarray]) -> np.ndarray:

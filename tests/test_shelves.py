@@ -61,3 +61,24 @@ def test_shelves_with_something_twice_or_almost_empty_are_listed(spark):
 def test_contents_are_told_apart():
     size, items = np.array([2, 2, 1, 1, 2, 2]), np.array([1, 2, 1, 2, 1, 2, 1, 2, 1, 3])
     assert shelves.contents(np.append(0, np.cumsum(size)), [items]).tolist() == [0, 0, 1, 2, 3, 4]
+
+
+@pytest.mark.parametrize("few", [1, 4, 64])
+@pytest.mark.parametrize("density", [0.1, 0.5, 0.95])
+def test_shops_within_a_budget_are_those_of_all_sums(monkeypatch, few, density):
+    monkeypatch.setattr(shelves, "FEW", few)
+    r, items, shops = np.random.default_rng(few), 30, 200
+    item, shop = np.nonzero(r.random((items, shops)) < density)
+    s = shelves.Shelves(items, item, shop, r.integers(1, 5, len(item)) ** r.integers(1, 6, len(item)), np.arange(shops) * 3, r.integers(0, 4, shops) * 50, r.integers(0, 4, shops) * 400, np.zeros(items, bool))
+    for k in range(1, 9):
+        m, q = np.sort(r.random((150, items + 1)).argsort(axis=1)[:, :k], axis=1), r.integers(1, 5, (150, k)) ** 2
+        total, whole = s.added(m, q), (s.prices[m] > 0).all(axis=1)
+        enough = total >= s.minimum
+        keys = s.every(m, q, s.whole(m), 3)
+        row, rank = np.nonzero(keys != shelves.NONE)
+        assert [x.tolist() for x in s.ranked(m, q, 3)] == [row.tolist(), (keys[row, rank] & (1 << s.places) - 1).tolist(), (rank + 1).tolist()]
+        have = np.flatnonzero((total > 0).any(axis=1))
+        assert [x.tolist() for x in s.below(m, q)] == [have.tolist(), ((total > 0) & ~enough).sum(axis=1)[have].tolist(), whole.sum(axis=1)[have].tolist()]
+        right = whole & enough
+        row, a, b = np.flatnonzero(right.any(axis=1)), np.where(right, total + s.fee, shelves.NONE), np.where(right, total, shelves.NONE)
+        assert [x.tolist() for x in s.cheapest(m, q)] == [x[row].tolist() for x in (np.arange(150), a.argmin(1), a.min(1), b.argmin(1), b.min(1))]
